@@ -296,5 +296,211 @@ BODIES["churn_label"] = f"""SELECT user_id, {FEATURES_R}, days_since_last_order,
 FROM t_features LEFT JOIN t_days USING (user_id)"""
 
 
+BODIES["pca_covariance"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
+    f"round(covar_pop({a}, {b}), 6) AS covariance FROM t_scaled"
+    for i, a in enumerate(FEATURES)
+    for b in FEATURES[i:]
+)
+
+# -- validity and profiles on given labels --------------------------------------------
+
+
+def _metric_ctes(source: str) -> str:
+    """Silhouette, Calinski-Harabasz, Davies-Bouldin and inertia of every tag in a
+    table (tag, k, user_id, cluster, v)."""
+    n = len(FEATURES)
+    return f"""
+, lab AS ({source}),
+picked AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY tag, k
+  ORDER BY {_KEY}, user_id) <= 3000),
+pairs AS (SELECT a.tag, a.k, a.user_id, a.cluster AS own, b.cluster AS other,
+    sum(list_distance(a.v, b.v)) AS s, count(*) AS n
+  FROM picked a JOIN picked b ON a.tag = b.tag AND a.k = b.k GROUP BY ALL),
+per_row AS (SELECT tag, k, user_id,
+    max(CASE WHEN own = other THEN n END) AS own_n,
+    max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN own <> other THEN s / n END) AS b
+  FROM pairs GROUP BY ALL),
+sil AS (SELECT tag, k, avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0
+    ELSE (b - a) / greatest(a, b) END) AS silhouette FROM per_row GROUP BY ALL),
+cells AS (SELECT tag, k, cluster, count(*) AS n,
+    [{', '.join(f'avg(v[{i + 1}])' for i in range(n))}] AS centre FROM lab GROUP BY ALL),
+grand AS (SELECT tag, k, count(*) AS n, count(DISTINCT cluster) AS kk,
+    [{', '.join(f'avg(v[{i + 1}])' for i in range(n))}] AS centre FROM lab GROUP BY ALL),
+within_ AS (SELECT l.tag, l.k, sum(list_distance(l.v, c.centre) ** 2) AS w
+  FROM lab l JOIN cells c USING (tag, k, cluster) GROUP BY ALL),
+between_ AS (SELECT c.tag, c.k, sum(c.n * list_distance(c.centre, g.centre) ** 2) AS b
+  FROM cells c JOIN grand g USING (tag, k) GROUP BY ALL),
+ch AS (SELECT tag, k, w AS inertia, (b / (kk - 1)) / (w / (n - kk)) AS calinski_harabasz
+  FROM within_ JOIN between_ USING (tag, k) JOIN grand USING (tag, k)),
+spread AS (SELECT l.tag, l.k, l.cluster, any_value(c.centre) AS centre,
+    avg(list_distance(l.v, c.centre)) AS s
+  FROM lab l JOIN cells c USING (tag, k, cluster) GROUP BY ALL),
+worst AS (SELECT a.tag, a.k, a.cluster,
+    max((a.s + b.s) / list_distance(a.centre, b.centre)) AS r
+  FROM spread a JOIN spread b ON a.tag = b.tag AND a.k = b.k AND a.cluster <> b.cluster
+  GROUP BY ALL),
+db AS (SELECT tag, k, avg(r) AS davies_bouldin FROM worst GROUP BY ALL),
+sq_pairs AS (SELECT l.tag, l.k, l.user_id, l.cluster AS own, m.cluster AS other, m.n,
+    m.n * (list_distance(l.v, m.centre) ** 2 + m.scatter / m.n) AS s
+  FROM lab l JOIN (SELECT x.tag, x.k, x.cluster, any_value(c.n) AS n,
+      any_value(c.centre) AS centre, sum(list_distance(x.v, c.centre) ** 2) AS scatter
+    FROM lab x JOIN cells c USING (tag, k, cluster) GROUP BY ALL) m USING (tag, k)),
+sq_row AS (SELECT tag, k, user_id, max(CASE WHEN own = other THEN n END) AS own_n,
+    max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a,
+    min(CASE WHEN own <> other THEN s / n END) AS b FROM sq_pairs GROUP BY ALL),
+sil_sq AS (SELECT tag, k, avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)
+    AS silhouette_sq FROM sq_row GROUP BY ALL)
+"""
+
+
+_VECTOR = "[" + FEATURE_LIST + "]"
+BY_FOUR = _metric_ctes(
+    f"SELECT 'x' AS tag, 4 AS k, user_id, user_id % 4 AS cluster, {_VECTOR} AS v FROM t_scaled"
+)
+BODIES["silhouette"] = BY_FOUR + "SELECT round(silhouette, 6) AS silhouette FROM sil"
+BODIES["silhouette_sq"] = BY_FOUR + "SELECT round(silhouette_sq, 6) AS silhouette_sq FROM sil_sq"
+BODIES["calinski_harabasz"] = (
+    BY_FOUR + "SELECT round(calinski_harabasz, 6) AS calinski_harabasz FROM ch"
+)
+BODIES["davies_bouldin"] = BY_FOUR + "SELECT round(davies_bouldin, 6) AS davies_bouldin FROM db"
+BODIES["inertia"] = BY_FOUR + "SELECT round(inertia, 6) AS inertia FROM ch"
+
+GIVEN = _metric_ctes(
+    " UNION ALL ".join(
+        f"SELECT 'by_user' AS tag, {k} AS k, user_id, user_id % {k} AS cluster, {_VECTOR} AS v "
+        f"FROM t_scaled UNION ALL SELECT 'by_reach' AS tag, {k} AS k, user_id, "
+        f"CASE WHEN unique_products > 0 THEN 0 ELSE 1 + user_id % {k - 1} END AS cluster, "
+        f"{_VECTOR} AS v FROM t_scaled"
+        for k in (2, 3, 4)
+    )
+) + """, metrics AS (SELECT tag AS method, k, silhouette, calinski_harabasz, davies_bouldin
+  FROM sil JOIN ch USING (tag, k) JOIN db USING (tag, k))
+"""
+_METRICS = rounded(("silhouette", "calinski_harabasz", "davies_bouldin"))
+BODIES["stack_results"] = GIVEN + f"SELECT method, k, {_METRICS} FROM metrics"
+BODIES["sort_results"] = BODIES["stack_results"] + " ORDER BY 1, 2"
+BODIES["best_model"] = GIVEN + f"""SELECT method, k, {_METRICS},
+  CAST(s AS INTEGER) AS silhouette_rank, CAST(c AS INTEGER) AS calinski_harabasz_rank,
+  CAST(d AS INTEGER) AS davies_bouldin_rank, round((s + c + d) / 3.0, 6) AS mean_rank
+FROM (SELECT *, rank() OVER (ORDER BY silhouette DESC) AS s,
+  rank() OVER (ORDER BY calinski_harabasz DESC) AS c,
+  rank() OVER (ORDER BY davies_bouldin) AS d FROM metrics)"""
+
+OVERALL = ", o AS (SELECT " + ", ".join(
+    f"avg({c}) AS overall_{c}" for c in FEATURES
+) + " FROM t_features)"
+
+
+def _means(modulus: int) -> str:
+    return OVERALL + f""", m AS (SELECT CAST(user_id % {modulus} AS INTEGER) AS cluster,
+  count(*) AS cluster_size, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)}
+  FROM t_features GROUP BY 1)
+"""
+
+
+def _half_even(expr: str, name: str) -> str:
+    return f"round_even({expr} * 100, 0) / 100 AS {name}"
+
+
+DESCRIPTION = f"""CASE WHEN {' AND '.join(
+    f'abs({c} - overall_{c}) <= 0.05 * overall_{c}' for c in FEATURES)}
+  THEN 'Consistent customers' ELSE coalesce(nullif(concat_ws(', ',
+    CASE WHEN total_max_orders > overall_total_max_orders
+      AND average_days_btw_orders < overall_average_days_btw_orders
+      THEN 'High-engagement shoppers' END,
+    CASE WHEN reorder_mean > overall_reorder_mean THEN 'Retention customers' END,
+    CASE WHEN unique_products > overall_unique_products AND reorder_mean < overall_reorder_mean
+      THEN 'Variety seekers' END), ''), 'Unstable shoppers') END AS description"""
+
+BODIES["cluster_means"] = _means(4) + f"""SELECT cluster, cluster_size, {rounded(FEATURES)},
+  {rounded([f'overall_{c}' for c in FEATURES])} FROM m, o"""
+BODIES["profile_sizes"] = _means(4) + f"SELECT cluster, cluster_size, {rounded(FEATURES)} FROM m"
+BODIES["classify_cluster"] = _means(200) + f"SELECT cluster, {DESCRIPTION} FROM m, o"
+BODIES["cluster_profiles"] = _means(4) + f"""SELECT cluster, cluster_size,
+  {', '.join(_half_even(c, c) for c in FEATURES)}, description
+FROM (SELECT *, {DESCRIPTION} FROM m, o)"""
+BODIES["overall_mean"] = "SELECT " + ", ".join(
+    _half_even(f"avg({c})", c) for c in FEATURES
+) + " FROM t_features"
+BODIES["profile_delta"] = _means(4) + "SELECT cluster, " + ", ".join(
+    _half_even(f"({c} - overall_{c})", c) for c in FEATURES
+) + " FROM m, o"
+
+# -- scores on given predictions ----------------------------------------------------------
+
+PREDICTED = CHURN + """, p AS (SELECT churn AS label,
+  average_days_btw_orders * total_max_orders / 1000.0 AS score,
+  CAST(average_days_btw_orders * total_max_orders / 1000.0 > 0.25 AS INTEGER) AS prediction
+  FROM t_churn),
+steps AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+  FROM p GROUP BY score),
+run AS (SELECT score, pos, neg, row_number() OVER d AS step,
+  sum(pos) OVER d AS tp, sum(neg) OVER d AS fp,
+  lead(pos) OVER d AS next_pos, lead(neg) OVER d AS next_neg,
+  sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg
+  FROM steps WINDOW d AS (ORDER BY score DESC))
+"""
+_BALANCE = """SELECT count(*) FILTER (churn = 0) AS negatives,
+  count(*) FILTER (churn = 1) AS positives,
+  round(count(*) FILTER (churn = 0) / count(*) FILTER (churn = 1), 6) AS ratio FROM t_churn"""
+BODIES["class_balance"] = CHURN + _BALANCE
+BODIES["class_weight"] = CHURN + f"""SELECT user_id, churn,
+  CASE WHEN churn = 1 THEN (SELECT ratio FROM ({_BALANCE})) ELSE 1.0 END AS weight FROM t_churn"""
+BODIES["confusion_matrix"] = PREDICTED + """SELECT CAST(a AS INTEGER) AS actual,
+  CAST(b AS INTEGER) AS predicted, count(label) AS n
+FROM range(2) x(a) CROSS JOIN range(2) y(b) LEFT JOIN p ON label = a AND prediction = b
+GROUP BY ALL"""
+BODIES["classification_report"] = PREDICTED + """, c AS (SELECT k,
+  count(*) FILTER (label = k) AS support,
+  count(*) FILTER (label = k AND prediction = k) AS hit,
+  count(*) FILTER (prediction = k) AS said FROM p, range(2) r(k) GROUP BY k),
+q AS (SELECT k, support, CASE WHEN said = 0 THEN 0 ELSE hit / said END AS pr,
+  CASE WHEN support = 0 THEN 0 ELSE hit / support END AS re,
+  CASE WHEN said + support = 0 THEN 0 ELSE 2.0 * hit / (said + support) END AS f FROM c)
+SELECT CAST(k AS VARCHAR) AS class, round(pr, 6) AS precision, round(re, 6) AS recall,
+  round(f, 6) AS f1, support FROM q
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hit) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM c
+UNION ALL SELECT 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f), 6),
+  CAST(sum(support) AS BIGINT) FROM q
+UNION ALL SELECT 'weighted avg', round(sum(pr * support) / sum(support), 6),
+  round(sum(re * support) / sum(support), 6), round(sum(f * support) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM q"""
+BODIES["roc_auc"] = PREDICTED + """SELECT round(
+  sum(CASE WHEN n.score < s.score THEN 1.0 WHEN n.score = s.score THEN 0.5 ELSE 0 END
+      * n.neg * s.pos) / (any_value(t.np) * any_value(t.nn)), 6) AS roc_auc
+FROM steps s, steps n, (SELECT sum(pos) AS np, sum(neg) AS nn FROM steps) t"""
+BODIES["average_precision"] = PREDICTED + """SELECT round(sum(pos / all_pos * tp / (tp + fp)), 6)
+  AS average_precision FROM run"""
+_START = "UNION ALL SELECT 0.0, 0.0, CAST('inf' AS DOUBLE)"
+_POINT = """round(CAST(fp AS DOUBLE) / all_neg, 6) AS fpr,
+  round(CAST(tp AS DOUBLE) / all_pos, 6) AS tpr, round(score, 6) AS threshold"""
+BODIES["roc_curve"] = PREDICTED + f"""SELECT {_POINT} FROM run
+WHERE step = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg {_START}"""
+BODIES["roc_curve_all_points"] = PREDICTED + f"SELECT {_POINT} FROM run {_START}"
+BODIES["pr_curve"] = PREDICTED + """SELECT round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision,
+  round(CAST(tp AS DOUBLE) / all_pos, 6) AS recall, round(score, 6) AS threshold FROM run
+UNION ALL SELECT 1.0, 0.0, NULL"""
+
+# -- one fuzzy step ------------------------------------------------------------------------
+
+FUZZY = f""", g AS (SELECT user_id, {_VECTOR} AS v, {FEATURE_LIST} FROM t_scaled),
+spots AS (SELECT 0 AS cluster, -0.5 AS offs UNION ALL SELECT 1, 0.5 UNION ALL SELECT 2, 0.0),
+far AS (SELECT g.*, cluster, list_distance(v, list_transform(v, lambda x: CAST(offs AS DOUBLE))) ** 2 AS d
+  FROM g, spots),
+member AS (SELECT *, (1 / d) / sum(1 / d) OVER (PARTITION BY user_id) AS u FROM far)
+"""
+BODIES["fuzzy_step"] = FUZZY + f"""SELECT CAST(cluster AS INTEGER) AS cluster,
+  round(sum(u * u), 6) AS weight, round(sum(u * u * d), 6) AS objective,
+  {', '.join(f'round(sum(u * u * {c}) / sum(u * u), 6) AS {c}' for c in FEATURES)}
+FROM member GROUP BY 1"""
+BODIES["fuzzy_labels"] = FUZZY + """SELECT user_id, CAST(arg_min(cluster, d) AS INTEGER) AS cluster,
+  round(max(u), 6) AS membership FROM member GROUP BY 1"""
+BODIES["partition_coefficient"] = FUZZY + """SELECT round(sum(u * u) / count(DISTINCT user_id), 6)
+  AS partition_coefficient FROM member"""
+
+
 def statements() -> dict[str, str]:
     return {name: PRELUDE + body for name, body in BODIES.items()}

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketlens.functions import scalars
-from basketlens.operators import explore, features, quality, relational, sampling
+from basketlens.operators import (
+    churn,
+    explore,
+    features,
+    fuzzy,
+    partition,
+    profiles,
+    quality,
+    reduce as reduce_ops,
+    relational,
+    sampling,
+    scoring,
+    validity,
+)
+from basketlens.operators.autoencoder import autoencode
+from basketlens.operators.neighbours import neighbour_embedding as embed
+from basketlens.plans import churn as churn_plan, segmentation
+from basketlens.session import durable
 from basketlens.sources import tables as table_io
 from basketlens.sources.retail import RetailTables
 from basketlens.sources.schemas import FEATURES
@@ -368,3 +387,334 @@ def sample_n(t):
 @query
 def standardize(t):
     return six(features.standardize(train_features(t)), *FEATURES)
+
+
+@query
+def stratified_split(t):
+    labelled = churn.churn_label(train_features(t), t.orders, CHURN_DAYS)
+    return sampling.stratified_split(labelled, "churn").select("user_id", "churn", "is_test")
+
+
+@query
+def pca_covariance(t):
+    table = reduce_ops.covariance_table(features.standardize(train_features(t)))
+    return six(table, "covariance")
+
+
+# -- cluster validity and profiles on given labels ------------------------------------------------
+
+
+def labelled(t: RetailTables, modulus: int = 4, scaled: bool = True) -> DataFrame:
+    """Users with a label both engines can compute."""
+    users = durable(train_features(t))
+    rows = features.standardize(users) if scaled else users
+    return rows.withColumn("cluster", (F.col("user_id") % modulus).cast("int"))
+
+
+@query
+def silhouette(t):
+    return six(validity.silhouette(durable(labelled(t)), FEATURES), "silhouette")
+
+
+@query
+def silhouette_sq(t):
+    return six(validity.silhouette_sq(labelled(t), FEATURES), "silhouette_sq")
+
+
+@query
+def calinski_harabasz(t):
+    return six(validity.calinski_harabasz(labelled(t), FEATURES), "calinski_harabasz")
+
+
+@query
+def davies_bouldin(t):
+    return six(validity.davies_bouldin(labelled(t), FEATURES), "davies_bouldin")
+
+
+@query
+def inertia(t):
+    return six(validity.inertia(labelled(t), FEATURES), "inertia")
+
+
+@query
+def cluster_means(t):
+    return six(
+        profiles.cluster_means(labelled(t, scaled=False)),
+        *FEATURES,
+        *[f"overall_{c}" for c in FEATURES],
+    )
+
+
+@query
+def profile_sizes(t):
+    return six(profiles.profile_sizes(labelled(t, scaled=False)), *FEATURES)
+
+
+@query
+def classify_cluster(t):
+    # many small clusters, so that every description has a chance to occur
+    means = profiles.cluster_means(labelled(t, 200, scaled=False))
+    return means.select("cluster", profiles.classify_cluster().alias("description"))
+
+
+@query
+def cluster_profiles(t):
+    return profiles.cluster_profiles(labelled(t, scaled=False))
+
+
+@query
+def overall_mean(t):
+    return profiles.overall_mean(train_features(t))
+
+
+@query
+def profile_delta(t):
+    return profiles.profile_delta(labelled(t, scaled=False))
+
+
+def _given_metrics(t: RetailTables) -> DataFrame:
+    """Metric rows of two labelings for k = 2..4, stacked."""
+    users = durable(features.standardize(train_features(t)))
+    labels = {
+        "by_user": lambda k: F.col("user_id") % k,
+        "by_reach": lambda k: F.when(F.col("unique_products") > 0, 0).otherwise(
+            1 + F.col("user_id") % (k - 1)
+        ),
+    }
+    return segmentation.stack_results(
+        {
+            name: functools.reduce(
+                DataFrame.unionByName,
+                [
+                    validity.metric_row(
+                        users.withColumn("cluster", label(k).cast("int")), FEATURES, name, k
+                    )
+                    for k in (2, 3, 4)
+                ],
+            )
+            for name, label in labels.items()
+        }
+    )
+
+
+METRICS = ("silhouette", "calinski_harabasz", "davies_bouldin")
+
+
+@query
+def stack_results(t):
+    return six(_given_metrics(t), *METRICS)
+
+
+@query
+def sort_results(t):
+    return six(segmentation.sort_results(_given_metrics(t)), *METRICS)
+
+
+@query
+def best_model(t):
+    return six(validity.best_model(durable(_given_metrics(t))), *METRICS, "mean_rank")
+
+
+# -- scores on given predictions ---------------------------------------------------------------------
+
+
+def predicted(t: RetailTables) -> DataFrame:
+    """Churn labels with a score and a prediction both engines can compute."""
+    users = churn.churn_label(train_features(t), t.orders, CHURN_DAYS)
+    score = F.col("average_days_btw_orders") * F.col("total_max_orders") / F.lit(1000.0)
+    return durable(
+        users.select("user_id", F.col("churn").alias("label"), score.alias("score")).withColumn(
+            "prediction", (F.col("score") > 0.25).cast("int")
+        )
+    )
+
+
+@query
+def churn_label(t):
+    return six(churn.churn_label(train_features(t), t.orders), *MEANS)
+
+
+@query
+def class_balance(t):
+    users = churn.churn_label(train_features(t), t.orders, CHURN_DAYS)
+    return six(churn.class_balance(users), "ratio")
+
+
+@query
+def class_weight(t):
+    users = durable(churn.churn_label(train_features(t), t.orders, CHURN_DAYS))
+    return six(churn.class_weight(users).select("user_id", "churn", "weight"), "weight")
+
+
+@query
+def confusion_matrix(t):
+    return scoring.confusion_matrix(predicted(t))
+
+
+@query
+def classification_report(t):
+    return six(scoring.classification_report(predicted(t)), "precision", "recall", "f1")
+
+
+@query
+def roc_auc(t):
+    return six(scoring.roc_auc(predicted(t)), "roc_auc")
+
+
+@query
+def average_precision(t):
+    return six(scoring.average_precision(predicted(t)), "average_precision")
+
+
+@query
+def roc_curve(t):
+    return six(scoring.roc_curve(predicted(t)), "fpr", "tpr", "threshold")
+
+
+@query
+def roc_curve_all_points(t):
+    return six(
+        scoring.roc_curve(predicted(t), drop_intermediate=False), "fpr", "tpr", "threshold"
+    )
+
+
+@query
+def pr_curve(t):
+    return six(scoring.pr_curve(predicted(t)), "precision", "recall", "threshold")
+
+
+# -- one fuzzy step from given centres -------------------------------------------------------------------
+
+GIVEN_CENTRES = ((-0.5,) * len(FEATURES), (0.5,) * len(FEATURES), (0.0,) * len(FEATURES))
+
+
+@query
+def fuzzy_step(t):
+    stepped = fuzzy.fuzzy_step(
+        features.standardize(train_features(t)), FEATURES, np.array(GIVEN_CENTRES)
+    )
+    return six(stepped, "weight", "objective", *FEATURES)
+
+
+def given_fuzzy_model() -> fuzzy.FuzzyModel:
+    return fuzzy.FuzzyModel(FEATURES, np.array(GIVEN_CENTRES), 2.0, (), float("nan"), False)
+
+
+@query
+def fuzzy_labels(t):
+    rows = given_fuzzy_model().transform(features.standardize(train_features(t)))
+    return six(
+        rows.select("user_id", "cluster", F.array_max("memberships").alias("membership")),
+        "membership",
+    )
+
+
+@query
+def partition_coefficient(t):
+    rows = given_fuzzy_model().transform(features.standardize(train_features(t)))
+    return six(validity.partition_coefficient(rows), "partition_coefficient")
+
+
+# -- fitted models (no SQL counterpart) ---------------------------------------------------------------------
+
+
+def scaled_users(t: RetailTables) -> DataFrame:
+    return durable(features.standardize(durable(train_features(t))))
+
+
+@query
+def attach_labels(t):
+    users = durable(train_features(t))
+    vectors = partition.assemble(features.standardize(users), FEATURES)
+    labels = partition.kmeans(vectors, 4).select("user_id", "cluster")
+    return users.join(labels, "user_id")
+
+
+@query
+def pca(t):
+    return reduce_ops.pca(scaled_users(t))
+
+
+@query
+def autoencoder(t):
+    return autoencode(scaled_users(t), FEATURES)
+
+
+@query
+def neighbour_embedding(t):
+    return embed(scaled_users(t), FEATURES)
+
+
+@query
+def kmeans_elbow(t):
+    return partition.kmeans_elbow(
+        partition.assemble(scaled_users(t), FEATURES).cache()
+    )
+
+
+def _raw(t: RetailTables) -> segmentation.Representation:
+    return segmentation.representation(scaled_users(t), "raw")
+
+
+def _pca(t: RetailTables) -> dict[str, segmentation.Representation]:
+    sample = segmentation.sample_then_scale(train_features(t))
+    return segmentation.representations(sample, ["PCA"])
+
+
+@query
+def kmeans_sweep(t):
+    return segmentation.kmeans_sweep(_raw(t), ks=[2, 3, 4])
+
+
+@query
+def kmeans_reps(t):
+    return segmentation.kmeans_reps(_pca(t), ks=[3])
+
+
+@query
+def fuzzy_cmeans(t):
+    sample = durable(segmentation.sample_then_scale(train_features(t)))
+    return segmentation.fuzzy_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+
+
+@query
+def fuzzy_cmeans_reps(t):
+    return segmentation.fuzzy_cmeans_reps(_pca(t), ks=[2, 3])
+
+
+@query
+def ward(t):
+    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    return segmentation.ward_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+
+
+@query
+def ward_reps(t):
+    return segmentation.ward_reps(_pca(t), ks=[2, 3])
+
+
+@query
+def gmm(t):
+    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    return segmentation.gmm_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+
+
+@query
+def gmm_reps(t):
+    return segmentation.gmm_reps(_pca(t), ks=[2])
+
+
+@query
+def final_model(t):
+    return profiles.cluster_profiles(segmentation.final_model(train_features(t)).labelled)
+
+
+@query
+def churn_model(t):
+    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS).report()
+
+
+@query
+def churn_predict(t):
+    run = churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS, trees=20)
+    return run.scored.select("user_id", "churn", "prediction", "score")
