@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketlens.functions.scalars import keyword_flag, percent_text
-from basketlens.operators.ranking import exact_quantiles
+from basketlens.operators.ranking import quantiles, value_frequencies
+from basketlens.session import durable
 
 
 def orders_per_user(orders: DataFrame) -> DataFrame:
@@ -116,16 +117,23 @@ QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles as one row."""
-    moments = df.agg(
-        F.count(column).alias("count"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(F.col(column).cast("double")).alias("std"),
-        F.min(column).cast("double").alias("min"),
-        F.max(column).cast("double").alias("max"),
+    """Count, mean, sample deviation, extremes and exact quartiles as one row.
+
+    Everything is read off one table of value counts.
+    """
+    counts = durable(value_frequencies(df, column))
+    x, n = F.col("value"), F.col("frequency")
+    total = F.sum("frequency")
+    mean = counts.agg((F.sum(x * n) / total).alias("m")).scalar()
+    squares = F.sum(n * (x - F.col("_m")) * (x - F.col("_m")))
+    moments = counts.withColumn("_m", mean).agg(
+        total.alias("count"),
+        F.max("_m").alias("mean"),
+        F.when(total > 1, F.sqrt(squares / (total - 1))).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
     )
-    quartiles = exact_quantiles(df, column, QUARTILES)
-    packed = quartiles.select(F.struct(*QUARTILES).alias("q")).scalar()
+    packed = quantiles(counts, QUARTILES).select(F.struct(*QUARTILES).alias("q")).scalar()
     return moments.withColumn("_q", packed).select(
         "count", "mean", "std", "min", *[F.col(f"_q.{q}").alias(q) for q in QUARTILES], "max"
     )
@@ -133,21 +141,18 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 def outlier_stats(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the furthest inlier, outliers."""
-    quartiles = exact_quantiles(df, column, QUARTILES)
-    packed = quartiles.select(F.struct(*QUARTILES).alias("q")).scalar()
-    counts = value_counts(df.select(F.col(column).cast("double").alias("_v")), "_v", "_n")
+    counts = durable(value_frequencies(df, column))
+    packed = quantiles(counts, QUARTILES).select(F.struct(*QUARTILES).alias("q")).scalar()
+    x = F.col("value")
     spread = F.col("_q.q75") - F.col("_q.q25")
-    inlier = (F.col("_v") >= F.col("_q.q25") - F.lit(reach) * spread) & (
-        F.col("_v") <= F.col("_q.q75") + F.lit(reach) * spread
+    inlier = (x >= F.col("_q.q25") - F.lit(reach) * spread) & (
+        x <= F.col("_q.q75") + F.lit(reach) * spread
     )
-    return (
-        counts.withColumn("_q", packed)
-        .agg(
-            *[F.max(f"_q.{q}").alias(q) for q in QUARTILES],
-            F.min(F.when(inlier, F.col("_v"))).alias("whisker_low"),
-            F.max(F.when(inlier, F.col("_v"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inlier, F.col("_n"))), F.lit(0)).alias("outliers"),
-        )
+    return counts.withColumn("_q", packed).agg(
+        *[F.max(f"_q.{q}").alias(q) for q in QUARTILES],
+        F.min(F.when(inlier, x)).alias("whisker_low"),
+        F.max(F.when(inlier, x)).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inlier, F.col("frequency"))), F.lit(0)).alias("outliers"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -15,41 +16,58 @@ ELBOW_SEED = 45
 RESTARTS = 10
 KS = tuple(range(2, 10))
 
-_VECTOR = "_features"
+VECTOR = "_features"
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add the vector column the estimators read; persist the result before a sweep."""
-    return VectorAssembler(inputCols=list(columns), outputCol=_VECTOR).transform(df)
+    return VectorAssembler(inputCols=list(columns), outputCol=VECTOR).transform(df)
 
 
-def _labelled(model, vectors: DataFrame) -> DataFrame:
-    kept = [c for c in vectors.columns if c != _VECTOR]
-    return model.transform(vectors).select(
-        *kept, F.col("prediction").cast("int").alias("cluster")
-    )
+def add_labels(model, vectors: DataFrame, out: str = "cluster") -> DataFrame:
+    """The rows with a fitted model's hard label beside them."""
+    kept = vectors.columns
+    return model.transform(vectors).select(*kept, F.col("prediction").cast("int").alias(out))
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, restarts: int = 1):
     """The lowest-cost model over ``restarts`` consecutive seeds."""
     fits = (
-        KMeans(k=k, seed=seed + i, featuresCol=_VECTOR).fit(vectors) for i in range(restarts)
+        KMeans(k=k, seed=seed + i, featuresCol=VECTOR).fit(vectors) for i in range(restarts)
     )
     return min(fits, key=lambda model: model.summary.trainingCost)
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = SEED, restarts: int = 1) -> DataFrame:
+def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
+    """Mixture with full covariances; its label is the likeliest component."""
+    return GaussianMixture(k=k, seed=seed, featuresCol=VECTOR).fit(vectors)
+
+
+def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 1) -> DataFrame:
     """Rows with their cluster.  Full passes replace mini-batches: they are
     spread over all executors."""
-    return _labelled(fit_kmeans(vectors, k, seed, restarts), vectors)
+    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_kmeans(vectors, k, seed, restarts)
+    finally:
+        vectors.unpersist()
+    return add_labels(model, assemble(df, columns)).drop(VECTOR)
 
 
-def kmeans_elbow(vectors: DataFrame, ks: Sequence[int] = KS, seed: int = ELBOW_SEED) -> DataFrame:
-    """Within-cluster squared error per cluster count."""
-    costs = [(k, float(fit_kmeans(vectors, k, seed).summary.trainingCost)) for k in ks]
-    return vectors.sparkSession.createDataFrame(costs, "k int, inertia double")
+def gmm(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED) -> DataFrame:
+    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = fit_gmm(vectors, k, seed)
+    finally:
+        vectors.unpersist()
+    return add_labels(model, assemble(df, columns)).drop(VECTOR)
 
 
-def gmm(vectors: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """Rows with the component of highest probability; full covariances."""
-    return _labelled(GaussianMixture(k=k, seed=seed, featuresCol=_VECTOR).fit(vectors), vectors)
+def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS, seed: int = ELBOW_SEED) -> DataFrame:
+    """Within-cluster squared error per cluster count."""
+    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        costs = [(k, float(fit_kmeans(vectors, k, seed).summary.trainingCost)) for k in ks]
+    finally:
+        vectors.unpersist()
+    return df.sparkSession.createDataFrame(costs, "k int, inertia double")

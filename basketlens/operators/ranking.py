@@ -13,15 +13,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key with more rows than this is split; the number of such keys is at most
-# rows / HOT_ROWS, which is what makes listing and broadcasting them safe.
+# A key with more rows than this is split.
 HOT_ROWS = 1_000_000
 
+# Sampled rows expected from a key that is exactly at the limit.
+_PROBE_ROWS = 200
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> list[tuple]:
-    """Keys owning more than ``limit`` rows."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return [tuple(r) for r in counted.where(F.col("_rows") > limit).select(*keys).collect()]
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, seed: int = 42) -> list[tuple]:
+    """Keys owning more than about ``limit`` rows, at most 2 * rows / limit of them.
+
+    No key can be that large in a small table, which the row count (file footers
+    only) tells.  Otherwise a thin row sample is counted.  Results never depend
+    on the list: it only decides which of two exact plans a key takes.
+    """
+    if df.count() <= limit:
+        return []
+    fraction = min(1.0, _PROBE_ROWS / limit)
+    probe = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed)
+    threshold = limit if fraction == 1.0 else _PROBE_ROWS // 2
+    counted = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return [tuple(r) for r in counted.where(F.col("_rows") > threshold).select(*keys).collect()]
 
 
 def split_hot(df: DataFrame, key: str, hot: Sequence[tuple]) -> tuple[DataFrame, DataFrame]:
@@ -138,27 +150,35 @@ def running_totals(
     return joined.select(*distinct.columns, *[expr.alias(out) for out, expr in added.items()])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles as one row, one column per entry of ``probs``.
+def value_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """Rows (value, frequency) of a numeric column, missing values left out."""
+    return (
+        df.where(F.col(column).isNotNull())
+        .groupBy(F.col(column).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("frequency"))
+    )
+
 
-    Values are counted first, so no task's memory depends on how many rows or
-    distinct values there are.
+def quantiles(frequencies: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of :func:`value_frequencies` as one
+    row, one column per entry of ``probs``.
+
+    Working on counted values, no task's memory depends on how many rows or
+    distinct values there are.  The input is read more than once: hand in a
+    written table.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(
+        frequencies, "value", {"frequency": "_upto"}, following={"value": "_next"}
     )
-    ranked = running_totals(counts, "_v", {"_n": "_upto"}, following={"_v": "_next"})
-    placed = ranked.withColumn("_total", counts.agg(F.sum("_n").alias("t")).scalar())
+    total = frequencies.agg(F.sum("frequency").alias("t")).scalar()
+    placed = ranked.withColumn("_total", total)
 
     def at(prob: float) -> Column:
         position = F.lit(float(prob)) * (F.col("_total") - 1)
         low = F.floor(position)
-        upper = F.when(low + 1 < F.col("_upto"), F.col("_v")).otherwise(
-            F.coalesce(F.col("_next"), F.col("_v"))
-        )
-        inside = (low >= F.col("_upto") - F.col("_n")) & (low < F.col("_upto"))
-        return F.max(F.when(inside, F.col("_v") + (upper - F.col("_v")) * (position - low)))
+        value = F.col("value")
+        upper = F.when(low + 1 < F.col("_upto"), value).otherwise(F.coalesce("_next", "value"))
+        inside = (low >= F.col("_upto") - F.col("frequency")) & (low < F.col("_upto"))
+        return F.max(F.when(inside, value + (upper - value) * (position - low)))
 
     return placed.agg(*[at(p).alias(name) for name, p in probs.items()])

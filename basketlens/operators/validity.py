@@ -6,7 +6,8 @@ table with one row per cluster.  Coordinates are plain numeric columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,71 +19,82 @@ from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
 MAX_SILHOUETTE_SAMPLE = 50_000
 
 
-def cluster_sums(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
-    """Per cluster: size, coordinate sums and sum of squared norms."""
+def cluster_sums(
+    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+) -> DataFrame:
+    """Per cluster: size, coordinate sums and sum of squared norms.
+
+    ``by`` columns tell several labelings of the same rows apart.
+    """
     squares = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
-    return df.groupBy(label).agg(
+    return df.groupBy(*by, label).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(f"sum_{c}") for c in columns],
         F.sum(squares).alias("sum_squares"),
     )
 
 
-def _spread(sums: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """k, n, within- and between-cluster scatter, from the per-cluster sums."""
+def _scatter(sums: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Clusters, rows, within- and between-cluster scatter, from the sums."""
     centre_square = sum(
         (F.col(f"sum_{c}") * F.col(f"sum_{c}") for c in columns), F.lit(0.0)
     ) / F.col("n")
-    totals = sums.agg(
-        F.count(F.lit(1)).alias("k"),
+    totals = sums.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("clusters"),
         F.sum("n").alias("n"),
         F.sum(F.col("sum_squares") - centre_square).alias("within"),
         F.sum(centre_square).alias("centres"),
         *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in columns],
     )
     return totals.select(
-        "k", "n", "within", (F.col("centres") - centre_square).alias("between")
+        *by, "clusters", "n", "within", (F.col("centres") - centre_square).alias("between")
     )
 
 
-def _ratio_or(value: Column, usable: Column, otherwise: float) -> Column:
-    return F.when(usable, value).otherwise(F.lit(otherwise))
-
-
-def calinski_harabasz(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+def calinski_harabasz(
+    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+) -> DataFrame:
     """Between- over within-cluster scatter, each per degree of freedom."""
-    index = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return _spread(cluster_sums(df, columns, label), columns).select(
-        _ratio_or(index, F.col("within") != 0.0, 1.0).alias("calinski_harabasz")
+    index = (F.col("between") / (F.col("clusters") - 1)) / (
+        F.col("within") / (F.col("n") - F.col("clusters"))
+    )
+    usable = F.when(F.col("within") != 0.0, index).otherwise(F.lit(1.0))
+    return _scatter(cluster_sums(df, columns, label, by), columns, by).select(
+        *by, usable.alias("calinski_harabasz")
     )
 
 
-def inertia(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+def inertia(
+    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+) -> DataFrame:
     """Sum of squared distances to the own centroid."""
-    return _spread(cluster_sums(df, columns, label), columns).select(
-        F.col("within").alias("inertia")
+    return _scatter(cluster_sums(df, columns, label, by), columns, by).select(
+        *by, F.col("within").alias("inertia")
     )
 
 
-def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+def davies_bouldin(
+    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / centroid distance."""
-    centroids = cluster_sums(df, columns, label).select(
-        label, *[(F.col(f"sum_{c}") / F.col("n")).alias(f"centre_{c}") for c in columns]
+    keys = [*by, label]
+    centroids = cluster_sums(df, columns, label, by).select(
+        *keys, *[(F.col(f"sum_{c}") / F.col("n")).alias(f"centre_{c}") for c in columns]
     )
     offset = F.sqrt(
         sum(((F.col(c) - F.col(f"centre_{c}")) ** 2 for c in columns), F.lit(0.0))
     )
     # one row per cluster; sized and broadcast by Spark itself
     spreads = (
-        df.join(centroids, label)
-        .groupBy(label)
+        df.join(centroids, keys)
+        .groupBy(*keys)
         .agg(
             F.avg(offset).alias("spread"),
             F.array(*[F.first(f"centre_{c}") for c in columns]).alias("centre"),
         )
     )
     # the clusters meet inside one array of k entries, not in a join
-    clusters = spreads.agg(
+    clusters = spreads.groupBy(*by).agg(
         F.collect_list(F.struct(F.col(label).alias("id"), "spread", "centre")).alias("all")
     )
 
@@ -101,64 +113,78 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "cluster"
         ),
     )
     mean = F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / F.size("all")
-    return clusters.select(mean.alias("davies_bouldin"))
+    return clusters.select(*by, mean.alias("davies_bouldin"))
 
 
 def silhouette_values(
     df: DataFrame,
     columns: Sequence[str],
-    label: str = "cluster",
+    labels: Sequence[str] = ("cluster",),
     sample_size: int = SAMPLE_SIZE,
     seed: int = SEED,
     key: str = "user_id",
 ) -> DataFrame:
     """Euclidean silhouette of each row of a seeded sample, within that sample.
 
-    The sample (never more than ``MAX_SILHOUETTE_SAMPLE`` rows) goes to every
-    task as one matrix; a task returns one number per row, so no pair of rows is
-    ever stored or shuffled.
+    Rows are (key, labeling, silhouette); ``labels`` may name several label
+    columns, which share the distances.  The sample (never more than
+    ``MAX_SILHOUETTE_SAMPLE`` rows) goes to every task as one matrix; a task
+    returns a number per row and labeling, so no pair of rows is ever stored or
+    shuffled.
     """
     if not 0 < sample_size <= MAX_SILHOUETTE_SAMPLE:
         raise ValueError(f"sample_size must be in 1..{MAX_SILHOUETTE_SAMPLE}")
     spark = df.sparkSession
-    wanted = [F.col(key), F.col(label).cast("long").alias("_label"), *columns]
-    sample = sample_n(df.select(*wanted), sample_size, seed, key).toPandas()
+    labels = list(labels)
+    sample = sample_n(df.select(key, *labels, *columns), sample_size, seed, key).toPandas()
     points = sample[list(columns)].to_numpy(dtype=float)
-    ids, codes = np.unique(sample["_label"].to_numpy(), return_inverse=True)
-    if not 2 <= len(ids) < len(sample):
-        raise ValueError("a silhouette needs at least two clusters and fewer than rows")
-    sizes = np.bincount(codes)
-    shared = spark.sparkContext.broadcast((points, codes, sizes, sample[key].to_numpy()))
+    codes = {}
+    for label in labels:
+        found, codes[label] = np.unique(sample[label].to_numpy(), return_inverse=True)
+        if not 2 <= len(found) < len(sample):
+            raise ValueError(
+                f"a silhouette needs at least 2 clusters and fewer than rows; {label} has "
+                f"{len(found)} in {len(sample)} rows"
+            )
+    shared = spark.sparkContext.broadcast((points, codes, sample[key].to_numpy()))
 
     def score(batches):
-        points, codes, sizes, keys = shared.value
-        members = np.zeros((len(points), len(sizes)))
-        members[np.arange(len(points)), codes] = 1.0
+        points, codes, keys = shared.value
+        members = {}
+        for label, own in codes.items():
+            members[label] = np.zeros((len(points), own.max() + 1))
+            members[label][np.arange(len(points)), own] = 1.0
         for batch in batches:
             spots = batch["id"].to_numpy()
             for block in np.array_split(spots, max(1, len(spots) // 256)):
                 squared = np.zeros((len(block), len(points)))
                 for axis in range(points.shape[1]):
                     squared += (points[block, axis, None] - points[None, :, axis]) ** 2
-                sums = np.sqrt(squared) @ members
-                own, row = codes[block], np.arange(len(block))
-                inside = sums[row, own] / np.maximum(sizes[own] - 1, 1)
-                others = sums / sizes
-                others[row, own] = np.inf
-                nearest = others.min(axis=1)
-                scale = np.maximum(inside, nearest)
-                value = np.divide(
-                    nearest - inside, scale, out=np.zeros_like(scale), where=scale > 0
-                )
-                value[sizes[own] == 1] = 0.0
-                yield pd.DataFrame({"key": keys[block], "silhouette": value})
+                distances = np.sqrt(squared)
+                for label, everyone in codes.items():
+                    sizes = members[label].sum(axis=0)
+                    sums = distances @ members[label]
+                    own, row = everyone[block], np.arange(len(block))
+                    inside = sums[row, own] / np.maximum(sizes[own] - 1, 1)
+                    others = sums / sizes
+                    others[row, own] = np.inf
+                    nearest = others.min(axis=1)
+                    scale = np.maximum(inside, nearest)
+                    value = np.divide(
+                        nearest - inside, scale, out=np.zeros_like(scale), where=scale > 0
+                    )
+                    value[sizes[own] == 1] = 0.0
+                    yield pd.DataFrame(
+                        {"key": keys[block], "labeling": label, "silhouette": value}
+                    )
 
     rows = spark.range(0, len(sample), 1, max(1, min(64, len(sample) // 256)))
-    return rows.mapInPandas(score, "key long, silhouette double").withColumnRenamed("key", key)
+    scored = rows.mapInPandas(score, "key long, labeling string, silhouette double")
+    return scored.withColumnRenamed("key", key)
 
 
 def silhouette(df: DataFrame, columns: Sequence[str], label: str = "cluster", **options) -> DataFrame:
-    values = silhouette_values(df, columns, label, **options)
+    values = silhouette_values(df, columns, [label], **options)
     return values.agg(F.avg("silhouette").alias("silhouette"))
 
 
@@ -211,22 +237,35 @@ def partition_coefficient(df: DataFrame, memberships: str = "memberships") -> Da
     return df.agg(F.avg(squared).alias("partition_coefficient"))
 
 
-def metric_row(
-    df: DataFrame,
-    columns: Sequence[str],
-    method: str,
-    k: int,
-    label: str = "cluster",
-    **silhouette_options,
+def metric_table(
+    df: DataFrame, columns: Sequence[str], method: str, labels: Mapping[int, str], **options
 ) -> DataFrame:
-    """One row (method, k, silhouette, calinski_harabasz, davies_bouldin)."""
+    """Rows (method, k, silhouette, calinski_harabasz, davies_bouldin).
+
+    ``labels`` maps k to the label column of that clustering.  All of them are
+    scored together: one pass of sums, one of spreads, one over the sample.
+    """
+    names = list(labels.values())
+    values = silhouette_values(df, columns, names, **options)
+    each = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(k).alias("k"), F.col(name).cast("int").alias("cluster"))
+                for k, name in labels.items()
+            ]
+        )
+    ).alias("_l")
+    long = df.select(*columns, each).select(*columns, "_l.k", "_l.cluster")
+    number = reduce(
+        lambda acc, item: acc.when(F.col("labeling") == item[1], F.lit(item[0])), labels.items(), F
+    )
+    averaged = values.groupBy(number.alias("k")).agg(F.avg("silhouette").alias("silhouette"))
     return (
-        silhouette(df, columns, label, **silhouette_options)
-        .withColumn("calinski_harabasz", calinski_harabasz(df, columns, label).scalar())
-        .withColumn("davies_bouldin", davies_bouldin(df, columns, label).scalar())
+        averaged.join(calinski_harabasz(long, columns, by=["k"]), "k")
+        .join(davies_bouldin(long, columns, by=["k"]), "k")
         .select(
             F.lit(method).alias("method"),
-            F.lit(k).alias("k"),
+            "k",
             "silhouette",
             "calinski_harabasz",
             "davies_bouldin",

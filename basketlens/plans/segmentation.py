@@ -9,17 +9,25 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from basketlens.functions.scalars import round_half_even
+from basketlens.functions.scalars import argmax_label, round_half_even
 from basketlens.operators import validity
 from basketlens.operators.autoencoder import autoencode
 from basketlens.operators.features import standardize
 from basketlens.operators.fuzzy import MAX_ITERATIONS, fuzzy_cmeans
 from basketlens.operators.neighbours import neighbour_embedding
-from basketlens.operators.partition import KS, RESTARTS, assemble, gmm, kmeans
+from basketlens.operators.partition import (
+    KS,
+    RESTARTS,
+    VECTOR,
+    add_labels,
+    assemble,
+    fit_gmm,
+    fit_kmeans,
+)
 from basketlens.operators.quality import drop_null_rows
 from basketlens.operators.reduce import pca
 from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
-from basketlens.operators.ward import ward, ward_labels
+from basketlens.operators.ward import ward
 from basketlens.session import durable
 from basketlens.sources.schemas import FEATURES
 
@@ -88,27 +96,34 @@ def round_results(metrics: DataFrame, places: int = 4, index_places: int = 2) ->
     )
 
 
-def _scores(labelled: Mapping[int, DataFrame], rep: Representation) -> DataFrame:
-    rows = [
-        validity.metric_row(durable(df), rep.columns, rep.name, k) for k, df in labelled.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def _scores(labelled: DataFrame, rep: Representation, ks: Sequence[int]) -> DataFrame:
+    """Metric rows of a table that holds a label column ``cluster_<k>`` per k."""
+    return validity.metric_table(
+        durable(labelled), rep.columns, rep.name, {k: f"cluster_{k}" for k in ks}
+    )
 
 
-def kmeans_sweep(rep: Representation, ks: Sequence[int] = KS, restarts: int = 1) -> DataFrame:
+def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
+    """The rows of ``rep`` with the labels of a fitted model per k beside them."""
     vectors = assemble(rep.rows, rep.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _scores({k: kmeans(vectors, k, restarts=restarts) for k in ks}, rep)
+        labelled = vectors
+        for k in ks:
+            labelled = add_labels(fit(vectors, k), labelled, f"cluster_{k}")
+        return durable(labelled.drop(VECTOR))
     finally:
         vectors.unpersist()
 
 
+def kmeans_sweep(rep: Representation, ks: Sequence[int] = KS, restarts: int = 1) -> DataFrame:
+    def fit(vectors, k):
+        return fit_kmeans(vectors, k, restarts=restarts)
+
+    return _scores(_fit_each(rep, ks, fit), rep, ks)
+
+
 def gmm_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:
-    vectors = assemble(rep.rows, rep.columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _scores({k: gmm(vectors, k) for k in ks}, rep)
-    finally:
-        vectors.unpersist()
+    return _scores(_fit_each(rep, ks, fit_gmm), rep, ks)
 
 
 def fuzzy_sweep(
@@ -116,16 +131,17 @@ def fuzzy_sweep(
 ) -> DataFrame:
     """Adds the partition coefficient to the three indices."""
     models = fuzzy_cmeans(rep.rows, rep.columns, ks, maxiter=maxiter)
-    scored = _scores({k: models[k].transform(rep.rows) for k in ks}, rep)
+    labelled = rep.rows.withColumns(
+        {f"cluster_{k}": argmax_label(models[k].memberships()) for k in ks}
+    )
     coefficient = reduce(
         lambda acc, k: acc.when(F.col("k") == k, F.lit(models[k].fpc)), ks, F
     )
-    return scored.withColumn("partition_coefficient", coefficient)
+    return _scores(labelled, rep, ks).withColumn("partition_coefficient", coefficient)
 
 
 def ward_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:
-    labelled = durable(ward(rep.rows, rep.columns, ks))
-    return _scores({k: ward_labels(labelled, k) for k in ks}, rep)
+    return _scores(ward(rep.rows, rep.columns, ks), rep, ks)
 
 
 def sweep_representations(reps: Mapping[str, Representation], sweep, **options) -> DataFrame:

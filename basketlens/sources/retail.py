@@ -19,6 +19,7 @@ from basketlens.operators.ranking import (
     ordinal_by_cells,
     split_hot,
 )
+from basketlens.session import durable
 from basketlens.sources.tables import ShopTables
 
 GAP_CAP_DAYS = 30
@@ -231,11 +232,13 @@ class RetailTables:
         )
 
     def tables(self) -> ShopTables:
+        """All six tables; the lines behind two of them are worked out once."""
+        lines = durable(self.lines)
         return ShopTables(
             orders=self.orders,
             products=self.products,
             aisles=self.aisles,
             departments=self.departments,
-            order_products_prior=self.order_products_prior,
-            order_products_train=self.order_products_train,
+            order_products_prior=lines.where("NOT is_last").drop("is_last"),
+            order_products_train=lines.where("is_last").drop("is_last"),
         )

@@ -269,7 +269,7 @@ BODIES["round_half_even"] = """SELECT o_orderkey,
 BODIES["percent_text"] = """SELECT o_orderkey,
   printf('%.4f%%', (o_orderkey % 1000) / 1000.0 * 100) AS text FROM orders"""
 BODIES["argmax_label"] = f"""SELECT user_id, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS label
-FROM (SELECT user_id, [{', '.join(FEATURES)}] AS u FROM t_scaled)"""
+FROM (SELECT user_id, [{', '.join(f'round({c}, 6)' for c in FEATURES)}] AS u FROM t_scaled)"""
 BODIES["within_pct"] = f"""SELECT user_id, {' AND '.join(
     f'abs({c} - (SELECT avg({c}) FROM t_features)) <= 0.5 * (SELECT avg({c}) FROM t_features)'
     for c in ('average_hour_of_day', 'unique_products'))} AS is_within FROM t_features"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -61,6 +60,10 @@ def train_features(t: RetailTables) -> DataFrame:
     return features.user_features(t.orders, t.order_products_train)
 
 
+def scaled_users(t: RetailTables) -> DataFrame:
+    return features.standardize(durable(train_features(t)))
+
+
 # -- sources and quality ---------------------------------------------------------
 
 
@@ -186,7 +189,7 @@ def threshold_label(t):
 
 @query
 def subtract_row(t):
-    users = train_features(t)
+    users = durable(train_features(t))
     means = users.agg(*[F.avg(c).alias(c) for c in FEATURES])
     return six(relational.subtract_row(users, means, FEATURES), *FEATURES)
 
@@ -351,13 +354,13 @@ def percent_text(t):
 
 @query
 def argmax_label(t):
-    scaled = features.standardize(train_features(t))
+    scaled = six(features.standardize(durable(train_features(t))), *FEATURES)
     return scaled.select("user_id", scalars.argmax_label(F.array(*FEATURES)).alias("label"))
 
 
 @query
 def within_pct(t):
-    users = train_features(t)
+    users = durable(train_features(t))
     checked = ("average_hour_of_day", "unique_products")
     means = users.agg(F.struct(*[F.avg(c).alias(c) for c in checked]).alias("m")).scalar()
     flag = scalars.within_pct(
@@ -386,7 +389,7 @@ def sample_n(t):
 
 @query
 def standardize(t):
-    return six(features.standardize(train_features(t)), *FEATURES)
+    return six(features.standardize(durable(train_features(t))), *FEATURES)
 
 
 @query
@@ -397,7 +400,7 @@ def stratified_split(t):
 
 @query
 def pca_covariance(t):
-    table = reduce_ops.covariance_table(features.standardize(train_features(t)))
+    table = reduce_ops.covariance_table(scaled_users(t))
     return six(table, "covariance")
 
 
@@ -474,23 +477,21 @@ def profile_delta(t):
 
 def _given_metrics(t: RetailTables) -> DataFrame:
     """Metric rows of two labelings for k = 2..4, stacked."""
-    users = durable(features.standardize(train_features(t)))
+    users = durable(scaled_users(t))
     labels = {
         "by_user": lambda k: F.col("user_id") % k,
         "by_reach": lambda k: F.when(F.col("unique_products") > 0, 0).otherwise(
             1 + F.col("user_id") % (k - 1)
         ),
     }
+    ks = (2, 3, 4)
     return segmentation.stack_results(
         {
-            name: functools.reduce(
-                DataFrame.unionByName,
-                [
-                    validity.metric_row(
-                        users.withColumn("cluster", label(k).cast("int")), FEATURES, name, k
-                    )
-                    for k in (2, 3, 4)
-                ],
+            name: validity.metric_table(
+                users.withColumns({f"cluster_{k}": label(k).cast("int") for k in ks}),
+                FEATURES,
+                name,
+                {k: f"cluster_{k}" for k in ks},
             )
             for name, label in labels.items()
         }
@@ -590,9 +591,7 @@ GIVEN_CENTRES = ((-0.5,) * len(FEATURES), (0.5,) * len(FEATURES), (0.0,) * len(F
 
 @query
 def fuzzy_step(t):
-    stepped = fuzzy.fuzzy_step(
-        features.standardize(train_features(t)), FEATURES, np.array(GIVEN_CENTRES)
-    )
+    stepped = fuzzy.fuzzy_step(scaled_users(t), FEATURES, np.array(GIVEN_CENTRES))
     return six(stepped, "weight", "objective", *FEATURES)
 
 
@@ -602,7 +601,7 @@ def given_fuzzy_model() -> fuzzy.FuzzyModel:
 
 @query
 def fuzzy_labels(t):
-    rows = given_fuzzy_model().transform(features.standardize(train_features(t)))
+    rows = given_fuzzy_model().transform(scaled_users(t))
     return six(
         rows.select("user_id", "cluster", F.array_max("memberships").alias("membership")),
         "membership",
@@ -611,23 +610,18 @@ def fuzzy_labels(t):
 
 @query
 def partition_coefficient(t):
-    rows = given_fuzzy_model().transform(features.standardize(train_features(t)))
+    rows = given_fuzzy_model().transform(scaled_users(t))
     return six(validity.partition_coefficient(rows), "partition_coefficient")
 
 
 # -- fitted models (no SQL counterpart) ---------------------------------------------------------------------
 
 
-def scaled_users(t: RetailTables) -> DataFrame:
-    return durable(features.standardize(durable(train_features(t))))
-
-
 @query
 def attach_labels(t):
     users = durable(train_features(t))
-    vectors = partition.assemble(features.standardize(users), FEATURES)
-    labels = partition.kmeans(vectors, 4).select("user_id", "cluster")
-    return users.join(labels, "user_id")
+    labels = partition.kmeans(features.standardize(users), FEATURES, 4)
+    return users.join(labels.select("user_id", "cluster"), "user_id")
 
 
 @query
@@ -647,9 +641,7 @@ def neighbour_embedding(t):
 
 @query
 def kmeans_elbow(t):
-    return partition.kmeans_elbow(
-        partition.assemble(scaled_users(t), FEATURES).cache()
-    )
+    return partition.kmeans_elbow(scaled_users(t), FEATURES)
 
 
 def _raw(t: RetailTables) -> segmentation.Representation:
@@ -674,12 +666,12 @@ def kmeans_reps(t):
 @query
 def fuzzy_cmeans(t):
     sample = durable(segmentation.sample_then_scale(train_features(t)))
-    return segmentation.fuzzy_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+    return segmentation.fuzzy_sweep(segmentation.representation(sample, "raw"), ks=[2])
 
 
 @query
 def fuzzy_cmeans_reps(t):
-    return segmentation.fuzzy_cmeans_reps(_pca(t), ks=[2, 3])
+    return segmentation.fuzzy_cmeans_reps(_pca(t), ks=[2])
 
 
 @query
@@ -711,7 +703,7 @@ def final_model(t):
 
 @query
 def churn_model(t):
-    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS).report()
+    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS, trees=20).report()
 
 
 @query
