@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.functions.scalars import sample_key
+from basketlens.session import durable
 
 SAMPLE_SIZE = 3000
 SEED = 42
 
 
+# Up to this many rows a sample is kept by each task and merged once.
+TOP_N_ROWS = 100_000
+
+
 def sample_n(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = SEED, key: str = "user_id") -> DataFrame:
     """Exactly ``n`` rows (all rows when there are fewer) in hash order of ``key``.
 
-    Planned as a top-n per task and one merge, so only ``n`` rows leave a task.
+    A small sample is a top-n per task and one merge, so only ``n`` rows leave a
+    task.  A large one is cut out of the hash order by cells; ``key`` must then
+    be unique.
     """
+    if n > TOP_N_ROWS:
+        marked = _mark_first(df, [], lambda total: F.lit(n), "_picked", seed, key)
+        return marked.where("_picked").select(*df.columns)
     return (
         df.withColumn("_hash", sample_key(F.col(key), seed))
         .orderBy("_hash", key)
@@ -33,29 +45,52 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: round(n * test_size) rows of each label, exactly.
 
+    ``key`` must be unique and ``df`` is read twice.
+    """
+
+    def target(total: Column) -> Column:
+        return F.round(total * F.lit(test_size)).cast("long")
+
+    return _mark_first(df, [label], target, "is_test", seed, key, digits)
+
+
+def _mark_first(
+    df: DataFrame,
+    by: Sequence[str],
+    target: Callable[[Column], Column],
+    out: str,
+    seed: int,
+    key: str,
+    digits: int = 4,
+) -> DataFrame:
+    """Flag the first ``target(rows)`` rows of each group in hash order.
+
     The hash order is cut into 16**digits cells.  Cells wholly on one side of the
-    target are decided by their running count; only the one cell per label that
-    straddles it is numbered row by row.  ``key`` must be unique.
+    target are decided by their running count; only the one cell per group that
+    straddles it is numbered row by row.
     """
     cells = df.select("*", sample_key(F.col(key), seed).alias("_hash")).withColumn(
         "_cell", F.substring("_hash", 1, digits)
     )
-    counted = cells.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    ordered = Window.partitionBy(label).orderBy("_cell")
+    counted = cells.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    ordered = Window.partitionBy(*by).orderBy("_cell")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bounds = counted.select(
-        label,
-        "_cell",
-        F.sum("_rows").over(upto).alias("_upto"),
-        (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"),
-        F.round(F.sum("_rows").over(whole) * F.lit(test_size)).cast("long").alias("_target"),
+    # 16**digits rows per group; written, so that its size decides how it is joined
+    bounds = durable(
+        counted.select(
+            *by,
+            "_cell",
+            F.sum("_rows").over(upto).alias("_upto"),
+            (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"),
+            target(F.sum("_rows").over(whole)).alias("_target"),
+        )
     )
-    placed = cells.join(bounds, [label, "_cell"])
+    placed = cells.join(bounds, [*by, "_cell"])
     settled = (F.col("_upto") <= F.col("_target")) | (F.col("_before") >= F.col("_target"))
-    inside = Window.partitionBy(label, "_cell").orderBy("_hash", key)
-    decided = placed.where(settled).withColumn("is_test", F.col("_upto") <= F.col("_target"))
+    inside = Window.partitionBy(*by, "_cell").orderBy("_hash", key)
+    decided = placed.where(settled).withColumn(out, F.col("_upto") <= F.col("_target"))
     straddling = placed.where(~settled).withColumn(
-        "is_test", F.row_number().over(inside) + F.col("_before") <= F.col("_target")
+        out, F.row_number().over(inside) + F.col("_before") <= F.col("_target")
     )
-    return decided.unionByName(straddling).select(*df.columns, "is_test")
+    return decided.unionByName(straddling).select(*df.columns, out)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
+from basketlens.session import durable
 
 # The sample is held by every task; beyond this it would no longer be small.
 MAX_SILHOUETTE_SAMPLE = 50_000
@@ -52,14 +53,19 @@ def _scatter(sums: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Data
 
 
 def calinski_harabasz(
-    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    label: str = "cluster",
+    by: Sequence[str] = (),
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """Between- over within-cluster scatter, each per degree of freedom."""
+    sums = cluster_sums(df, columns, label, by) if sums is None else sums
     index = (F.col("between") / (F.col("clusters") - 1)) / (
         F.col("within") / (F.col("n") - F.col("clusters"))
     )
     usable = F.when(F.col("within") != 0.0, index).otherwise(F.lit(1.0))
-    return _scatter(cluster_sums(df, columns, label, by), columns, by).select(
+    return _scatter(sums, columns, by).select(
         *by, usable.alias("calinski_harabasz")
     )
 
@@ -74,17 +80,25 @@ def inertia(
 
 
 def davies_bouldin(
-    df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    label: str = "cluster",
+    by: Sequence[str] = (),
+    sums: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / centroid distance."""
+    """Mean over clusters of the worst (spread + spread) / centroid distance.
+
+    The per-cluster sums are written first: their known size lets Spark broadcast
+    the centroids instead of shuffling the rows to them.
+    """
     keys = [*by, label]
-    centroids = cluster_sums(df, columns, label, by).select(
+    sums = durable(cluster_sums(df, columns, label, by)) if sums is None else sums
+    centroids = sums.select(
         *keys, *[(F.col(f"sum_{c}") / F.col("n")).alias(f"centre_{c}") for c in columns]
     )
     offset = F.sqrt(
         sum(((F.col(c) - F.col(f"centre_{c}")) ** 2 for c in columns), F.lit(0.0))
     )
-    # one row per cluster; sized and broadcast by Spark itself
     spreads = (
         df.join(centroids, keys)
         .groupBy(*keys)
@@ -260,9 +274,10 @@ def metric_table(
         lambda acc, item: acc.when(F.col("labeling") == item[1], F.lit(item[0])), labels.items(), F
     )
     averaged = values.groupBy(number.alias("k")).agg(F.avg("silhouette").alias("silhouette"))
+    sums = durable(cluster_sums(long, columns, by=["k"]))
     return (
-        averaged.join(calinski_harabasz(long, columns, by=["k"]), "k")
-        .join(davies_bouldin(long, columns, by=["k"]), "k")
+        averaged.join(calinski_harabasz(long, columns, by=["k"], sums=sums), "k")
+        .join(davies_bouldin(long, columns, by=["k"], sums=sums), "k")
         .select(
             F.lit(method).alias("method"),
             "k",

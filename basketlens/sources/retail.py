@@ -180,7 +180,8 @@ class RetailTables:
         first = F.min("order_number").over(Window.partitionBy(*pair)).alias("_first")
         if not self._hot_users:
             return lines.select("*", first)
-        cold, hot = split_hot(lines, "user_id", self._hot_users)
+        # several branches follow; the joins and numbering above run once
+        cold, hot = split_hot(durable(lines), "user_id", self._hot_users)
         pairs = hot.groupBy(*pair).agg(
             F.min("order_number").alias("_first"), F.count(F.lit(1)).alias("_rows")
         )
@@ -204,31 +205,35 @@ class RetailTables:
 
     # -- dimensions ---------------------------------------------------------
 
-    def _ranked(self, column: str, key: str, out: str) -> DataFrame:
-        """Dense ranks of a brand or type list (a handful of values)."""
-        names = self._read("part").select(F.col(column).alias(out)).distinct()
-        return names.select(F.dense_rank().over(Window.orderBy(out)).alias(key), out)
+    def _names(self, column: str) -> DataFrame:
+        """The sorted brand or type list as one array (a few dozen names)."""
+        return self._read("part").agg(F.array_sort(F.collect_set(column)).alias("names"))
+
+    def _numbered(self, column: str, key: str, out: str) -> DataFrame:
+        listed = self._names(column).select(F.posexplode("names").alias("_at", out))
+        return listed.select((F.col("_at") + 1).cast("int").alias(key), out)
 
     @cached_property
     def aisles(self) -> DataFrame:
-        return self._ranked("p_brand", "aisle_id", "aisle")
+        return self._numbered("p_brand", "aisle_id", "aisle")
 
     @cached_property
     def departments(self) -> DataFrame:
-        return self._ranked("p_type", "department_id", "department")
+        return self._numbered("p_type", "department_id", "department")
 
     @cached_property
     def products(self) -> DataFrame:
-        part = self._read("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("aisle"),
-            F.col("p_type").alias("department"),
-        )
+        """Names become ids by their place in the list, so nothing is joined."""
         return (
-            part.join(self.aisles, "aisle")
-            .join(self.departments, "department")
-            .select("product_id", "product_name", "aisle_id", "department_id")
+            self._read("part")
+            .withColumn("_brands", self._names("p_brand").scalar())
+            .withColumn("_types", self._names("p_type").scalar())
+            .select(
+                F.col("p_partkey").alias("product_id"),
+                F.col("p_name").alias("product_name"),
+                F.array_position("_brands", F.col("p_brand")).cast("int").alias("aisle_id"),
+                F.array_position("_types", F.col("p_type")).cast("int").alias("department_id"),
+            )
         )
 
     def tables(self) -> ShopTables:

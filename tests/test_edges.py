@@ -218,6 +218,14 @@ def test_sampling_ignores_partitioning(spark):
     assert sampling.sample_n(df, 9999).count() == 500
 
 
+def test_large_samples_pick_the_same_rows(spark, monkeypatch):
+    df = spark.range(0, 500).select(F.col("id").alias("user_id"))
+    small = {r.user_id for r in sampling.sample_n(df, 333).collect()}
+    monkeypatch.setattr(sampling, "TOP_N_ROWS", 100)
+    assert {r.user_id for r in sampling.sample_n(df, 333).collect()} == small
+    assert sampling.sample_n(df, 501).count() == 500
+
+
 @pytest.mark.parametrize("digits", [1, 4])
 def test_split_is_exact(spark, digits):
     df = spark.range(0, 1000).select(
