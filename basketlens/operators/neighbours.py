@@ -57,12 +57,16 @@ def _edge_weights(distances, k):
     return np.exp(-beyond / np.maximum(sigma, floor)[:, None])
 
 
-def knn_edges(spark, points: np.ndarray, k: int = NEIGHBOURS) -> DataFrame:
-    """Directed weighted edges (i, j, weight) to the k nearest other points."""
-    shared = spark.sparkContext.broadcast(points)
+def knn_edges(
+    spark, points: np.ndarray, k: int = NEIGHBOURS, names: np.ndarray | None = None
+) -> DataFrame:
+    """Directed weighted edges (i, j, distance, weight) to the k nearest other
+    points, called by their index or by ``names``."""
+    names = np.arange(len(points)) if names is None else names
+    shared = spark.sparkContext.broadcast((points, names))
 
     def link(batches):
-        points = shared.value
+        points, names = shared.value
         for batch in batches:
             ids = batch["id"].to_numpy()
             for part in np.array_split(ids, max(1, len(ids) // _BLOCK)):
@@ -75,8 +79,8 @@ def knn_edges(spark, points: np.ndarray, k: int = NEIGHBOURS) -> DataFrame:
                 near, apart = near[~own].reshape(-1, k), apart[~own].reshape(-1, k)
                 yield pd.DataFrame(
                     {
-                        "i": np.repeat(part, k),
-                        "j": near.ravel(),
+                        "i": np.repeat(names[part], k),
+                        "j": names[near.ravel()],
                         "distance": apart.ravel(),
                         "weight": _edge_weights(apart, k).ravel(),
                     }
@@ -86,6 +90,32 @@ def knn_edges(spark, points: np.ndarray, k: int = NEIGHBOURS) -> DataFrame:
     return rows.mapInPandas(link, "i long, j long, distance double, weight double")
 
 
+def _landmarks(df: DataFrame, columns: Sequence[str], landmarks: int, neighbours: int, seed: int, key: str):
+    """Keys and coordinates of the seeded sample, at most ``MAX_LANDMARKS`` rows."""
+    if not neighbours < landmarks <= MAX_LANDMARKS:
+        raise ValueError(f"landmarks must be in {neighbours + 1}..{MAX_LANDMARKS}")
+    sample = sample_n(df.select(key, *columns), landmarks, seed, key).toPandas()
+    if len(sample) <= neighbours:
+        raise ValueError(f"need more than {neighbours} rows, got {len(sample)}")
+    return sample[key].to_numpy(), sample[list(columns)].to_numpy(dtype=float)
+
+
+def nearest_neighbours(
+    df: DataFrame,
+    columns: Sequence[str],
+    k: int = NEIGHBOURS,
+    landmarks: int = SAMPLE_SIZE,
+    seed: int = SEED,
+    key: str = "user_id",
+) -> DataFrame:
+    """The k nearest other landmarks of each landmark: (key, neighbour, distance)."""
+    names, points = _landmarks(df, columns, landmarks, k, seed, key)
+    edges = knn_edges(df.sparkSession, points, k, names)
+    return edges.select(
+        F.col("i").alias(key), F.col("j").alias("neighbour"), "distance", "weight"
+    )
+
+
 def fuzzy_union(edges: DataFrame) -> DataFrame:
     """Symmetric weights a + b - ab over both directions of an edge."""
     both = edges.select("i", "j", "weight").unionByName(
@@ -167,23 +197,16 @@ def neighbour_embedding(
     prefix: str = "nb",
 ) -> DataFrame:
     """``dimensions`` coordinates per row; every row gets some."""
-    if not neighbours < landmarks <= MAX_LANDMARKS:
-        raise ValueError(f"landmarks must be in {neighbours + 1}..{MAX_LANDMARKS}")
     spark = df.sparkSession
-    sample = sample_n(df.select(key, *columns), landmarks, seed, key).toPandas()
-    if len(sample) <= neighbours:
-        raise ValueError(f"need more than {neighbours} rows, got {len(sample)}")
-    points = sample[list(columns)].to_numpy(dtype=float)
+    names, points = _landmarks(df, columns, landmarks, neighbours, seed, key)
     graph = fuzzy_union(knn_edges(spark, points, neighbours)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         spots = _spectral(graph, len(points), dimensions, seed)
     finally:
         graph.unpersist()
-    order = np.argsort(sample[key].to_numpy(), kind="stable")
-    shared = spark.sparkContext.broadcast(
-        (points, spots, sample[key].to_numpy()[order], order)
-    )
-    names = [f"{prefix}{i + 1}" for i in range(dimensions)]
+    order = np.argsort(names, kind="stable")
+    shared = spark.sparkContext.broadcast((points, spots, names[order], order))
+    outputs = [f"{prefix}{i + 1}" for i in range(dimensions)]
 
     def place(batches):
         points, spots, known, order = shared.value
@@ -202,9 +225,9 @@ def neighbour_embedding(
                 weights = _edge_weights(apart, neighbours)
                 weights /= weights.sum(axis=1, keepdims=True)
                 out[part] = (spots[near] * weights[:, :, None]).sum(axis=1)
-            frame = pd.DataFrame(out, columns=names)
+            frame = pd.DataFrame(out, columns=outputs)
             frame.insert(0, key, keys)
             yield frame
 
-    schema = f"{key} long, " + ", ".join(f"{n} double" for n in names)
+    schema = f"{key} long, " + ", ".join(f"{n} double" for n in outputs)
     return df.select(key, *columns).mapInPandas(place, schema)

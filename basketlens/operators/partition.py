@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -16,6 +18,16 @@ ELBOW_SEED = 45
 RESTARTS = 10
 KS = tuple(range(2, 10))
 
+# Fits that may run at the same time.
+PARALLEL_FITS = 4
+
+# Iteration limits; the mixture stops when the mean log-likelihood
+# gains less than its tolerance.
+KMEANS_ITERATIONS = 300
+KMEANS_TOLERANCE = 1e-3
+GMM_ITERATIONS = 100
+GMM_TOLERANCE = 1e-3
+
 VECTOR = "_features"
 
 
@@ -30,17 +42,36 @@ def add_labels(model, vectors: DataFrame, out: str = "cluster") -> DataFrame:
     return model.transform(vectors).select(*kept, F.col("prediction").cast("int").alias(out))
 
 
+def fit_together(fits: Sequence[Callable[[], object]], parallelism: int = PARALLEL_FITS) -> list:
+    """Run independent fits side by side, as the library's cross validator does:
+    the jobs of one fit fill the cores that another leaves idle."""
+    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(f) for f in fits])
+
+
+def _kmeans(k: int, seed: int) -> KMeans:
+    return KMeans(
+        k=k, seed=seed, featuresCol=VECTOR, maxIter=KMEANS_ITERATIONS, tol=KMEANS_TOLERANCE
+    )
+
+
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, restarts: int = 1):
     """The lowest-cost model over ``restarts`` consecutive seeds."""
-    fits = (
-        KMeans(k=k, seed=seed + i, featuresCol=VECTOR).fit(vectors) for i in range(restarts)
-    )
-    return min(fits, key=lambda model: model.summary.trainingCost)
+    models = fit_together([partial(_kmeans(k, seed + i).fit, vectors) for i in range(restarts)])
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
     """Mixture with full covariances; its label is the likeliest component."""
-    return GaussianMixture(k=k, seed=seed, featuresCol=VECTOR).fit(vectors)
+    # the estimator compares the total over all rows
+    estimator = GaussianMixture(
+        k=k,
+        seed=seed,
+        featuresCol=VECTOR,
+        maxIter=GMM_ITERATIONS,
+        tol=GMM_TOLERANCE * max(1, vectors.count()),
+    )
+    return estimator.fit(vectors)
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 1) -> DataFrame:
@@ -67,7 +98,8 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS,
     """Within-cluster squared error per cluster count."""
     vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = [(k, float(fit_kmeans(vectors, k, seed).summary.trainingCost)) for k in ks]
+        models = fit_together([partial(fit_kmeans, vectors, k, seed) for k in ks])
+        costs = [(k, float(m.summary.trainingCost)) for k, m in zip(ks, models, strict=True)]
     finally:
         vectors.unpersist()
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +23,7 @@ from basketlens.operators.partition import (
     assemble,
     fit_gmm,
     fit_kmeans,
+    fit_together,
 )
 from basketlens.operators.quality import drop_null_rows
 from basketlens.operators.reduce import pca
@@ -107,9 +108,10 @@ def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
     """The rows of ``rep`` with the labels of a fitted model per k beside them."""
     vectors = assemble(rep.rows, rep.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        models = fit_together([partial(fit, vectors, k) for k in ks])
         labelled = vectors
-        for k in ks:
-            labelled = add_labels(fit(vectors, k), labelled, f"cluster_{k}")
+        for k, model in zip(ks, models, strict=True):
+            labelled = add_labels(model, labelled, f"cluster_{k}")
         return durable(labelled.drop(VECTOR))
     finally:
         vectors.unpersist()

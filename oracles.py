@@ -428,6 +428,14 @@ BODIES["profile_delta"] = _means(4) + "SELECT cluster, " + ", ".join(
     _half_even(f"({c} - overall_{c})", c) for c in FEATURES
 ) + " FROM m, o"
 
+BODIES["nearest_neighbours"] = f""", p AS (SELECT user_id, {_VECTOR} AS v FROM t_scaled
+  ORDER BY {_KEY}, user_id LIMIT 3000),
+d AS (SELECT a.user_id, list_distance(a.v, b.v) AS distance
+  FROM p a JOIN p b ON a.user_id <> b.user_id)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY distance) AS INTEGER) AS place,
+  round(distance, 6) AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY distance) <= 15"""
+
 # -- scores on given predictions ----------------------------------------------------------
 
 PREDICTED = CHURN + """, p AS (SELECT churn AS label,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from basketlens.functions import scalars
 from basketlens.operators import (
@@ -13,6 +13,7 @@ from basketlens.operators import (
     explore,
     features,
     fuzzy,
+    neighbours,
     partition,
     profiles,
     quality,
@@ -21,9 +22,9 @@ from basketlens.operators import (
     sampling,
     scoring,
     validity,
+    ward as ward_ops,
 )
-from basketlens.operators.autoencoder import autoencode
-from basketlens.operators.neighbours import neighbour_embedding as embed
+from basketlens.operators.autoencoder import autoencode as encode, train_autoencoder
 from basketlens.plans import churn as churn_plan, segmentation
 from basketlens.session import durable
 from basketlens.sources import tables as table_io
@@ -631,12 +632,29 @@ def pca(t):
 
 @query
 def autoencoder(t):
-    return autoencode(scaled_users(t), FEATURES)
+    """Mean loss per epoch of training on all users."""
+    losses = train_autoencoder(durable(scaled_users(t)), FEATURES).losses
+    return t.spark.createDataFrame(list(enumerate(losses, 1)), "epoch int, loss double")
+
+
+@query
+def autoencode(t):
+    sample = segmentation.sample_then_scale(train_features(t))
+    return encode(durable(sample), FEATURES)
+
+
+@query
+def nearest_neighbours(t):
+    near = neighbours.nearest_neighbours(scaled_users(t), FEATURES)
+    place = Window.partitionBy("user_id").orderBy("distance")
+    return six(
+        near.select("user_id", F.row_number().over(place).alias("place"), "distance"), "distance"
+    )
 
 
 @query
 def neighbour_embedding(t):
-    return embed(scaled_users(t), FEATURES)
+    return neighbours.neighbour_embedding(durable(scaled_users(t)), FEATURES)
 
 
 @query
@@ -676,6 +694,15 @@ def fuzzy_cmeans_reps(t):
 
 @query
 def ward(t):
+    """Labels of one merge tree for k = 2..9."""
+    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    return ward_ops.ward(sample, FEATURES).select(
+        "user_id", *[f"cluster_{k}" for k in partition.KS]
+    )
+
+
+@query
+def ward_sweep(t):
     sample = durable(segmentation.scale_then_sample(train_features(t)))
     return segmentation.ward_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
 
