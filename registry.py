@@ -695,7 +695,7 @@ def fuzzy_cmeans_reps(t):
 @query
 def ward(t):
     """Labels of one merge tree for k = 2..9."""
-    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
     return ward_ops.ward(sample, FEATURES).select(
         "user_id", *[f"cluster_{k}" for k in partition.KS]
     )
@@ -703,7 +703,7 @@ def ward(t):
 
 @query
 def ward_sweep(t):
-    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
     return segmentation.ward_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
 
 
@@ -714,7 +714,7 @@ def ward_reps(t):
 
 @query
 def gmm(t):
-    sample = durable(segmentation.scale_then_sample(train_features(t)))
+    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
     return segmentation.gmm_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
 
 
