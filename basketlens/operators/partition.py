@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketlens.operators.sampling import SEED
 
@@ -42,11 +42,13 @@ def add_labels(model, vectors: DataFrame, out: str = "cluster") -> DataFrame:
     return model.transform(vectors).select(*kept, F.col("prediction").cast("int").alias(out))
 
 
-def fit_together(fits: Sequence[Callable[[], object]], parallelism: int = PARALLEL_FITS) -> list:
+def fit_together(
+    spark: SparkSession, fits: Sequence[Callable[[], object]], parallelism: int = PARALLEL_FITS
+) -> list:
     """Run independent fits side by side, as the library's cross validator does:
     the jobs of one fit fill the cores that another leaves idle."""
     with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
-        return pool.map(lambda task: task(), [inheritable_thread_target(f) for f in fits])
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
 
 
 def _kmeans(k: int, seed: int) -> KMeans:
@@ -57,7 +59,10 @@ def _kmeans(k: int, seed: int) -> KMeans:
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, restarts: int = 1):
     """The lowest-cost model over ``restarts`` consecutive seeds."""
-    models = fit_together([partial(_kmeans(k, seed + i).fit, vectors) for i in range(restarts)])
+    models = fit_together(
+        vectors.sparkSession,
+        [partial(_kmeans(k, seed + i).fit, vectors) for i in range(restarts)],
+    )
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
@@ -98,7 +103,8 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS,
     """Within-cluster squared error per cluster count."""
     vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = fit_together([partial(fit_kmeans, vectors, k, seed) for k in ks])
+        fits = [partial(fit_kmeans, vectors, k, seed) for k in ks]
+        models = fit_together(df.sparkSession, fits)
         costs = [(k, float(m.summary.trainingCost)) for k, m in zip(ks, models, strict=True)]
     finally:
         vectors.unpersist()

@@ -108,7 +108,7 @@ def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
     """The rows of ``rep`` with the labels of a fitted model per k beside them."""
     vectors = assemble(rep.rows, rep.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = fit_together([partial(fit, vectors, k) for k in ks])
+        models = fit_together(vectors.sparkSession, [partial(fit, vectors, k) for k in ks])
         labelled = vectors
         for k, model in zip(ks, models, strict=True):
             labelled = add_labels(model, labelled, f"cluster_{k}")

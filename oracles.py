@@ -510,5 +510,39 @@ BODIES["partition_coefficient"] = FUZZY + """SELECT round(sum(u * u) / count(DIS
   AS partition_coefficient FROM member"""
 
 
+BODIES["attach_labels"] = FUZZY + f"""SELECT f.user_id, {FEATURES_R}, l.cluster
+FROM t_features f JOIN (SELECT user_id, CAST(arg_min(cluster, d) AS INTEGER) AS cluster
+  FROM member GROUP BY 1) l ON f.user_id = l.user_id"""
+
+# -- principal components: repeated squaring of the covariance, then deflation -------------
+
+
+def _component(c: int) -> str:
+    """Leading unit eigenvector of m{c}, and the matrix without it."""
+    times_v = "list_transform(m, lambda r: list_dot_product(r, v))"
+    return f"""
+, q{c} AS (SELECT 0 AS i, m FROM m{c} UNION ALL
+  SELECT i + 1, list_transform(m, lambda r: list_transform(m, lambda o:
+    list_dot_product(r, o) / list_sum(list_transform(m, lambda p: list_dot_product(p, p)))))
+  FROM q{c} WHERE i < 40),
+r{c} AS (SELECT m[list_position(d, list_max(d))] AS w FROM (
+  SELECT m, list_transform(m, lambda r: list_dot_product(r, r)) AS d FROM q{c} WHERE i = 40)),
+s{c} AS (SELECT w, list_transform(w, lambda x: abs(x)) AS a, sqrt(list_dot_product(w, w)) AS n FROM r{c}),
+v{c} AS (SELECT list_transform(w, lambda x: x * sign(w[list_position(a, list_max(a))]) / n) AS v FROM s{c}),
+m{c + 1} AS (SELECT list_transform(range(1, {len(FEATURES) + 1}), lambda i:
+    list_transform(range(1, {len(FEATURES) + 1}), lambda j: m[i][j] - v[i] * v[j] * l)) AS m
+  FROM (SELECT m, v, list_dot_product(v, {times_v}) AS l FROM m{c}, v{c}))"""
+
+
+_MATRIX = ", ".join(
+    "[" + ", ".join(f"covar_pop({a}, {b})" for b in FEATURES) + "]" for a in FEATURES
+)
+BODIES["pca"] = f""", m1 AS (SELECT [{_MATRIX}] AS m FROM t_scaled)
+{_component(1)}{_component(2)}{_component(3)}
+SELECT user_id, {', '.join(f'round(list_dot_product({_VECTOR}, v{c}.v), 6) AS pc{c}' for c in (1, 2, 3))}
+FROM t_scaled, v1, v2, v3"""
+
+
 def statements() -> dict[str, str]:
-    return {name: PRELUDE + body for name, body in BODIES.items()}
+    prelude = PRELUDE.replace("WITH", "WITH RECURSIVE", 1)
+    return {name: (prelude if name == "pca" else PRELUDE) + body for name, body in BODIES.items()}

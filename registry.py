@@ -621,13 +621,13 @@ def partition_coefficient(t):
 @query
 def attach_labels(t):
     users = durable(train_features(t))
-    labels = partition.kmeans(features.standardize(users), FEATURES, 4)
-    return users.join(labels.select("user_id", "cluster"), "user_id")
+    labels = given_fuzzy_model().transform(features.standardize(users))
+    return six(users.join(labels.select("user_id", "cluster"), "user_id"), *MEANS)
 
 
 @query
 def pca(t):
-    return reduce_ops.pca(scaled_users(t))
+    return six(reduce_ops.pca(scaled_users(t)), "pc1", "pc2", "pc3")
 
 
 @query
