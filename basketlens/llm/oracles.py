@@ -75,6 +75,37 @@ _MIX = f"""
       (size * (n + CASE WHEN 2 * (upto - here) + here <= 2 * missing THEN 1 ELSE 0 END))::BIGINT AS taken FROM run"""
 
 
+ALNUM = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _windows(table: str, key: str) -> str:
+    """Words of a table's texts, and its windows of each length an item has."""
+    lowered = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    return (
+        f"SELECT row_number() OVER () AS rid, {key}, "
+        f"list_filter(string_split_regex({lowered}, {ALNUM}), lambda x: x <> '') AS ws FROM {table}"
+    )
+
+
+_LEAKS = f"""
+    WITH d AS MATERIALIZED ({_windows("documents", "doc_id")}), b AS ({_windows("benchmark", "item_id")}),
+    item AS (SELECT item_id, n, array_to_string(ws[i:i+n-1], ' ') AS g FROM
+      (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+       FROM (SELECT *, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0))),
+    doc AS (SELECT rid, n, i, array_to_string(ws[i:i+n-1], ' ') AS g FROM
+      (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+       FROM d, (SELECT DISTINCT n FROM item) WHERE len(ws) >= n)),
+    hit AS MATERIALIZED (SELECT rid, i, n, item_id FROM doc JOIN item USING (n, g)),
+    covered AS (SELECT rid, count(DISTINCT j) AS c FROM
+      (SELECT rid, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT rid, i, n FROM hit)) GROUP BY rid),
+    items AS (SELECT rid, count(*) AS c, string_agg(item, ',' ORDER BY item) AS l FROM
+      (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(covered.c, 0)::BIGINT AS n_hit,
+      coalesce(items.c, 0)::BIGINT AS n_items, sha256(coalesce(items.l, '')) AS items_sha256,
+      covered.c IS NOT NULL AS contaminated
+    FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""
+
+
 _LINES = f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
@@ -101,6 +132,7 @@ def statements() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality(),
         "op2_mix_sources": _MIX,
+        "op3_decontaminate": _LEAKS,
         "op4_line_dedup": _LINES,
         "op9_url_filters": _URLS,
     }

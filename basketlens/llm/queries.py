@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketlens.llm import lines, mixing, quality, urls
+from basketlens.llm import leaks, lines, mixing, personal, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,12 +35,49 @@ def op2_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query
+def op3_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    found = leaks.find_leaks(
+        table(spark, directory, "documents"), table(spark, directory, "benchmark"), window=10, gram=5
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op4_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     cut = lines.drop_frequent_lines(table(spark, directory, "documents"), min_docs=10, min_chars=1)
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    found = personal.find_personal(table(spark, directory, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans")
+    )
+
+
+@query
+def op6_simhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, directory, "documents"), shingle=4, max_bits=4)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 URL_RULES = """VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
     ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)"""
 
