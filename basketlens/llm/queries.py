@@ -5,9 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketlens.llm import leaks, lines, mixing, personal, quality, simhash, urls
+from basketlens.llm import (
+    language,
+    leaks,
+    lines,
+    mixing,
+    personal,
+    quality,
+    simhash,
+    substrings,
+    tokenfiles,
+    urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,6 +90,27 @@ def op6_simhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def token_files(docs: DataFrame) -> DataFrame:
+    """Write the token files of ``docs`` and read them back."""
+    folder, vocabulary = tokenfiles.token_folder(docs.sparkSession), public_tokenizers.path(TOKENIZER)
+    manifest = tokenfiles.write_token_files(docs, folder, vocabulary, end_id=1)
+    return tokenfiles.read_token_files(manifest, folder, vocabulary)
+
+
+@query
+def op7_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    return token_files(table(spark, directory, "documents"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, directory, "documents"), length=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 URL_RULES = """VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
     ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)"""
 
@@ -86,3 +119,8 @@ URL_RULES = """VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
 def op9_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM {URL_RULES}")
     return urls.judge_urls(table(spark, directory, "pages"), rules)
+
+
+@query
+def op10_lm_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return language.score_documents(table(spark, directory, "documents"), order=2)

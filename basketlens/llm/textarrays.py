@@ -105,10 +105,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        sums = _prefix(_BYTE_VALUES[self.data] * _power(_BYTE_STEP, n))
-        inverse = _power(_BYTE_STEP, n, True)
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + _U(1))
+        out = np.empty(len(self), np.uint64)
+        a = 0
+        while a < len(self):
+            low = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.start, low + BLOCK_BYTES)))
+            high = int(self.end[b - 1])
+            n = high - int(low)
+            sums = _prefix(_BYTE_VALUES[self.data[low:high]] * _power(_BYTE_STEP, n))
+            start, end = self.start[a:b] - low, self.end[a:b] - low
+            inverse = _power(_BYTE_STEP, n, True)
+            out[a:b] = mix((sums[end] - sums[start]) * inverse[start] + _U(1))
+            a = b
+        return out
 
     def fits(self, length: int) -> np.ndarray:
         """Whether ``length`` words from each word on are in the same text."""
