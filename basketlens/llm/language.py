@@ -102,10 +102,12 @@ def score_documents(
     order: int = 2,
     backoff: float = 0.4,
     held_out: bool = True,
+    chunk_bytes: int = exchange.CHUNK_BYTES,
+    range_bytes: int = exchange.RANGE_BYTES,
 ) -> DataFrame:
     """``key``, n_words, log_score (sum over words) and mean_log_score."""
-    packed = exchange.chunks(docs, key, text)
-    buckets = exchange.ranges(packed)
+    packed = exchange.chunks(docs, key, text, chunk_bytes)
+    buckets = exchange.ranges(packed, range_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

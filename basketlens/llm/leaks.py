@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketlens.llm.columns import ascii_lower, whole
 from basketlens.llm.textarrays import (
@@ -149,17 +149,11 @@ def _extend(spans: list[int], gram: int):
     return run
 
 
-def find_leaks(
-    docs: DataFrame,
-    items: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item_key: str = "item_id",
-    item_text: str = "text",
-    window: int = 10,
-    gram: int = 5,
-) -> DataFrame:
-    """``key``, n_words, n_hit, items (sorted ids as text) and contaminated."""
+def _matches(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int, gram: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, own, n_words) of all documents, and (hit_id, hit_own, spans, items) of
+    those with hits."""
     windows = durable(item_windows(items, item_key, item_text, window))
     # at most ``window`` different lengths
     spans = [r[0] for r in windows.select("words").distinct().orderBy("words").collect()]
@@ -197,19 +191,54 @@ def find_leaks(
         F.collect_set(F.struct("pos", "words")).alias("spans"),
         F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"),
     )
+    return checked.select("id", "own", "n_words"), matches.withColumnsRenamed({"id": "hit_id", "own": "hit_own"})
+
+
+def _same() -> Column:
+    return F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit_own"))
+
+
+def find_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    gram: int = 5,
+) -> DataFrame:
+    """``key``, n_words, n_hit, items (sorted ids as text) and contaminated."""
+    every, matches = _matches(docs, items, key, text, item_key, item_text, window, gram)
     hit_words = F.size(
         F.array_distinct(
             F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["words"] - 1)))
         )
     )
-    return checked.select("id", "own", "n_words").join(
-        matches.withColumnsRenamed({"id": "hit_id", "own": "hit_own"}),
-        F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit_own")),
-        "left",
-    ).select(
+    return every.join(matches, _same(), "left").select(
         F.col("id").alias(key),
         "n_words",
         F.coalesce(hit_words, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.col("spans").isNotNull().alias("contaminated"),
     )
+
+
+def drop_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    gram: int = 5,
+) -> DataFrame:
+    """The documents without any item's window, as they are."""
+    _, matches = _matches(docs, items, key, text, item_key, item_text, window, gram)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(key).alias("id"),
+        F.xxhash64(F.col(text)).alias("own"),
+    )
+    return rows.join(matches.select("hit_id", "hit_own"), _same(), "left_anti").select("row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketlens.llm.columns import words
+from basketlens.llm.columns import BLANKS, whole, words
 from basketlens.session import durable
 
 HASH_BITS = 60
@@ -112,55 +112,86 @@ def hash_cuts(sized: DataFrame, missing: DataFrame, levels: int = 2) -> DataFram
     )
 
 
-def mix(
-    docs: DataFrame,
-    key: str = "doc_id",
-    source: str = "source",
-    text: str = "text",
-    weights: tuple[int, ...] = (1, 2, 3),
-    max_epochs: int = 3,
-    seed: int = 42,
-) -> DataFrame:
-    """``key``, size, source_size, target, taken and repeats for every document.
-
-    Sources in code-point order take ``weights`` in turn.
-    """
-    sized = durable(
-        docs.select(
-            F.col(key).alias("key"),
-            F.col(source).alias("source"),
-            F.size(words(text)).cast("long").alias("size"),
-            seeded_hash(F.col(key), seed).alias("h"),
-        )
+def _sized(docs: DataFrame, key: str, source: str, text: str, seed: int) -> DataFrame:
+    return docs.select(
+        F.col(key).alias("key"),
+        F.col(source).alias("source"),
+        F.size(words(text)).cast("long").alias("size"),
+        seeded_hash(F.col(key), seed).alias("h"),
     )
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """Written rows (s, source_size, target, whole, cut): a document of source s is
+    taken ``whole`` times, and once more if its hash is below ``cut``."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # one row per source from here to the targets
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     cycle = F.array(*[F.lit(w).cast("long") for w in weights])
     weighted = totals.withColumn("weight", F.get(cycle, turn % len(weights)))
+    epochs = F.floor(F.col("target") / F.col("source_size"))
     targets = durable(
         water_fill(weighted, max_epochs)
-        .withColumn(
-            "whole",
-            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-            .otherwise(F.lit(0))
-            .cast("long"),
-        )
+        .withColumn("whole", F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0)).cast("long"))
         .select(
             F.col("source").alias("s"), "source_size", "target", "whole",
             (F.col("target") - F.col("whole") * F.col("source_size")).alias("missing"),
         )
     )
-    cuts = hash_cuts(sized, targets.select("s", "missing"))
-    plan = durable(
-        targets.join(cuts.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    cuts = hash_cuts(sized, targets.select("s", "missing")).withColumnRenamed("s", "t")
+    # a source that no cut is found for has no more words than are missing
+    return durable(
+        targets.join(cuts, F.col("s").eqNullSafe(F.col("t")), "left")
+        .withColumn("cut", F.coalesce("cut", F.lit(1 << HASH_BITS)))
+        .drop("t", "missing")
     )
-    repeats = F.col("whole") + (F.col("h") < F.col("cut")).cast("long")
-    return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("repeats", repeats)
-        .select(
-            F.col("key").alias(key), "size", "source_size", "target",
-            (F.col("size") * F.col("repeats")).alias("taken"), "repeats",
-        )
+
+
+def _repeats() -> Column:
+    return F.col("whole") + (F.col("h") < F.col("cut")).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+    seed: int = 42,
+) -> DataFrame:
+    """``key``, size, source_size, target, taken and repeats for every document.
+
+    Sources in code-point order take ``weights`` in turn.
+    """
+    sized = durable(_sized(docs, key, source, text, seed))
+    planned = sized.join(plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("s")))
+    return planned.withColumn("repeats", _repeats()).select(
+        F.col("key").alias(key), "size", "source_size", "target",
+        (F.col("size") * F.col("repeats")).alias("taken"), "repeats",
+    )
+
+
+def sample(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them.  A text without words
+    adds nothing to a mix and is not taken."""
+    sized = durable(_sized(docs, key, source, text, seed))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(source).alias("source"),
+        seeded_hash(F.col(key), seed).alias("h"),
+        F.length(F.btrim(whole(text), F.lit(BLANKS))).alias("content"),
+    ).where(F.col("content") > 0)
+    planned = rows.join(plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("s")))
+    repeated = planned.withColumn("repeats", _repeats()).where("repeats > 0").select(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
     )
+    return repeated.select("row.*")

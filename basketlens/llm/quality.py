@@ -218,6 +218,25 @@ def cutoffs(
     )
 
 
+def _rejected(rules: tuple[Rule, ...]) -> Column:
+    condition = F.lit(False)
+    for r in rules:
+        above = F.expr(r.score) > F.col(f"cutoff_{r.name}")
+        condition = condition | F.coalesce(above, F.lit(False))
+    return condition
+
+
+def _judged(
+    measured: DataFrame, proof: DataFrame, labels: DataFrame, key: str, stratum: str,
+    rules: tuple[Rule, ...], risk: float, delta: float,
+) -> DataFrame:
+    """``measured`` with ``kept``; the cutoffs come from ``proof``, the same documents."""
+    chosen = cutoffs(proof, labels, key, stratum, rules, risk, delta, F.col("base_failed"))
+    # a row per stratum: Spark broadcasts it if its measured size allows
+    joined = measured.join(durable(chosen), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~_rejected(rules))
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -231,15 +250,32 @@ def judge(
     """``key``, the measures, ``base_failed`` and ``kept`` for every document."""
     picked = docs.select(F.col(key), F.col(stratum), F.col(text))
     measured = durable(measures(picked, text).withColumn("base_failed", base_failed()))
-    chosen = cutoffs(measured, labels, key, stratum, rules, risk, delta, F.col("base_failed"))
-    above = [
-        F.coalesce(F.expr(r.score) > F.col(f"cutoff_{r.name}"), F.lit(False)) for r in rules
-    ]
-    rejected = above[0]
-    for condition in above[1:]:
-        rejected = rejected | condition
-    # a row per stratum: Spark broadcasts it if its measured size allows
-    joined = measured.join(chosen, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).select(
-        *measured.columns, "kept"
+    judged = _judged(measured, measured, labels, key, stratum, rules, risk, delta)
+    return judged.select(*measured.columns, "kept")
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+    rules: tuple[Rule, ...] = RULES,
+    risk: float = 0.02,
+    delta: float = 0.05,
+) -> DataFrame:
+    """The documents that :func:`judge` keeps, as they are.
+
+    Measures are taken twice, which costs less than carrying the texts through a join.
+    """
+    proof = durable(
+        measures(docs.select(F.col(key), F.col(stratum), F.col(text)), text)
+        .withColumn("base_failed", base_failed())
+    )
+    whole_rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(stratum).alias("_of"), F.col(text).alias("_text"),
     )
+    measured = measures(whole_rows, "_text").withColumn("base_failed", base_failed())
+    judged = _judged(measured, proof.withColumnRenamed(stratum, "_of"), labels, key, "_of", rules, risk, delta)
+    return judged.where("kept").select("_row.*")

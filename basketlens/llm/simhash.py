@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.llm.components import components
 from basketlens.session import durable
@@ -62,18 +62,24 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """Rows (key, fp): the fingerprint as a signed 64-bit number."""
+    """Rows (key, own, fp): ``own`` is a hash of the text, ``fp`` the fingerprint as a
+    signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
+            column = batch.column("text")
             prints = np.array(
                 [fingerprint(column[i].as_py() or "", shingle) for i in range(len(column))], np.uint64
             )
-            yield pa.record_batch([batch.column(key), pa.array(prints.view(np.int64))], [key, "fp"])
+            yield pa.record_batch(
+                [batch.column("key"), batch.column("own"), pa.array(prints.view(np.int64))], ["key", "own", "fp"]
+            )
 
+    picked = docs.select(
+        F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("text")
+    )
     id_type = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {id_type}, fp long")
+    return picked.mapInArrow(run, f"key {id_type}, own long, fp long")
 
 
 def _segment_counts(first: int, count: int) -> list[Column]:
@@ -222,6 +228,16 @@ def links(nodes: DataFrame, max_bits: int = 4, groups: int = 3, block: int = 409
     return sorted_cells.mapInArrow(_link(max_bits), "a long, b long").distinct()
 
 
+def rooted(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int, groups: int) -> DataFrame:
+    """Rows (key, own, fp, root): ``root`` is the same within a component only."""
+    prints = durable(fingerprints(docs, key, text, shingle))
+    nodes = durable(prints.select("fp").distinct())
+    roots = durable(components(durable(links(nodes, max_bits, groups))))
+    return prints.join(roots, prints["fp"] == roots["node"], "left").select(
+        "key", "own", "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -231,11 +247,32 @@ def near_duplicates(
     groups: int = 3,
 ) -> DataFrame:
     """``key``, ``fp`` (signed 64 bits) and ``component_id`` for every document."""
-    prints = durable(fingerprints(docs, key, text, shingle))
-    nodes = durable(prints.select("fp").distinct())
-    roots = durable(components(durable(links(nodes, max_bits, groups))))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        key, "fp", F.coalesce("root", "fp").alias("root")
+    found = rooted(docs, key, text, shingle, max_bits, groups)
+    named = found.groupBy(F.col("root").alias("of")).agg(F.min("key").alias("component_id"))
+    return found.join(named, F.col("root") == F.col("of")).select(
+        F.col("key").alias(key), "fp", "component_id"
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    max_bits: int = 4,
+    groups: int = 3,
+) -> DataFrame:
+    """One document of each component, as it is: the one with the smallest key."""
+    found = rooted(docs, key, text, shingle, max_bits, groups)
+    first = found.groupBy("root").agg(
+        F.min(F.struct(F.col("key").isNull().alias("missing"), "key", "own")).alias("one")
+    ).select(F.col("one.key").alias("one_key"), F.col("one.own").alias("one_own"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(key).alias("key"),
+        F.xxhash64(F.col(text)).alias("own"),
     )
-    named = rooted.groupBy(F.col("root").alias("of")).agg(F.min(key).alias("component_id"))
-    return rooted.join(named, rooted["root"] == named["of"]).select(key, "fp", "component_id")
+    chosen = rows.join(first, F.col("key").eqNullSafe(F.col("one_key")) & (F.col("own") == F.col("one_own")))
+    # repeated rows agree in key and text; one of them stays
+    repeated = Window.partitionBy("key", "own").orderBy(F.xxhash64("row"))
+    return chosen.withColumn("turn", F.row_number().over(repeated)).where("turn = 1").select("row.*")

@@ -113,11 +113,18 @@ def _smaller_elsewhere(hashes: list[np.ndarray], extras: list[bytes]) -> list[by
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 13) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    length: int = 13,
+    chunk_bytes: int = exchange.CHUNK_BYTES,
+    range_bytes: int = exchange.RANGE_BYTES,
+) -> DataFrame:
     """``key`` (a whole number), n_words, n_removed and the ``kept`` words of every
     document, joined by single blanks."""
-    packed = exchange.chunks(docs, key, text)
-    buckets = exchange.ranges(packed)
+    packed = exchange.chunks(docs, key, text, chunk_bytes)
+    buckets = exchange.ranges(packed, range_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
     def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
