@@ -1,8 +1,9 @@
-"""A small autoencoder trained data-parallel, applied as column arithmetic.
+"""A small autoencoder trained on gradient sums, applied as column arithmetic.
 
-Every epoch each partition runs mini-batch Adam over its own rows, starting from
-the shared state; Spark then averages the states weighted by rows.  Only the
-network state (three times a few hundred numbers) visits the driver.
+An epoch is one Adam step on the gradient of the whole table: tasks add up the
+gradients of their rows, Spark adds up the tasks', and the step on the few hundred
+weights is taken at the driver.  The trained weights therefore depend on the rows
+alone, not on their number of partitions or batches.
 """
 
 from __future__ import annotations
@@ -14,18 +15,16 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from basketlens.functions.scalars import sample_key
 from basketlens.sources.schemas import FEATURES
 
 # Network and training settings.
 HIDDEN = 8
 CODE = 3
-EPOCHS = 30
-BATCH = 64
 LEARNING_RATE = 0.01
 
-ROWS_PER_REPLICA = 250_000
-MIN_REPLICAS = 4
+# Steps over the whole table; more than an analysis on one machine has epochs, since
+# those take a step per 64 rows.
+EPOCHS = 60
 
 
 def _shapes(inputs: int, hidden: int, code: int):
@@ -100,75 +99,58 @@ class Autoencoder:
         )
 
 
+def gradient_sums(df: DataFrame, columns: Sequence[str], flat: np.ndarray, hidden: int = HIDDEN, code: int = CODE) -> DataFrame:
+    """Rows (pos, value): the sum over all rows of the loss (pos -1), the number of
+    rows (pos -2) and the sum of the gradient by weight."""
+    shapes = _shapes(len(columns), hidden, code)
+
+    def add(batches):
+        total, loss_sum, rows = np.zeros(len(flat)), 0.0, 0
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            if len(x):
+                loss, gradient = _loss_and_gradient(flat, shapes, x)
+                total += gradient * len(x)
+                loss_sum += loss * len(x)
+                rows += len(x)
+        whole = np.concatenate([[rows, loss_sum], total])
+        yield pd.DataFrame({"pos": np.arange(-2, len(flat)), "value": whole})
+
+    sums = df.select(*columns).mapInPandas(add, "pos int, value double")
+    return sums.groupBy("pos").agg(F.sum("value").alias("value"))
+
+
 def train_autoencoder(
     df: DataFrame,
     columns: Sequence[str] = FEATURES,
     encoding_dim: int = CODE,
     epochs: int = EPOCHS,
-    batch_size: int = BATCH,
     hidden: int = HIDDEN,
     learning_rate: float = LEARNING_RATE,
     seed: int = 42,
-    key: str = "user_id",
 ) -> Autoencoder:
-    """Train on scaled columns.  Rows are placed by hash, so a result does not
-    depend on how the input happened to be partitioned."""
+    """Train on scaled columns; ``losses`` holds the loss before each step."""
     columns = list(columns)
-    shapes = _shapes(len(columns), hidden, encoding_dim)
-    flat = _start(shapes, seed)
-    size = len(flat)
-    state = np.concatenate([flat, np.zeros(2 * size)])
-    steps = 0
-
-    total = df.count()
-    replicas = max(MIN_REPLICAS, -(-total // ROWS_PER_REPLICA))
-    placed = (
-        df.select(key, *columns, sample_key(F.col(key), seed).alias("_order"))
-        .repartition(replicas, key)
-        .sortWithinPartitions("_order")
-        .select(*columns)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    flat = _start(_shapes(len(columns), hidden, encoding_dim), seed)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     losses = []
     try:
-        for epoch in range(epochs):
-
-            def train(batches, state=state, steps=steps, epoch=epoch):
-                flat, first, second = (part.copy() for part in np.split(state, 3))
-                rng = np.random.default_rng(seed + epoch)
-                rows, loss_sum, step = 0, 0.0, steps
-                for batch in batches:
-                    x = batch.to_numpy(dtype=float)
-                    x = x[rng.permutation(len(x))]
-                    for at in range(0, len(x), batch_size):
-                        part = x[at : at + batch_size]
-                        loss, gradient = _loss_and_gradient(flat, shapes, part)
-                        step += 1
-                        first = 0.9 * first + 0.1 * gradient
-                        second = 0.999 * second + 0.001 * gradient**2
-                        rate = learning_rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                        flat = flat - rate * first / (np.sqrt(second) + 1e-7)
-                        rows += len(part)
-                        loss_sum += loss * len(part)
-                if rows:
-                    whole = np.concatenate([flat, first, second, [loss_sum / rows, step]])
-                    yield pd.DataFrame(
-                        {"pos": np.arange(len(whole)), "rows": rows, "value": whole}
-                    )
-
-            averaged = (
-                placed.mapInPandas(train, "pos int, rows long, value double")
-                .groupBy("pos")
-                .agg((F.sum(F.col("rows") * F.col("value")) / F.sum("rows")).alias("value"))
-                .collect()
-            )
-            merged = np.array([r["value"] for r in sorted(averaged, key=lambda r: r["pos"])])
-            state, loss, steps = merged[: 3 * size], merged[3 * size], round(merged[-1])
-            losses.append(float(loss))
+        for step in range(1, epochs + 1):
+            sums = gradient_sums(rows, columns, flat, hidden, encoding_dim).collect()
+            count, loss, *gradient = (r["value"] for r in sorted(sums, key=lambda r: r["pos"]))
+            if not count:
+                break
+            losses.append(loss / count)
+            mean = np.array(gradient) / count
+            first = 0.9 * first + 0.1 * mean
+            second = 0.999 * second + 0.001 * mean**2
+            rate = learning_rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            flat = flat - rate * first / (np.sqrt(second) + 1e-7)
     finally:
-        placed.unpersist()
-    return Autoencoder(columns, hidden, encoding_dim, state[:size], losses)
+        rows.unpersist()
+    return Autoencoder(columns, hidden, encoding_dim, flat, losses)
 
 
 def autoencode(df: DataFrame, columns: Sequence[str] = FEATURES, key: str = "user_id", **options) -> DataFrame:
-    return train_autoencoder(df, columns, key=key, **options).transform(df, key)
+    return train_autoencoder(df, columns, **options).transform(df, key)

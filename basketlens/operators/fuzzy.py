@@ -141,16 +141,27 @@ class FuzzyModel:
 
 
 def _first_centres(df: DataFrame, columns: Sequence[str], largest: int, seed: int, key: str):
-    """Spread-out distinct rows from the head of the hash order."""
-    head = sample_n(df.select(key, *columns), SEED_CANDIDATES * largest, seed, key)
-    rows = np.unique(head.toPandas()[list(columns)].to_numpy(dtype=float), axis=0)
-    if len(rows) < largest:
-        raise ValueError(f"{largest} clusters need as many distinct rows, found {len(rows)}")
-    rng = np.random.default_rng(seed)
-    chosen = [rows[rng.integers(len(rows))]]
+    """Spread-out distinct rows out of all rows.
+
+    Every next one is drawn with a chance in proportion to its squared distance from
+    those before it: the row with the lowest ``-log(u) / distance`` wins, ``u`` being
+    a hash of its key.
+    """
+    chosen: list[list[float]] = []
     while len(chosen) < largest:
-        squared = np.min([((rows - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        chosen.append(rows[rng.choice(len(rows), p=squared / squared.sum())])
+        bits = F.pmod(F.xxhash64(key, F.lit(seed + len(chosen))), F.lit(1 << 52))
+        draw = -F.log((bits + 1) / F.lit(float((1 << 52) + 1)))
+        gaps = [
+            sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(columns, centre, strict=True)), F.lit(0.0))
+            for centre in chosen
+        ]
+        apart = F.least(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(1.0)
+        spot = F.array(*[F.col(c).cast("double") for c in columns])
+        left = df.where(apart > 0.0)
+        best = left.agg(F.min_by(spot, F.struct(draw / apart, F.col(key))).alias("spot")).first()["spot"]
+        if best is None:
+            raise ValueError(f"{largest} clusters need as many distinct rows, found {len(chosen)}")
+        chosen.append(best)
     return np.array(chosen)
 
 

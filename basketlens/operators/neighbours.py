@@ -1,11 +1,15 @@
-"""A non-linear embedding from the fuzzy nearest-neighbour graph.
-
-The graph is built on landmarks: a seeded sample whose size is bounded, so one
-matrix of it fits every task.  Nearest neighbours are exact.  Edge weights,
-their symmetric union and each multiplication by the graph run on Spark; the
-spectral coordinates come from a block Krylov space kept at the driver
-(landmarks x a few dozen numbers).  Every other row is placed between its
-nearest landmarks, in one pass.
+"""Exact nearest neighbours, and a non-linear embedding from their fuzzy graph.
+
+Rows are dealt into k-means cells and blocks of bounded size.  A row's neighbours in
+its own block bound how far the others can be; by the triangle inequality only cells
+whose centre is at most that bound plus the cell's radius away can hold one.  The row
+asks the blocks of those cells and keeps the nearest of all answers.  Only the cells'
+centres and radii, at most ``MAX_CELLS`` of them, visit the driver.
+
+The embedding's coordinates are the leading eigenvectors of the normalised graph,
+found in a block Krylov space whose vectors are a table: multiplying by the graph is a
+join and a grouping, and only products of vectors (a few dozen numbers squared) visit
+the driver.  It ends when the residual is small, not after a number of rounds.
 """
 
 from __future__ import annotations
@@ -15,26 +19,26 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.clustering import KMeans
+from pyspark.sql import DataFrame, Window, functions as F
 
-from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
+from basketlens.operators.blocks import BLOCK_ROWS, block_of, every_block, meet, squared_distances
+from basketlens.operators.partition import VECTOR, assemble
+from basketlens.operators.sampling import SEED
+from basketlens.session import durable
 
 # Neighbours per row and dimensions of the embedding.
 NEIGHBOURS = 15
 DIMENSIONS = 3
 
-MAX_LANDMARKS = 20_000
-KRYLOV_BLOCKS = 20
-_BLOCK = 256
+# Cells grow with the square root of the rows up to this many; beyond, they hold more.
+MAX_CELLS = 4096
+_ROWS_OF_ONE_CELL = 1000
 
-
-def _nearest(queries, landmarks, k):
-    """Indices and distances of the k nearest landmarks, nearest first."""
-    squared = np.zeros((len(queries), len(landmarks)))
-    for axis in range(landmarks.shape[1]):
-        squared += (queries[:, axis, None] - landmarks[None, :, axis]) ** 2
-    order = np.argsort(squared, axis=1, kind="stable")[:, :k]
-    return order, np.sqrt(np.take_along_axis(squared, order, axis=1))
+RESIDUAL = 1e-4
+# Vectors are combined and the space starts anew from the best ones.
+KRYLOV_BLOCKS = 12
+MAX_ROUNDS = 400
 
 
 def _edge_weights(distances, k):
@@ -57,63 +61,120 @@ def _edge_weights(distances, k):
     return np.exp(-beyond / np.maximum(sigma, floor)[:, None])
 
 
-def knn_edges(
-    spark, points: np.ndarray, k: int = NEIGHBOURS, names: np.ndarray | None = None
-) -> DataFrame:
-    """Directed weighted edges (i, j, distance, weight) to the k nearest other
-    points, called by their index or by ``names``."""
-    names = np.arange(len(points)) if names is None else names
-    shared = spark.sparkContext.broadcast((points, names))
-
-    def link(batches):
-        points, names = shared.value
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for part in np.array_split(ids, max(1, len(ids) // _BLOCK)):
-                if not len(part):
-                    continue
-                near, apart = _nearest(points[part], points, k + 1)
-                # the row itself is dropped wherever ties have put it
-                own = near == part[:, None]
-                own[~own.any(axis=1), -1] = True
-                near, apart = near[~own].reshape(-1, k), apart[~own].reshape(-1, k)
-                yield pd.DataFrame(
-                    {
-                        "i": np.repeat(names[part], k),
-                        "j": names[near.ravel()],
-                        "distance": apart.ravel(),
-                        "weight": _edge_weights(apart, k).ravel(),
-                    }
-                )
-
-    rows = spark.range(0, len(points), 1, max(1, min(64, len(points) // _BLOCK)))
-    return rows.mapInPandas(link, "i long, j long, distance double, weight double")
-
-
-def _landmarks(df: DataFrame, columns: Sequence[str], landmarks: int, neighbours: int, seed: int, key: str):
-    """Keys and coordinates of the seeded sample, at most ``MAX_LANDMARKS`` rows."""
-    if not neighbours < landmarks <= MAX_LANDMARKS:
-        raise ValueError(f"landmarks must be in {neighbours + 1}..{MAX_LANDMARKS}")
-    sample = sample_n(df.select(key, *columns), landmarks, seed, key).toPandas()
-    if len(sample) <= neighbours:
-        raise ValueError(f"need more than {neighbours} rows, got {len(sample)}")
-    return sample[key].to_numpy(), sample[list(columns)].to_numpy(dtype=float)
+def _cells(df: DataFrame, columns: Sequence[str], key: str, cells: int, block_rows: int, seed: int):
+    """A written table (key, columns, cell, block, blocks), and centres and radii."""
+    data = df.select(key, *columns)
+    vectors = assemble(data, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=cells, seed=seed, maxIter=5, featuresCol=VECTOR, predictionCol="cell").fit(vectors)
+    finally:
+        vectors.unpersist()
+    centres = np.array(model.clusterCenters())
+    placed = durable(model.transform(assemble(data, columns)).drop(VECTOR))
+    spots = F.array(*[F.array(*[F.lit(float(v)) for v in axis]) for axis in centres.T])
+    offset = sum(
+        ((F.col(c) - F.get(F.get(spots, F.lit(i)), F.col("cell"))) ** 2 for i, c in enumerate(columns)), F.lit(0.0)
+    )
+    known = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max(F.sqrt(offset)).alias("radius"))
+    # a row per cell
+    known = known.withColumn("blocks", F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")).toPandas()
+    radii, blocks = np.full(len(centres), -np.inf), np.zeros(len(centres), int)
+    radii[known["cell"]], blocks[known["cell"]] = known["radius"], known["blocks"]
+    count = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
+    return placed.withColumn("block", block_of(F.col(key), count)), centres, radii, blocks
+
+
+def _nearest_of(asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int) -> pd.DataFrame:
+    """Of each asking row the k nearest known ones other than itself; ties by key."""
+    known = known.sort_values(key)
+    names, mine = known[key].to_numpy(), asking[key].to_numpy()
+    apart = squared_distances(asking[columns].to_numpy(dtype=float), known[columns].to_numpy(dtype=float))
+    apart[mine[:, None] == names[None, :]] = np.inf
+    near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+    out = pd.DataFrame(
+        {
+            key: np.repeat(mine, near.shape[1]),
+            "neighbour": names[near.ravel()],
+            "distance": np.sqrt(np.take_along_axis(apart, near, axis=1).ravel()),
+        }
+    )
+    return out[np.isfinite(out["distance"])]
 
 
 def nearest_neighbours(
     df: DataFrame,
     columns: Sequence[str],
     k: int = NEIGHBOURS,
-    landmarks: int = SAMPLE_SIZE,
     seed: int = SEED,
     key: str = "user_id",
+    cells: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest other landmarks of each landmark: (key, neighbour, distance)."""
-    names, points = _landmarks(df, columns, landmarks, k, seed, key)
-    edges = knn_edges(df.sparkSession, points, k, names)
-    return edges.select(
-        F.col("i").alias(key), F.col("j").alias("neighbour"), "distance", "weight"
+    """The k nearest other rows of every row: (key, neighbour, distance, weight).
+
+    ``key`` is a unique whole number; rows at the same distance are taken by key.
+    """
+    columns = list(columns)
+    rows = df.count()
+    if rows <= k:
+        raise ValueError(f"need more than {k} rows, got {rows}")
+    cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
+    placed, centres, radii, blocks = _cells(df, columns, key, cells, block_rows, seed)
+
+    def ask(own: pd.DataFrame) -> pd.DataFrame:
+        """Every row of a block with the cells it has to ask."""
+        spots = own[columns].to_numpy(dtype=float)
+        apart = np.sqrt(squared_distances(spots, spots))
+        np.fill_diagonal(apart, np.inf)
+        bound = np.full(len(own), np.inf)
+        if len(own) > k:
+            bound = np.partition(apart, k - 1, axis=1)[:, k - 1]
+        to_centres = np.sqrt(squared_distances(spots, centres))
+        # a little more, for rounding
+        possible = to_centres - radii[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
+        possible &= blocks[None, :] > 0
+        row, cell = np.nonzero(possible)
+        asked = own[[key, *columns]].iloc[row].copy()
+        asked["cell"], asked["blocks"] = cell.astype("int32"), blocks[cell].astype("int32")
+        return asked
+
+    numbers = ", ".join(f"`{c}` double" for c in columns)
+    as_numbers = placed.select(key, *[F.col(c).cast("double").alias(c) for c in columns], "cell", "block")
+    asked = durable(
+        as_numbers.groupBy("cell", "block").applyInPandas(ask, f"`{key}` long, {numbers}, cell int, blocks int")
+        .select(key, *columns, "cell", every_block(F.col("blocks")).alias("block"))
     )
+    # a block that many rows ask is met by one part of them at a time
+    parts = asked.groupBy("cell", "block").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts")
+    )
+    queries = asked.join(parts, ["cell", "block"]).withColumn("part", block_of(F.col(key), F.col("parts")))
+    points = as_numbers.join(parts, ["cell", "block"]).select("*", every_block(F.col("parts")).alias("part"))
+    found = meet(
+        queries.select(key, *columns, "cell", "block", "part"),
+        points.select(key, *columns, "cell", "block", "part"),
+        ["cell", "block", "part"],
+        lambda asking, known: _nearest_of(asking, known, columns, key, k),
+        f"`{key}` long, neighbour long, distance double",
+    )
+    # at most k rows of each asked block meet here
+    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    listed = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+
+    def weigh(batches):
+        for batch in batches:
+            apart = np.array([[n["distance"] for n in near] for near in batch["near"]])
+            yield pd.DataFrame(
+                {
+                    key: np.repeat(batch[key].to_numpy(), k),
+                    "neighbour": [n["neighbour"] for near in batch["near"] for n in near],
+                    "distance": apart.ravel(),
+                    "weight": _edge_weights(apart, k).ravel() if len(apart) else [],
+                }
+            )
+
+    return listed.mapInPandas(weigh, f"`{key}` long, neighbour long, distance double, weight double")
 
 
 def fuzzy_union(edges: DataFrame) -> DataFrame:
@@ -125,65 +186,121 @@ def fuzzy_union(edges: DataFrame) -> DataFrame:
     return both.groupBy("i", "j").agg((total - (total * total - squares) / 2.0).alias("weight"))
 
 
-def _spectral(graph: DataFrame, n: int, dimensions: int, seed: int) -> np.ndarray:
-    spark = graph.sparkSession
-    degree = np.zeros(n)
-    for r in graph.groupBy("i").agg(F.sum("weight").alias("d")).collect():
-        degree[r["i"]] = r["d"]
-    root = np.sqrt(np.maximum(degree, 1e-12))
-    trivial = (root / np.linalg.norm(root))[:, None]
-
-    def multiply(block):
-        shared = spark.sparkContext.broadcast(block / root[:, None])
-        width = block.shape[1]
-
-        def partial(batches):
-            total = np.zeros_like(shared.value)
-            for batch in batches:
-                values = shared.value[batch["j"].to_numpy()] * batch["weight"].to_numpy()[:, None]
-                np.add.at(total, batch["i"].to_numpy(), values)
-            touched = np.flatnonzero(np.abs(total).sum(axis=1))
-            frame = pd.DataFrame(total[touched], columns=[f"y{c}" for c in range(width)])
-            frame.insert(0, "i", touched)
-            yield frame
-
-        names = [f"y{c}" for c in range(width)]
-        schema = "i long, " + ", ".join(f"{c} double" for c in names)
-        rows = (
-            graph.mapInPandas(partial, schema)
-            .groupBy("i")
-            .agg(*[F.sum(c).alias(c) for c in names])
-            .toPandas()
+def _products(table: DataFrame, left: str, right: str) -> np.ndarray:
+    """Sum over rows of the outer products of two array columns."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                a, b = (np.array(batch[c].tolist(), dtype=float) for c in ("_a", "_b"))
+                total = a.T @ b if total is None else total + a.T @ b
+        if total is not None:
+            yield pd.DataFrame({"pos": np.arange(total.size), "wide": total.shape[1], "value": total.ravel()})
+
+    sums = table.select(F.col(left).alias("_a"), F.col(right).alias("_b")).mapInPandas(
+        add, "pos int, wide int, value double"
+    )
+    rows = sums.groupBy("pos", "wide").agg(F.sum("value").alias("value")).orderBy("pos").collect()
+    return np.array([r["value"] for r in rows]).reshape(-1, rows[0]["wide"])
+
+
+def _combine(columns: Sequence[tuple[str, np.ndarray]]):
+    """Array columns, each times a small matrix, added up."""
+    width = columns[0][1].shape[1]
+    return F.array(
+        *[
+            sum(
+                (
+                    F.get(name, F.lit(i)) * F.lit(float(v))
+                    for name, matrix in columns
+                    for i, v in enumerate(matrix[:, c])
+                ),
+                F.lit(0.0),
+            )
+            for c in range(width)
+        ]
+    )
+
+
+def _orthonormal(table: DataFrame, column: str, basis: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The array column made orthonormal, also to ``basis``; what it had in the
+    basis, and its triangle R.  Done twice for accuracy."""
+    inner_all = whole = None
+    for first in (True, False):
+        both = table.withColumn("_both", F.concat(basis, column))
+        products = _products(both, "_both", column)
+        width = products.shape[1]
+        inner, gram = products[:-width], products[-width:]
+        rest = gram - inner.T @ inner
+        upper = np.linalg.cholesky(rest + np.eye(width) * 1e-14 * max(np.trace(gram), 1e-300)).T
+        turn = np.linalg.inv(upper)
+        table = table.withColumn(column, _combine([(basis, -inner @ turn), (column, turn)]))
+        inner_all = inner if first else inner_all
+        whole = upper if first else upper @ whole
+        if first:
+            table = durable(table)
+    return table, inner_all, whole
+
+
+def spectral(graph: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, residual: float = RESIDUAL) -> DataFrame:
+    """Rows (i, spots): leading eigenvectors of the normalised graph (i, j, weight)
+    beside the constant one, in a block Krylov space that restarts from its best
+    vectors until their residuals are below ``residual``."""
+    graph = durable(graph)
+    degrees = durable(graph.groupBy("i").agg(F.sqrt(F.sum("weight")).alias("root")))
+    scaled = durable(
+        graph.join(degrees, "i")
+        .join(degrees.select(F.col("i").alias("j"), F.col("root").alias("other")), "j")
+        .select("i", "j", (F.col("weight") / (F.col("root") * F.col("other"))).alias("weight"))
+    )
+    norm = degrees.agg(F.sqrt(F.sum(F.col("root") * F.col("root")))).first()[0]
+    width = dimensions + 1
+
+    def start(axis: int):
+        # a pseudo-random number of the row alone
+        return F.pmod(F.xxhash64("i", F.lit(seed + axis)), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1.0
+
+    def multiply(table: DataFrame) -> DataFrame:
+        spread = scaled.join(table.select(F.col("i").alias("j"), "block"), "j")
+        image = spread.groupBy("i").agg(
+            F.array(*[F.sum(F.col("weight") * F.get("block", F.lit(c))) for c in range(width)]).alias("image")
         )
-        shared.unpersist()
-        product = np.zeros_like(block)
-        product[rows["i"].to_numpy()] = rows[names].to_numpy()
-        return product / root[:, None]
-
-    def orthonormal(block, basis):
-        for _ in range(2):
-            block = block - basis @ (basis.T @ block)
-        q, r = np.linalg.qr(block)
-        return q[:, np.abs(np.diag(r)) > 1e-10]
-
-    start = np.random.default_rng(seed).normal(size=(n, dimensions + 1))
-    block = orthonormal(start, trivial)
-    basis, images = trivial, []
-    for _ in range(KRYLOV_BLOCKS):
-        if not block.shape[1]:
-            break
-        basis = np.hstack([basis, block])
-        image = multiply(block)
-        images.append(image)
-        block = orthonormal(image, basis)
-    kept = basis[:, 1:]
-    small = kept.T @ np.hstack(images)
-    values, vectors = np.linalg.eigh((small + small.T) / 2.0)
-    top = np.argsort(values)[::-1][:dimensions]
-    spots = kept @ vectors[:, top]
-    peak = np.abs(spots).argmax(axis=0)
-    spots = spots * np.sign(spots[peak, np.arange(spots.shape[1])])
-    return spots * (10.0 / np.abs(spots).max())
+        return durable(table.join(image, "i"))
+
+    table = durable(
+        degrees.select(
+            "i", F.array(F.col("root") / F.lit(norm)).alias("basis"), F.array(*[start(a) for a in range(width)]).alias("block")
+        )
+    )
+    table = _orthonormal(table, "block", "basis")[0]
+    for _ in range(MAX_ROUNDS // KRYLOV_BLOCKS):
+        small = np.zeros((0, 0))
+        for _ in range(KRYLOV_BLOCKS):
+            table = multiply(table)
+            table = table.select("i", F.concat("basis", "block").alias("basis"), F.col("image").alias("block"))
+            table, inner, rest = _orthonormal(table, "block", "basis")
+            inner = inner[1:]
+            size = len(inner)
+            grown = np.zeros((size, size))
+            grown[: len(small), : len(small)] = small
+            grown[:, size - width :] = inner
+            grown[size - width :, :] = inner.T
+            small = grown
+            values, vectors = np.linalg.eigh((small + small.T) / 2.0)
+            top = np.argsort(values)[::-1][:width]
+            missing = np.linalg.norm(rest @ vectors[size - width :, top[:dimensions]], axis=0)
+            if missing.max() < residual:
+                break
+        # the best vectors, and the space's next block if it goes on
+        chosen = np.vstack([np.zeros((1, width)), vectors[:, top]])
+        found = durable(table.withColumn("best", _combine([("basis", chosen)])))
+        if missing.max() < residual:
+            spots = F.slice("best", 1, dimensions)
+            return found.select("i", spots.alias("spots"))
+        table = durable(found.select("i", F.slice("basis", 1, 1).alias("basis"), F.col("best").alias("block")))
+        table = _orthonormal(table, "block", "basis")[0]
+    raise RuntimeError(f"the spectrum is too tight: residual {missing.max():.1e} after {MAX_ROUNDS} rounds")
 
 
 def neighbour_embedding(
@@ -191,43 +308,22 @@ def neighbour_embedding(
     columns: Sequence[str],
     dimensions: int = DIMENSIONS,
     neighbours: int = NEIGHBOURS,
-    landmarks: int = SAMPLE_SIZE,
     seed: int = SEED,
     key: str = "user_id",
     prefix: str = "nb",
+    residual: float = RESIDUAL,
 ) -> DataFrame:
-    """``dimensions`` coordinates per row; every row gets some."""
-    spark = df.sparkSession
-    names, points = _landmarks(df, columns, landmarks, neighbours, seed, key)
-    graph = fuzzy_union(knn_edges(spark, points, neighbours)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        spots = _spectral(graph, len(points), dimensions, seed)
-    finally:
-        graph.unpersist()
-    order = np.argsort(names, kind="stable")
-    shared = spark.sparkContext.broadcast((points, spots, names[order], order))
-    outputs = [f"{prefix}{i + 1}" for i in range(dimensions)]
-
-    def place(batches):
-        points, spots, known, order = shared.value
-        for batch in batches:
-            keys = batch[key].to_numpy()
-            out = np.zeros((len(keys), spots.shape[1]))
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            landmark = known[at] == keys
-            out[landmark] = spots[order[at[landmark]]]
-            rest = np.flatnonzero(~landmark)
-            for part in np.array_split(rest, max(1, len(rest) // _BLOCK)):
-                if not len(part):
-                    continue
-                x = batch[list(columns)].to_numpy(dtype=float)[part]
-                near, apart = _nearest(x, points, neighbours)
-                weights = _edge_weights(apart, neighbours)
-                weights /= weights.sum(axis=1, keepdims=True)
-                out[part] = (spots[near] * weights[:, :, None]).sum(axis=1)
-            frame = pd.DataFrame(out, columns=outputs)
-            frame.insert(0, key, keys)
-            yield frame
-
-    schema = f"{key} long, " + ", ".join(f"{n} double" for n in outputs)
-    return df.select(key, *columns).mapInPandas(place, schema)
+    """``dimensions`` coordinates of every row, the largest of them 10 in size."""
+    near = durable(nearest_neighbours(df, columns, neighbours, seed, key))
+    edges = near.select(F.col(key).alias("i"), F.col("neighbour").alias("j"), "weight")
+    found = spectral(fuzzy_union(edges), dimensions, seed, residual)
+    axes = [F.get("spots", F.lit(i)) for i in range(dimensions)]
+    # the entry of the largest size is positive; of equal ones that of the smallest key
+    ends = found.agg(
+        *[F.max_by(a, F.struct(F.round(F.abs(a), 9), -F.col("i"))).alias(f"e{i}") for i, a in enumerate(axes)]
+    ).first()
+    peak = max(abs(e) for e in ends) or 1.0
+    return found.select(
+        F.col("i").alias(key),
+        *[(a * F.lit((10.0 if e >= 0 else -10.0) / peak)).alias(f"{prefix}{n + 1}") for n, (a, e) in enumerate(zip(axes, ends))],
+    )

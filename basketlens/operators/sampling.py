@@ -13,26 +13,11 @@ SAMPLE_SIZE = 3000
 SEED = 42
 
 
-# Up to this many rows a sample is kept by each task and merged once.
-TOP_N_ROWS = 100_000
-
-
 def sample_n(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = SEED, key: str = "user_id") -> DataFrame:
-    """Exactly ``n`` rows (all rows when there are fewer) in hash order of ``key``.
-
-    A small sample is a top-n per task and one merge, so only ``n`` rows leave a
-    task.  A large one is cut out of the hash order by cells; ``key`` must then
-    be unique.
-    """
-    if n > TOP_N_ROWS:
-        marked = _mark_first(df, [], lambda total: F.lit(n), "_picked", seed, key)
-        return marked.where("_picked").select(*df.columns)
-    return (
-        df.withColumn("_hash", sample_key(F.col(key), seed))
-        .orderBy("_hash", key)
-        .limit(n)
-        .drop("_hash")
-    )
+    """Exactly ``n`` rows (all rows when there are fewer) in hash order of ``key``,
+    which must be unique."""
+    marked = _mark_first(df, [], lambda total: F.lit(n), "_picked", seed, key)
+    return marked.where("_picked").select(*df.columns)
 
 
 def stratified_split(
@@ -45,7 +30,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: round(n * test_size) rows of each label, exactly.
 
-    ``key`` must be unique and ``df`` is read twice.
+    ``key`` must be unique; ``df`` is evaluated once and written.
     """
 
     def target(total: Column) -> Column:
@@ -65,32 +50,40 @@ def _mark_first(
 ) -> DataFrame:
     """Flag the first ``target(rows)`` rows of each group in hash order.
 
-    The hash order is cut into 16**digits cells.  Cells wholly on one side of the
-    target are decided by their running count; only the one cell per group that
-    straddles it is numbered row by row.
+    The hash order is cut into 16**digits cells, and their running counts name the
+    last cell wholly taken and the one that straddles the target; only the rows of
+    that one are numbered, which gives the last hash taken.
     """
-    cells = df.select("*", sample_key(F.col(key), seed).alias("_hash")).withColumn(
-        "_cell", F.substring("_hash", 1, digits)
-    )
-    counted = cells.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    ordered = Window.partitionBy(*by).orderBy("_cell")
+    groups = list(by) or ["_all"]
+    cells = df.select("*", sample_key(F.col(key), seed).alias("_hash"), F.lit(0).alias("_all"))
+    cells = durable(cells.withColumn("_cell", F.substring("_hash", 1, digits)))
+    counted = cells.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    ordered = Window.partitionBy(*groups).orderBy("_cell")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # 16**digits rows per group; written, so that its size decides how it is joined
+    # at most 16**digits rows per group
     bounds = durable(
         counted.select(
-            *by,
+            *groups,
             "_cell",
             F.sum("_rows").over(upto).alias("_upto"),
             (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"),
             target(F.sum("_rows").over(whole)).alias("_target"),
         )
     )
-    placed = cells.join(bounds, [*by, "_cell"])
-    settled = (F.col("_upto") <= F.col("_target")) | (F.col("_before") >= F.col("_target"))
-    inside = Window.partitionBy(*by, "_cell").orderBy("_hash", key)
-    decided = placed.where(settled).withColumn(out, F.col("_upto") <= F.col("_target"))
-    straddling = placed.where(~settled).withColumn(
-        out, F.row_number().over(inside) + F.col("_before") <= F.col("_target")
+    straddling = bounds.where("_before < _target AND _upto > _target")
+    inside = Window.partitionBy(*groups, "_cell").orderBy("_hash", key)
+    taken = (
+        cells.join(straddling, [*groups, "_cell"])
+        .withColumn("_number", F.row_number().over(inside) + F.col("_before"))
+        .where("_number <= _target")
+    )
+    cut = taken.groupBy(*groups).agg(F.max(F.struct("_hash", key)).alias("_cut"))
+    # a row per group; written, so that its size decides how it is joined
+    limits = durable(
+        bounds.groupBy(*groups)
+        .agg(F.max(F.when(F.col("_upto") <= F.col("_target"), F.col("_cell"))).alias("_last"))
+        .join(cut, groups, "left")
     )
-    return decided.unionByName(straddling).select(*df.columns, out)
+    first = (F.col("_cell") <= F.col("_last")) | (F.struct("_hash", key) <= F.col("_cut"))
+    return cells.join(limits, groups).select(*df.columns, F.coalesce(first, F.lit(False)).alias(out))

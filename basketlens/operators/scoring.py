@@ -115,9 +115,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     """Exact area under the ROC curve; tied scores count half."""
     steps = score_steps(df, label, score)
     below_half = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
-    return steps.agg(
-        (F.sum(below_half) / (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
-    )
+    # two counts of billions do not multiply in 64 bits
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return steps.agg((F.sum(below_half) / pairs).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -1,25 +1,23 @@
 """Cluster validity indices.
 
-All but the silhouette come from one pass of per-cluster sums; what remains is a
-table with one row per cluster.  Coordinates are plain numeric columns.
+All but the Euclidean silhouette come from one pass of per-cluster sums; what remains
+is a table with one row per cluster.  Coordinates are plain numeric columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
+from basketlens.operators.blocks import BLOCK_ROWS, block_of, blocks_for, every_block, meet, squared_distances
+from basketlens.operators.partition import fit_together
+from basketlens.operators.sampling import SEED, sample_n
 from basketlens.session import durable
 
-# The sample is held by every task; beyond this it would no longer be small.
-MAX_SILHOUETTE_SAMPLE = 50_000
-
-
 def cluster_sums(
     df: DataFrame, columns: Sequence[str], label: str = "cluster", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -134,81 +132,100 @@ def silhouette_values(
     df: DataFrame,
     columns: Sequence[str],
     labels: Sequence[str] = ("cluster",),
-    sample_size: int = SAMPLE_SIZE,
-    seed: int = SEED,
     key: str = "user_id",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Euclidean silhouette of each row of a seeded sample, within that sample.
+    """Euclidean silhouette of every row among all rows.
 
-    Rows are (key, labeling, silhouette); ``labels`` may name several label
-    columns, which share the distances.  The sample (never more than
-    ``MAX_SILHOUETTE_SAMPLE`` rows) goes to every task as one matrix; a task
-    returns a number per row and labeling, so no pair of rows is ever stored or
-    shuffled.
+    Rows are (key, labeling, silhouette); ``labels`` may name several label columns,
+    which share the distances.  The work is the square of the table's rows, done in
+    pairs of blocks; :func:`silhouette_sq` is linear, and a sample may be scored by
+    handing one in.
     """
-    if not 0 < sample_size <= MAX_SILHOUETTE_SAMPLE:
-        raise ValueError(f"sample_size must be in 1..{MAX_SILHOUETTE_SAMPLE}")
-    spark = df.sparkSession
-    labels = list(labels)
-    sample = sample_n(df.select(key, *labels, *columns), sample_size, seed, key).toPandas()
-    points = sample[list(columns)].to_numpy(dtype=float)
-    codes = {}
-    for label in labels:
-        found, codes[label] = np.unique(sample[label].to_numpy(), return_inverse=True)
-        if not 2 <= len(found) < len(sample):
+    labels, columns = list(labels), list(columns)
+    sizes = durable(
+        df.select(
+            F.inline(F.array(*[F.struct(F.lit(c).alias("labeling"), F.col(c).cast("long").alias("other")) for c in labels]))
+        )
+        .groupBy("labeling", "other")
+        .agg(F.count(F.lit(1)).alias("members"))
+    )
+    # a row per labeling
+    for r in sizes.groupBy("labeling").agg(F.count(F.lit(1)).alias("k"), F.sum("members").alias("n")).collect():
+        if not 2 <= r["k"] < r["n"]:
             raise ValueError(
-                f"a silhouette needs at least 2 clusters and fewer than rows; {label} has "
-                f"{len(found)} in {len(sample)} rows"
+                f"a silhouette needs at least 2 clusters and fewer than rows; {r['labeling']} has "
+                f"{r['k']} in {r['n']} rows"
+            )
+    data = durable(df.select(key, *[F.col(c).cast("long").alias(c) for c in labels], *columns))
+    count = blocks_for(data.count(), block_rows)
+    mine = block_of(F.col(key), count)
+    queries = data.select("*", mine.alias("_q"), every_block(count).alias("_p"))
+    points = data.select("*", mine.alias("_p"), every_block(count).alias("_q"))
+
+    def compare(asking, known):
+        spots, others = (f[columns].to_numpy(dtype=float) for f in (asking, known))
+        apart = np.sqrt(squared_distances(spots, others))
+        parts = []
+        for label in labels:
+            found, codes = np.unique(known[label].to_numpy(), return_inverse=True)
+            member = np.zeros((len(known), len(found)))
+            member[np.arange(len(known)), codes] = 1.0
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "key": np.repeat(asking[key].to_numpy(), len(found)),
+                        "labeling": label,
+                        "own": np.repeat(asking[label].to_numpy(), len(found)),
+                        "other": np.tile(found, len(asking)),
+                        "total": (apart @ member).ravel(),
+                    }
+                )
             )
-    shared = spark.sparkContext.broadcast((points, codes, sample[key].to_numpy()))
-
-    def score(batches):
-        points, codes, keys = shared.value
-        members = {}
-        for label, own in codes.items():
-            members[label] = np.zeros((len(points), own.max() + 1))
-            members[label][np.arange(len(points)), own] = 1.0
-        for batch in batches:
-            spots = batch["id"].to_numpy()
-            for block in np.array_split(spots, max(1, len(spots) // 256)):
-                squared = np.zeros((len(block), len(points)))
-                for axis in range(points.shape[1]):
-                    squared += (points[block, axis, None] - points[None, :, axis]) ** 2
-                distances = np.sqrt(squared)
-                for label, everyone in codes.items():
-                    sizes = members[label].sum(axis=0)
-                    sums = distances @ members[label]
-                    own, row = everyone[block], np.arange(len(block))
-                    inside = sums[row, own] / np.maximum(sizes[own] - 1, 1)
-                    others = sums / sizes
-                    others[row, own] = np.inf
-                    nearest = others.min(axis=1)
-                    scale = np.maximum(inside, nearest)
-                    value = np.divide(
-                        nearest - inside, scale, out=np.zeros_like(scale), where=scale > 0
-                    )
-                    value[sizes[own] == 1] = 0.0
-                    yield pd.DataFrame(
-                        {"key": keys[block], "labeling": label, "silhouette": value}
-                    )
-
-    rows = spark.range(0, len(sample), 1, max(1, min(64, len(sample) // 256)))
-    scored = rows.mapInPandas(score, "key long, labeling string, silhouette double")
-    return scored.withColumnRenamed("key", key)
-
-
-def silhouette(df: DataFrame, columns: Sequence[str], label: str = "cluster", **options) -> DataFrame:
-    values = silhouette_values(df, columns, [label], **options)
+        return pd.concat(parts)
+
+    sums = meet(
+        queries, points, ["_q", "_p"], compare, "key long, labeling string, own long, other long, total double"
+    ).groupBy("key", "labeling", "own", "other").agg(F.sum("total").alias("total"))
+    inside = F.col("own") == F.col("other")
+    per_row = (
+        sums.join(sizes, ["labeling", "other"])
+        .groupBy("key", "labeling")
+        .agg(
+            F.max(F.when(inside, F.col("members"))).alias("n"),
+            F.max(F.when(inside, F.col("total") / F.greatest(F.col("members") - 1, F.lit(1)))).alias("a"),
+            F.min(F.when(~inside, F.col("total") / F.col("members"))).alias("b"),
+        )
+    )
+    scale = F.greatest("a", "b")
+    value = F.when((F.col("n") == 1) | (scale == 0.0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / scale)
+    return per_row.select(F.col("key").alias(key), "labeling", value.alias("silhouette"))
+
+
+def silhouette(
+    df: DataFrame,
+    columns: Sequence[str],
+    label: str = "cluster",
+    sample_size: int | None = None,
+    seed: int = SEED,
+    key: str = "user_id",
+) -> DataFrame:
+    """Mean Euclidean silhouette of all rows, or of a seeded sample among itself."""
+    rows = df if sample_size is None else sample_n(df, sample_size, seed, key)
+    values = silhouette_values(rows, columns, [label], key)
     return values.agg(F.avg("silhouette").alias("silhouette"))
 
 
-def silhouette_sq(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+def silhouette_sq(
+    df: DataFrame, columns: Sequence[str], label: str = "cluster", sums: DataFrame | None = None
+) -> DataFrame:
     """Squared-distance silhouette over every row, in one pass after the sums.
 
     The mean squared distance from a row to a cluster follows from the cluster's
     size, centroid and squared norms, so the cost is rows x clusters.
     """
-    packed = cluster_sums(df, columns, label).agg(
+    sums = cluster_sums(df, columns, label) if sums is None else sums
+    packed = sums.agg(
         F.collect_list(
             F.struct(
                 F.col(label).alias("id"),
@@ -252,39 +269,40 @@ def partition_coefficient(df: DataFrame, memberships: str = "memberships") -> Da
 
 
 def metric_table(
-    df: DataFrame, columns: Sequence[str], method: str, labels: Mapping[int, str], **options
+    df: DataFrame,
+    columns: Sequence[str],
+    method: str,
+    labels: Mapping[int, str],
+    sample_size: int | None = None,
+    key: str = "user_id",
 ) -> DataFrame:
     """Rows (method, k, silhouette, calinski_harabasz, davies_bouldin).
 
-    ``labels`` maps k to the label column of that clustering.  All of them are
-    scored together: one pass of sums, one of spreads, one over the sample.
+    ``labels`` maps k to the label column of that clustering.  With a ``sample_size``
+    the silhouette is the Euclidean one of a seeded sample of that size; without, the
+    squared-distance one of all rows.  Every k costs one pass of sums and one of
+    spreads over the rows as they are.
     """
-    names = list(labels.values())
-    values = silhouette_values(df, columns, names, **options)
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(k).alias("k"), F.col(name).cast("int").alias("cluster"))
-                for k, name in labels.items()
-            ]
+
+    def score_one(k: int, name: str) -> DataFrame:
+        rows = df.select(key, *columns, F.col(name).cast("int").alias("cluster"))
+        sums = durable(cluster_sums(rows, columns))
+        score = (
+            silhouette_sq(rows, columns, sums=sums).withColumnRenamed("silhouette_sq", "silhouette")
+            if sample_size is None
+            else silhouette(rows, columns, sample_size=sample_size, key=key)
         )
-    ).alias("_l")
-    long = df.select(*columns, each).select(*columns, "_l.k", "_l.cluster")
-    number = reduce(
-        lambda acc, item: acc.when(F.col("labeling") == item[1], F.lit(item[0])), labels.items(), F
-    )
-    averaged = values.groupBy(number.alias("k")).agg(F.avg("silhouette").alias("silhouette"))
-    sums = durable(cluster_sums(long, columns, by=["k"]))
-    return (
-        averaged.join(calinski_harabasz(long, columns, by=["k"], sums=sums), "k")
-        .join(davies_bouldin(long, columns, by=["k"], sums=sums), "k")
-        .select(
-            F.lit(method).alias("method"),
-            "k",
-            "silhouette",
-            "calinski_harabasz",
-            "davies_bouldin",
+        # three tables of one row
+        return durable(
+            score.select(F.lit(k).alias("k"), "silhouette")
+            .join(calinski_harabasz(rows, columns, sums=sums).select(F.lit(k).alias("k"), "*"), "k")
+            .join(davies_bouldin(rows, columns, sums=sums).select(F.lit(k).alias("k"), "*"), "k")
         )
+
+    # the small jobs of one k fill the cores that another leaves idle
+    tables = fit_together(df.sparkSession, [partial(score_one, k, name) for k, name in labels.items()])
+    return reduce(DataFrame.unionByName, tables).select(
+        F.lit(method).alias("method"), "k", "silhouette", "calinski_harabasz", "davies_bouldin"
     )
 
 

@@ -1,8 +1,10 @@
-"""Ward clustering of a bounded table of micro-clusters.
+"""Ward clustering over micro-clusters.
 
-A small input is clustered exactly.  A larger one is first condensed by k-means
-on the cluster; its micro-clusters (size and centroid) are what gets merged, and
-the labels are joined back to the rows.  One merge tree serves every k.
+K-means on the executors condenses the rows to at most ``MICRO_CLUSTERS`` centroids,
+whatever the table's size; only these (with their sizes) are merged, and every row
+takes the label of its centroid.  One merge tree serves every k.  With no more
+distinct rows than micro-clusters each row is its own centroid, and the merging is
+Ward's own.
 """
 
 from __future__ import annotations
@@ -10,14 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, functions as F
 
-from basketlens.operators.partition import KS, assemble
+from basketlens.operators.partition import KS, VECTOR, assemble
 from basketlens.operators.sampling import SEED
 
-# Rows merged one by one; the analysis samples exactly this many users.
-EXACT_ROWS = 3000
 MICRO_CLUSTERS = 500
 
 
@@ -74,44 +75,45 @@ def cut_tree(merges, leaves: int, k: int):
     return [names.setdefault(root(i), len(names)) for i in range(leaves)]
 
 
+def micro_clusters(df: DataFrame, columns: Sequence[str], k: int = MICRO_CLUSTERS, seed: int = SEED):
+    """The rows with the number of their micro-cluster, ``_micro``, and the clusters'
+    sizes and centroids (at most ``k`` rows)."""
+    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=k, seed=seed, featuresCol=VECTOR, predictionCol="_micro").fit(vectors)
+    finally:
+        vectors.unpersist()
+    rows = model.transform(assemble(df, columns)).drop(VECTOR)
+    table = rows.groupBy("_micro").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(c).alias(c) for c in columns]
+    )
+    return rows, table
+
+
+def merge_heights(sizes, centroids) -> list[float]:
+    """Merge costs of the whole tree, lowest first."""
+    return [height for height, _, _ in ward_merges(sizes, centroids)]
+
+
 def ward(
     df: DataFrame,
     columns: Sequence[str],
     ks: Sequence[int] = KS,
     key: str = "user_id",
-    exact_rows: int = EXACT_ROWS,
-    micro_clusters: int = MICRO_CLUSTERS,
+    condense_to: int = MICRO_CLUSTERS,
     seed: int = SEED,
 ) -> DataFrame:
     """Rows with one label column ``cluster_<k>`` per requested k."""
-    spark = df.sparkSession
-    exact = df.limit(exact_rows + 1).count() <= exact_rows
-    if exact:
-        rows, leaf = df, key
-        table = df.select(F.col(key).alias("leaf"), F.lit(1.0).alias("n"), *columns)
-    else:
-        # Lloyd passes over all rows; micro_clusters centroids come out
-        model = KMeans(k=micro_clusters, seed=seed, featuresCol="_features").fit(
-            assemble(df, columns)
-        )
-        rows, leaf = model.transform(assemble(df, columns)).drop("_features"), "_micro"
-        rows = rows.withColumnRenamed("prediction", leaf)
-        table = rows.groupBy(F.col(leaf).alias("leaf")).agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            *[F.avg(c).alias(c) for c in columns],
-        )
-    # at most max(exact_rows, micro_clusters) rows
-    leaves = table.toPandas().sort_values("leaf")
+    rows, table = micro_clusters(df, columns, condense_to, seed)
+    # model state: at most ``condense_to`` centroids, never rows
+    leaves = table.toPandas().sort_values("_micro")
     merges = ward_merges(leaves["n"].to_numpy(), leaves[list(columns)].to_numpy(dtype=float))
-    labels = leaves[["leaf"]].rename(columns={"leaf": leaf})
+    names = leaves["_micro"].tolist()
+    # a label is a look-up by centroid number inside the row's own expression
+    labels = {}
     for k in ks:
-        labels[f"cluster_{k}"] = np.array(cut_tree(merges, len(leaves), k), dtype="int32")
-    small = spark.createDataFrame(labels)
-    joined = rows.join(F.broadcast(small), leaf)
-    return joined.select(*df.columns, *[F.col(f"cluster_{k}") for k in ks])
-
-
-def ward_labels(labelled: DataFrame, k: int) -> DataFrame:
-    """The labels of one k under the common name ``cluster``."""
-    kept = [c for c in labelled.columns if not c.startswith("cluster_")]
-    return labelled.select(*kept, F.col(f"cluster_{k}").alias("cluster"))
+        by_micro = np.full(max(names) + 1, -1)
+        by_micro[names] = cut_tree(merges, len(leaves), k)
+        known = F.array(*[F.lit(int(v)) for v in by_micro])
+        labels[f"cluster_{k}"] = F.get(known, F.col("_micro")).cast("int")
+    return rows.select(*df.columns, *[c.alias(n) for n, c in labels.items()])

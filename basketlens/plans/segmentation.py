@@ -27,7 +27,7 @@ from basketlens.operators.partition import (
 )
 from basketlens.operators.quality import drop_null_rows
 from basketlens.operators.reduce import pca
-from basketlens.operators.sampling import SAMPLE_SIZE, SEED, sample_n
+from basketlens.operators.sampling import SEED
 from basketlens.operators.ward import ward
 from basketlens.session import durable
 from basketlens.sources.schemas import FEATURES
@@ -43,14 +43,6 @@ class Representation:
     columns: tuple[str, ...]
 
 
-def sample_then_scale(features: DataFrame, n: int = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    return standardize(durable(sample_n(features, n, seed)))
-
-
-def scale_then_sample(features: DataFrame, n: int = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
-    return sample_n(standardize(features), n, seed)
-
-
 def representation(scaled: DataFrame, name: str, key: str = "user_id") -> Representation:
     """``scaled`` under one of the names raw, Autoencoder, PCA, Neighbours."""
     builders = {
@@ -97,11 +89,12 @@ def round_results(metrics: DataFrame, places: int = 4, index_places: int = 2) ->
     )
 
 
-def _scores(labelled: DataFrame, rep: Representation, ks: Sequence[int]) -> DataFrame:
+def _scores(
+    labelled: DataFrame, rep: Representation, ks: Sequence[int], sample_size: int | None = None
+) -> DataFrame:
     """Metric rows of a table that holds a label column ``cluster_<k>`` per k."""
-    return validity.metric_table(
-        durable(labelled), rep.columns, rep.name, {k: f"cluster_{k}" for k in ks}
-    )
+    labels = {k: f"cluster_{k}" for k in ks}
+    return validity.metric_table(durable(labelled), rep.columns, rep.name, labels, sample_size)
 
 
 def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
@@ -117,15 +110,19 @@ def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
         vectors.unpersist()
 
 
-def kmeans_sweep(rep: Representation, ks: Sequence[int] = KS, restarts: int = 1) -> DataFrame:
+def kmeans_sweep(
+    rep: Representation, ks: Sequence[int] = KS, restarts: int = 1, sample_size: int | None = None
+) -> DataFrame:
+    """With a ``sample_size`` the silhouette is the Euclidean one of such a sample."""
+
     def fit(vectors, k):
         return fit_kmeans(vectors, k, restarts=restarts)
 
-    return _scores(_fit_each(rep, ks, fit), rep, ks)
+    return _scores(_fit_each(rep, ks, fit), rep, ks, sample_size)
 
 
 def gmm_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:
-    return _scores(_fit_each(rep, ks, fit_gmm), rep, ks)
+    return round_results(_scores(_fit_each(rep, ks, fit_gmm), rep, ks))
 
 
 def fuzzy_sweep(
@@ -143,7 +140,7 @@ def fuzzy_sweep(
 
 
 def ward_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:
-    return _scores(ward(rep.rows, rep.columns, ks), rep, ks)
+    return round_results(_scores(ward(rep.rows, rep.columns, ks), rep, ks))
 
 
 def sweep_representations(reps: Mapping[str, Representation], sweep, **options) -> DataFrame:
@@ -162,11 +159,11 @@ def fuzzy_cmeans_reps(reps: Mapping[str, Representation], ks: Sequence[int] = KS
 
 
 def ward_reps(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> DataFrame:
-    return round_results(sweep_representations(reps, ward_sweep, ks=ks))
+    return sweep_representations(reps, ward_sweep, ks=ks)
 
 
 def gmm_reps(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> DataFrame:
-    return round_results(sweep_representations(reps, gmm_sweep, ks=ks))
+    return sweep_representations(reps, gmm_sweep, ks=ks)
 
 
 @dataclass(frozen=True)
@@ -179,14 +176,13 @@ class FinalModel:
 def final_model(
     features: DataFrame,
     c: int = 2,
-    n: int = SAMPLE_SIZE,
     reduced: str = "Neighbours",
     seed: int = SEED,
 ) -> FinalModel:
-    """Fuzzy c-means on a reduced view of sampled users without missing features."""
-    sampled = durable(sample_n(drop_null_rows(features, FEATURES), n, seed))
-    rep = representation(standardize(sampled), reduced)
+    """Fuzzy c-means on a reduced view of all users without missing features."""
+    complete = durable(drop_null_rows(features, FEATURES))
+    rep = representation(standardize(complete), reduced)
     rows = durable(rep.rows)
     model = fuzzy_cmeans(rows, rep.columns, [c], seed=seed)[c]
     labels = model.transform(rows).select("user_id", "memberships", "cluster")
-    return FinalModel(sampled.join(labels, "user_id"), model.centres, model.fpc)
+    return FinalModel(complete.join(labels, "user_id"), model.centres, model.fpc)

@@ -123,8 +123,9 @@ class RetailTables:
     # -- basket lines -------------------------------------------------------
 
     @cached_property
-    def lines(self) -> DataFrame:
-        """All basket lines, with the set their order belongs to."""
+    def _placed_lines(self) -> DataFrame:
+        """Basket lines with their place in the basket and their order's in the
+        user's history."""
         raw = self._read("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
@@ -161,11 +162,17 @@ class RetailTables:
                 .withColumn("add_to_cart_order", F.row_number().over(place).cast("long"))
                 .unionByName(by_cells)
             )
-        joined = numbered.join(history, "order_id")
-        return self._mark_reordered(joined).select(
+        return numbered.join(history, "order_id").withColumn(
+            "add_to_cart_order", F.col("add_to_cart_order").cast("int")
+        )
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """All basket lines, with the set their order belongs to."""
+        return self._mark_reordered(self._placed_lines).select(
             "order_id",
             "product_id",
-            F.col("add_to_cart_order").cast("int").alias("add_to_cart_order"),
+            "add_to_cart_order",
             (F.col("order_number") > F.col("_first")).cast("int").alias("reordered"),
             F.col("is_last"),
         )
@@ -197,7 +204,21 @@ class RetailTables:
 
     @cached_property
     def order_products_train(self) -> DataFrame:
-        return self.lines.where("is_last").drop("is_last")
+        """Lines of last orders.
+
+        A (user, product) pair's first and last order are one grouping with partial
+        sums; the window over all lines is not needed.
+        """
+        ends = self._placed_lines.groupBy("user_id", "product_id").agg(
+            F.min("order_number").alias("_first"),
+            F.max(F.struct("order_number", "order_id", "add_to_cart_order", "is_last")).alias("_end"),
+        )
+        return ends.where("_end.is_last").select(
+            "_end.order_id",
+            "product_id",
+            "_end.add_to_cart_order",
+            (F.col("_end.order_number") > F.col("_first")).cast("int").alias("reordered"),
+        )
 
     @cached_property
     def order_products_prior(self) -> DataFrame:

@@ -312,11 +312,9 @@ def _metric_ctes(source: str) -> str:
     n = len(FEATURES)
     return f"""
 , lab AS ({source}),
-picked AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY tag, k
-  ORDER BY {_KEY}, user_id) <= 3000),
 pairs AS (SELECT a.tag, a.k, a.user_id, a.cluster AS own, b.cluster AS other,
     sum(list_distance(a.v, b.v)) AS s, count(*) AS n
-  FROM picked a JOIN picked b ON a.tag = b.tag AND a.k = b.k GROUP BY ALL),
+  FROM lab a JOIN lab b ON a.tag = b.tag AND a.k = b.k GROUP BY ALL),
 per_row AS (SELECT tag, k, user_id,
     max(CASE WHEN own = other THEN n END) AS own_n,
     max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a,
@@ -375,8 +373,8 @@ GIVEN = _metric_ctes(
         f"{_VECTOR} AS v FROM t_scaled"
         for k in (2, 3, 4)
     )
-) + """, metrics AS (SELECT tag AS method, k, silhouette, calinski_harabasz, davies_bouldin
-  FROM sil JOIN ch USING (tag, k) JOIN db USING (tag, k))
+) + """, metrics AS (SELECT tag AS method, k, silhouette_sq AS silhouette, calinski_harabasz, davies_bouldin
+  FROM sil_sq JOIN ch USING (tag, k) JOIN db USING (tag, k))
 """
 _METRICS = rounded(("silhouette", "calinski_harabasz", "davies_bouldin"))
 BODIES["stack_results"] = GIVEN + f"SELECT method, k, {_METRICS} FROM metrics"
@@ -428,8 +426,7 @@ BODIES["profile_delta"] = _means(4) + "SELECT cluster, " + ", ".join(
     _half_even(f"({c} - overall_{c})", c) for c in FEATURES
 ) + " FROM m, o"
 
-BODIES["nearest_neighbours"] = f""", p AS (SELECT user_id, {_VECTOR} AS v FROM t_scaled
-  ORDER BY {_KEY}, user_id LIMIT 3000),
+BODIES["nearest_neighbours"] = f""", p AS (SELECT user_id, {_VECTOR} AS v FROM t_scaled),
 d AS (SELECT a.user_id, list_distance(a.v, b.v) AS distance
   FROM p a JOIN p b ON a.user_id <> b.user_id)
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY distance) AS INTEGER) AS place,

@@ -24,6 +24,7 @@ from basketlens.operators import (
     validity,
     ward as ward_ops,
 )
+from basketlens.operators import autoencoder as autoencoder_ops
 from basketlens.operators.autoencoder import autoencode as encode, train_autoencoder
 from basketlens.plans import churn as churn_plan, segmentation
 from basketlens.session import durable
@@ -639,8 +640,15 @@ def autoencoder(t):
 
 @query
 def autoencode(t):
-    sample = segmentation.sample_then_scale(train_features(t))
-    return encode(durable(sample), FEATURES)
+    return encode(durable(scaled_users(t)), FEATURES)
+
+
+@query
+def autoencoder_step(t):
+    """Loss and gradient sums of the first step, from fixed weights."""
+    weights = np.sin(np.arange(1, 187)) / 2.0
+    sums = autoencoder_ops.gradient_sums(scaled_users(t), FEATURES, weights)
+    return six(sums.where("pos < 0 OR pos >= 159"), "value")
 
 
 @query
@@ -666,61 +674,57 @@ def _raw(t: RetailTables) -> segmentation.Representation:
     return segmentation.representation(scaled_users(t), "raw")
 
 
-def _pca(t: RetailTables) -> dict[str, segmentation.Representation]:
-    sample = segmentation.sample_then_scale(train_features(t))
-    return segmentation.representations(sample, ["PCA"])
+def _reduced(t: RetailTables, name: str) -> dict[str, segmentation.Representation]:
+    return segmentation.representations(scaled_users(t), [name])
 
 
+# the sample is the analysis' own, for this one silhouette
 @query
 def kmeans_sweep(t):
-    return segmentation.kmeans_sweep(_raw(t), ks=[2, 3, 4])
-
-
-@query
-def kmeans_reps(t):
-    return segmentation.kmeans_reps(_pca(t), ks=[3])
+    return segmentation.kmeans_sweep(_raw(t), sample_size=sampling.SAMPLE_SIZE)
 
 
 @query
 def fuzzy_cmeans(t):
-    sample = durable(segmentation.sample_then_scale(train_features(t)))
-    return segmentation.fuzzy_sweep(segmentation.representation(sample, "raw"), ks=[2])
-
-
-@query
-def fuzzy_cmeans_reps(t):
-    return segmentation.fuzzy_cmeans_reps(_pca(t), ks=[2])
+    return segmentation.fuzzy_sweep(_raw(t))
 
 
 @query
 def ward(t):
     """Labels of one merge tree for k = 2..9."""
-    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
-    return ward_ops.ward(sample, FEATURES).select(
+    return ward_ops.ward(durable(scaled_users(t)), FEATURES).select(
         "user_id", *[f"cluster_{k}" for k in partition.KS]
     )
 
 
 @query
 def ward_sweep(t):
-    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
-    return segmentation.ward_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+    return segmentation.ward_sweep(_raw(t))
 
 
 @query
-def ward_reps(t):
-    return segmentation.ward_reps(_pca(t), ks=[2, 3])
+def gmm(t):
+    return segmentation.gmm_sweep(_raw(t))
 
 
-@query
-def gmm(t):
-    sample = durable(segmentation.scale_then_sample(durable(train_features(t))))
-    return segmentation.gmm_sweep(segmentation.representation(sample, "raw"), ks=[2, 3])
+def _per_representation(name, sweep):
+    """One query per representation, each over k = 2..9; the plain name is PCA's."""
 
+    def register(suffix, reduced):
+        def run(t):
+            return sweep(_reduced(t, reduced))
+
+        run.__name__ = f"{name}{suffix}"
+        query(run)
+
+    for suffix, reduced in (("", "PCA"), ("_autoencoder", "Autoencoder"), ("_neighbours", "Neighbours")):
+        register(suffix, reduced)
 
-@query
-def gmm_reps(t):
-    return segmentation.gmm_reps(_pca(t), ks=[2])
+
+_per_representation("kmeans_reps", segmentation.kmeans_reps)
+_per_representation("fuzzy_cmeans_reps", segmentation.fuzzy_cmeans_reps)
+_per_representation("ward_reps", segmentation.ward_reps)
+_per_representation("gmm_reps", segmentation.gmm_reps)
 
 
 @query
@@ -728,12 +732,47 @@ def final_model(t):
     return profiles.cluster_profiles(segmentation.final_model(train_features(t)).labelled)
 
 
+def _churn_run(t: RetailTables) -> churn_plan.ChurnRun:
+    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS)
+
+
 @query
 def churn_model(t):
-    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS, trees=20).report()
+    return _churn_run(t).report()
 
 
 @query
 def churn_predict(t):
-    run = churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS, trees=20)
-    return run.scored.select("user_id", "churn", "prediction", "score")
+    return _churn_run(t).scored.select("user_id", "churn", "prediction", "score")
+
+
+@query
+def churn_evaluation(t):
+    """Confusion counts and areas of the fitted model on its test users."""
+    run = _churn_run(t)
+    counts = run.confusion().select(
+        F.concat(F.lit("actual "), "actual", F.lit(" predicted "), "predicted").alias("measure"),
+        F.col("n").cast("double").alias("value"),
+    )
+    areas = run.areas().select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("measure"), F.col(c).alias("value"))
+                    for c in ("roc_auc", "average_precision")
+                ]
+            )
+        )
+    )
+    return counts.unionByName(areas)
+
+
+@query
+def churn_curves(t):
+    """Both curves of the fitted model on its test users."""
+    run = _churn_run(t)
+    roc = run.roc().select(F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold")
+    pr = run.precision_recall().select(
+        F.lit("precision_recall").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"), "threshold"
+    )
+    return roc.unionByName(pr)

@@ -218,12 +218,11 @@ def test_sampling_ignores_partitioning(spark):
     assert sampling.sample_n(df, 9999).count() == 500
 
 
-def test_large_samples_pick_the_same_rows(spark, monkeypatch):
+def test_samples_of_every_size(spark):
     df = spark.range(0, 500).select(F.col("id").alias("user_id"))
-    small = {r.user_id for r in sampling.sample_n(df, 333).collect()}
-    monkeypatch.setattr(sampling, "TOP_N_ROWS", 100)
-    assert {r.user_id for r in sampling.sample_n(df, 333).collect()} == small
-    assert sampling.sample_n(df, 501).count() == 500
+    ordered = [r.user_id for r in df.orderBy(scalars.sample_key(F.col("user_id"), sampling.SEED)).collect()]
+    for n in (0, 1, 333, 500, 501):
+        assert {r.user_id for r in sampling.sample_n(df, n).collect()} == set(ordered[:n])
 
 
 @pytest.mark.parametrize("digits", [1, 4])
@@ -254,8 +253,25 @@ def test_silhouette_limits(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0)], "user_id long, cluster int, x double")
     with pytest.raises(ValueError):
         validity.silhouette(df, ["x"])
-    with pytest.raises(ValueError):
-        validity.silhouette(df, ["x"], sample_size=10**6)
+
+
+def test_silhouette_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x, labels = rng.normal(size=(70, 2)), rng.integers(0, 3, 70)
+    df = spark.createDataFrame(
+        [(i, int(c), *map(float, p)) for i, (c, p) in enumerate(zip(labels, x))], "user_id long, cluster int, x double, y double"
+    )
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    expected = {}
+    for i in range(70):
+        means = {c: d[i, labels == c].sum() / max((labels == c).sum() - (c == labels[i]), 1) for c in range(3)}
+        a = means.pop(labels[i])
+        expected[i] = (min(means.values()) - a) / max(a, min(means.values()))
+    for size in (16, 4096):
+        values = validity.silhouette_values(df, ["x", "y"], block_rows=size).collect()
+        assert {r.user_id: r.silhouette for r in values} == pytest.approx(expected)
+    part = validity.silhouette(df, ["x", "y"], sample_size=40).first()[0]
+    assert part == pytest.approx(validity.silhouette(sampling.sample_n(df, 40), ["x", "y"]).first()[0])
 
 
 def test_best_model(spark):

@@ -106,29 +106,35 @@ def test_ward_matches_direct_merging(spark, seed):
 
 
 def test_ward_on_micro_clusters(blobs):
-    rows = ward.ward(blobs, XY, [2, 3], exact_rows=50, micro_clusters=12).collect()
+    rows = ward.ward(blobs, XY, [2, 3], condense_to=12).collect()
     assert len(rows) == 120
     assert same_groups(rows, "cluster_3")
     assert len({r.cluster_2 for r in rows}) == 2
 
 
-def test_ward_labels(blobs):
-    out = ward.ward_labels(ward.ward(blobs, XY, [2, 3]), 3)
-    assert out.columns == ["user_id", "truth", "x", "y", "cluster"]
-    assert same_groups(out.collect())
+def test_merge_heights(spark):
+    """Three groups on a line: the two near ones merge first, at known costs."""
+    heights = ward.merge_heights([2.0, 3.0, 5.0], [[0.0], [1.0], [10.0]])
+    centre = 3.0 / 5.0
+    assert heights == pytest.approx([2 * 3 / 5 * 1.0, 5 * 5 / 10 * (10.0 - centre) ** 2])
+
+
+def labelled(df, fit, *args, **options):
+    vectors = partition.assemble(df, XY)
+    return partition.add_labels(fit(vectors, *args, **options), vectors).drop(partition.VECTOR)
 
 
 def test_kmeans_and_mixture_find_blobs(blobs):
-    assert same_groups(partition.kmeans(blobs, XY, 3, restarts=3).collect())
-    labelled = partition.gmm(blobs, XY, 3).collect()
-    assert len(labelled) == 120 and {r.cluster for r in labelled} <= {0, 1, 2}
+    assert same_groups(labelled(blobs, partition.fit_kmeans, 3, restarts=3).collect())
+    rows = labelled(blobs, partition.fit_gmm, 3).collect()
+    assert len(rows) == 120 and {r.cluster for r in rows} <= {0, 1, 2}
 
 
 def test_elbow_matches_inertia(blobs):
     costs = {r.k: r.inertia for r in partition.kmeans_elbow(blobs, XY, [2, 3]).collect()}
     assert costs[3] < costs[2]
-    labelled = partition.kmeans(blobs, XY, 3, seed=partition.ELBOW_SEED)
-    assert validity.inertia(labelled, XY).first()[0] == pytest.approx(costs[3])
+    rows = labelled(blobs, partition.fit_kmeans, 3, seed=partition.ELBOW_SEED)
+    assert validity.inertia(rows, XY).first()[0] == pytest.approx(costs[3])
 
 
 def test_pca_matches_svd(blobs):
@@ -156,7 +162,7 @@ def test_autoencoder_gradient():
 
 def test_autoencoder(blobs):
     scaled = durable(blobs.select("user_id", (F.col("x") / 5).alias("x"), (F.col("y") / 5).alias("y")))
-    model = autoencoder.train_autoencoder(scaled, XY, epochs=12, batch_size=16)
+    model = autoencoder.train_autoencoder(scaled, XY, epochs=40, learning_rate=0.03)
     assert len(model.flat) == 2 * 8 + 8 + 8 * 3 + 3 + 3 * 8 + 8 + 8 * 2 + 2
     assert model.losses[-1] < model.losses[0] / 2
     layers = autoencoder._unpack(model.flat, autoencoder._shapes(2, 8, 3))
@@ -164,33 +170,48 @@ def test_autoencoder(blobs):
     code = np.maximum(np.maximum(x @ layers[0][0] + layers[0][1], 0) @ layers[1][0] + layers[1][1], 0)
     found = model.transform(scaled).orderBy("user_id").toPandas()[["ae1", "ae2", "ae3"]]
     assert found.to_numpy() == pytest.approx(code, abs=1e-9)
-    again = autoencoder.train_autoencoder(scaled.repartition(7), XY, epochs=12, batch_size=16)
+    again = autoencoder.train_autoencoder(scaled.repartition(7), XY, epochs=40, learning_rate=0.03)
     assert again.flat == pytest.approx(model.flat, abs=1e-9)
 
 
-def test_nearest_neighbours_are_exact(spark):
-    x = np.round(np.random.default_rng(4).normal(size=(60, 3)), 1)
+def points(spark, x):
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "user_id long, " + ", ".join(f"x{i} double" for i in range(x.shape[1])))
+
+
+@pytest.mark.parametrize("options", [{}, {"cells": 7, "block_rows": 11}])
+def test_nearest_neighbours_are_exact(spark, options):
+    x = np.round(np.random.default_rng(4).normal(size=(120, 3)), 1)
     x[7] = x[8] = x[9]
-    edges = neighbours.knn_edges(spark, x, 5).toPandas()
+    near = neighbours.nearest_neighbours(points(spark, x), ["x0", "x1", "x2"], 5, **options).toPandas()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    for i in range(60):
-        mine = edges[edges.i == i]
-        assert len(mine) == 5 and i not in set(mine.j)
+    for i in range(120):
+        mine = near[near.user_id == i]
+        assert len(mine) == 5 and i not in set(mine.neighbour)
         assert sorted(mine.distance) == pytest.approx(sorted(d[i])[:5])
-    assert edges.weight.between(0, 1).all()
-    graph = neighbours.fuzzy_union(neighbours.knn_edges(spark, x, 5)).toPandas()
-    w = np.zeros((60, 60))
+        assert mine.distance.to_numpy() == pytest.approx(d[i, mine.neighbour.to_numpy()])
+    assert near.weight.between(0, 1).all()
+    edges = near.rename(columns={"user_id": "i", "neighbour": "j"})
+    graph = neighbours.fuzzy_union(spark.createDataFrame(edges[["i", "j", "weight"]])).toPandas()
+    w = np.zeros((120, 120))
     w[edges.i, edges.j] = edges.weight
     both = w + w.T - w * w.T
     assert (graph.weight > 0).sum() == (both > 0).sum()
     assert graph.weight.to_numpy() == pytest.approx(both[graph.i, graph.j])
 
 
+def test_too_few_neighbours(blobs):
+    with pytest.raises(ValueError, match="more than"):
+        neighbours.nearest_neighbours(blobs.limit(5), XY, 5)
+
+
 def test_spectral_coordinates_match_dense(spark):
     x = np.random.default_rng(6).normal(size=(90, 3))
-    graph = neighbours.fuzzy_union(neighbours.knn_edges(spark, x, 12))
-    found = neighbours._spectral(graph, 90, 3, 42)
+    near = neighbours.nearest_neighbours(points(spark, x), ["x0", "x1", "x2"], 12)
+    edges = near.select(F.col("user_id").alias("i"), F.col("neighbour").alias("j"), "weight")
+    graph = durable(neighbours.fuzzy_union(edges))
+    found = np.array([r.spots for r in neighbours.spectral(graph, 3).orderBy("i").collect()])
     w = np.zeros((90, 90))
     for r in graph.collect():
         w[r.i, r.j] = r.weight
@@ -198,25 +219,21 @@ def test_spectral_coordinates_match_dense(spark):
     values, vectors = np.linalg.eigh(w / root[:, None] / root[None, :])
     top = vectors[:, ::-1][:, 1:4]
     for c in range(3):
-        a, b = found[:, c] / np.linalg.norm(found[:, c]), top[:, c]
-        assert abs(a @ b) == pytest.approx(1.0, abs=1e-6)
+        assert abs(found[:, c] @ top[:, c]) == pytest.approx(1.0, abs=1e-5)
 
 
 def test_embedding_places_every_row(blobs):
-    out = neighbours.neighbour_embedding(blobs, XY, landmarks=60, neighbours=10)
+    out = neighbours.neighbour_embedding(blobs, XY, neighbours=45)
     joined = out.join(blobs, "user_id").collect()
     assert len(joined) == 120
-    spots = {t: np.array([[r.nb1, r.nb2, r.nb3] for r in joined if r.truth == t]) for t in range(3)}
+    assert max(abs(v) for r in joined for v in (r.nb1, r.nb2, r.nb3)) == pytest.approx(10.0)
+    # two axes tell three groups apart; the third one varies inside a group
+    spots = {t: np.array([[r.nb1, r.nb2] for r in joined if r.truth == t]) for t in range(3)}
     for a, b in itertools.combinations(range(3), 2):
         gap = np.linalg.norm(spots[a].mean(0) - spots[b].mean(0))
         assert gap > 2 * max(spots[a].std(), spots[b].std())
 
 
-def test_embedding_limits(blobs):
-    with pytest.raises(ValueError):
-        neighbours.neighbour_embedding(blobs, XY, landmarks=10**6)
-
-
 @pytest.mark.parametrize(
     "sweep", [segmentation.kmeans_sweep, segmentation.ward_sweep, segmentation.fuzzy_sweep, segmentation.gmm_sweep]
 )

@@ -30,6 +30,17 @@ def test_roc_auc(case):
     assert scoring.roc_auc(df).first()[0] == pytest.approx(wins / len(pos) / len(neg))
 
 
+def test_roc_auc_of_billions(spark, monkeypatch):
+    """The product of two counts above 3.1e9 does not fit a 64-bit number."""
+    steps = spark.createDataFrame(
+        [(0.9, 4 * 10**9, 10**9, 4 * 10**9, 10**9), (0.1, 10**9, 3 * 10**9, 5 * 10**9, 4 * 10**9)],
+        "score double, pos long, neg long, tp long, fp long",
+    )
+    monkeypatch.setattr(scoring, "score_steps", lambda *_: steps)
+    expected = (1 * 2 + 3 * 4.5) / 20
+    assert scoring.roc_auc(steps).first()[0] == pytest.approx(expected)
+
+
 def test_average_precision(case):
     y, s, df = case
     total, last, area = y.sum(), 0, 0.0
