@@ -79,26 +79,6 @@ def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
     return estimator.fit(vectors)
 
 
-def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, restarts: int = 1) -> DataFrame:
-    """Rows with their cluster.  Full passes replace mini-batches: they are
-    spread over all executors."""
-    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = fit_kmeans(vectors, k, seed, restarts)
-    finally:
-        vectors.unpersist()
-    return add_labels(model, assemble(df, columns)).drop(VECTOR)
-
-
-def gmm(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED) -> DataFrame:
-    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = fit_gmm(vectors, k, seed)
-    finally:
-        vectors.unpersist()
-    return add_labels(model, assemble(df, columns)).drop(VECTOR)
-
-
 def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS, seed: int = ELBOW_SEED) -> DataFrame:
     """Within-cluster squared error per cluster count."""
     vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)

@@ -40,6 +40,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         )
 
 
+def durable_folder(spark: SparkSession) -> str:
+    """Where written intermediate tables go: the session's checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+_written: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 
@@ -48,7 +57,18 @@ def durable(df: DataFrame) -> DataFrame:
     table, it also tells the optimizer its size and is read column by column.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{durable_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables :func:`durable` wrote in this process, once nothing reads
+    them any more; returns how many there were."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(configuration).delete(path, True))
+    return removed

@@ -21,9 +21,6 @@ class ShopTables:
     def named(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def map(self, fn) -> "ShopTables":
-        return ShopTables(**{name: fn(df) for name, df in self.named().items()})
-
 
 def load_table(spark: SparkSession, directory: str, name: str, fmt: str = "csv") -> DataFrame:
     """One table with its declared schema; text files are never scanned to infer it."""

@@ -138,6 +138,10 @@ _COLUMNS = {
 
 # -- sources, quality -------------------------------------------------------
 
+BODIES["load_delimited"] = """SELECT l.order_id, product_id, add_to_cart_order, reordered,
+  CASE WHEN is_last THEN 'train' ELSE 'prior' END AS eval_set,
+  CAST(dayofweek(o_orderdate) AS INTEGER) AS order_dow, p_brand AS aisle
+FROM t_lines l JOIN orders ON o_orderkey = l.order_id JOIN part ON p_partkey = product_id"""
 BODIES["load_tables"] = "SELECT * FROM t_lines_all".replace(
     "t_lines_all",
     "(SELECT order_id, product_id, add_to_cart_order, reordered, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -27,7 +28,7 @@ from basketlens.operators import (
 from basketlens.operators import autoencoder as autoencoder_ops
 from basketlens.operators.autoencoder import autoencode as encode, train_autoencoder
 from basketlens.plans import churn as churn_plan, segmentation
-from basketlens.session import durable
+from basketlens.session import durable, durable_folder
 from basketlens.sources import tables as table_io
 from basketlens.sources.retail import RetailTables
 from basketlens.sources.schemas import FEATURES
@@ -75,6 +76,23 @@ def load_tables(t):
     return t.lines.select("order_id", "product_id", "add_to_cart_order", "reordered", eval_set)
 
 
+@query
+def load_delimited(t):
+    """All six tables written as delimited files, loaded again; the basket lines."""
+    folder = f"{durable_folder(t.spark)}/shop-{uuid.uuid4().hex}"
+    table_io.write_tables(t.tables(), folder, "csv")
+    shop = table_io.load_tables(t.spark, folder, "csv")
+    lines = shop.order_products_prior.withColumn("eval_set", F.lit("prior")).unionByName(
+        shop.order_products_train.withColumn("eval_set", F.lit("train"))
+    )
+    named = lines.join(shop.orders.select("order_id", "order_dow"), "order_id").join(
+        shop.products.select("product_id", "aisle_id"), "product_id"
+    )
+    return named.join(shop.aisles, "aisle_id").select(
+        "order_id", "product_id", "add_to_cart_order", "reordered", "eval_set", "order_dow", "aisle"
+    )
+
+
 @query
 def raw_orders(t):
     return t.orders

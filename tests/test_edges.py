@@ -1,5 +1,7 @@
 """Hand-made tables for missing values, ties and degenerate groups."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -283,3 +285,15 @@ def test_best_model(spark):
     assert (ranked[0].method, ranked[0].k) == ("a", 2)
     assert ranked[0].mean_rank == pytest.approx(4 / 3)
     assert [r.silhouette_rank for r in ranked if r.method == "b"] == [2, 2]
+
+
+def test_written_tables_can_be_removed(spark):
+    from basketlens import session
+
+    kept = list(session._written)
+    session._written.clear()
+    table = session.durable(spark.range(3))
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    assert session.clean_up(spark) == 1 and not os.path.exists(path)
+    session._written.extend(kept)
