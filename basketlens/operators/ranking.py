@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketlens.session import durable
+
 # A key with more rows than this is split.
 HOT_ROWS = 1_000_000
 
@@ -20,28 +22,28 @@ HOT_ROWS = 1_000_000
 _PROBE_ROWS = 200
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, seed: int = 42) -> list[tuple]:
-    """Keys owning more than about ``limit`` rows, at most 2 * rows / limit of them.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, seed: int = 42) -> DataFrame | None:
+    """Written table of the keys owning more than about ``limit`` rows, at most
+    2 * rows / limit of them; None if there are none.
 
     No key can be that large in a small table, which the row count (file footers
     only) tells.  Otherwise a thin row sample is counted.  Results never depend
-    on the list: it only decides which of two exact plans a key takes.
+    on the keys: they only decide which of two exact plans a key takes.
     """
     if df.count() <= limit:
-        return []
+        return None
     fraction = min(1.0, _PROBE_ROWS / limit)
     probe = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed)
     threshold = limit if fraction == 1.0 else _PROBE_ROWS // 2
     counted = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return [tuple(r) for r in counted.where(F.col("_rows") > threshold).select(*keys).collect()]
+    found = durable(counted.where(F.col("_rows") > threshold).select(*keys))
+    return None if found.isEmpty() else found
 
 
-def split_hot(df: DataFrame, key: str, hot: Sequence[tuple]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, rows of the listed keys."""
-    listed = F.broadcast(
-        df.sparkSession.createDataFrame(list(hot), df.select(key).schema)
-    )
-    return df.join(listed, key, "left_anti"), df.join(listed, key, "left_semi")
+def split_hot(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, rows of the listed keys; the list's measured size
+    decides whether it is broadcast."""
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
 def cell_offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:

@@ -49,13 +49,13 @@ class RetailTables:
         )
 
     @cached_property
-    def _hot_users(self) -> list[tuple]:
+    def _hot_users(self) -> DataFrame | None:
         return hot_keys(self.placed, ["user_id"], self.hot_rows)
 
     @cached_property
     def sequenced(self) -> DataFrame:
         """Orders with their place in the user's history."""
-        if not self._hot_users:
+        if self._hot_users is None:
             return self._sequence_by_user(self.placed)
         cold, hot = split_hot(self.placed, "user_id", self._hot_users)
         return self._sequence_by_user(cold).unionByName(self._sequence_by_cell(hot))
@@ -138,7 +138,7 @@ class RetailTables:
             return rows.groupBy("order_id", "product_id").agg(F.min("_line").alias("_line"))
 
         place = Window.partitionBy("order_id").orderBy("_line", "product_id")
-        if not hot_orders:
+        if hot_orders is None:
             # one shuffle by order serves the grouping, the window and the join
             numbered = baskets(raw.repartition("order_id")).withColumn(
                 "add_to_cart_order", F.row_number().over(place)
@@ -185,15 +185,16 @@ class RetailTables:
         """
         pair = ["user_id", "product_id"]
         first = F.min("order_number").over(Window.partitionBy(*pair)).alias("_first")
-        if not self._hot_users:
+        if self._hot_users is None:
             return lines.select("*", first)
         # several branches follow; the joins and numbering above run once
         cold, hot = split_hot(durable(lines), "user_id", self._hot_users)
         pairs = hot.groupBy(*pair).agg(
             F.min("order_number").alias("_first"), F.count(F.lit(1)).alias("_rows")
         )
-        # at most lines / hot_rows pairs are this large
-        large = F.broadcast(pairs.where(F.col("_rows") > self.hot_rows).drop("_rows"))
+        # at most lines / hot_rows pairs are this large; written, so that their size
+        # decides how they are joined
+        large = durable(pairs.where(F.col("_rows") > self.hot_rows).drop("_rows"))
         small = pairs.where(F.col("_rows") <= self.hot_rows).drop("_rows")
         ordinary = hot.join(large, pair, "left_anti").join(small, pair)
         return (

@@ -20,12 +20,12 @@ def split(spark):
 
 def test_hot_keys_are_found(split):
     counted = split.placed.groupBy("user_id").count().where("count > 5")
-    assert sorted(split._hot_users) == sorted((r["user_id"],) for r in counted.collect())
-    assert split._hot_users
+    found = [r["user_id"] for r in split._hot_users.collect()]
+    assert found and sorted(found) == sorted(r["user_id"] for r in counted.collect())
 
 
 def test_no_probe_of_small_tables(retail):
-    assert retail._hot_users == []
+    assert retail._hot_users is None
 
 
 def key_rows(df):
@@ -41,6 +41,12 @@ def test_lines_of_hot_orders_and_users(split, retail):
     assert rows(split.lines) == rows(retail.lines)
 
 
+def test_lines_of_last_orders(split, retail):
+    expected = rows(retail.lines.where("is_last").drop("is_last"))
+    assert rows(retail.order_products_train) == expected
+    assert rows(split.order_products_train) == expected
+
+
 def test_hot_pairs(spark):
     """One user whose every order holds one product."""
     lines = spark.createDataFrame(
@@ -49,7 +55,7 @@ def test_hot_pairs(spark):
         "order_id long, user_id long, product_id long, order_number int",
     )
     tables = RetailTables(spark, SMALL, hot_rows=5)
-    tables.__dict__["_hot_users"] = [(1,)]
+    tables.__dict__["_hot_users"] = spark.createDataFrame([(1,)], "user_id long")
     marked = {(r.user_id, r.order_id, r.product_id): r._first for r in tables._mark_reordered(lines).collect()}
     assert len(marked) == 59
     assert all(marked[1, i, 7] == 1 for i in range(1, 30))
@@ -61,7 +67,7 @@ def test_sampled_probe_finds_a_dominant_key(spark):
     df = spark.range(0, 30_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k")
     )
-    assert ranking.hot_keys(df, ["k"], 5_000) == [(0,)]
+    assert [r["k"] for r in ranking.hot_keys(df, ["k"], 5_000).collect()] == [0]
 
 
 @pytest.mark.parametrize("descending", [False, True])
