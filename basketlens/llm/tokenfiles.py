@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +45,18 @@ class Encoder:
 
     If the tokenizer splits at white space and drops it, blank-separated words are
     encoded on their own: they repeat, so their ids are kept (at most ``keep`` words at
-    a time; frequent ones return at once).  A word of printable ASCII is then cut and
-    encoded by the tokenizer's model itself; any other goes through the whole
-    tokenizer, and so does every text if the tokenizer works in another way.
+    a time; frequent ones return at once).  A word of printable ASCII and Latin-1
+    letters is then cut and encoded by the tokenizer's model itself; any other goes
+    through the whole tokenizer, and so does every text if the tokenizer works in
+    another way.
     """
 
-    # fixed: the tokenizer's word pattern, and the same for lower-case ASCII without blanks
+    # fixed: the tokenizer's word pattern
     _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    _OTHER = re.compile(rb"[^\x21-\x7e]")
+    # the same for lower-case words without blanks of the characters below
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    # printable ASCII and Latin-1 letters: composed already, one lower-case form each
+    _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str, keep: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,7 +65,9 @@ class Encoder:
         self.by_words = self._splits_at_blanks()
         self.keep = keep
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.shown = _shown_bytes()
 
     def _splits_at_blanks(self) -> bool:
         parts = json.loads(self.tokenizer.to_str())
@@ -77,39 +84,56 @@ class Encoder:
             and parts["model"]["type"] == "BPE"
         )
 
-    def _piece(self, piece: bytes) -> list[int]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) >= self.keep:
                 self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(piece.decode())]
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+            ids = self._bytes([t.id for t in self.model.tokenize(shown)])
             self.pieces[piece] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: str) -> bytes:
         # special tokens are found in the text as written
-        if self._OTHER.search(word) or b"<|" in word:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        else:
-            ids = [i for p in self._PIECES.findall(word.lower()) for i in self._piece(p)]
-        return np.array(ids, self.dtype).tobytes()
+        if self._PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self._piece, self._PIECES.findall(word.lower())))
+        return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self.words) >= self.keep:
-            self.words.clear()
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         known = self.words
+        if len(known) >= self.keep:
+            known.clear()
         raw = text.encode()
         if raw.isascii() and b"<|" not in raw:
             raw = raw.lower()
-        out = []
-        for word in raw.split():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            out.append(ids)
-        return b"".join(out)
+        words = raw.split()
+        ids = list(map(known.get, words))
+        if None in ids:
+            for i, found in enumerate(ids):
+                if found is None:
+                    word = words[i]
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = self._word(word.decode())
+                    ids[i] = found
+        return b"".join(ids)
+
+
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level tokenizers show bytes as characters: visible Latin-1 ones as they
+    are, the others in order from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
