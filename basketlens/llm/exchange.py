@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from basketlens.llm.textarrays import Words, blank_separated
 from basketlens.session import durable
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # text per hash range; what a range gathers is of the same order
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 REQUEST = "chunk long, bucket int, hashes binary, extra binary"
 ANSWER = "chunk long, bucket int, answer binary"
