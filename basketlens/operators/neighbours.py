@@ -35,9 +35,9 @@ DIMENSIONS = 3
 MAX_CELLS = 4096
 _ROWS_OF_ONE_CELL = 1000
 
-RESIDUAL = 1e-4
+RESIDUAL = 1e-3
 # Vectors are combined and the space starts anew from the best ones.
-KRYLOV_BLOCKS = 12
+KRYLOV_BLOCKS = 20
 MAX_ROUNDS = 400
 
 

@@ -211,7 +211,7 @@ def test_spectral_coordinates_match_dense(spark):
     near = neighbours.nearest_neighbours(points(spark, x), ["x0", "x1", "x2"], 12)
     edges = near.select(F.col("user_id").alias("i"), F.col("neighbour").alias("j"), "weight")
     graph = durable(neighbours.fuzzy_union(edges))
-    found = np.array([r.spots for r in neighbours.spectral(graph, 3).orderBy("i").collect()])
+    found = np.array([r.spots for r in neighbours.spectral(graph, 3, residual=1e-4).orderBy("i").collect()])
     w = np.zeros((90, 90))
     for r in graph.collect():
         w[r.i, r.j] = r.weight
