@@ -84,34 +84,34 @@ def _repeat_words(w: Column, size: int) -> Column:
 def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     """``docs`` without its text, with the six counts the rules use."""
     lines = F.filter(F.split(whole(text), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    counted = docs.withColumns(
-        {
-            "_words": let(
-                words(text),
-                lambda w: F.struct(
-                    F.size(w).cast("long").alias("n"),
-                    F.length(F.array_join(w, "")).cast("long").alias("chars"),
-                    _repeat_words(w, window).cast("long").alias("repeat"),
-                ),
+    counts = F.struct(
+        let(
+            words(text),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n"),
+                F.length(F.array_join(w, "")).cast("long").alias("chars"),
+                _repeat_words(w, window).cast("long").alias("repeat"),
             ),
-            "_lines": let(
-                lines,
-                lambda x: F.struct(
-                    F.size(x).cast("long").alias("n"),
-                    (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"),
-                ),
+        ).alias("words"),
+        let(
+            lines,
+            lambda x: F.struct(
+                F.size(x).cast("long").alias("n"),
+                (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"),
             ),
-            "_symbols": F.regexp_count(whole(text), F.lit("[#*$%&|<>]")).cast("long"),
-        }
+        ).alias("lines"),
+        F.regexp_count(whole(text), F.lit("[#*$%&|<>]")).cast("long").alias("symbols"),
     )
-    return counted.select(
-        *[c for c in docs.columns if c != text],
-        F.col("_words.n").alias("n_words"),
-        F.col("_words.chars").alias("word_chars"),
-        F.col("_symbols").alias("n_symbols"),
-        F.col("_lines.dup").alias("n_dup_lines"),
-        F.col("_words.repeat").alias("n_repeat_words"),
-        F.col("_lines.n").alias("n_lines"),
+    kept = [c for c in docs.columns if c != text]
+    # a generator is evaluated once, however often a filter above names its output
+    return docs.select(*kept, F.explode(F.array(counts)).alias("_counts")).select(
+        *kept,
+        F.col("_counts.words.n").alias("n_words"),
+        F.col("_counts.words.chars").alias("word_chars"),
+        F.col("_counts.symbols").alias("n_symbols"),
+        F.col("_counts.lines.dup").alias("n_dup_lines"),
+        F.col("_counts.words.repeat").alias("n_repeat_words"),
+        F.col("_counts.lines.n").alias("n_lines"),
     )
 
 
