@@ -3,12 +3,13 @@
 Every rule is a score and a fixed list of cutoffs from lenient to strict; a document
 whose score exceeds the chosen cutoff is rejected.  Which cutoff a stratum may use is
 decided on labelled documents: under the hypothesis "this cutoff rejects more than
-``risk`` of the good documents" the number of good labelled documents it rejects is
+its part of the good documents" the number of good labelled documents it rejects is
 binomial, so the exact lower tail is a p-value.  Cutoffs are tested from lenient to
 strict and testing stops at the first one not proven (fixed sequence, no further
 correction needed inside a rule); the level is divided by the number of (stratum,
-rule) families (Bonferroni).  With probability ``1 - delta`` no stratum therefore
-loses more than ``risk`` of its good documents to a rule.
+rule) families (Bonferroni).  Each rule is tested against an equal share of ``risk``:
+with probability ``1 - delta`` no stratum loses more than ``risk`` of its good documents
+to all rules together.
 
 Cases: a missing text has no words; a missing stratum value is a stratum of its own;
 a repeated row is a document of its own; a document with several labels counts once,
