@@ -22,9 +22,11 @@ HIDDEN = 8
 CODE = 3
 LEARNING_RATE = 0.01
 
-# Steps over the whole table; more than an analysis on one machine has epochs, since
-# those take a step per 64 rows.
-EPOCHS = 60
+# Training ends when the best loss has fallen by less than this part over the last
+# PATIENCE steps over the whole table; EPOCHS only bounds a run that never settles.
+TOLERANCE = 2e-3
+PATIENCE = 100
+EPOCHS = 5000
 
 
 def _shapes(inputs: int, hidden: int, code: int):
@@ -67,11 +69,12 @@ def _loss_and_gradient(flat, shapes, x):
 
 
 class Autoencoder:
-    def __init__(self, columns, hidden, code, flat, losses):
+    def __init__(self, columns, hidden, code, flat, losses, converged):
         self.columns = tuple(columns)
         self.hidden, self.code = hidden, code
         self.flat = flat
         self.losses = losses
+        self.converged = converged
 
     def transform(self, df: DataFrame, key: str = "user_id", prefix: str = "ae") -> DataFrame:
         """The code layer as columns; no Python runs per row."""
@@ -120,6 +123,15 @@ def gradient_sums(df: DataFrame, columns: Sequence[str], flat: np.ndarray, hidde
     return sums.groupBy("pos").agg(F.sum("value").alias("value"))
 
 
+def settled(losses: Sequence[float], tolerance: float, patience: int) -> bool:
+    """Whether the best loss fell by less than ``tolerance`` of itself over the last
+    ``patience`` steps."""
+    if len(losses) <= patience:
+        return False
+    before = min(losses[:-patience])
+    return before - min(losses) <= tolerance * before
+
+
 def train_autoencoder(
     df: DataFrame,
     columns: Sequence[str] = FEATURES,
@@ -128,13 +140,16 @@ def train_autoencoder(
     hidden: int = HIDDEN,
     learning_rate: float = LEARNING_RATE,
     seed: int = 42,
+    tolerance: float = TOLERANCE,
+    patience: int = PATIENCE,
 ) -> Autoencoder:
-    """Train on scaled columns; ``losses`` holds the loss before each step."""
+    """Train on scaled columns until the loss has :func:`settled`, for ``epochs`` steps
+    at most; ``losses`` holds the loss before each step, ``converged`` tells which."""
     columns = list(columns)
     flat = _start(_shapes(len(columns), hidden, encoding_dim), seed)
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    losses = []
+    losses, converged = [], False
     try:
         for step in range(1, epochs + 1):
             sums = gradient_sums(rows, columns, flat, hidden, encoding_dim).collect()
@@ -142,6 +157,8 @@ def train_autoencoder(
             if not count:
                 break
             losses.append(loss / count)
+            if converged := settled(losses, tolerance, patience):
+                break
             mean = np.array(gradient) / count
             first = 0.9 * first + 0.1 * mean
             second = 0.999 * second + 0.001 * mean**2
@@ -149,7 +166,7 @@ def train_autoencoder(
             flat = flat - rate * first / (np.sqrt(second) + 1e-7)
     finally:
         rows.unpersist()
-    return Autoencoder(columns, hidden, encoding_dim, flat, losses)
+    return Autoencoder(columns, hidden, encoding_dim, flat, losses, converged)
 
 
 def autoencode(df: DataFrame, columns: Sequence[str] = FEATURES, key: str = "user_id", **options) -> DataFrame:

@@ -174,6 +174,24 @@ def test_autoencoder(blobs):
     assert again.flat == pytest.approx(model.flat, abs=1e-9)
 
 
+def test_autoencoder_trains_until_the_loss_settles(spark):
+    """Default settings end near a long run on one machine."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 7)) + rng.normal(0, 0.5, (400, 7))
+    x = (x - x.mean(0)) / x.std(0)
+    names = [f"x{i}" for i in range(7)]
+    model = autoencoder.train_autoencoder(points(spark, x).coalesce(1), names)
+    shapes = autoencoder._shapes(7, 8, 3)
+    flat = autoencoder._start(shapes, 42)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    for step in range(1, 4001):
+        long, gradient = autoencoder._loss_and_gradient(flat, shapes, x)
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        flat = flat - 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * first / (np.sqrt(second) + 1e-7)
+    assert model.converged and len(model.losses) < autoencoder.EPOCHS
+    assert model.losses[-1] < 1.02 * long < model.losses[59]
+
+
 def points(spark, x):
     rows = [(i, *map(float, r)) for i, r in enumerate(x)]
     return spark.createDataFrame(rows, "user_id long, " + ", ".join(f"x{i} double" for i in range(x.shape[1])))
