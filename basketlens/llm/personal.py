@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context scores them.
 
 A kind has a pattern, a validator and a starting score.  Proposals that fail the
-validator are dropped without a retry; those that pass gain by context words nearby
+validator are dropped without a retry, except account numbers, whose end is searched for
+and which are proposed only when valid; those that pass gain by context words nearby
 and stay if they reach ``threshold``.  Kinds marked ``base`` stay whenever they are
 valid, whatever their score.  Positions are code points, ends exclusive.
 
@@ -62,6 +63,34 @@ def valid_ssn(text: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
+# Registered lengths of IBANs by country.
+_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTHS = {code: length for length, codes in _COUNTRIES.items() for code in codes.split()}
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_TOKEN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Valid account numbers.  The country says where one ends; under a code without a
+    registered length it is the longest valid part that ends with a token."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, at = match.start(), match.start() + 4
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        ends = [m.start() for m in _TOKEN_END.finditer(text, start, match.end() + 1) if m.start() <= match.end()]
+        for end in reversed(ends):
+            account = text[start:end]
+            if (length is None or len(account.replace(" ", "")) == length) and valid_iban(account):
+                yield start, end
+                at = end
+                break
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -105,8 +134,7 @@ KINDS = (
     Kind("card", matches(r"[0-9]([\x20-]?[0-9])+"), r"[0-9][\x20-]?[0-9]", valid_card, 0.7, True, ("card", "visa", "credit", "pay")),
     Kind("phone", matches(r"\+[0-9][\x20().0-9-]+[0-9]"), r"\+", valid_phone, 0.6, True, ("phone", "call", "tel", "mobile")),
     Kind(
-        "iban", matches(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), r"[A-Z]{2}[0-9]{2}",
-        valid_iban, 0.8, False, ("iban", "account", "bank", "konto", "cuenta", "compte"),
+        "iban", ibans, r"[A-Z]{2}[0-9]{2}", None, 0.8, False, ("iban", "account", "bank", "konto", "cuenta", "compte"),
     ),
     Kind(
         "ssn", matches(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), r"[0-9]-[0-9]", valid_ssn, 0.3, False,

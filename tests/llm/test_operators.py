@@ -257,6 +257,25 @@ def test_personal_added(spark, docs, rows, nothing):
     assert len(got) == len(rows) and personal.find_personal(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,account",
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+        ("to DE89 3704 0044 0532 0130 00 2024", "DE89 3704 0044 0532 0130 00"),
+        ("GB82 WEST 1234 5698 7654 32 USD 500", "GB82 WEST 1234 5698 7654 32"),
+        ("DE89370400440532013000 2024-01-31", "DE89370400440532013000"),
+        ("NO9386011117947 EUR 12", "NO9386011117947"),
+        ("REF AB12 DE89370400440532013000 please", "DE89370400440532013000"),
+        ("ZZ36370400440532013000 BIC COBADEFFXXX", None),
+        ("DE89370400440532013000X", None),
+        ("DE8937040044053201300 0", "DE8937040044053201300 0"),
+    ],
+)
+def test_account_numbers_before_other_tokens(text, account):
+    found = [text[s:e] for k, s, e, _ in personal.Finder().spans(text) if personal.KINDS[k].name == "iban"]
+    assert found == ([account] if account else [])
+
+
 # -- 6 SimHash ---------------------------------------------------------------------
 
 
