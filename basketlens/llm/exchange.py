@@ -14,13 +14,14 @@ than hashes; larger chunks make them fuller.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketlens.llm.textarrays import Words, blank_separated
 from basketlens.session import durable
@@ -162,3 +163,10 @@ def in_order(table: pa.Table) -> list[bytes]:
     buckets = table.column("bucket").to_numpy()
     replies = table.column("answer")
     return [replies[int(i)].as_py() for i in np.argsort(buckets)]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans: it does so when the driver
+    collects their owners, which a driver with free memory may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

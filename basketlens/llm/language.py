@@ -3,7 +3,10 @@
 Counts of all n-grams up to ``order`` words are tables partitioned by n-gram hash; each
 document's n-grams are joined with them and its word scores summed.  Both go through
 :mod:`exchange`: chunks send their distinct n-grams with their own counts, a hash
-range adds them up and returns the totals.  A document is scored as if it were not in
+range adds them up and returns the totals.  Words and pairs are asked for at once, longer
+n-grams level by level: another document can only have one whose two (n-1)-grams other
+documents have, so only those are asked for, and all others count zero as they would
+anyway.  A document is scored as if it were not in
 the corpus: its own counts are taken off first (``held_out``), so that copies count
 but the document itself does not.
 
@@ -22,11 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from basketlens.llm import exchange
 from basketlens.llm.exchange import Chunk, planes, unplanes
 from basketlens.llm.textarrays import mix, window_hashes
+from basketlens.session import durable
+
+# Longest n-grams of the first request: their parts are almost always known elsewhere.
+AT_ONCE = 2
 
 
 def _grams(chunk: Chunk, order: int) -> list[np.ndarray]:
@@ -48,6 +56,36 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
+def _open(grams: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """Of the n-grams one longer than ``counts`` goes: both parts have a count above zero.
+    Within a text this is the same wherever the n-gram occurs."""
+    known = counts[-1] > 0
+    return (grams[len(counts)] != 0) & known & np.append(known[1:], False)[: len(known)]
+
+
+def _counts(
+    grams: list[np.ndarray], replies: pa.Table, text_of: np.ndarray, upto: int, held_out: bool
+) -> list[np.ndarray]:
+    """For n = 1..``upto`` the count of the n-gram at each starting word."""
+    at_once = min(len(grams), AT_ONCE)
+    counts: list[np.ndarray] = []
+    for n in range(1, upto + 1):
+        g = grams[n - 1]
+        there = g != 0 if n <= at_once else _open(grams, counts)
+        if n == 1 or n > at_once:
+            asked = grams[:at_once] if n == 1 else [g[there]]
+            hashes, _ = _distinct(asked)
+            level = replies.filter(pc.equal(replies.column("level"), max(n, at_once)))
+            parts = [unplanes(r, "<u8").astype(np.int64) for r in exchange.in_order(level)]
+            totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        seen = np.zeros(len(g), np.int64)
+        seen[there] = totals[np.searchsorted(hashes, g[there])]
+        if held_out:
+            seen[there] -= _own_counts(g[there], text_of[there])
+        counts.append(seen)
+    return counts
+
+
 def _own_counts(grams: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """For each n-gram how often its text has it."""
     mixed = mix(grams + text_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -110,31 +148,40 @@ def score_documents(
     buckets = exchange.ranges(packed, range_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
+    at_once = min(order, AT_ONCE)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 chunk = Chunk(batch, row)
-                hashes, counts = _distinct(_grams(chunk, order))
+                hashes, counts = _distinct(_grams(chunk, at_once))
                 yield exchange.requests(chunk.number, hashes, counts.astype("<u4"), buckets)
 
+    def ask_longer(n: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            chunk = Chunk(left)
+            grams = _grams(chunk, n)
+            counts = _counts(grams, right, chunk.words.text_of, n - 1, held_out)
+            hashes, times = _distinct([grams[n - 1][_open(grams, counts)]])
+            return pa.Table.from_batches([exchange.requests(chunk.number, hashes, times.astype("<u4"), buckets)])
+
+        return run
+
+    def answered(asked: DataFrame, n: int) -> DataFrame:
+        return exchange.answers(asked, _add_up).withColumn("level", F.lit(n))
+
     words = packed.agg(F.sum("n_words")).first()[0] or 0
-    replies = exchange.answers(packed.mapInArrow(ask, exchange.REQUEST), _add_up)
+    replies = answered(packed.mapInArrow(ask, exchange.REQUEST), at_once)
+    for n in range(at_once + 1, order + 1):
+        replies = durable(replies)
+        exchange.release(docs.sparkSession)
+        asked = packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask_longer(n), exchange.REQUEST)
+        replies = replies.unionByName(answered(asked, n))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left)
         text_of, size = chunk.words.text_of, chunk.words.counts
-        grams = _grams(chunk, order)
-        hashes, _ = _distinct(grams)
-        parts = [unplanes(r, "<u8").astype(np.int64) for r in exchange.in_order(right)]
-        totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        counts = []
-        for g in grams:
-            there = g != 0
-            seen = np.zeros(len(g), np.int64)
-            seen[there] = totals[np.searchsorted(hashes, g[there])]
-            if held_out:
-                seen[there] -= _own_counts(g, text_of)[there]
-            counts.append(seen)
+        counts = _counts(_grams(chunk, order), right, text_of, order, held_out)
         place = np.arange(len(text_of)) - chunk.words.first[text_of]
         total = np.full(len(text_of), words) - (size[text_of] if held_out else 0)
         scores = _word_scores(counts, place, np.maximum(total, 1), backoff)

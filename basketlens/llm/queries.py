@@ -123,4 +123,4 @@ def op9_url_filters(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def op10_lm_scores(spark: SparkSession, directory: str) -> DataFrame:
-    return language.score_documents(table(spark, directory, "documents"), order=2)
+    return language.score_documents(table(spark, directory, "documents"), order=3)

@@ -14,12 +14,14 @@ from basketlens.llm import (
     mixing,
     personal,
     quality,
+    queries,
     simhash,
     substrings,
     tokenfiles,
     urls,
 )
 from basketlens.llm.queries import TOKENIZER
+from tests.conftest import SMALL
 from tests.llm import brute
 
 # names the operators use inside, and a nested column
@@ -410,6 +412,23 @@ def test_scores(docs, rows, order, chunk, per_range):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-9)
 
 
+def test_registered_scores_use_two_words_of_context(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    expected = dict(zip((r.doc_id for r in docs), brute.backoff_scores([r.text for r in docs], 3)))
+    found = queries.op10_lm_scores(spark, SMALL).collect()
+    assert {r.doc_id: (r.n_words, pytest.approx(r.log_score, rel=1e-9)) for r in found} == expected
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_longer_scores_by_level(docs, rows, order):
+    found = language.score_documents(docs, order=order, chunk_bytes=3000, range_bytes=2000).collect()
+    expected = brute.backoff_scores([r[1] for r in rows], order)
+    theirs = sorted((r[0] is None, r[0] or 0, n, s) for r, (n, s) in zip(rows, expected))
+    mine = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score) for r in found)
+    for a, b in zip(mine, theirs, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-9)
+
+
 def test_scores_of_nothing(spark, nothing):
     assert language.score_documents(nothing).count() == 0
     alone = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
