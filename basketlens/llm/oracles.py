@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from basketlens.llm import quality
-from basketlens.llm.queries import URL_RULES
+from basketlens.llm.queries import TRICKY, URL_RULES
 
 SPLIT = r"'[\x20\x09-\x0D]+'"
 BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,6 +128,21 @@ _URLS = f"""
     SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fits USING (rid)"""
 
 
+_CHAT = rf"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '{TRICKY}'), (-1, 1, 'assistant', '{TRICKY}')),
+    e AS (SELECT *, regexp_matches(role || chr(0) || text, '<\|im_start\|>|<\|im_end\|>|<\\+\|')
+                    OR regexp_matches(role, '\n|<\|n\|>') AS conflict,
+            len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))
+              + 4 * len(regexp_extract_all(role, '\n')) AS more FROM c)
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(24 + length(role) + length(text) + CASE WHEN conflict THEN more ELSE 0 END)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality(),
@@ -135,4 +150,5 @@ def statements() -> dict[str, str]:
         "op3_decontaminate": _LEAKS,
         "op4_line_dedup": _LINES,
         "op9_url_filters": _URLS,
+        "op13_chat_format": _CHAT,
     }
