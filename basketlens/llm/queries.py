@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketlens.llm import (
+    alignment,
     chat,
     language,
     leaks,
@@ -128,6 +129,15 @@ def op10_lm_scores(spark: SparkSession, directory: str) -> DataFrame:
     return language.score_documents(table(spark, directory, "documents"), order=3)
 
 
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ALIGNED]
+    return alignment.align_documents(table(spark, directory, "documents"), *paths)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Rows dropped, emptied, cut, repeated or given the user's role by a hash of their
     conversation and turn; what is missing counts as one space."""
