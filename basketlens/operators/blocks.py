@@ -6,9 +6,15 @@ group of its own, so a task holds two blocks whatever the table's size.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from decimal import Decimal, localcontext
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basketlens.session import durable
+
 BLOCK_ROWS = 2048
 
 
@@ -38,3 +44,69 @@ def meet(queries: DataFrame, points: DataFrame, keys: list[str], compare, schema
     """``compare(queries, points)`` on pandas frames for every pair of blocks that
     ``keys`` brings together."""
     return queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+def packed_blocks(df: DataFrame, columns: list[str], key: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """A written table (block, rows, keys, x) with one row per block of about ``size``
+    rows: ``x`` is the block's matrix, row by row, in the order of the keys' hashes.
+
+    Rows are dealt by hash, so a block is a random part of the table and depends on
+    nothing but the rows; iterative models read it again and again without a shuffle.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    picked = df.select(
+        F.col(key).alias("key"), F.xxhash64(key).alias("h"),
+        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+    )
+    blocks = blocks_for(picked.count(), size)
+    names = [f"x{i}" for i in range(len(columns))]
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(c).to_numpy() for c in names])
+        order = np.lexsort([*x.T[::-1], table.column("h").to_numpy()])
+        keys = table.column("key").take(pa.array(order)).combine_chunks()
+        return pa.table(
+            [
+                pa.array([table.column("block")[0].as_py()], pa.int32()),
+                pa.array([len(x)], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), keys),
+                pa.array([np.ascontiguousarray(x[order]).tobytes()], pa.binary()),
+            ],
+            ["block", "rows", "keys", "x"],
+        )
+
+    return durable(
+        picked.withColumn("block", block_of(F.col("key"), blocks))
+        .groupBy("block").applyInArrow(pack, f"block int, rows long, keys array<{kind}>, x binary")
+    )
+
+
+def matrix(raw: bytes, columns: int) -> np.ndarray:
+    """The matrix of a packed block."""
+    return np.frombuffer(raw, np.float64).reshape(-1, columns)
+
+
+# Sums are taken in units of 1e-18, as whole numbers: their order changes nothing.
+_PLACES = 18
+SUMS = f"sums array<decimal(38,{_PLACES})>"
+
+
+def sums_of(vectors: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of a task's vectors, none if there are no vectors."""
+    total = None
+    for vector in vectors:
+        whole = np.array([int(v) for v in np.rint(vector * 10.0**_PLACES)], object)
+        total = whole if total is None else total + whole
+    if total is not None:
+        with localcontext(prec=60):
+            values = [Decimal(v).scaleb(-_PLACES) for v in total]
+        yield pa.record_batch([pa.array([values], pa.list_(pa.decimal128(38, _PLACES)))], ["sums"])
+
+
+def total_of(partial: DataFrame) -> np.ndarray:
+    """The sum of all tasks' vectors (see :func:`sums_of`), empty if there are none.
+
+    Only as many numbers as a vector is long reach the driver."""
+    parts = partial.select(F.posexplode("sums").alias("pos", "value"))
+    totals = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
+    return np.array([float(r.value) for r in sorted(totals, key=lambda r: r.pos)])

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from basketlens.functions.scalars import threshold_label
+from basketlens.operators import boosting
 from basketlens.operators.features import days_sum
 from basketlens.operators.relational import features_churn
-from basketlens.session import ensure_checkpoint_dir
 from basketlens.sources.schemas import FEATURES
 
 CHURN_DAYS = 20
@@ -57,32 +53,12 @@ def churn_model(
     trees: int = 100,
     depth: int = 6,
     step: float = 0.3,
-    seed: int = 42,
-):
-    """Boosted trees with log loss on weighted rows; returns a fitted pipeline.
-
-    Tree statistics are gathered on the executors level by level.
-    """
-    ensure_checkpoint_dir(train.sparkSession)
-    booster = GBTClassifier(
-        featuresCol="_features",
-        labelCol=label,
-        weightCol="weight",
-        lossType="logistic",
-        maxIter=trees,
-        maxDepth=depth,
-        stepSize=step,
-        seed=seed,
-        checkpointInterval=10,
-    )
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_features")
-    return Pipeline(stages=[assembler, booster]).fit(train)
+    **options,
+) -> boosting.BoostedTrees:
+    """Second-order boosted trees with log loss on weighted rows."""
+    return boosting.fit(train, columns, label, "weight", trees, depth, step, **options)
 
 
-def churn_predict(model, df: DataFrame) -> DataFrame:
+def churn_predict(model: boosting.BoostedTrees, df: DataFrame) -> DataFrame:
     """Predicted class and probability of class 1 beside the given columns."""
-    return model.transform(df).select(
-        *df.columns,
-        F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("score"),
-    )
+    return model.transform(df)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from basketlens.operators import churn, scoring
+from basketlens.operators.boosting import BoostedTrees
 from basketlens.operators.features import apply_scaler, scaler_stats
 from basketlens.operators.sampling import SEED, stratified_split
 from basketlens.session import durable
@@ -16,7 +17,7 @@ from basketlens.sources.schemas import FEATURES
 @dataclass(frozen=True)
 class ChurnRun:
     balance: DataFrame
-    model: object
+    model: BoostedTrees
     scored: DataFrame
 
     def report(self) -> DataFrame:
@@ -55,6 +56,6 @@ def run_churn(
     weighted = durable(
         churn.class_weight(apply_scaler(train, stats), balance=balance)
     )
-    model = churn.churn_model(weighted, FEATURES, seed=seed, **model_options)
+    model = churn.churn_model(weighted, FEATURES, **model_options)
     scored = durable(churn.churn_predict(model, apply_scaler(test, stats)))
     return ChurnRun(balance, model, scored)

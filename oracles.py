@@ -544,6 +544,84 @@ SELECT user_id, {', '.join(f'round(list_dot_product({_VECTOR}, v{c}.v), 6) AS pc
 FROM t_scaled, v1, v2, v3"""
 
 
+BODIES["boost_bins"] = CHURN + f"""
+, u AS (SELECT unnest(range({len(FEATURES)})) AS feature, unnest([{", ".join(f"{c}::DOUBLE" for c in FEATURES)}]) AS x,
+  CASE WHEN churn = 1 THEN (SELECT count(*) FILTER (churn = 0) / count(*) FILTER (churn = 1) FROM t_churn) ELSE 1.0 END AS w
+  FROM t_churn),
+v AS (SELECT feature, x, sum(sum(w)) OVER (PARTITION BY feature ORDER BY x) AS upto,
+        sum(sum(w)) OVER (PARTITION BY feature) AS total, min(x) OVER (PARTITION BY feature) AS least
+      FROM u GROUP BY feature, x),
+c AS (SELECT DISTINCT feature, least, (SELECT min(x) FROM v WHERE v.feature = f.feature
+        AND upto >= total * (b / 256.0 - 1e-9)) AS x
+      FROM (SELECT DISTINCT feature, least FROM v) f, range(1, 256) r(b))
+SELECT CAST(feature AS INTEGER) AS feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS INTEGER) AS place,
+  round(x, 6) AS cut FROM c WHERE x > least"""
+
+_WIDTHS = [f"least(greatest(floor({c} * 4) + 8, 0), 15)::INTEGER" for c in FEATURES]
+_WIDTHS[0] = f"CASE WHEN user_id % 11 = 0 THEN -1 ELSE {_WIDTHS[0]} END"
+BODIES["boost_level"] = CHURN + f"""
+, r AS (SELECT user_id, 4 + user_id % 4 AS node, [{", ".join(_WIDTHS)}] AS bins, churn,
+          1.0 + user_id % 3 AS w, 1.0 / (1.0 + exp(-sin(user_id::DOUBLE))) AS p
+        FROM t_scaled JOIN (SELECT user_id, churn FROM t_churn) USING (user_id)),
+cells AS (SELECT node, unnest(range({len(FEATURES)})) AS feature, unnest(bins) AS bin, w * (p - churn) AS g, w * p * (1 - p) AS h FROM r),
+sums AS (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h FROM cells GROUP BY ALL),
+scan AS (SELECT *, sum(g) OVER o AS gu, sum(h) OVER o AS hu, sum(g) OVER n AS ga, sum(h) OVER n AS ha,
+           coalesce(sum(g) FILTER (bin < 0) OVER n, 0) AS gm, coalesce(sum(h) FILTER (bin < 0) OVER n, 0) AS hm
+         FROM sums WINDOW n AS (PARTITION BY node, feature), o AS (PARTITION BY node, feature ORDER BY bin)),
+sides AS (SELECT node, feature, bin, m, gu - (1 - m) * gm AS gl, hu - (1 - m) * hm AS hl, ga, ha
+          FROM scan, (VALUES (1), (0)) s(m) WHERE bin >= 0 AND (m = 1 OR hm <> 0)),
+gains AS (SELECT *, ga - gl AS gr, ha - hl AS hr,
+            gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain
+          FROM sides WHERE hl >= 1 AND ha - hl >= 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature, bin, m DESC) AS place
+         FROM gains WHERE gain > 1e-6)
+SELECT node, feature::INTEGER AS feature, bin::INTEGER AS bin, m AS missing_left, round(gain, 6) AS gain,
+  round(gl, 6) AS g_left, round(hl, 6) AS h_left, round(gr, 6) AS g_right, round(hr, 6) AS h_right,
+  round(-gl / (hl + 1), 6) AS left_value, round(-gr / (hr + 1), 6) AS right_value
+FROM best WHERE place = 1"""
+
+
+def _autoencoder_step() -> str:
+    """Forward and backward pass of the 7-8-3-8-7 network with weights sin(1), sin(2), ...
+    halved, row by row, added up over all users."""
+    sizes = (7, 8, 3, 8, 7)
+    sums, at, steps = [], 1, []
+    values = [list(FEATURES)]
+    weights = []
+    for layer, (rows, cols) in enumerate(zip(sizes, sizes[1:])):
+        weights.append([[f"(sin({at + i * cols + j}) / 2)" for j in range(cols)] for i in range(rows)])
+        bias = [f"(sin({at + rows * cols + j}) / 2)" for j in range(cols)]
+        at += (rows + 1) * cols
+        names = [f"y{layer}_{j}" for j in range(cols)]
+        plain = [" + ".join([f"{v} * {weights[layer][i][j]}" for i, v in enumerate(values[-1])] + [bias[j]]) for j in range(cols)]
+        shown = plain if layer == 3 else [f"greatest({p}, 0)" for p in plain]
+        steps.append(", ".join(f"{p} AS {n}" for p, n in zip(shown, names)))
+        values.append(names)
+    deltas = [[f"d3_{j}" for j in range(7)]]
+    steps.append(", ".join(f"2 * ({y} - {x}) / 7 AS {d}" for y, x, d in zip(values[4], FEATURES, deltas[0])))
+    for layer in (2, 1, 0):
+        names = [f"d{layer}_{j}" for j in range(sizes[layer + 1])]
+        steps.append(", ".join(
+            f"CASE WHEN {values[layer + 1][j]} > 0 THEN "
+            + " + ".join(f"{d} * {w}" for d, w in zip(deltas[0], weights[layer + 1][j])) + f" ELSE 0 END AS {n}"
+            for j, n in enumerate(names)
+        ))
+        deltas.insert(0, names)
+    sums = ["count(*)::DOUBLE", "sum((" + " + ".join(f"({y} - {x}) ** 2" for y, x in zip(values[4], FEATURES)) + ") / 7)"]
+    for layer in range(4):
+        sums += [f"sum({v} * {d})" for v in values[layer] for d in deltas[layer]]
+        sums += [f"sum({d})" for d in deltas[layer]]
+    chain = "t_scaled"
+    for step in steps:
+        chain = f"(SELECT *, {step} FROM {chain})"
+    return f"""
+, sums AS (SELECT [{", ".join(sums)}] AS s FROM {chain})
+SELECT CAST(i - 3 AS INTEGER) AS pos, round(s[i], 6) AS value FROM sums, range(1, 189) r(i)"""
+
+
+BODIES["autoencoder_step"] = _autoencoder_step()
+
+
 def statements() -> dict[str, str]:
     prelude = PRELUDE.replace("WITH", "WITH RECURSIVE", 1)
     return {name: (prelude if name == "pca" else PRELUDE) + body for name, body in BODIES.items()}

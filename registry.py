@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from basketlens.functions import scalars
 from basketlens.operators import (
+    boosting,
     churn,
     explore,
     features,
@@ -651,14 +652,14 @@ def pca(t):
 
 @query
 def autoencoder(t):
-    """Mean loss per epoch of training on all users."""
-    losses = train_autoencoder(durable(scaled_users(t)), FEATURES).losses
-    return t.spark.createDataFrame(list(enumerate(losses, 1)), "epoch int, loss double")
+    """Loss over all users before each round of training, and at its end."""
+    losses = train_autoencoder(scaled_users(t), FEATURES).losses
+    return t.spark.createDataFrame(list(enumerate(losses)), "round int, loss double")
 
 
 @query
 def autoencode(t):
-    return encode(durable(scaled_users(t)), FEATURES)
+    return encode(scaled_users(t), FEATURES)
 
 
 @query
@@ -666,7 +667,7 @@ def autoencoder_step(t):
     """Loss and gradient sums of the first step, from fixed weights."""
     weights = np.sin(np.arange(1, 187)) / 2.0
     sums = autoencoder_ops.gradient_sums(scaled_users(t), FEATURES, weights)
-    return six(sums.where("pos < 0 OR pos >= 159"), "value")
+    return six(sums, "value")
 
 
 @query
@@ -754,6 +755,33 @@ def _churn_run(t: RetailTables) -> churn_plan.ChurnRun:
     return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS)
 
 
+@query
+def boost_bins(t):
+    """Cut points of the features at quantiles weighted by class."""
+    users = durable(churn.churn_label(train_features(t), t.orders, CHURN_DAYS))
+    sketch = boosting.weighted_sketch(churn.class_weight(users), FEATURES, "weight")
+    cuts = boosting.cut_points(sketch, len(FEATURES))
+    rows = [(f, i, c) for f, found in enumerate(cuts) for i, c in enumerate(found)]
+    return six(t.spark.createDataFrame(rows, "feature int, place int, cut double"), "cut")
+
+
+@query
+def boost_level(t):
+    """The splits of one level of a tree, four nodes, given bins and scores."""
+    users = churn.churn_label(features.standardize(durable(train_features(t))), t.orders, CHURN_DAYS)
+    width = [F.least(F.greatest(F.floor(F.col(c) * 4) + 8, F.lit(0)), F.lit(15)).cast("int") for c in FEATURES]
+    width[0] = F.when(F.col("user_id") % 11 == 0, -1).otherwise(width[0])
+    p = 1.0 / (1.0 + F.exp(-F.sin(F.col("user_id").cast("double"))))
+    weight = 1.0 + F.col("user_id") % 3
+    rows = users.select(
+        (4 + F.col("user_id") % 4).alias("node"), F.array(*width).alias("bins"),
+        (weight * (p - F.col("churn"))).alias("g"), (weight * p * (1.0 - p)).alias("h"),
+    )
+    splits = boosting.best_splits(boosting.histogram(rows))
+    values = {f"{side}_value": -F.col(f"g_{side}") / (F.col(f"h_{side}") + 1.0) for side in ("left", "right")}
+    return six(splits.withColumns(values), "gain", "g_left", "h_left", "g_right", "h_right", *values)
+
+
 @query
 def churn_model(t):
     return _churn_run(t).report()

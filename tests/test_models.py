@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from basketlens.operators import autoencoder, fuzzy, neighbours, partition, reduce as reduce_ops, ward
 from basketlens.operators import validity
 from basketlens.plans import churn as churn_plan, segmentation
+from basketlens.operators.blocks import packed_blocks
 from basketlens.session import durable
 
 XY = ["x", "y"]
@@ -162,20 +163,41 @@ def test_autoencoder_gradient():
 
 def test_autoencoder(blobs):
     scaled = durable(blobs.select("user_id", (F.col("x") / 5).alias("x"), (F.col("y") / 5).alias("y")))
-    model = autoencoder.train_autoencoder(scaled, XY, epochs=40, learning_rate=0.03)
+    options = dict(rounds=4, learning_rate=0.03, block_rows=50, round_batches=20)
+    model = autoencoder.train_autoencoder(scaled, XY, **options)
     assert len(model.flat) == 2 * 8 + 8 + 8 * 3 + 3 + 3 * 8 + 8 + 8 * 2 + 2
-    assert model.losses[-1] < model.losses[0] / 2
+    assert len(model.losses) == 5 and model.losses[-1] < model.losses[0] / 2
     layers = autoencoder._unpack(model.flat, autoencoder._shapes(2, 8, 3))
     x = scaled.orderBy("user_id").select(*XY).toPandas().to_numpy()
     code = np.maximum(np.maximum(x @ layers[0][0] + layers[0][1], 0) @ layers[1][0] + layers[1][1], 0)
     found = model.transform(scaled).orderBy("user_id").toPandas()[["ae1", "ae2", "ae3"]]
     assert found.to_numpy() == pytest.approx(code, abs=1e-9)
-    again = autoencoder.train_autoencoder(scaled.repartition(7), XY, epochs=40, learning_rate=0.03)
-    assert again.flat == pytest.approx(model.flat, abs=1e-9)
+    again = autoencoder.train_autoencoder(scaled.repartition(7), XY, **options)
+    assert (again.flat == model.flat).all() and again.losses == model.losses
+
+
+def test_autoencoder_averages_blocks(blobs):
+    """Rounds over blocks equal a plain loop over the same blocks."""
+    blocks = packed_blocks(blobs, XY, "user_id", 50)
+    parts = {r.block: np.frombuffer(r.x).reshape(-1, 2) for r in blocks.collect()}
+    assert len(parts) == 3 and sum(map(len, parts.values())) == 120
+    shapes = autoencoder._shapes(2, 8, 3)
+    state = np.zeros((3, 101))
+    state[0] = autoencoder._start(shapes, 9)
+    for number in range(3):
+        after = [
+            np.stack(autoencoder.train_block(x, *state, number * 10, shapes, 0.01, 10, [9, number, block])) * len(x)
+            for block, x in parts.items()
+        ]
+        state = sum(after) / 120
+    x = np.concatenate(list(parts.values()))
+    model = autoencoder.train_autoencoder(blobs, XY, rounds=3, seed=9, starts=1, block_rows=50, round_batches=10)
+    assert model.losses[-1] == pytest.approx(autoencoder._loss_and_gradient(state[0], shapes, x)[0], rel=1e-6)
+    assert model.flat == pytest.approx(state[0], abs=1e-6)
 
 
 def test_autoencoder_trains_until_the_loss_settles(spark):
-    """Default settings end near a long run on one machine."""
+    """Default settings end below a long run of full steps on one machine."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 7)) + rng.normal(0, 0.5, (400, 7))
     x = (x - x.mean(0)) / x.std(0)
@@ -184,12 +206,13 @@ def test_autoencoder_trains_until_the_loss_settles(spark):
     shapes = autoencoder._shapes(7, 8, 3)
     flat = autoencoder._start(shapes, 42)
     first, second = np.zeros_like(flat), np.zeros_like(flat)
-    for step in range(1, 4001):
+    for step in range(1, 3001):
         long, gradient = autoencoder._loss_and_gradient(flat, shapes, x)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         flat = flat - 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * first / (np.sqrt(second) + 1e-7)
-    assert model.converged and len(model.losses) < autoencoder.EPOCHS
-    assert model.losses[-1] < 1.02 * long < model.losses[59]
+    assert model.converged and len(model.losses) < autoencoder.ROUNDS
+    assert min(model.losses) < 1.02 * long < model.losses[0]
+    assert autoencoder.train_autoencoder(points(spark, x).where("user_id < 0"), names).losses == []
 
 
 def points(spark, x):
