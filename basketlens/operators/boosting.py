@@ -1,11 +1,12 @@
 """Second-order boosted trees for a binary label, grown by Spark aggregations.
 
-Features are cut once into bins at weighted quantiles, from a mergeable sketch.  A tree
-grows level by level: one ``groupBy(node, feature, bin)`` adds up gradients and Hessians
-of the log loss, windows over at most ``bins`` rows turn them into left and right sums,
-and the split of the highest regularised gain is chosen per node; only the splits, two
-to the power of the depth at most, reach the driver.  A row finds its node by comparing
-its bins, as a column expression, so nothing but margins is written per tree.
+Features are cut once into bins at weighted quantiles, from a mergeable sketch, and rows
+packed into blocks of bins, labels, weights and margins.  A tree grows level by level:
+tasks add up gradients and Hessians of the log loss by (node, feature, bin) over their
+blocks, one ``groupBy`` adds up the tasks', and these sums, nodes times features times
+bins at most, reach the driver, where each node's split of the highest regularised gain
+is chosen.  A row finds its node by comparing its bins; margins are written again every
+``WRITE_EVERY`` trees.  Scoring is a column expression.
 
 Gradients are added up as whole numbers in a unit that follows from the total weight, so
 sums do not depend on the order of rows, and no sum can overflow.
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketlens.session import durable
 
@@ -35,6 +36,9 @@ LANES = 64
 BINS = 256
 # a split must gain more than this
 LEAST_GAIN = 1e-6
+# rows of a packed block; trees between two writings of the margins
+BLOCK_ROWS = 8192
+WRITE_EVERY = 10
 
 
 # -- bins --------------------------------------------------------------------------
@@ -118,57 +122,6 @@ def binned(df: DataFrame, columns: Sequence[str], cuts: list[list[float]], out:
     return bucketizer.transform(as_doubles).select(*df.columns, F.array(*places).alias(out))
 
 
-# -- a level -----------------------------------------------------------------------
-
-
-def histogram(rows: DataFrame) -> DataFrame:
-    """(node, feature, bin, g, h) sums from rows (node, bins, g, h)."""
-    cells = rows.select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
-    return cells.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-
-
-def best_splits(
-    sums: DataFrame, unit: float = 1.0, penalty: float = 1.0, gamma: float = 0.0, min_child: float = 1.0
-) -> DataFrame:
-    """Per node that can be split with a gain: feature, bin (bins up to it go left),
-    missing_left, gain, and the sums of both sides.
-
-    ``unit`` is what one unit of the sums is worth.  Ties go to the first feature, then
-    the lowest bin, then to missing values on the left."""
-    inside = Window.partitionBy("node", "feature")
-    upto = inside.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def missing(c: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("bin") < 0, F.col(c))).over(inside), F.lit(0))
-
-    scanned = sums.select(
-        "node", "feature", "bin",
-        *[F.sum(c).over(upto).alias(f"{c}_upto") for c in "gh"],
-        *[F.sum(c).over(inside).alias(f"{c}_all") for c in "gh"],
-        *[missing(c).alias(f"{c}_miss") for c in "gh"],
-    )
-    sides = F.explode(F.when(F.col("h_miss") != 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1))))
-    tried = scanned.where("bin >= 0").withColumn("missing_left", sides)
-    tried = tried.select(
-        "node", "feature", "bin", "missing_left",
-        *[((F.col(f"{c}_upto") - F.when(F.col("missing_left") == 0, F.col(f"{c}_miss")).otherwise(0)) * unit).alias(f"{c}_left") for c in "gh"],
-        *[(F.col(f"{c}_all") * unit).alias(c) for c in "gh"],
-    ).withColumns({f"{c}_right": F.col(c) - F.col(f"{c}_left") for c in "gh"})
-
-    def worth(side: str) -> Column:
-        return F.col("g" + side) * F.col("g" + side) / (F.col("h" + side) + penalty)
-
-    gains = tried.where((F.col("h_left") >= min_child) & (F.col("h_right") >= min_child)).withColumn(
-        "gain", worth("_left") + worth("_right") - worth("")
-    )
-    kept = ("feature", "bin", "missing_left", "gain", "g_left", "h_left", "g_right", "h_right")
-    order = F.struct(F.round("gain", 9), -F.col("feature"), -F.col("bin"), F.col("missing_left"))
-    best = gains.where(F.col("gain") > max(gamma, LEAST_GAIN)).groupBy("node").agg(
-        F.max_by(F.struct(*kept), order).alias("best")
-    )
-    return best.select("node", "best.*")
-
-
 # -- trees -------------------------------------------------------------------------
 
 
@@ -180,6 +133,29 @@ class Tree:
     splits: dict[int, tuple[int, int, bool]] = field(default_factory=dict)
     values: dict[int, float] = field(default_factory=dict)
 
+    def nodes(self, bins: np.ndarray) -> np.ndarray:
+        """The node that each row of bins reaches."""
+        node = np.ones(len(bins), np.int64)
+        size = 2 * max(self.splits, default=0) + 2
+        feature, last, first = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        inner = np.zeros(size, bool)
+        for n, (f, b, missing_left) in self.splits.items():
+            inner[n], feature[n], last[n], first[n] = True, f, b, -1 if missing_left else 0
+        rows = np.arange(len(bins))
+        while len(rows):
+            rows = rows[inner[node[rows]]]
+            at = node[rows]
+            x = bins[rows, feature[at]]
+            node[rows] = 2 * at + ((x > last[at]) | (x < first[at]))
+        return node
+
+    def added(self, bins: np.ndarray) -> np.ndarray:
+        """The value of the node that each row of bins reaches."""
+        values = np.zeros(2 * max(self.splits, default=0) + 2)
+        for n, v in self.values.items():
+            values[n] = v
+        return values[self.nodes(bins)]
+
     def expression(self, goes_left, end, node: int = 1) -> str:
         """Nested SQL: ``goes_left(split)`` is a condition, ``end(node)`` an outcome."""
         split = self.splits.get(node)
@@ -189,10 +165,157 @@ class Tree:
         return f"IF({goes_left(split)}, {left}, {right})"
 
 
-def _by_bins(split: tuple[int, int, bool]) -> str:
-    feature, bin_, missing_left = split
-    condition = f"bins[{feature}] <= {bin_}"
-    return condition if missing_left else f"bins[{feature}] BETWEEN 0 AND {bin_}"
+# -- a level -----------------------------------------------------------------------
+
+_BLOCKS = "bins binary, y binary, w binary, margin binary"
+
+
+def packed(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """A written table of blocks from rows (bins, y, w, margin)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), block_rows):
+                part = batch.slice(at, block_rows)
+                bins = part.column("bins").flatten().to_numpy().astype(np.int16)
+                numbers = (part.column(c).to_numpy().astype(np.float64) for c in ("y", "w", "margin"))
+                yield pa.record_batch(
+                    [pa.array([x.tobytes()], pa.binary()) for x in (bins, *numbers)], ["bins", "y", "w", "margin"]
+                )
+
+    return durable(rows.select("bins", "y", "w", "margin").mapInArrow(run, _BLOCKS))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for bins, *numbers in zip(*(batch.column(c) for c in ("bins", "y", "w", "margin"))):
+            y, w, margin = (np.frombuffer(x.as_py(), np.float64) for x in numbers)
+            yield np.frombuffer(bins.as_py(), np.int16).reshape(len(y), -1), y, w, margin
+
+
+def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the weighted log loss, in whole units."""
+    p = 1.0 / (1.0 + np.exp(-margin))
+    return tuple(np.rint(x / unit).astype(np.int64) for x in (w * (p - y), w * p * (1.0 - p)))
+
+
+def _exact(cells: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Whole sums per cell; halves of a number are small enough for floating point."""
+    high = np.bincount(cells, values >> 30, size).astype(np.int64)
+    return (high << 30) + np.bincount(cells, values & ((1 << 30) - 1), size).astype(np.int64)
+
+
+def histogram(blocks: DataFrame, tree: Tree, level: Sequence[int], unit: float, new: Sequence[Tree] = ()) -> DataFrame:
+    """(node, feature, bin, g, h) sums over the rows that reach the nodes of ``level``.
+
+    ``new`` are trees that the blocks' margins do not hold yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(2 * max(level) + 2, -1)
+        place[list(level)] = np.arange(len(level))
+        width, sums = 0, None
+        for bins, y, w, margin in _unpacked(batches):
+            at = place[np.minimum(tree.nodes(bins), len(place) - 1)]
+            here = np.flatnonzero(at >= 0)
+            margin = margin + sum(t.added(bins) for t in new)
+            g, h = (x[here] for x in gradients(margin, y, w, unit))
+            if bins.max(initial=0) + 2 > width or sums is None:
+                # bins seen so far set the width of a feature
+                wider = int(bins.max(initial=0)) + 2
+                grown = np.zeros((3, len(level), bins.shape[1], wider), np.int64)
+                if sums is not None:
+                    grown[..., :width] = sums
+                width, sums = wider, grown
+            features = bins.shape[1]
+            cells = ((at[here, None] * features + np.arange(features)) * width + bins[here] + 1).ravel()
+            size = sums[0].size
+            sums += np.stack(
+                [_exact(cells, np.repeat(x, features), size) for x in (g, h)] + [np.bincount(cells, minlength=size)]
+            ).reshape(sums.shape)
+        if sums is not None:
+            node, feature, bin_ = np.nonzero(sums[2])
+            yield pa.record_batch(
+                [
+                    pa.array(np.asarray(level, np.int64)[node]), pa.array(feature.astype(np.int32)), pa.array((bin_ - 1).astype(np.int32)),
+                    pa.array(sums[0][node, feature, bin_]), pa.array(sums[1][node, feature, bin_]),
+                ],
+                ["node", "feature", "bin", "g", "h"],
+            )
+
+    parts = blocks.mapInArrow(run, "node long, feature int, bin int, g long, h long")
+    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
+def moved(blocks: DataFrame, new: Sequence[Tree]) -> DataFrame:
+    """A written table of the blocks with the new trees in their margins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = [(m + sum(t.added(b) for t in new)).tobytes() for b, _, _, m in _unpacked([batch])]
+            yield pa.record_batch(
+                [*[batch.column(c) for c in ("bins", "y", "w")], pa.array(margins, pa.binary())], ["bins", "y", "w", "margin"]
+            )
+
+    return durable(blocks.mapInArrow(run, _BLOCKS))
+
+
+@dataclass(frozen=True)
+class Split:
+    """Bins up to ``bin`` of ``feature`` go left; ``g`` and ``h`` are a side's sums."""
+
+    node: int
+    feature: int
+    bin: int
+    missing_left: bool
+    gain: float
+    g_left: float
+    h_left: float
+    g_right: float
+    h_right: float
+
+
+def best_splits(
+    sums: pa.Table, unit: float = 1.0, penalty: float = 1.0, gamma: float = 0.0, min_child: float = 1.0
+) -> list[Split]:
+    """For every node that can be split with a gain its best split, from the level's
+    :func:`histogram`, whose size nodes, features and bins bound.
+
+    ``unit`` is what one unit of the sums is worth.  Ties go to the first feature, then
+    the lowest bin, then to missing values on the left."""
+    node, feature, bin_, g, h = (sums.column(c).to_numpy() for c in ("node", "feature", "bin", "g", "h"))
+    if not len(node):
+        return []
+    nodes, row = np.unique(node, return_inverse=True)
+    shape = (len(nodes), feature.max() + 1, bin_.max() + 2)
+    there = np.zeros(shape, bool)
+    there[row, feature, bin_ + 1] = True
+    upto, missing, whole = [], [], []
+    for values in (g, h):
+        cells = np.zeros(shape, values.dtype)
+        cells[row, feature, bin_ + 1] = values
+        left = np.cumsum(cells, axis=2)
+        upto.append(left[..., 1:])
+        missing.append(cells[..., :1])
+        whole.append(left[..., -1:] * unit)
+    # the last axis: missing values on the left, on the right
+    g_left, h_left = (np.stack([u * unit, (u - m) * unit], axis=-1) for u, m in zip(upto, missing))
+    g_all, h_all = (w[..., None] for w in whole)
+    g_right, h_right = g_all - g_left, h_all - h_left
+
+    def worth(g, h):
+        return g * g / np.maximum(h + penalty, 1e-300)
+
+    gain = worth(g_left, h_left) + worth(g_right, h_right) - worth(g_all, h_all)
+    allowed = (h_left >= min_child) & (h_right >= min_child) & there[..., 1:, None] & (gain > max(gamma, LEAST_GAIN))
+    allowed[..., 1] &= missing[1] != 0
+    ranked = np.where(allowed, np.round(gain, 9), -np.inf).reshape(len(nodes), -1)
+    out = []
+    for i, at in enumerate(ranked.argmax(axis=1)):
+        if ranked[i, at] > -np.inf:
+            place = np.unravel_index(at, gain.shape[1:])
+            numbers = [float(x[(i, *place)]) for x in (gain, g_left, h_left, g_right, h_right)]
+            out.append(Split(int(nodes[i]), int(place[0]), int(place[1]), bool(place[2] == 0), *numbers))
+    return out
 
 
 @dataclass
@@ -226,14 +349,6 @@ class BoostedTrees:
         return scored.select(*df.columns, (F.col(score) > 0.5).cast("int").alias(prediction), score)
 
 
-def gradients(margin: Column, label: Column, weight: Column, unit: float) -> tuple[Column, Column]:
-    """Gradient and Hessian of the weighted log loss, in whole units."""
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    return tuple(
-        F.round(x / F.lit(unit)).cast("long") for x in (weight * (p - label), weight * p * (F.lit(1.0) - p))
-    )
-
-
 def fit(
     df: DataFrame,
     columns: Sequence[str],
@@ -250,35 +365,32 @@ def fit(
 ) -> BoostedTrees:
     """Boosted trees; ``base`` is the margin before the first one."""
     columns = list(columns)
-    known = df.select(*columns, F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
-    known = durable(known.where("_y IS NOT NULL AND _w > 0"))
-    cuts = cut_points(weighted_sketch(known, columns, "_w"), len(columns), bins)
-    total = known.agg(F.sum("_w")).first()[0]
+    known = df.select(*columns, F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"))
+    known = durable(known.where("y IS NOT NULL AND w > 0"))
+    cuts = cut_points(weighted_sketch(known, columns, "w"), len(columns), bins)
+    total = known.agg(F.sum("w")).first()[0]
     model = BoostedTrees(tuple(columns), cuts, [], base)
     if not total:
         return model
     unit = max(total / 2.0**61, 2.0**-50)
-    rows = durable(binned(known, columns, cuts).select("_y", "_w", "bins", F.lit(base).alias("_m")))
+    blocks = packed(binned(known, columns, cuts).withColumn("margin", F.lit(base)))
+    new: list[Tree] = []
     for _ in range(trees):
-        g, h = gradients(F.col("_m"), F.col("_y"), F.col("_w"), unit)
-        tree, level = Tree(), {1}
+        tree, level = Tree(), [1]
         for _ in range(depth):
-            def end(node, level=level):
-                return str(node) if node in level else "0"
-
-            node = F.expr(tree.expression(_by_bins, end)).alias("node")
-            sums = histogram(rows.select(node, "bins", g.alias("g"), h.alias("h")).where("node > 0"))
-            found = best_splits(sums, unit, penalty, gamma, min_child).collect()
+            sums = histogram(blocks, tree, level, unit, new)
+            found = best_splits(sums.toArrow(), unit, penalty, gamma, min_child)
             if not found:
                 break
             for s in found:
-                tree.splits[s.node] = (s.feature, s.bin, bool(s.missing_left))
+                tree.splits[s.node] = (s.feature, s.bin, s.missing_left)
                 for child, side_g, side_h in ((2 * s.node, s.g_left, s.h_left), (2 * s.node + 1, s.g_right, s.h_right)):
                     tree.values[child] = -step * side_g / (side_h + penalty)
-            level = {child for s in found for child in (2 * s.node, 2 * s.node + 1)}
+            level = [child for s in found for child in (2 * s.node, 2 * s.node + 1)]
         if not tree.splits:
             break  # the next tree would be the same
         model.trees.append(tree)
-        added = F.expr(tree.expression(_by_bins, lambda n: f"{tree.values[n]!r}D"))
-        rows = durable(rows.select("_y", "_w", "bins", (F.col("_m") + added).alias("_m")))
+        new.append(tree)
+        if len(new) == WRITE_EVERY:
+            blocks, new = moved(blocks, new), []
     return model

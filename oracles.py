@@ -560,9 +560,11 @@ SELECT CAST(feature AS INTEGER) AS feature, CAST(row_number() OVER (PARTITION BY
 _WIDTHS = [f"least(greatest(floor({c} * 4) + 8, 0), 15)::INTEGER" for c in FEATURES]
 _WIDTHS[0] = f"CASE WHEN user_id % 11 = 0 THEN -1 ELSE {_WIDTHS[0]} END"
 BODIES["boost_level"] = CHURN + f"""
-, r AS (SELECT user_id, 4 + user_id % 4 AS node, [{", ".join(_WIDTHS)}] AS bins, churn,
+, r AS (SELECT user_id, CASE WHEN bins[4] <= 8 THEN CASE WHEN bins[5] <= 7 THEN 4 ELSE 5 END
+                WHEN bins[1] BETWEEN 0 AND 8 THEN 6 ELSE 7 END AS node, bins, churn,
           1.0 + user_id % 3 AS w, 1.0 / (1.0 + exp(-sin(user_id::DOUBLE))) AS p
-        FROM t_scaled JOIN (SELECT user_id, churn FROM t_churn) USING (user_id)),
+        FROM (SELECT user_id, [{", ".join(_WIDTHS)}] AS bins FROM t_scaled)
+        JOIN (SELECT user_id, churn FROM t_churn) USING (user_id)),
 cells AS (SELECT node, unnest(range({len(FEATURES)})) AS feature, unnest(bins) AS bin, w * (p - churn) AS g, w * p * (1 - p) AS h FROM r),
 sums AS (SELECT node, feature, bin, sum(g) AS g, sum(h) AS h FROM cells GROUP BY ALL),
 scan AS (SELECT *, sum(g) OVER o AS gu, sum(h) OVER o AS hu, sum(g) OVER n AS ga, sum(h) OVER n AS ha,
@@ -575,7 +577,7 @@ gains AS (SELECT *, ga - gl AS gr, ha - hl AS hr,
           FROM sides WHERE hl >= 1 AND ha - hl >= 1),
 best AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, feature, bin, m DESC) AS place
          FROM gains WHERE gain > 1e-6)
-SELECT node, feature::INTEGER AS feature, bin::INTEGER AS bin, m AS missing_left, round(gain, 6) AS gain,
+SELECT node::BIGINT AS node, feature::INTEGER AS feature, bin::INTEGER AS bin, m = 1 AS missing_left, round(gain, 6) AS gain,
   round(gl, 6) AS g_left, round(hl, 6) AS h_left, round(gr, 6) AS g_right, round(hr, 6) AS h_right,
   round(-gl / (hl + 1), 6) AS left_value, round(-gr / (hr + 1), 6) AS right_value
 FROM best WHERE place = 1"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import astuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -751,8 +752,15 @@ def final_model(t):
     return profiles.cluster_profiles(segmentation.final_model(train_features(t)).labelled)
 
 
+_churn_runs: dict[tuple[str, str], churn_plan.ChurnRun] = {}
+
+
 def _churn_run(t: RetailTables) -> churn_plan.ChurnRun:
-    return churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS)
+    """The fitted run; the queries below read the same one within an application."""
+    place = (t.spark.sparkContext.applicationId, t.directory)
+    if place not in _churn_runs:
+        _churn_runs[place] = churn_plan.run_churn(train_features(t), t.orders, CHURN_DAYS)
+    return _churn_runs[place]
 
 
 @query
@@ -767,17 +775,21 @@ def boost_bins(t):
 
 @query
 def boost_level(t):
-    """The splits of one level of a tree, four nodes, given bins and scores."""
+    """The splits of the third level of a tree, given bins, scores and two levels."""
     users = churn.churn_label(features.standardize(durable(train_features(t))), t.orders, CHURN_DAYS)
     width = [F.least(F.greatest(F.floor(F.col(c) * 4) + 8, F.lit(0)), F.lit(15)).cast("int") for c in FEATURES]
     width[0] = F.when(F.col("user_id") % 11 == 0, -1).otherwise(width[0])
-    p = 1.0 / (1.0 + F.exp(-F.sin(F.col("user_id").cast("double"))))
-    weight = 1.0 + F.col("user_id") % 3
     rows = users.select(
-        (4 + F.col("user_id") % 4).alias("node"), F.array(*width).alias("bins"),
-        (weight * (p - F.col("churn"))).alias("g"), (weight * p * (1.0 - p)).alias("h"),
+        F.array(*width).alias("bins"), F.col("churn").alias("y"),
+        (1.0 + F.col("user_id") % 3).alias("w"), F.sin(F.col("user_id").cast("double")).alias("margin"),
+    )
+    tree = boosting.Tree({1: (3, 8, True), 2: (4, 7, True), 3: (0, 8, False)})
+    sums = boosting.histogram(boosting.packed(rows), tree, [4, 5, 6, 7], 2.0**-50)
+    splits = t.spark.createDataFrame(
+        [astuple(s) for s in boosting.best_splits(sums.toArrow(), 2.0**-50)],
+        "node long, feature int, bin int, missing_left boolean, gain double, "
+        "g_left double, h_left double, g_right double, h_right double",
     )
-    splits = boosting.best_splits(boosting.histogram(rows))
     values = {f"{side}_value": -F.col(f"g_{side}") / (F.col(f"h_{side}") + 1.0) for side in ("left", "right")}
     return six(splits.withColumns(values), "gain", "g_left", "h_left", "g_right", "h_right", *values)
 
