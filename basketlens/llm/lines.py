@@ -51,19 +51,18 @@ def drop_frequent_lines(
 ) -> DataFrame:
     """``key``, n_lines, n_dropped and the ``kept`` text of every document."""
     frequent = durable(frequent_lines(docs, text, min_docs, min_chars))
-    own = F.xxhash64(F.col(text)).alias("own")
-    placed = docs.select(
-        F.col(key).alias("id"), own, F.posexplode(_keys(text, min_chars)).alias("pos", "k")
-    ).where(F.col("k").isNotNull())
+    # only these names meet in the join, whatever the table's columns are called
+    picked = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))
+    placed = picked.select("id", "own", F.posexplode(_keys("text", min_chars)).alias("pos", "k")).where(
+        F.col("k").isNotNull()
+    )
     hits = placed.select("id", "own", "pos", "k.a", "k.b").join(frequent, ["a", "b"])
     # rows that agree in key and text are cut alike, so they may share one set
-    cut = hits.groupBy("id", "own").agg(F.collect_set("pos").alias("cut"))
-    joined = docs.select(F.col(key), F.col(text), own).join(
-        cut.withColumnRenamed("own", "cut_own"),
-        F.col(key).eqNullSafe(F.col("id")) & (F.col("own") == F.col("cut_own")),
-        "left",
+    cut = hits.groupBy(F.col("id").alias("cut_id"), F.col("own").alias("cut_own")).agg(F.collect_set("pos").alias("cut"))
+    joined = picked.join(
+        cut, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("own") == F.col("cut_own")), "left"
     )
-    split = F.split(whole(text), "\n")
+    split = F.split(whole("text"), "\n")
     kept = let(
         split,
         lambda x: F.array_join(
@@ -75,8 +74,8 @@ def drop_frequent_lines(
         ),
     )
     return joined.select(
-        F.col(key),
-        F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("cut").isNull(), whole(text)).otherwise(kept).alias("kept"),
-    )
+        "id",
+        F.size(split).cast("long"),
+        F.coalesce(F.size("cut"), F.lit(0)).cast("long"),
+        F.when(F.col("cut").isNull(), whole("text")).otherwise(kept),
+    ).toDF(key, "n_lines", "n_dropped", "kept")

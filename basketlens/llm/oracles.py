@@ -13,16 +13,13 @@ WORDS = f"list_filter(string_split_regex(coalesce(text, ''), {SPLIT}), lambda x:
 
 def _quality(risk: float = 0.02, delta: float = 0.05) -> str:
     rules = quality.RULES
-    part = repr(risk / len(rules))
+    longest = max(len(r.cutoffs) for r in rules)
     tests = ", ".join(
-        f"('{r.name}', {i}, CAST({c!r} AS DOUBLE))" for r in rules for i, c in enumerate(r.cutoffs)
-    )
-    score = "CASE t.rule " + " ".join(f"WHEN '{r.name}' THEN {r.score}" for r in rules) + " END"
-    above = " OR ".join(
-        f"coalesce({r.score} > (SELECT max(cutoff) FROM chosen c WHERE c.rule = '{r.name}' "
-        f"AND c.lang IS NOT DISTINCT FROM m.lang), false)"
-        for r in rules
+        f"({i}, " + ", ".join(f"CAST({r.cutoffs[i] if i < len(r.cutoffs) else r.cutoffs[-1]!r} AS DOUBLE)" for r in rules) + ")"
+        for i in range(longest)
     )
+    names = ", ".join(f"c_{r.name}" for r in rules)
+    strict = " OR ".join(f"coalesce({r.score} > c_{r.name}, false)" for r in rules)
     return f"""
     WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, {WORDS} AS ws FROM documents),
     grams AS (SELECT rid, i, array_to_string(ws[i:i+4], ' ') AS g
@@ -39,18 +36,18 @@ def _quality(risk: float = 0.02, delta: float = 0.05) -> str:
              len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed
           FROM w LEFT JOIN rep USING (rid) LEFT JOIN lc USING (rid)),
     good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-    tests AS (SELECT * FROM (VALUES {tests}) v(rule, step, cutoff)),
-    x AS (SELECT lang, t.rule, step, cutoff, count(*) AS n, count(*) FILTER ({score} > cutoff) AS x
+    tests AS (SELECT * FROM (VALUES {tests}) v(step, {names})),
+    x AS (SELECT lang, step, count(*) AS n, count(*) FILTER ({strict}) AS x
           FROM m JOIN good USING (doc_id), tests t WHERE NOT base_failed GROUP BY ALL),
-    p AS (SELECT *, CASE WHEN x >= n * {part} THEN 1 ELSE list_sum(list_transform(range(0, x + 1),
-            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({part}) + (n - i) * ln(1 - {part})))) END AS p,
-            (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM x)) AS families FROM x),
-    stops AS (SELECT lang, rule, min(step) FILTER (p > {delta!r} / families) AS stop FROM p GROUP BY ALL),
-    chosen AS (SELECT p.lang, p.rule, arg_max(cutoff, step) AS cutoff FROM p JOIN stops s
-               ON p.lang IS NOT DISTINCT FROM s.lang AND p.rule = s.rule
-               WHERE stop IS NULL OR step < stop GROUP BY ALL)
+    p AS (SELECT *, CASE WHEN x >= n * {risk!r} THEN 1 ELSE list_sum(list_transform(range(0, x + 1),
+            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) END AS p,
+            (SELECT count(*) FROM (SELECT DISTINCT lang FROM x)) AS strata FROM x),
+    stops AS (SELECT lang, min(step) FILTER (p > {delta!r} / strata) AS stop FROM p GROUP BY ALL),
+    chosen AS (SELECT p.lang, max(step) AS step FROM p JOIN stops s ON p.lang IS NOT DISTINCT FROM s.lang
+               WHERE stop IS NULL OR step < stop GROUP BY ALL),
+    judged AS (SELECT m.*, t.* FROM m LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM m.lang LEFT JOIN tests t USING (step))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT ({above}) AS kept FROM m"""
+           NOT base_failed AND NOT ({strict}) AS kept FROM judged"""
 
 
 _MIX = f"""

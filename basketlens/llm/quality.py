@@ -1,15 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee on rejected good documents.
 
 Every rule is a score and a fixed list of cutoffs from lenient to strict; a document
-whose score exceeds the chosen cutoff is rejected.  Which cutoff a stratum may use is
-decided on labelled documents: under the hypothesis "this cutoff rejects more than
-its part of the good documents" the number of good labelled documents it rejects is
-binomial, so the exact lower tail is a p-value.  Cutoffs are tested from lenient to
-strict and testing stops at the first one not proven (fixed sequence, no further
-correction needed inside a rule); the level is divided by the number of (stratum,
-rule) families (Bonferroni).  Each rule is tested against an equal share of ``risk``:
-with probability ``1 - delta`` no stratum loses more than ``risk`` of its good documents
-to all rules together.
+whose score exceeds the chosen cutoff is rejected.  The rules are tightened together: step
+i takes the i-th cutoff of each (a shorter list stays at its last one).  Which step a
+stratum may use is decided on labelled documents: under the hypothesis "this step rejects
+more than ``risk`` of the good documents" the number of good labelled documents that any
+of its rules rejects is binomial, so the exact lower tail is a p-value.  Steps are tested
+from lenient to strict and testing stops at the first one not proven (fixed sequence, so
+no further correction is needed inside a stratum); the level is divided by the number of
+strata (Bonferroni).  With probability ``1 - delta`` no stratum loses more than ``risk`` of
+its good documents to all rules together.  A stratum without a rejected good document
+needs ln(delta / strata) / ln(1 - risk) labels, about 220 for four strata.
 
 Cases: a missing text has no words; a missing stratum value is a stratum of its own;
 a repeated row is a document of its own; a document with several labels counts once,
@@ -20,6 +21,8 @@ ignored; a stratum with too few labels keeps all that passes the base rules.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -167,11 +170,9 @@ def cutoffs(
     delta: float = 0.05,
     failed: Column | None = None,
 ) -> DataFrame:
-    """One row per stratum: for each rule its proven cutoff, or null.
+    """One row per stratum: for each rule its cutoff at the last proven step, or null.
 
-    ``risk`` is shared equally by the rules, so that all of them together reject at
-    most that part.  Good labelled documents that pass the base rules count.
-    """
+    Good labelled documents that pass the base rules count."""
     failed = base_failed() if failed is None else failed
     good = (
         labels.where(F.col(key).isNotNull())
@@ -180,42 +181,35 @@ def cutoffs(
         .where("_quality = 1")
     )
     held = measured.where(~failed).join(good, F.col(key) == F.col("_key"), "left_semi")
+    steps = [[r.cutoffs[min(i, len(r.cutoffs) - 1)] for r in rules] for i in range(max(len(r.cutoffs) for r in rules))]
+
+    def rejected(at: list[float]) -> Column:
+        return reduce(or_, [F.coalesce(F.expr(r.score) > F.lit(c), F.lit(False)) for r, c in zip(rules, at)])
+
     counts = held.groupBy(F.col(stratum).alias("_stratum")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[
-            F.count_if(F.expr(r.score) > F.lit(c)).alias(f"_x_{r.name}_{i}")
-            for r in rules
-            for i, c in enumerate(r.cutoffs)
-        ],
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(rejected(at)).alias(f"_x_{i}") for i, at in enumerate(steps)]
     )
     tests = F.array(
         *[
             F.struct(
-                F.lit(r.name).alias("rule"),
-                F.lit(i).alias("step"),
-                F.lit(c).alias("cutoff"),
-                F.col(f"_x_{r.name}_{i}").alias("x"),
+                F.lit(i).alias("step"), F.col(f"_x_{i}").alias("x"),
+                *[F.lit(c).alias(f"cutoff_{r.name}") for r, c in zip(rules, at)],
             )
-            for r in rules
-            for i, c in enumerate(r.cutoffs)
+            for i, at in enumerate(steps)
         ]
     )
     # one row per stratum: as many windows as strata below, none over documents
-    families = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(rules)
+    strata = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     tested = (
-        counts.withColumn("_families", families)
-        .select("_stratum", "_n", "_families", F.inline(tests))
-        .withColumn("p", lower_tail(F.col("x"), F.col("_n"), risk / len(rules)))
+        counts.withColumn("_strata", strata)
+        .select("_stratum", "_n", "_strata", F.inline(tests))
+        .withColumn("p", lower_tail(F.col("x"), F.col("_n"), risk))
     )
-    stops = F.min(F.when(F.col("p") > F.lit(delta) / F.col("_families"), F.col("step")))
-    stopped = tested.withColumn("_stop", stops.over(Window.partitionBy("_stratum", "rule")))
+    stop = F.min(F.when(F.col("p") > F.lit(delta) / F.col("_strata"), F.col("step")))
+    stopped = tested.withColumn("_stop", stop.over(Window.partitionBy("_stratum")))
     proven = stopped.where(F.col("_stop").isNull() | (F.col("step") < F.col("_stop")))
     return proven.groupBy("_stratum").agg(
-        *[
-            F.max_by(F.when(F.col("rule") == r.name, F.col("cutoff")),
-                     F.when(F.col("rule") == r.name, F.col("step"))).alias(f"cutoff_{r.name}")
-            for r in rules
-        ]
+        *[F.max_by(f"cutoff_{r.name}", "step").alias(f"cutoff_{r.name}") for r in rules]
     )
 
 

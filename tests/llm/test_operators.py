@@ -433,3 +433,51 @@ def test_scores_of_nothing(spark, nothing):
     assert language.score_documents(nothing).count() == 0
     alone = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert language.score_documents(alone, order=2).first().log_score == pytest.approx(2 * brute.math.log(0.16))
+
+
+# -- names, and the quality method at work --------------------------------------------
+
+
+@pytest.mark.parametrize("key,text", [("id", "own"), ("own", "cut"), ("cut", "id"), ("pos", "k"), ("a", "b"), ("cut_id", "cut_own"), ("n_lines", "kept")])
+def test_lines_with_clashing_names(spark, key, text):
+    rows = [(i, f"common\nown {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, f"`{key}` long, `{text}` string")
+    found = lines.drop_frequent_lines(docs, key, text).collect()
+    assert sorted((r[0], r[1], r[2], r[3]) for r in found) == [(i, 2, 1, f"own {i}") for i in range(12)]
+
+
+def test_quality_decides_in_every_language(spark):
+    """On sf0.1 every language has a proven step, and the SQL agrees on every document."""
+    import __spark_entry__ as contract
+    from tests.compare import compare, duck
+
+    directory = "/root/testdata/sf0.1"
+    docs, labels = queries.table(spark, directory, "documents"), queries.table(spark, directory, "labels")
+    measured = quality.measures(docs.select("doc_id", "lang", "text"))
+    chosen = {r[0]: r for r in quality.cutoffs(measured, labels, "doc_id", "lang").collect()}
+    assert {"en", "de", "fr", "es"} <= set(chosen) and all(r.cutoff_symbols_per_word is not None for r in chosen.values())
+    judged = queries.QUERIES["op1_quality_rules"](spark, directory)
+    assert compare(judged, duck(directory), contract.oracle_sql()["op1_quality_rules"]) == []
+    by = {r.lang: r.n for r in judged.where("NOT base_failed AND NOT kept").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert {"en", "de", "fr", "es"} <= set(by)
+
+
+def test_quality_loses_no_more_than_its_risk(spark):
+    """Strata whose good documents are rejected at known rates: none is given a step
+    that loses more than the risk, and most get one that loses less."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    rule = (quality.Rule("score", "n_symbols / n_words", (0.9, 0.7, 0.5, 0.3, 0.1)),)
+    losses = (0.0, 0.005, 0.015, 0.03, 0.1)
+    rows = []
+    for stratum in range(60):
+        # the least loss whose cutoff a score exceeds with the given probability
+        u = rng.random(600)
+        score = np.select([u < losses[1], u < losses[2], u < losses[3], u < losses[4]], [0.8, 0.6, 0.4, 0.2], 0.0)
+        rows += [(int(stratum * 1000 + i), f"s{stratum}", 1000, int(1000 * s), 0) for i, s in enumerate(score)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_symbols long, n_repeat_words long")
+    labels = measured.select("doc_id", F.lit(1).alias("quality"))
+    chosen = quality.cutoffs(measured, labels, "doc_id", "lang", rule, risk=0.02, delta=0.05).collect()
+    assert len(chosen) > 50 and all(r.cutoff_score >= 0.5 for r in chosen)
+    assert {r.cutoff_score for r in chosen} & {0.7, 0.5}
