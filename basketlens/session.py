@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,15 +62,42 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{durable_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`durable` returned and nothing reads any more."""
+    for table in tables:
+        path = table._written_to
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Every query ended inside deletes its shuffle files at its end, not whenever the
+    driver collects garbage; what is written meanwhile must be durable."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def clean_up(spark: SparkSession) -> int:
     """Delete the tables :func:`durable` wrote in this process, once nothing reads
     them any more; returns how many there were."""
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        removed += bool(path.getFileSystem(configuration).delete(path, True))
+        removed += _delete(spark, _written.pop())
     return removed
