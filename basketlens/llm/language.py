@@ -6,7 +6,7 @@ document's n-grams are joined with them and its word scores summed.  Both go thr
 range adds them up and returns the totals.  Words and pairs are asked for at once, longer
 n-grams level by level: another document can only have one whose two (n-1)-grams other
 documents have, so only those are asked for, and all others count zero as they would
-anyway.  A document is scored as if it were not in
+anyway.  Requests and replies are written tables that are deleted once they are used.  A document is scored as if it were not in
 the corpus: its own counts are taken off first (``held_out``), so that copies count
 but the document itself does not.
 
@@ -22,6 +22,7 @@ is unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from basketlens.llm import exchange
 from basketlens.llm.exchange import Chunk, planes, unplanes
 from basketlens.llm.textarrays import mix, window_hashes
-from basketlens.session import durable
+from basketlens.session import discard, durable, shuffles_deleted
 
 # Longest n-grams of the first request: their parts are almost always known elsewhere.
 AT_ONCE = 2
@@ -171,12 +172,6 @@ def score_documents(
         return exchange.answers(asked, _add_up).withColumn("level", F.lit(n))
 
     words = packed.agg(F.sum("n_words")).first()[0] or 0
-    replies = answered(packed.mapInArrow(ask, exchange.REQUEST), at_once)
-    for n in range(at_once + 1, order + 1):
-        replies = durable(replies)
-        exchange.release(docs.sparkSession)
-        asked = packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask_longer(n), exchange.REQUEST)
-        replies = replies.unionByName(answered(asked, n))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left)
@@ -190,9 +185,23 @@ def score_documents(
             [chunk.keys, pa.array(size.astype(np.int64)), pa.array(sums)], ["key", "n_words", "log_score"]
         )
 
-    done = packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        score, f"key {kind}, n_words long, log_score double"
-    )
+    # each step is written, and what it moved or asked is deleted, before the next
+    with shuffles_deleted(docs.sparkSession):
+        levels = [durable(answered(packed.mapInArrow(ask, exchange.REQUEST), at_once))]
+        for n in range(at_once + 1, order + 1):
+            known = reduce(DataFrame.unionByName, levels)
+            asked = durable(
+                packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ask_longer(n), exchange.REQUEST)
+            )
+            levels.append(durable(answered(asked, n)))
+            discard(asked)
+        replies = reduce(DataFrame.unionByName, levels)
+        done = durable(
+            packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+                score, f"key {kind}, n_words long, log_score double"
+            )
+        )
+    discard(packed, *levels)
     return done.select(
         F.col("key").alias(key), "n_words", "log_score",
         F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"),
