@@ -1,25 +1,37 @@
-"""Ward clustering over micro-clusters.
+"""Ward clustering by rounds of reciprocal nearest neighbours.
 
-K-means on the executors condenses the rows to at most ``MICRO_CLUSTERS`` centroids,
-whatever the table's size; only these (with their sizes) are merged, and every row
-takes the label of its centroid.  One merge tree serves every k.  With no more
-distinct rows than micro-clusters each row is its own centroid, and the merging is
-Ward's own.
+Ward's cost allows every pair of clusters that are each other's cheapest partner to merge
+at once, in any order, without changing the tree.  Clusters are a written table; a round
+finds all cheapest partners exactly, block against block, where lower bounds leave room
+for one, and merges all such pairs.  When few clusters are left they are merged at the
+driver along chains of nearest neighbours.  One tree serves every k.
+
+With ``condense_to`` k-means condenses the rows to so many centroids first, and only
+these (with their sizes) are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from basketlens.operators.blocks import squared_distances
 from basketlens.operators.partition import KS, VECTOR, assemble
 from basketlens.operators.sampling import SEED
+from basketlens.session import discard, durable
 
 MICRO_CLUSTERS = 500
+# clusters of a block, blocks of a group, and the clusters that the driver merges
+BLOCK_ROWS = 512
+GROUP_BLOCKS = 512
+FINISH = 4096
 
 
 def ward_merges(sizes, centroids):
@@ -59,22 +71,6 @@ def ward_merges(sizes, centroids):
     return [merges[i] for i in order]
 
 
-def cut_tree(merges, leaves: int, k: int):
-    """Labels 0..k-1 per leaf, numbered by first appearance."""
-    parent = list(range(leaves))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for _, a, b in merges[: max(leaves - k, 0)]:
-        parent[root(b)] = root(a)
-    names: dict[int, int] = {}
-    return [names.setdefault(root(i), len(names)) for i in range(leaves)]
-
-
 def micro_clusters(df: DataFrame, columns: Sequence[str], k: int = MICRO_CLUSTERS, seed: int = SEED):
     """The rows with the number of their micro-cluster, ``_micro``, and the clusters'
     sizes and centroids (at most ``k`` rows)."""
@@ -90,9 +86,297 @@ def micro_clusters(df: DataFrame, columns: Sequence[str], k: int = MICRO_CLUSTER
     return rows, table
 
 
-def merge_heights(sizes, centroids) -> list[float]:
-    """Merge costs of the whole tree, lowest first."""
-    return [height for height, _, _ in ward_merges(sizes, centroids)]
+# -- exact merging -----------------------------------------------------------------
+
+
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number per unordered pair of ids, so that equal costs are settled alike from
+    both sides and not along the ids."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    x = low * np.uint64(0x9E3779B97F4A7C15) + high
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _nearest(ids, n, x, other_ids, other_n, other_x):
+    """For each cluster the cost, order and id of the cheapest partner among the others."""
+    cost = squared_distances(x, other_x) * (n[:, None] * other_n / (n[:, None] + other_n))
+    cost[ids[:, None] == other_ids] = np.inf
+    least = cost.min(axis=1, initial=np.inf)
+    best, order = np.full(len(ids), -1), np.full(len(ids), np.iinfo(np.int64).max)
+    for row, column in zip(*np.nonzero((cost == least[:, None]) & np.isfinite(cost))):
+        place = int(_pair_order(ids[row : row + 1], other_ids[column : column + 1])[0])
+        if place < order[row]:
+            best[row], order[row] = other_ids[column], place
+    return least, order, best
+
+
+def _axes(columns: int) -> list[str]:
+    return [f"x{i}" for i in range(columns)]
+
+
+def _points(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in _axes(columns)])
+
+
+def _codes(columns: int, low: np.ndarray, high: np.ndarray):
+    """A place along a curve through space: interleaved bits of the scaled axes."""
+    bits = max(62 // columns, 1)
+    width = np.where(high > low, high - low, 1.0)
+
+    def run(batches):
+        for batch in batches:
+            cells = np.clip((_points(batch, columns) - low) / width * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+            code = np.zeros(len(batch), np.int64)
+            for bit in range(bits):
+                for axis in range(min(columns, 62)):
+                    code |= ((cells[:, axis] >> bit) & 1) << (bit * columns + axis)
+            yield pa.record_batch([*batch.columns, pa.array(code)], [*batch.schema.names, "code"])
+
+    return run
+
+
+def _blocks(columns: int, block_rows: int, group: int):
+    """Packed blocks of neighbouring clusters, each with its box, its least size, and
+    the nearest neighbours inside it."""
+    names = ["block", "super", "ids", "n", "x", "cost", "place", "near", "least_n", "open", *_box(columns)]
+
+    def run(batches):
+        part, number = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at in range(0, len(batch), block_rows):
+                piece = batch.slice(at, block_rows)
+                ids, n = (piece.column(c).to_numpy() for c in ("id", "n"))
+                x = _points(piece, columns)
+                cost, place, near = _nearest(ids, n, x, ids, n, x)
+                box = [*x.min(axis=0), *x.max(axis=0)]
+                yield pa.record_batch(
+                    [
+                        pa.array([part + number]), pa.array([part + number // group]),
+                        *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (ids, n, x, cost, place, near)],
+                        pa.array([float(n.min())]), pa.array([float(cost.max())]), *[pa.array([float(v)]) for v in box],
+                    ],
+                    names,
+                )
+                number += 1
+
+    return run
+
+
+def _box(columns: int) -> list[str]:
+    return [f"low{i}" for i in range(columns)] + [f"high{i}" for i in range(columns)]
+
+
+def _apart(columns: int, left: str, right: str) -> Column:
+    """Less than the cost of any pair from two boxes."""
+    gaps = [
+        F.greatest(F.col(f"{left}low{i}") - F.col(f"{right}high{i}"), F.col(f"{right}low{i}") - F.col(f"{left}high{i}"), F.lit(0.0))
+        for i in range(columns)
+    ]
+    a, b = F.col(f"{left}least_n"), F.col(f"{right}least_n")
+    return sum((g * g for g in gaps), F.lit(0.0)) * (a * b / (a + b)) * (1 - 1e-9)
+
+
+def _between(columns: int):
+    """Rows (id, cost, place, near) of the clusters that find a nearer one in another block."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                def part(name, kind):
+                    return np.frombuffer(batch.column(name)[i].as_py(), kind)
+
+                ids, n, x = part("ids", np.int64), part("n", np.float64), part("x", np.float64).reshape(-1, columns)
+                others = part("o_ids", np.int64), part("o_n", np.float64), part("o_x", np.float64).reshape(-1, columns)
+                known = part("cost", np.float64)
+                gap = np.maximum(np.maximum(others[2].min(axis=0) - x, x - others[2].max(axis=0)), 0.0)
+                least = others[1].min()
+                asking = (gap**2).sum(axis=1) * (n * least / (n + least)) * (1 - 1e-9) <= known
+                cost, place, near = _nearest(ids[asking], n[asking], x[asking], *others)
+                better = (cost <= known[asking]) & np.isfinite(cost)
+                yield pa.record_batch(
+                    [pa.array(ids[asking][better]), pa.array(cost[better]), pa.array(place[better]), pa.array(near[better])],
+                    ["id", "cost", "place", "near"],
+                )
+
+    return run
+
+
+def _inside(batches):
+    for batch in batches:
+        for i in range(len(batch)):
+            found = [
+                np.frombuffer(batch.column(c)[i].as_py(), kind)
+                for c, kind in (("ids", np.int64), ("cost", np.float64), ("place", np.int64), ("near", np.int64))
+            ]
+            paired = np.isfinite(found[1])
+            yield pa.record_batch([pa.array(v[paired]) for v in found], ["id", "cost", "place", "near"])
+
+
+def _open_groups(columns: int, groups: list[tuple]):
+    """(block, super) for every group of blocks that may hold a nearer partner."""
+    table = np.array([g[1:] for g in groups], float)
+    numbers = np.array([g[0] for g in groups], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            box = np.column_stack([batch.column(c).to_numpy() for c in _box(columns)])
+            n, room = (batch.column(c).to_numpy()[:, None] for c in ("least_n", "open"))
+            gap = np.maximum(
+                np.maximum(box[:, None, :columns] - table[:, 1 + columns :], table[:, 1 : 1 + columns] - box[:, None, columns:]), 0.0
+            )
+            least = (gap**2).sum(axis=2) * (n * table[:, 0] / (n + table[:, 0])) * (1 - 1e-9)
+            row, place = np.nonzero(least <= room)
+            yield pa.record_batch([batch.column("block").take(pa.array(row)), pa.array(numbers[place])], ["block", "super"])
+
+    return run
+
+
+def nearest_partners(clusters: DataFrame, columns: int, block_rows: int = BLOCK_ROWS, group: int = GROUP_BLOCKS) -> DataFrame:
+    """A written table (id, near, cost): for every cluster (id, n, x0, x1, ...) the
+    partner whose merging costs least, exactly.
+
+    Clusters are sorted along a curve through space and cut into blocks; a block asks
+    another only if the least possible cost between their boxes and sizes leaves room,
+    which is asked of groups of blocks first.  Of the groups, one per ``group *
+    block_rows`` clusters, the boxes reach every task."""
+    axes, box = _axes(columns), _box(columns)
+    ends = clusters.agg(*[F.min(c) for c in axes], *[F.max(c) for c in axes]).first()
+    kinds = "id long, n double, " + ", ".join(f"{c} double" for c in axes)
+    coded = clusters.select("id", "n", *axes).mapInArrow(
+        _codes(columns, np.array(ends[:columns]), np.array(ends[columns:])), kinds + ", code long"
+    )
+    shape = (
+        "block long, super long, ids binary, n binary, x binary, cost binary, place binary, near binary, "
+        "least_n double, open double, " + ", ".join(f"{c} double" for c in box)
+    )
+    ordered = coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id")
+    blocks = durable(ordered.mapInArrow(_blocks(columns, block_rows, group), shape))
+    summary = blocks.select("block", "super", "least_n", "open", *box)
+    grouped = summary.groupBy("super").agg(
+        F.min("least_n"), *[(F.min if c.startswith("low") else F.max)(c) for c in box]
+    )
+    open_groups = summary.mapInArrow(_open_groups(columns, [tuple(r) for r in grouped.collect()]), "block long, super long")
+    facing = summary.select(
+        "super", F.col("block").alias("o_block"), *[F.col(c).alias(f"o_{c}") for c in ("least_n", *box)]
+    )
+    asks = (
+        open_groups.join(facing, "super").where("block <> o_block")
+        .join(summary.drop("super"), "block").where(_apart(columns, "", "o_") <= F.col("open"))
+        .select("block", "o_block")
+    )
+    packed = ("ids", "n", "x")
+    pairs = asks.join(blocks.select("block", "cost", *packed), "block").join(
+        blocks.select(F.col("block").alias("o_block"), *[F.col(c).alias(f"o_{c}") for c in packed]), "o_block"
+    )
+    kind = "id long, cost double, place long, near long"
+    found = pairs.mapInArrow(_between(columns), kind).unionByName(blocks.mapInArrow(_inside, kind))
+    best = found.groupBy("id").agg(F.min(F.struct("cost", "place", "near")).alias("best"))
+    nearest = durable(best.select("id", "best.near", "best.cost"))
+    discard(blocks)
+    return nearest
+
+
+def exact_merges(points: DataFrame, columns: int, finish: int = FINISH, block_rows: int = BLOCK_ROWS):
+    """Ward's merge tree over the rows (id, n, x0, x1, ...) of a written table.
+
+    In each round all pairs of clusters that are each other's cheapest partner merge,
+    which Ward's cost allows in any order; when at most ``finish`` clusters are left,
+    these are merged at the driver.  Returns the rounds' merges, one written table
+    (id, into, cost) each, and the driver's as (cost, into, id); a merged cluster keeps the
+    id ``into``."""
+    axes = _axes(columns)
+    clusters, rounds = points, []
+    while clusters.count() > finish:
+        near = nearest_partners(clusters, columns, block_rows)
+        back = near.select(F.col("id").alias("near"), F.col("near").alias("again"))
+        mutual = near.join(back, "near").where("again = id AND id > near")
+        merged = durable(mutual.select("id", F.col("near").alias("into"), "cost"))
+        absorbed = merged.join(clusters, "id").select(F.col("into").alias("id"), F.col("n").alias("m"), *[F.col(c).alias(f"o_{c}") for c in axes])
+        total = F.col("n") + F.col("m")
+        joined = clusters.join(merged.select("id"), "id", "left_anti").join(absorbed, "id", "left")
+        mean = [
+            F.when(F.col("m").isNull(), F.col(c)).otherwise((F.col("n") * F.col(c) + F.col("m") * F.col(f"o_{c}")) / total).alias(c)
+            for c in axes
+        ]
+        following = durable(joined.select("id", F.coalesce(total, F.col("n")).alias("n"), *mean))
+        discard(near)
+        if clusters is not points:
+            discard(clusters)
+        clusters = following
+        rounds.append(merged)
+    last = clusters.toPandas().sort_values("id")  # at most ``finish`` clusters
+    ids = last["id"].to_numpy()
+    merges = ward_merges(last["n"].to_numpy(), last[axes].to_numpy(dtype=float)) if len(last) else []
+    own = [(cost, int(ids[a]), int(ids[b])) for cost, a, b in merges]
+    return rounds, own
+
+
+def distinct_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A written table (id, n, x0, x1, ...) of the distinct rows; equal rows merge at no
+    cost."""
+    named = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    counted = named.groupBy(*_axes(len(columns))).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return durable(counted.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _cut(points: DataFrame, rounds: list[DataFrame], own: list[tuple], ks: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(id, end) for every point and (end, cluster_<k> ...) for every end.
+
+    A cut into k leaves out the k - 1 highest merges.  Every point looks up its *end*, the
+    first cluster on its way up that such a merge took in or that reached the driver, by
+    doubling along the rounds' merges; ends are few and get their labels at the driver,
+    numbered from the largest cluster down."""
+    most = max(ks) - 1
+    highest = list(own)
+    merges = durable(reduce(DataFrame.unionByName, rounds)) if rounds else None
+    if merges is not None:
+        highest += [(r.cost, r.into, r.id) for r in merges.orderBy(F.desc("cost"), "id").limit(most).collect()]
+    highest = sorted(highest, key=lambda m: (-m[0], m[2]))[:most]
+    taken = {b: a for _, a, b in highest}
+    ends = points.select("id", F.col("id").alias("end"))
+    if merges is not None:
+        cut = [int(b) for b in taken]
+        jumps = durable(merges.where(~F.col("id").isin(cut)).select("id", F.col("into").alias("end")))
+        while True:
+            further = jumps.select(F.col("id").alias("end"), F.col("end").alias("next"))
+            longer = durable(jumps.join(further, "end", "left").select("id", F.coalesce("next", "end").alias("end"), F.col("next").isNotNull().alias("more")))
+            discard(jumps)
+            jumps = longer
+            if jumps.where("more").isEmpty():
+                break
+        ends = points.select("id").join(jumps.select("id", "end"), "id", "left").select("id", F.coalesce("end", "id").alias("end"))
+    ends = durable(ends)
+    # at most the driver's clusters and the highest merges
+    sums = ends.join(points, "id").groupBy("end").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x0")).alias("x")).collect()
+    above = {r.id: r.end for r in ends.where(F.col("id").isin([int(a) for a in taken.values()])).collect()}
+    parent = {b: a for _, a, b in own}
+
+    def root(node: int, closed: set[int]) -> int:
+        while node not in closed:
+            if node in parent:
+                node = parent[node]
+            elif node in taken:
+                node = above[taken[node]]
+            else:
+                break
+        return node
+
+    rows = {r.end: [] for r in sums}
+    for k in ks:
+        closed = {b for _, _, b in highest[: k - 1]}
+        size: dict[int, list[float]] = {}
+        for r in sums:
+            held = size.setdefault(root(r.end, closed), [0.0, 0.0])
+            held[0] += r.n
+            held[1] += r.x
+        names = sorted(size, key=lambda c: (-size[c][0], size[c][1] / size[c][0]))
+        for end, found in rows.items():
+            found.append(names.index(root(end, closed)))
+    shape = "end long, " + ", ".join(f"cluster_{k} int" for k in ks)
+    labels = points.sparkSession.createDataFrame([(int(e), *found) for e, found in rows.items()], shape)
+    return ends, labels
 
 
 def ward(
@@ -100,20 +384,36 @@ def ward(
     columns: Sequence[str],
     ks: Sequence[int] = KS,
     key: str = "user_id",
-    condense_to: int = MICRO_CLUSTERS,
+    condense_to: int | None = None,
     seed: int = SEED,
+    finish: int = FINISH,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Rows with one label column ``cluster_<k>`` per requested k."""
-    rows, table = micro_clusters(df, columns, condense_to, seed)
-    # model state: at most ``condense_to`` centroids, never rows
-    leaves = table.toPandas().sort_values("_micro")
-    merges = ward_merges(leaves["n"].to_numpy(), leaves[list(columns)].to_numpy(dtype=float))
-    names = leaves["_micro"].tolist()
-    # a label is a look-up by centroid number inside the row's own expression
-    labels = {}
-    for k in ks:
-        by_micro = np.full(max(names) + 1, -1)
-        by_micro[names] = cut_tree(merges, len(leaves), k)
-        known = F.array(*[F.lit(int(v)) for v in by_micro])
-        labels[f"cluster_{k}"] = F.get(known, F.col("_micro")).cast("int")
-    return rows.select(*df.columns, *[c.alias(n) for n, c in labels.items()])
+    """Rows with one label column ``cluster_<k>`` per requested k.
+
+    Exact by default; with ``condense_to`` k-means first condenses the rows to so many
+    centroids, and only these are merged.  Rows with a missing value are an error."""
+    if condense_to is None:
+        checked = durable(df.withColumns({
+            c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is missing"))) for c in columns
+        }))
+        points = distinct_points(checked, columns)
+        rows = checked.join(
+            points.select("id", *[F.col(f"x{i}").alias(f"_x{i}") for i in range(len(columns))]),
+            reduce(and_, [F.col(c).cast("double") == F.col(f"_x{i}") for i, c in enumerate(columns)]),
+        ).drop(*[f"_x{i}" for i in range(len(columns))]).withColumnRenamed("id", "_id")
+    else:
+        rows, table = micro_clusters(df, columns, condense_to, seed)
+        rows = rows.withColumn("_id", F.col("_micro").cast("long"))
+        names = {c: f"x{i}" for i, c in enumerate(columns)}
+        points = durable(table.select(F.col("_micro").cast("long").alias("id"), "n", *[F.col(c).alias(n) for c, n in names.items()]))
+    rounds, own = exact_merges(points, len(columns), finish, block_rows)
+    ends, labels = _cut(points, rounds, own, ks)
+    found = ends.join(labels, "end").drop("end").withColumnRenamed("id", "_id")
+    return rows.join(found, "_id").select(*df.columns, *[f"cluster_{k}" for k in ks])
+
+
+def merge_heights(df: DataFrame, columns: Sequence[str], finish: int = FINISH, block_rows: int = BLOCK_ROWS) -> list[float]:
+    """Costs of all merges of distinct rows, lowest first, for tables that fit the driver."""
+    rounds, own = exact_merges(distinct_points(df, columns), len(columns), finish, block_rows)
+    return sorted([m[0] for m in own] + [r.cost for t in rounds for r in t.collect()])

@@ -115,9 +115,51 @@ def test_ward_on_micro_clusters(blobs):
 
 def test_merge_heights(spark):
     """Three groups on a line: the two near ones merge first, at known costs."""
-    heights = ward.merge_heights([2.0, 3.0, 5.0], [[0.0], [1.0], [10.0]])
+    rows = [(0.0,)] * 2 + [(1.0,)] * 3 + [(10.0,)] * 5
+    df = spark.createDataFrame(rows, "x double")
     centre = 3.0 / 5.0
-    assert heights == pytest.approx([2 * 3 / 5 * 1.0, 5 * 5 / 10 * (10.0 - centre) ** 2])
+    for finish in (4096, 1):
+        heights = ward.merge_heights(df, ["x"], finish=finish)
+        assert heights == pytest.approx([2 * 3 / 5 * 1.0, 5 * 5 / 10 * (10.0 - centre) ** 2])
+
+
+def test_ward_rounds_are_exact(spark):
+    """Distributed rounds give the heights and groups of merging on one machine."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, s, (m, 3)) for c, s, m in ((0, 1, 1500), (6, 0.5, 900), (-8, 2, 598))] + [[[90.0, 0, 0], [91.0, 0, 0]]])
+    names = ["x0", "x1", "x2"]
+    df = points(spark, x)
+    merges = ward.ward_merges(np.ones(3000), x)
+    heights = ward.merge_heights(df.repartition(5), names, finish=300, block_rows=200)
+    assert heights == pytest.approx([h for h, _, _ in merges], rel=1e-9)
+    found = ward.ward(df, names, [2, 3, 5, 9], finish=300, block_rows=200).orderBy("user_id").toPandas()
+    parent = list(range(3000))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    groups = {}
+    for done, (_, a, b) in enumerate(merges, 1):
+        parent[root(b)] = root(a)
+        if 3000 - done in (2, 3, 5, 9):
+            groups[3000 - done] = [root(i) for i in range(3000)]
+    for k, labels in groups.items():
+        pairs = set(zip(labels, found[f"cluster_{k}"]))
+        assert len(pairs) == k == len({c for _, c in pairs})
+
+
+def test_ward_of_equal_and_tied_rows(spark):
+    """Many equal rows and a grid of ties still take few rounds."""
+    x = np.array([[i % 12, i // 12 % 12] for i in range(1000)], float)
+    df = points(spark, np.concatenate([x, np.zeros((500, 2))]))
+    heights = ward.merge_heights(df, ["x0", "x1"], finish=1, block_rows=16)
+    assert len(heights) == 143 and heights[0] > 0
+    rows = ward.ward(df, ["x0", "x1"], [2, 4], finish=8, block_rows=16).collect()
+    assert len(rows) == 1500 and len({r.cluster_4 for r in rows}) == 4
+    assert all(len({r.cluster_4 for r in rows if (r.x0, r.x1) == p}) == 1 for p in [(0.0, 0.0), (3.0, 4.0)])
+    assert ward.ward(df.where("user_id < 0"), ["x0", "x1"], [2]).count() == 0
 
 
 def labelled(df, fit, *args, **options):
