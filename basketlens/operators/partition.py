@@ -1,16 +1,16 @@
-"""K-means and Gaussian mixtures on the library estimators."""
+"""K-means for the analysis' settings, and Gaussian mixtures on the library estimator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketlens.operators.lloyd import kmeans
 from basketlens.operators.sampling import SEED
 
 # Seeds, restarts and cluster counts of the analysis.
@@ -51,21 +51,6 @@ def fit_together(
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
 
 
-def _kmeans(k: int, seed: int) -> KMeans:
-    return KMeans(
-        k=k, seed=seed, featuresCol=VECTOR, maxIter=KMEANS_ITERATIONS, tol=KMEANS_TOLERANCE
-    )
-
-
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = SEED, restarts: int = 1):
-    """The lowest-cost model over ``restarts`` consecutive seeds."""
-    models = fit_together(
-        vectors.sparkSession,
-        [partial(_kmeans(k, seed + i).fit, vectors) for i in range(restarts)],
-    )
-    return min(models, key=lambda model: model.summary.trainingCost)
-
-
 def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
     """Mixture with full covariances; its label is the likeliest component."""
     # the estimator compares the total over all rows
@@ -79,13 +64,9 @@ def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
     return estimator.fit(vectors)
 
 
-def kmeans_elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS, seed: int = ELBOW_SEED) -> DataFrame:
+def kmeans_elbow(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS, seed: int = ELBOW_SEED, key: str = "user_id"
+) -> DataFrame:
     """Within-cluster squared error per cluster count."""
-    vectors = assemble(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = [partial(fit_kmeans, vectors, k, seed) for k in ks]
-        models = fit_together(df.sparkSession, fits)
-        costs = [(k, float(m.summary.trainingCost)) for k, m in zip(ks, models, strict=True)]
-    finally:
-        vectors.unpersist()
-    return df.sparkSession.createDataFrame(costs, "k int, inertia double")
+    models = kmeans(df, columns, ks, 1, seed, KMEANS_ITERATIONS, KMEANS_TOLERANCE, key)
+    return df.sparkSession.createDataFrame([(k, m.cost) for k, m in models.items()], "k int, inertia double")

@@ -14,6 +14,7 @@ from basketlens.operators import validity
 from basketlens.operators.autoencoder import autoencode
 from basketlens.operators.features import standardize
 from basketlens.operators.fuzzy import MAX_ITERATIONS, fuzzy_cmeans
+from basketlens.operators.lloyd import kmeans, minibatch_kmeans
 from basketlens.operators.neighbours import neighbour_embedding
 from basketlens.operators.partition import (
     KS,
@@ -22,7 +23,6 @@ from basketlens.operators.partition import (
     add_labels,
     assemble,
     fit_gmm,
-    fit_kmeans,
     fit_together,
 )
 from basketlens.operators.quality import drop_null_rows
@@ -32,6 +32,9 @@ from basketlens.operators.ward import ward
 from basketlens.session import durable
 from basketlens.sources.schemas import FEATURES
 
+# Fixed value: rows of a mini-batch.
+BATCH_ROWS = 3000
+
 # Iterations of fuzzy c-means on a reduced representation.
 REDUCED_ITERATIONS = 300
 
@@ -110,15 +113,19 @@ def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
         vectors.unpersist()
 
 
-def kmeans_sweep(
-    rep: Representation, ks: Sequence[int] = KS, restarts: int = 1, sample_size: int | None = None
-) -> DataFrame:
-    """With a ``sample_size`` the silhouette is the Euclidean one of such a sample."""
+def kmeans_sweep(rep: Representation, ks: Sequence[int] = KS, restarts: int = 1) -> DataFrame:
+    """Full passes that all sizes and restarts share."""
+    models = kmeans(rep.rows, rep.columns, ks, restarts)
+    return _scores(rep.rows.withColumns({f"cluster_{k}": m.label() for k, m in models.items()}), rep, ks)
 
-    def fit(vectors, k):
-        return fit_kmeans(vectors, k, restarts=restarts)
 
-    return _scores(_fit_each(rep, ks, fit), rep, ks, sample_size)
+def minibatch_sweep(
+    rep: Representation, ks: Sequence[int] = KS, batch_rows: int = BATCH_ROWS, sample_size: int | None = None
+) -> DataFrame:
+    """With a ``sample_size`` the silhouette is the Euclidean one of such a sample."""
+    models = minibatch_kmeans(rep.rows, rep.columns, ks, batch_rows)
+    labelled = rep.rows.withColumns({f"cluster_{k}": m.label() for k, m in models.items()})
+    return _scores(labelled, rep, ks, sample_size)
 
 
 def gmm_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:

@@ -583,6 +583,25 @@ SELECT node::BIGINT AS node, feature::INTEGER AS feature, bin::INTEGER AS bin, m
 FROM best WHERE place = 1"""
 
 
+_N = len(FEATURES)
+_STEP = f"""
+, centres AS (SELECT k, c AS centre, [sin(100 * k + 10 * c + i) FOR i IN range({_N})] AS at
+  FROM (VALUES (2), (3), (4)) m(k), range(4) r(c) WHERE c < k),
+points AS (SELECT user_id, [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM t_scaled),
+away AS (SELECT k, centre, at, user_id, x, list_sum([(x[i] - at[i]) ** 2 FOR i IN range(1, {_N + 1})]) AS d FROM points, centres),
+own AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY k, user_id ORDER BY d, centre) = 1),
+costs AS (SELECT k, sum(d) AS cost FROM own GROUP BY k),
+sums AS (SELECT k, centre, count(*)::DOUBLE AS n, {", ".join(f"sum(x[{i + 1}]) AS s{i}" for i in range(_N))} FROM own GROUP BY k, centre)
+"""
+BODIES["lloyd_step"] = _STEP + f"""SELECT k, centre::INTEGER AS centre, round(cost, 6) AS cost, coalesce(n, 0) AS taken,
+  {", ".join(f"round(coalesce(s{i} / n, at[{i + 1}]), 6) AS {c}" for i, c in enumerate(FEATURES))}
+FROM centres LEFT JOIN sums USING (k, centre) JOIN costs USING (k)"""
+BODIES["minibatch_step"] = _STEP + f"""SELECT k, centre::INTEGER AS centre, round(cost, 6) AS cost, coalesce(n, 0) + before AS taken,
+  {", ".join(f"round((at[{i + 1}] * before + coalesce(s{i}, 0)) / (before + coalesce(n, 0)), 6) AS {c}" for i, c in enumerate(FEATURES))}
+FROM centres LEFT JOIN sums USING (k, centre) JOIN costs USING (k)
+JOIN (VALUES (0, 10.0::DOUBLE), (1, 200.0), (2, 3000.0)) b(centre, before) USING (centre) WHERE k = 3"""
+
+
 def _autoencoder_step() -> str:
     """Forward and backward pass of the 7-8-3-8-7 network with weights sin(1), sin(2), ...
     halved, row by row, added up over all users."""

@@ -16,6 +16,7 @@ from basketlens.operators import (
     explore,
     features,
     fuzzy,
+    lloyd,
     neighbours,
     partition,
     profiles,
@@ -28,6 +29,7 @@ from basketlens.operators import (
     ward as ward_ops,
 )
 from basketlens.operators import autoencoder as autoencoder_ops
+from basketlens.operators.blocks import packed_blocks
 from basketlens.operators.autoencoder import autoencode as encode, train_autoencoder
 from basketlens.plans import churn as churn_plan, segmentation
 from basketlens.session import durable, durable_folder
@@ -685,6 +687,36 @@ def neighbour_embedding(t):
     return neighbours.neighbour_embedding(durable(scaled_users(t)), FEATURES)
 
 
+def _given_centres(k: int) -> np.ndarray:
+    return np.array([[np.sin(100 * k + 10 * c + i) for i in range(len(FEATURES))] for c in range(k)])
+
+
+def _centre_rows(t, found) -> DataFrame:
+    rows = [(k, c, float(cost), float(n[c]), *map(float, at[c])) for k, (cost, n, at) in found.items() for c in range(k)]
+    shape = "k int, centre int, cost double, taken double, " + ", ".join(f"{c} double" for c in FEATURES)
+    return six(t.spark.createDataFrame(rows, shape), "cost", *FEATURES)
+
+
+@query
+def lloyd_step(t):
+    """Costs, sizes and centres after a step of models of two to four given centres, all
+    in one pass."""
+    blocks = packed_blocks(scaled_users(t), list(FEATURES), "user_id", 512)
+    found = lloyd.lloyd_step(blocks, len(FEATURES), [_given_centres(k) for k in (2, 3, 4)])
+    return _centre_rows(t, dict(zip((2, 3, 4), found)))
+
+
+@query
+def minibatch_step(t):
+    """Three given centres that have taken 10, 200 and 3,000 rows take in a batch of all
+    users."""
+    blocks = packed_blocks(scaled_users(t), list(FEATURES), "user_id", 512)
+    centres, taken = _given_centres(3), np.array([10.0, 200.0, 3000.0])
+    ((cost, rows, mean),) = lloyd.lloyd_step(blocks, len(FEATURES), [centres])
+    after, taken = lloyd.take_in(centres, taken, rows, mean * rows[:, None])
+    return _centre_rows(t, {3: (cost, taken, after)})
+
+
 @query
 def kmeans_elbow(t):
     return partition.kmeans_elbow(scaled_users(t), FEATURES)
@@ -701,7 +733,7 @@ def _reduced(t: RetailTables, name: str) -> dict[str, segmentation.Representatio
 # the sample is the analysis' own, for this one silhouette
 @query
 def kmeans_sweep(t):
-    return segmentation.kmeans_sweep(_raw(t), sample_size=sampling.SAMPLE_SIZE)
+    return segmentation.minibatch_sweep(_raw(t), sample_size=sampling.SAMPLE_SIZE)
 
 
 @query

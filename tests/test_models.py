@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import autoencoder, fuzzy, neighbours, partition, reduce as reduce_ops, ward
+from basketlens.operators import autoencoder, fuzzy, lloyd, neighbours, partition, reduce as reduce_ops, ward
 from basketlens.operators import validity
 from basketlens.plans import churn as churn_plan, segmentation
 from basketlens.operators.blocks import packed_blocks
@@ -168,7 +168,8 @@ def labelled(df, fit, *args, **options):
 
 
 def test_kmeans_and_mixture_find_blobs(blobs):
-    assert same_groups(labelled(blobs, partition.fit_kmeans, 3, restarts=3).collect())
+    model = lloyd.kmeans(blobs, XY, [3], restarts=3)[3]
+    assert same_groups(blobs.withColumn("cluster", model.label()).collect())
     rows = labelled(blobs, partition.fit_gmm, 3).collect()
     assert len(rows) == 120 and {r.cluster for r in rows} <= {0, 1, 2}
 
@@ -176,8 +177,53 @@ def test_kmeans_and_mixture_find_blobs(blobs):
 def test_elbow_matches_inertia(blobs):
     costs = {r.k: r.inertia for r in partition.kmeans_elbow(blobs, XY, [2, 3]).collect()}
     assert costs[3] < costs[2]
-    rows = labelled(blobs, partition.fit_kmeans, 3, seed=partition.ELBOW_SEED)
-    assert validity.inertia(rows, XY).first()[0] == pytest.approx(costs[3])
+    model = lloyd.kmeans(blobs, XY, [3], seed=partition.ELBOW_SEED)[3]
+    assert validity.inertia(blobs.withColumn("cluster", model.label()), XY).first()[0] == pytest.approx(costs[3])
+
+
+def direct_lloyd(x, centres, tolerance=1e-3):
+    while True:
+        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        place = d.argmin(1)
+        after = np.array([x[place == c].mean(0) if (place == c).any() else centres[c] for c in range(len(centres))])
+        if ((after - centres) ** 2).sum(1).max() <= tolerance**2:
+            return centres, d.min(1).sum()
+        centres = after
+
+
+def test_shared_passes_equal_separate_fits(spark):
+    """All sizes and restarts together end where each would alone; partitioning changes
+    nothing."""
+    x = np.random.default_rng(14).normal(size=(500, 3)) * [3, 1, 1]
+    names = ["x0", "x1", "x2"]
+    df = points(spark, x)
+    models = lloyd.kmeans(df, names, [2, 4, 7], restarts=3, block_rows=120)
+    blocks = packed_blocks(df, names, "user_id", 120)
+    starts = lloyd.first_centres(blocks, 3, [2, 4, 7], 3, 42)
+    for j, k in enumerate((2, 4, 7)):
+        fits = [direct_lloyd(x, s[j]) for s in starts]
+        centres, cost = min(fits, key=lambda f: f[1])
+        assert models[k].cost == pytest.approx(cost)
+        assert models[k].centres == pytest.approx(centres, abs=1e-6)
+    again = lloyd.kmeans(df.repartition(6), names, [2, 4, 7], restarts=3, block_rows=120)
+    assert all((again[k].centres == models[k].centres).all() for k in models)
+    few = lloyd.kmeans(df.limit(3), names, [2, 5])
+    assert few[5].cost == pytest.approx(0.0, abs=1e-9)
+    assert lloyd.kmeans(df.where("user_id < 0"), names, [2])[2].cost == 0.0
+
+
+def test_minibatches_come_near_full_passes(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(c, 1, (400, 2)) for c in ([0, 0], [7, 0], [0, 7], [7, 7])])
+    df = points(spark, x)
+    models = lloyd.minibatch_kmeans(df, ["x0", "x1"], [2, 4], batch_rows=200)
+    full = lloyd.kmeans(df, ["x0", "x1"], [2, 4], restarts=4)
+    for k in (2, 4):
+        assert models[k].cost < 1.05 * full[k].cost
+    # one batch is the running mean of what each centre has taken
+    centres, taken, cost = lloyd.batch_step(x[:400], np.array([[0.0, 0.0], [50.0, 50.0]]), np.array([100.0, 5.0]))
+    assert centres[0] == pytest.approx(x[:400].sum(0) / 500) and (centres[1] == 50).all()
+    assert taken.tolist() == [500, 5] and cost == pytest.approx((x[:400] ** 2).sum())
 
 
 def test_pca_matches_svd(blobs):
@@ -318,7 +364,7 @@ def test_embedding_places_every_row(blobs):
 
 
 @pytest.mark.parametrize(
-    "sweep", [segmentation.kmeans_sweep, segmentation.ward_sweep, segmentation.fuzzy_sweep, segmentation.gmm_sweep]
+    "sweep", [segmentation.kmeans_sweep, segmentation.minibatch_sweep, segmentation.ward_sweep, segmentation.fuzzy_sweep, segmentation.gmm_sweep]
 )
 def test_sweeps_prefer_the_true_count(blobs, sweep):
     rep = segmentation.Representation("raw", blobs.select("user_id", *XY), tuple(XY))
