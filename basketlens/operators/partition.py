@@ -1,4 +1,4 @@
-"""K-means for the analysis' settings, and Gaussian mixtures on the library estimator."""
+"""Settings of the partitions, the elbow curve, and fits side by side."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,12 +20,9 @@ KS = tuple(range(2, 10))
 # Fits that may run at the same time.
 PARALLEL_FITS = 4
 
-# Iteration limits; the mixture stops when the mean log-likelihood
-# gains less than its tolerance.
+# The limits of an iteration.
 KMEANS_ITERATIONS = 300
 KMEANS_TOLERANCE = 1e-3
-GMM_ITERATIONS = 100
-GMM_TOLERANCE = 1e-3
 
 VECTOR = "_features"
 
@@ -36,12 +32,6 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=VECTOR).transform(df)
 
 
-def add_labels(model, vectors: DataFrame, out: str = "cluster") -> DataFrame:
-    """The rows with a fitted model's hard label beside them."""
-    kept = vectors.columns
-    return model.transform(vectors).select(*kept, F.col("prediction").cast("int").alias(out))
-
-
 def fit_together(
     spark: SparkSession, fits: Sequence[Callable[[], object]], parallelism: int = PARALLEL_FITS
 ) -> list:
@@ -51,19 +41,6 @@ def fit_together(
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(f) for f in fits])
 
 
-def fit_gmm(vectors: DataFrame, k: int, seed: int = SEED):
-    """Mixture with full covariances; its label is the likeliest component."""
-    # the estimator compares the total over all rows
-    estimator = GaussianMixture(
-        k=k,
-        seed=seed,
-        featuresCol=VECTOR,
-        maxIter=GMM_ITERATIONS,
-        tol=GMM_TOLERANCE * max(1, vectors.count()),
-    )
-    return estimator.fit(vectors)
-
-
 def kmeans_elbow(
     df: DataFrame, columns: Sequence[str], ks: Sequence[int] = KS, seed: int = ELBOW_SEED, key: str = "user_id"
 ) -> DataFrame:

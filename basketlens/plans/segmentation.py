@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from basketlens.functions.scalars import argmax_label, round_half_even
@@ -15,16 +14,9 @@ from basketlens.operators.autoencoder import autoencode
 from basketlens.operators.features import standardize
 from basketlens.operators.fuzzy import MAX_ITERATIONS, fuzzy_cmeans
 from basketlens.operators.lloyd import kmeans, minibatch_kmeans
+from basketlens.operators.mixture import gaussian_mixtures, with_labels
 from basketlens.operators.neighbours import neighbour_embedding
-from basketlens.operators.partition import (
-    KS,
-    RESTARTS,
-    VECTOR,
-    add_labels,
-    assemble,
-    fit_gmm,
-    fit_together,
-)
+from basketlens.operators.partition import KS, RESTARTS
 from basketlens.operators.quality import drop_null_rows
 from basketlens.operators.reduce import pca
 from basketlens.operators.sampling import SEED
@@ -100,19 +92,6 @@ def _scores(
     return validity.metric_table(durable(labelled), rep.columns, rep.name, labels, sample_size)
 
 
-def _fit_each(rep: Representation, ks: Sequence[int], fit) -> DataFrame:
-    """The rows of ``rep`` with the labels of a fitted model per k beside them."""
-    vectors = assemble(rep.rows, rep.columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = fit_together(vectors.sparkSession, [partial(fit, vectors, k) for k in ks])
-        labelled = vectors
-        for k, model in zip(ks, models, strict=True):
-            labelled = add_labels(model, labelled, f"cluster_{k}")
-        return durable(labelled.drop(VECTOR))
-    finally:
-        vectors.unpersist()
-
-
 def kmeans_sweep(rep: Representation, ks: Sequence[int] = KS, restarts: int = 1) -> DataFrame:
     """Full passes that all sizes and restarts share."""
     models = kmeans(rep.rows, rep.columns, ks, restarts)
@@ -129,7 +108,8 @@ def minibatch_sweep(
 
 
 def gmm_sweep(rep: Representation, ks: Sequence[int] = KS) -> DataFrame:
-    return round_results(_scores(_fit_each(rep, ks, fit_gmm), rep, ks))
+    models = gaussian_mixtures(rep.rows, rep.columns, ks)
+    return round_results(_scores(with_labels(rep.rows, models), rep, ks))
 
 
 def fuzzy_sweep(

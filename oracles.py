@@ -585,23 +585,39 @@ FROM best WHERE place = 1"""
 
 _N = len(FEATURES)
 _STEP = f"""
-, centres AS (SELECT k, c AS centre, [sin(100 * k + 10 * c + i) FOR i IN range({_N})] AS at
+, centres AS (SELECT k, c AS centre, [sin(100 * k + 10 * c + i) FOR i IN range({_N})] AS spot
   FROM (VALUES (2), (3), (4)) m(k), range(4) r(c) WHERE c < k),
 points AS (SELECT user_id, [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM t_scaled),
-away AS (SELECT k, centre, at, user_id, x, list_sum([(x[i] - at[i]) ** 2 FOR i IN range(1, {_N + 1})]) AS d FROM points, centres),
+away AS (SELECT k, centre, spot, user_id, x, list_sum([(x[i] - spot[i]) ** 2 FOR i IN range(1, {_N + 1})]) AS d FROM points, centres),
 own AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY k, user_id ORDER BY d, centre) = 1),
 costs AS (SELECT k, sum(d) AS cost FROM own GROUP BY k),
 sums AS (SELECT k, centre, count(*)::DOUBLE AS n, {", ".join(f"sum(x[{i + 1}]) AS s{i}" for i in range(_N))} FROM own GROUP BY k, centre)
 """
 BODIES["lloyd_step"] = _STEP + f"""SELECT k, centre::INTEGER AS centre, round(cost, 6) AS cost, coalesce(n, 0) AS taken,
-  {", ".join(f"round(coalesce(s{i} / n, at[{i + 1}]), 6) AS {c}" for i, c in enumerate(FEATURES))}
+  {", ".join(f"round(coalesce(s{i} / n, spot[{i + 1}]), 6) AS {c}" for i, c in enumerate(FEATURES))}
 FROM centres LEFT JOIN sums USING (k, centre) JOIN costs USING (k)"""
 BODIES["minibatch_step"] = _STEP + f"""SELECT k, centre::INTEGER AS centre, round(cost, 6) AS cost, coalesce(n, 0) + before AS taken,
-  {", ".join(f"round((at[{i + 1}] * before + coalesce(s{i}, 0)) / (before + coalesce(n, 0)), 6) AS {c}" for i, c in enumerate(FEATURES))}
+  {", ".join(f"round((spot[{i + 1}] * before + coalesce(s{i}, 0)) / (before + coalesce(n, 0)), 6) AS {c}" for i, c in enumerate(FEATURES))}
 FROM centres LEFT JOIN sums USING (k, centre) JOIN costs USING (k)
 JOIN (VALUES (0, 10.0::DOUBLE), (1, 200.0), (2, 3000.0)) b(centre, before) USING (centre) WHERE k = 3"""
 
 
+BODIES["em_step"] = f"""
+, given AS (SELECT k, c AS component, (c + 1) / (k * (k + 1) / 2.0) AS w, [sin(100 * k + 10 * c + i) FOR i IN range({_N})] AS spot,
+    [1.5 + cos(100 * k + 10 * c + i) FOR i IN range({_N})] AS spread FROM (VALUES (2), (3)) m(k), range(3) r(c) WHERE c < k),
+points AS (SELECT user_id, [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM t_scaled),
+logs AS (SELECT k, component, user_id, x, ln(w) - 0.5 * list_sum([ln(2 * pi() * spread[i]) + (x[i] - spot[i]) ** 2 / spread[i]
+    FOR i IN range(1, {_N + 1})]) AS l FROM points, given),
+tops AS (SELECT *, max(l) OVER (PARTITION BY k, user_id) AS top FROM logs),
+likely AS (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY k, user_id)) AS row_l FROM tops),
+r AS (SELECT *, exp(l - row_l) AS r FROM likely),
+sums AS (SELECT k, component, sum(r) AS n, sum(r * x[1] * x[2]) AS cross_12, avg(row_l) AS likelihood, count(*) AS rows,
+    {", ".join(f"sum(r * x[{i + 1}]) AS s{i}, sum(r * x[{i + 1}] ** 2) AS q{i}" for i in range(_N))} FROM r GROUP BY k, component)
+SELECT k, component::INTEGER AS component, round(likelihood, 6) AS likelihood, round(n / rows, 6) AS weight,
+  {", ".join(f"round(s{i} / n, 6) AS {c}, round(q{i} / n - (s{i} / n) ** 2, 6) AS {c}_variance" for i, c in enumerate(FEATURES))},
+  round(cross_12 / n - s0 / n * (s1 / n), 6) AS covariance FROM sums"""
+
+
 def _autoencoder_step() -> str:
     """Forward and backward pass of the 7-8-3-8-7 network with weights sin(1), sin(2), ...
     halved, row by row, added up over all users."""

@@ -17,6 +17,7 @@ from basketlens.operators import (
     features,
     fuzzy,
     lloyd,
+    mixture,
     neighbours,
     partition,
     profiles,
@@ -717,6 +718,26 @@ def minibatch_step(t):
     return _centre_rows(t, {3: (cost, taken, after)})
 
 
+@query
+def em_step(t):
+    """Mean log-likelihood, weights, means and second moments after a step of given
+    mixtures of two and three components, in one pass."""
+    blocks = packed_blocks(scaled_users(t), list(FEATURES), "user_id", 512)
+    d, given = len(FEATURES), []
+    for k in (2, 3):
+        spread = [np.diag([1.5 + np.cos(100 * k + 10 * c + i) for i in range(d)]) for c in range(k)]
+        given.append(mixture.Mixture(np.arange(1, k + 1) / (k * (k + 1) / 2), _given_centres(k), np.array(spread)))
+    rows = []
+    for likelihood, after in mixture.em_step(blocks, d, given, floor=0.0):
+        k = len(after.weights)
+        for c in range(k):
+            covariance = after.covariances[c]
+            rows.append((k, c, float(likelihood), float(after.weights[c]), *map(float, after.means[c]), *map(float, np.diag(covariance)), float(covariance[0, 1])))
+    names = ["likelihood", "weight", *FEATURES, *[f"{c}_variance" for c in FEATURES], "covariance"]
+    shape = "k int, component int, " + ", ".join(f"{c} double" for c in names)
+    return six(t.spark.createDataFrame(rows, shape), *names)
+
+
 @query
 def kmeans_elbow(t):
     return partition.kmeans_elbow(scaled_users(t), FEATURES)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import autoencoder, fuzzy, lloyd, neighbours, partition, reduce as reduce_ops, ward
+from basketlens.operators import autoencoder, fuzzy, lloyd, mixture, neighbours, partition, reduce as reduce_ops, ward
 from basketlens.operators import validity
 from basketlens.plans import churn as churn_plan, segmentation
 from basketlens.operators.blocks import packed_blocks
@@ -162,16 +162,12 @@ def test_ward_of_equal_and_tied_rows(spark):
     assert ward.ward(df.where("user_id < 0"), ["x0", "x1"], [2]).count() == 0
 
 
-def labelled(df, fit, *args, **options):
-    vectors = partition.assemble(df, XY)
-    return partition.add_labels(fit(vectors, *args, **options), vectors).drop(partition.VECTOR)
-
-
 def test_kmeans_and_mixture_find_blobs(blobs):
     model = lloyd.kmeans(blobs, XY, [3], restarts=3)[3]
     assert same_groups(blobs.withColumn("cluster", model.label()).collect())
-    rows = labelled(blobs, partition.fit_gmm, 3).collect()
-    assert len(rows) == 120 and {r.cluster for r in rows} <= {0, 1, 2}
+    models = mixture.gaussian_mixtures(blobs, XY, [2, 3])
+    rows = mixture.with_labels(blobs, models).collect()
+    assert len(rows) == 120 and same_groups(rows, "cluster_3")
 
 
 def test_elbow_matches_inertia(blobs):
@@ -212,6 +208,30 @@ def test_shared_passes_equal_separate_fits(spark):
     assert lloyd.kmeans(df.where("user_id < 0"), names, [2])[2].cost == 0.0
 
 
+def test_mixtures_never_lose_likelihood(spark):
+    """Fits of several sizes equal a plain EM, and the likelihood only grows."""
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal([0, 0], [1, 2], (200, 2)), rng.normal([4, 3], 0.7, (150, 2))])
+    x = np.concatenate([x, np.tile([9.0, 9.0], (20, 1))])
+    names = ["x0", "x1"]
+    df = points(spark, x)
+    models = mixture.gaussian_mixtures(df, names, [2, 3, 4], block_rows=100)
+    for k, model in models.items():
+        assert all(b >= a - 1e-9 for a, b in zip(model.history, model.history[1:]))
+        m = model.mixture
+        assert m.weights.sum() == pytest.approx(1) and np.linalg.eigvalsh(m.covariances).min() > 0
+        _, likelihood = m.responsibilities(x)
+        assert likelihood.mean() == pytest.approx(model.log_likelihood)
+        density = sum(
+            w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - u, np.linalg.inv(s), x - u)) / np.sqrt(np.linalg.det(2 * np.pi * s))
+            for w, u, s in zip(m.weights, m.means, m.covariances)
+        )
+        assert np.exp(likelihood) == pytest.approx(density)
+    assert max(len(m.history) for m in models.values()) > 3
+    again = mixture.gaussian_mixtures(df.repartition(5), names, [3], block_rows=100)
+    assert (again[3].mixture.means == models[3].mixture.means).all()
+
+
 def test_minibatches_come_near_full_passes(spark):
     rng = np.random.default_rng(15)
     x = np.concatenate([rng.normal(c, 1, (400, 2)) for c in ([0, 0], [7, 0], [0, 7], [7, 7])])
