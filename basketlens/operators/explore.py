@@ -7,7 +7,7 @@ and the joins that follow see one row per product.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.functions.scalars import keyword_flag, percent_text
 from basketlens.operators.ranking import quantiles, value_frequencies
@@ -217,7 +217,6 @@ def organic_share(lines: DataFrame, dim: DataFrame, keyword: str = "Organic") ->
     named = lines_per_product(lines).join(dim.select("product_id", "product_name"), "product_id")
     flagged = named.select(keyword_flag(F.col("product_name"), keyword).alias("is_organic"), "_n")
     counts = _count_by(flagged, "is_organic", "n")
-    total = counts.agg(F.sum("n").alias("t")).scalar()
-    return counts.withColumn("_t", total).select(
-        "is_organic", "n", (F.col("n") * F.lit(100.0) / F.col("_t")).alias("percent")
-    )
+    # two rows: a window over them, so that the lines are read once
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select("is_organic", "n", (F.col("n") * F.lit(100.0) / total).alias("percent"))

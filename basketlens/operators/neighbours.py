@@ -110,14 +110,18 @@ def nearest_neighbours(
     cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest other rows of every row: (key, neighbour, distance, weight).
+    """The k nearest other rows of every row, or all others if they are fewer: (key,
+    neighbour, distance, weight).
 
     ``key`` is a unique whole number; rows at the same distance are taken by key.
     """
     columns = list(columns)
     rows = df.count()
-    if rows <= k:
-        raise ValueError(f"need more than {k} rows, got {rows}")
+    shape = f"`{key}` long, neighbour long, distance double, weight double"
+    # a small table has fewer others than ``k``: then all of them are neighbours
+    k = min(k, rows - 1)
+    if k < 1:
+        return df.sparkSession.createDataFrame([], shape)
     cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
     placed, centres, radii, blocks = _cells(df, columns, key, cells, block_rows, seed)
 
@@ -174,7 +178,7 @@ def nearest_neighbours(
                 }
             )
 
-    return listed.mapInPandas(weigh, f"`{key}` long, neighbour long, distance double, weight double")
+    return listed.mapInPandas(weigh, shape)
 
 
 def fuzzy_union(edges: DataFrame) -> DataFrame:

@@ -153,6 +153,20 @@ def gmm_reps(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> Data
     return sweep_representations(reps, gmm_sweep, ks=ks)
 
 
+def rank_models(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> DataFrame:
+    """Every method fitted on every representation, ranked by the mean of its ranks per
+    index; ``method`` names both."""
+    sweeps = {"kmeans": kmeans_sweep, "fuzzy_cmeans": fuzzy_sweep, "ward": ward_sweep, "gmm": gmm_sweep}
+    metrics = [
+        round_results(sweep(rep, ks)).select(
+            F.lit(f"{name} {rep.name}").alias("method"), "k", "silhouette", "calinski_harabasz", "davies_bouldin"
+        )
+        for rep in reps.values()
+        for name, sweep in sweeps.items()
+    ]
+    return validity.best_model(durable(reduce(DataFrame.unionByName, metrics)))
+
+
 @dataclass(frozen=True)
 class FinalModel:
     labelled: DataFrame  # unscaled features, memberships and cluster per user

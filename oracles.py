@@ -287,6 +287,7 @@ BODIES["join_labels"] = """SELECT order_id, CASE WHEN t = '' THEN 'regular' ELSE
 _KEY = "md5(concat(CAST(user_id AS VARCHAR), '-42'))"
 BODIES["sample_n"] = f"""SELECT user_id, {FEATURES_R} FROM t_features
 ORDER BY {_KEY}, user_id LIMIT 3000"""
+BODIES["sample_n_cut"] = BODIES["sample_n"].replace("LIMIT 3000", "LIMIT 100")
 BODIES["standardize"] = f"SELECT user_id, {rounded(FEATURES)} FROM t_scaled"
 CHURN = """, t_churn AS (SELECT t_features.*, days_since_last_order,
   CAST(coalesce(days_since_last_order > 240, false) AS INTEGER) AS churn

@@ -412,6 +412,12 @@ def sample_n(t):
     return six(sampling.sample_n(train_features(t)), *MEANS)
 
 
+@query
+def sample_n_cut(t):
+    """A sample smaller than the smallest table it is checked on."""
+    return six(sampling.sample_n(train_features(t), 100), *MEANS)
+
+
 @query
 def standardize(t):
     return six(features.standardize(durable(train_features(t))), *FEATURES)
@@ -541,6 +547,13 @@ def best_model(t):
     return six(validity.best_model(durable(_given_metrics(t))), *METRICS, "mean_rank")
 
 
+@query
+def best_fitted_model(t):
+    """The fitted models of all methods on raw and reduced users, best first."""
+    reps = {"raw": _raw(t), **_reduced(t, "PCA")}
+    return segmentation.rank_models(reps)
+
+
 # -- scores on given predictions ---------------------------------------------------------------------
 
 

@@ -350,9 +350,12 @@ def test_nearest_neighbours_are_exact(spark, options):
     assert graph.weight.to_numpy() == pytest.approx(both[graph.i, graph.j])
 
 
-def test_too_few_neighbours(blobs):
-    with pytest.raises(ValueError, match="more than"):
-        neighbours.nearest_neighbours(blobs.limit(5), XY, 5)
+def test_few_rows_are_all_neighbours(spark):
+    df = points(spark, np.array([[0.0], [1.0], [3.0]]))
+    near = neighbours.nearest_neighbours(df, ["x0"], 5).collect()
+    assert sorted((r.user_id, r.neighbour, r.distance) for r in near) == [(0, 1, 1.0), (0, 2, 3.0), (1, 0, 1.0), (1, 2, 2.0), (2, 0, 3.0), (2, 1, 2.0)]
+    assert neighbours.nearest_neighbours(df.limit(1), ["x0"], 5).count() == 0
+    assert neighbours.nearest_neighbours(df.where("user_id < 0"), ["x0"], 5).columns == ["user_id", "neighbour", "distance", "weight"]
 
 
 def test_spectral_coordinates_match_dense(spark):
