@@ -34,7 +34,7 @@ BATCH = 64
 BLOCK_ROWS = 4096
 STARTS = 8
 ROUND_BATCHES = 256
-TOLERANCE = 1e-2
+TOLERANCE = 2e-2
 PATIENCE = 8
 ROUNDS = 60
 

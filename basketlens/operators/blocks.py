@@ -75,8 +75,10 @@ def packed_blocks(df: DataFrame, columns: list[str], key: str, size: int = BLOCK
             ["block", "rows", "keys", "x"],
         )
 
+    # few blocks are small, but each is work for a task of its own
+    parts = min(blocks, 4 * df.sparkSession.sparkContext.defaultParallelism)
     return durable(
-        picked.withColumn("block", block_of(F.col("key"), blocks))
+        picked.withColumn("block", block_of(F.col("key"), blocks)).repartition(parts, "block")
         .groupBy("block").applyInArrow(pack, f"block int, rows long, keys array<{kind}>, x binary")
     )
 
@@ -108,5 +110,7 @@ def total_of(partial: DataFrame) -> np.ndarray:
 
     Only as many numbers as a vector is long reach the driver."""
     parts = partial.select(F.posexplode("sums").alias("pos", "value"))
-    totals = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
-    return np.array([float(r.value) for r in sorted(totals, key=lambda r: r.pos)])
+    totals = parts.groupBy("pos").agg(F.sum("value").cast("double").alias("value")).toArrow()
+    out = np.empty(totals.num_rows)
+    out[totals.column("pos").to_numpy()] = totals.column("value").to_numpy()
+    return out
