@@ -7,12 +7,18 @@ and the joins that follow see one row per product.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.functions.scalars import keyword_flag, percent_text
 from basketlens.operators.ranking import quantiles, value_frequencies
+from basketlens.operators.sampling import SEED
 from basketlens.session import durable
 
+# Fixed value: resamples behind a plotted band.
+RESAMPLES = 1000
+
 
 def orders_per_user(orders: DataFrame) -> DataFrame:
     return (
@@ -174,6 +180,52 @@ def reorder_by_cart_pos(lines: DataFrame, z: float = 1.96) -> DataFrame:
     )
 
 
+def _poisson_weights(resamples: int):
+    """Rows (group, value, frequency, seed) to one row per resample: the weight that rows
+    of this value get together, a Poisson number whose mean is their count."""
+
+    def draw(batches):
+        for batch in batches:
+            for group, value, frequency, seed in zip(*(batch[c].to_numpy() for c in ("grp", "value", "frequency", "seed"))):
+                weight = np.random.default_rng(int(seed)).poisson(frequency, resamples)
+                yield pd.DataFrame(
+                    {"grp": group, "resample": np.arange(resamples, dtype="int32"), "weight": weight, "total": weight * value}
+                )
+
+    return draw
+
+
+def bootstrap_means(
+    df: DataFrame, group: str, column: str, resamples: int = RESAMPLES, level: float = 0.95, seed: int = SEED
+) -> DataFrame:
+    """Mean of a column per group (a whole number) with a bootstrap percentile band:
+    (group, n, mean, band_low, band_high).
+
+    Every row gets a Poisson weight of mean 1 in each resample.  Weights of equal values
+    add up to a Poisson number again, so one draw per (group, value, resample) serves all
+    rows of a value, and the table is read once.  Draws are seeded by group and value.
+    Missing groups and values are left out; a resample whose weights are all zero (only
+    likely for groups of a few rows) has no mean and is left out too.
+    """
+    known = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())
+    counts = durable(
+        known.groupBy(F.col(group).cast("long").alias("grp"), F.col(column).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("frequency"))
+        .withColumn("seed", F.xxhash64("grp", "value", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)))
+    )
+    drawn = counts.mapInPandas(_poisson_weights(resamples), "grp long, resample int, weight long, total double")
+    means = drawn.groupBy("grp", "resample").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0))).alias("at"))
+    ends = F.percentile("at", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    bands = means.groupBy("grp").agg(ends.alias("ends"))
+    found = counts.groupBy("grp").agg(
+        F.sum("frequency").alias("n"),
+        (F.sum(F.col("value") * F.col("frequency")) / F.sum("frequency")).alias("mean"),
+    )
+    return found.join(bands, "grp").select(
+        F.col("grp").alias(group), "n", "mean", F.get("ends", F.lit(0)).alias("band_low"), F.get("ends", F.lit(1)).alias("band_high")
+    )
+
+
 def reorder_rate(lines: DataFrame) -> DataFrame:
     rate = lines.agg(F.avg("reordered").alias("reorder_rate"))
     return rate.select("reorder_rate", percent_text(F.col("reorder_rate")).alias("rate_text"))

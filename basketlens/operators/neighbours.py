@@ -35,6 +35,8 @@ DIMENSIONS = 3
 MAX_CELLS = 4096
 _ROWS_OF_ONE_CELL = 1000
 
+_NEAR = "`{key}` long, neighbour long, distance double, weight double"
+
 RESIDUAL = 1e-3
 # Vectors are combined and the space starts anew from the best ones.
 KRYLOV_BLOCKS = 20
@@ -84,12 +86,16 @@ def _cells(df: DataFrame, columns: Sequence[str], key: str, cells: int, block_ro
     return placed.withColumn("block", block_of(F.col(key), count)), centres, radii, blocks
 
 
-def _nearest_of(asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int) -> pd.DataFrame:
-    """Of each asking row the k nearest known ones other than itself; ties by key."""
+def _nearest_of(
+    asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int, others: bool
+) -> pd.DataFrame:
+    """Of each asking row the k nearest known ones, if ``others`` without the row of its
+    own key; ties by key."""
     known = known.sort_values(key)
     names, mine = known[key].to_numpy(), asking[key].to_numpy()
     apart = squared_distances(asking[columns].to_numpy(dtype=float), known[columns].to_numpy(dtype=float))
-    apart[mine[:, None] == names[None, :]] = np.inf
+    if others:
+        apart[mine[:, None] == names[None, :]] = np.inf
     near = np.argsort(apart, axis=1, kind="stable")[:, :k]
     out = pd.DataFrame(
         {
@@ -101,6 +107,41 @@ def _nearest_of(asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], k
     return out[np.isfinite(out["distance"])]
 
 
+def _answered(asked: DataFrame, points: DataFrame, columns: list[str], key: str, k: int, block_rows: int, others: bool) -> DataFrame:
+    """The k nearest ``points`` of every row, each asked in the blocks that may hold one."""
+    # a block that many rows ask is met by one part of them at a time
+    parts = asked.groupBy("cell", "block").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts")
+    )
+    queries = asked.join(parts, ["cell", "block"]).withColumn("part", block_of(F.col(key), F.col("parts")))
+    spread = points.join(parts, ["cell", "block"]).select("*", every_block(F.col("parts")).alias("part"))
+    found = meet(
+        queries.select(key, *columns, "cell", "block", "part"),
+        spread.select(key, *columns, "cell", "block", "part"),
+        ["cell", "block", "part"],
+        lambda asking, known: _nearest_of(asking, known, columns, key, k, others),
+        f"`{key}` long, neighbour long, distance double",
+    )
+    # at most k rows of each asked block meet here
+    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    listed = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+
+    def weigh(batches):
+        for batch in batches:
+            apart = np.array([[n["distance"] for n in near] for near in batch["near"]])
+            yield pd.DataFrame(
+                {
+                    key: np.repeat(batch[key].to_numpy(), k),
+                    "neighbour": [n["neighbour"] for near in batch["near"] for n in near],
+                    "distance": apart.ravel(),
+                    "weight": _edge_weights(apart, k).ravel() if len(apart) else [],
+                }
+            )
+
+    return listed.mapInPandas(weigh, _NEAR.format(key=key))
+
+
 def nearest_neighbours(
     df: DataFrame,
     columns: Sequence[str],
@@ -117,11 +158,10 @@ def nearest_neighbours(
     """
     columns = list(columns)
     rows = df.count()
-    shape = f"`{key}` long, neighbour long, distance double, weight double"
     # a small table has fewer others than ``k``: then all of them are neighbours
     k = min(k, rows - 1)
     if k < 1:
-        return df.sparkSession.createDataFrame([], shape)
+        return df.sparkSession.createDataFrame([], _NEAR.format(key=key))
     cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
     placed, centres, radii, blocks = _cells(df, columns, key, cells, block_rows, seed)
 
@@ -148,37 +188,55 @@ def nearest_neighbours(
         as_numbers.groupBy("cell", "block").applyInPandas(ask, f"`{key}` long, {numbers}, cell int, blocks int")
         .select(key, *columns, "cell", every_block(F.col("blocks")).alias("block"))
     )
-    # a block that many rows ask is met by one part of them at a time
-    parts = asked.groupBy("cell", "block").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts")
-    )
-    queries = asked.join(parts, ["cell", "block"]).withColumn("part", block_of(F.col(key), F.col("parts")))
-    points = as_numbers.join(parts, ["cell", "block"]).select("*", every_block(F.col("parts")).alias("part"))
-    found = meet(
-        queries.select(key, *columns, "cell", "block", "part"),
-        points.select(key, *columns, "cell", "block", "part"),
-        ["cell", "block", "part"],
-        lambda asking, known: _nearest_of(asking, known, columns, key, k),
-        f"`{key}` long, neighbour long, distance double",
-    )
-    # at most k rows of each asked block meet here
-    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
-    best = found.withColumn("place", place).where(F.col("place") <= k)
-    listed = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    return _answered(asked, as_numbers, columns, key, k, block_rows, others=True)
 
-    def weigh(batches):
-        for batch in batches:
-            apart = np.array([[n["distance"] for n in near] for near in batch["near"]])
-            yield pd.DataFrame(
-                {
-                    key: np.repeat(batch[key].to_numpy(), k),
-                    "neighbour": [n["neighbour"] for near in batch["near"] for n in near],
-                    "distance": apart.ravel(),
-                    "weight": _edge_weights(apart, k).ravel() if len(apart) else [],
-                }
-            )
 
-    return listed.mapInPandas(weigh, shape)
+def nearest_known(
+    new: DataFrame,
+    known: DataFrame,
+    columns: Sequence[str],
+    k: int = NEIGHBOURS,
+    seed: int = SEED,
+    key: str = "user_id",
+    cells: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The k nearest rows of ``known`` of every row of ``new``, or all of them if they are
+    fewer: (key, neighbour, distance, weight).  Keys are unique in either table; a key in
+    both is two rows.
+    """
+    columns = list(columns)
+    rows = known.count()
+    k = min(k, rows)
+    if k < 1:
+        return new.sparkSession.createDataFrame([], _NEAR.format(key=key))
+    cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
+    placed, centres, radii, blocks = _cells(known, columns, key, cells, block_rows, seed)
+    held = dict(placed.groupBy("cell").count().collect())
+    sizes = np.array([held.get(c, 0) for c in range(len(centres))])
+
+    def ask(batches):
+        for batch in batches:
+            to_centres = np.sqrt(squared_distances(batch[columns].to_numpy(dtype=float), centres))
+            # the nearest k rows are no further than the far ends of cells that hold k
+            ends = to_centres + radii[None, :]
+            order = np.argsort(ends, axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) >= k).argmax(axis=1)
+            bound = np.take_along_axis(ends, np.take_along_axis(order, enough[:, None], 1), 1)
+            possible = to_centres - radii[None, :] <= bound * (1 + 1e-9) + 1e-9
+            row, cell = np.nonzero(possible & (blocks[None, :] > 0))
+            asked = batch[[key, *columns]].iloc[row].copy()
+            asked["cell"], asked["blocks"] = cell.astype("int32"), blocks[cell].astype("int32")
+            yield asked
+
+    spots = [F.col(c).cast("double").alias(c) for c in columns]
+    numbers = ", ".join(f"`{c}` double" for c in columns)
+    asked = durable(
+        new.select(key, *spots).mapInPandas(ask, f"`{key}` long, {numbers}, cell int, blocks int")
+        .select(key, *columns, "cell", every_block(F.col("blocks")).alias("block"))
+    )
+    points = placed.select(key, *spots, "cell", "block")
+    return _answered(asked, points, columns, key, k, block_rows, others=False)
 
 
 def fuzzy_union(edges: DataFrame) -> DataFrame:
@@ -307,6 +365,18 @@ def spectral(graph: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, r
     raise RuntimeError(f"the spectrum is too tight: residual {missing.max():.1e} after {MAX_ROUNDS} rounds")
 
 
+def scaled_spectral(graph: DataFrame, dimensions: int, seed: int = SEED, residual: float = RESIDUAL) -> DataFrame:
+    """Spectral coordinates (i, spots) with signs fixed, the largest of them 10 in size."""
+    found = spectral(graph, dimensions, seed, residual)
+    axes = [F.get("spots", F.lit(i)) for i in range(dimensions)]
+    # the entry of the largest size is positive; of equal ones that of the smallest key
+    ends = found.agg(
+        *[F.max_by(a, F.struct(F.round(F.abs(a), 9), -F.col("i"))).alias(f"e{i}") for i, a in enumerate(axes)]
+    ).first()
+    peak = max(abs(e) for e in ends) or 1.0
+    return found.select("i", F.array(*[a * F.lit((10.0 if e >= 0 else -10.0) / peak) for a, e in zip(axes, ends)]).alias("spots"))
+
+
 def neighbour_embedding(
     df: DataFrame,
     columns: Sequence[str],
@@ -320,14 +390,7 @@ def neighbour_embedding(
     """``dimensions`` coordinates of every row, the largest of them 10 in size."""
     near = durable(nearest_neighbours(df, columns, neighbours, seed, key))
     edges = near.select(F.col(key).alias("i"), F.col("neighbour").alias("j"), "weight")
-    found = spectral(fuzzy_union(edges), dimensions, seed, residual)
-    axes = [F.get("spots", F.lit(i)) for i in range(dimensions)]
-    # the entry of the largest size is positive; of equal ones that of the smallest key
-    ends = found.agg(
-        *[F.max_by(a, F.struct(F.round(F.abs(a), 9), -F.col("i"))).alias(f"e{i}") for i, a in enumerate(axes)]
-    ).first()
-    peak = max(abs(e) for e in ends) or 1.0
+    found = scaled_spectral(fuzzy_union(edges), dimensions, seed, residual)
     return found.select(
-        F.col("i").alias(key),
-        *[(a * F.lit((10.0 if e >= 0 else -10.0) / peak)).alias(f"{prefix}{n + 1}") for n, (a, e) in enumerate(zip(axes, ends))],
+        F.col("i").alias(key), *[F.get("spots", F.lit(n)).alias(f"{prefix}{n + 1}") for n in range(dimensions)]
     )

@@ -18,6 +18,7 @@ from basketlens.operators import (
     fuzzy,
     lloyd,
     mixture,
+    layout,
     neighbours,
     partition,
     profiles,
@@ -305,6 +306,13 @@ def reorder_by_cart_pos(t):
     )
 
 
+@query
+def reorder_bootstrap(t):
+    """The same means with the band of 1,000 bootstrap resamples."""
+    means = explore.bootstrap_means(t.order_products_train, "add_to_cart_order", "reordered")
+    return six(means, "mean", "band_low", "band_high")
+
+
 @query
 def reorder_rate(t):
     return six(explore.reorder_rate(t.order_products_train), "reorder_rate")
@@ -701,6 +709,20 @@ def neighbour_embedding(t):
     return neighbours.neighbour_embedding(durable(scaled_users(t)), FEATURES)
 
 
+@query
+def neighbour_layout(t):
+    return layout.neighbour_layout(durable(scaled_users(t)), FEATURES)
+
+
+@query
+def layout_placed(t):
+    """Users by all of their lines, placed in the layout of their last orders."""
+    known = durable(scaled_users(t))
+    found = durable(layout.neighbour_layout(known, FEATURES))
+    new = durable(features.standardize(durable(features.user_features(t.orders, t.lines))))
+    return layout.place(new, known, found, FEATURES)
+
+
 def _given_centres(k: int) -> np.ndarray:
     return np.array([[np.sin(100 * k + 10 * c + i) for i in range(len(FEATURES))] for c in range(k)])
 
