@@ -1,20 +1,23 @@
 """Removing word sequences that an earlier document already has.
 
-Windows of ``length`` consecutive words are found level by level: a window can only
-repeat if the windows inside it do.  The first level looks at windows of half the
-length, of each full window only the one with the smallest hash (shared windows share
-it); those found in a second document are candidates, and only full windows around a
-candidate reach the next level, which doubles the length.  ``length`` ends the
-doubling: a longer repeat consists of windows of that length, so further levels find
-no further words.  At the last level every window learns whether it also starts in a
-document with a smaller key, and all words it covers go.
+Windows of ``length`` consecutive words are found level by level, since a window can
+only repeat if the windows inside it do.  The levels' lengths double up to ``length``
+(50: 7, 13, 25, 50).  A level asks, for every window of the next length that can still
+repeat, about the one with the smallest hash of its own windows (shared windows share
+it).  Windows of the next length around one that a second document has are repeated so
+far, and only where all of them are can a window of the length after that repeat.  The
+loop ends at ``length``, or as soon as no candidate survives: a repeat longer than
+``length`` consists of windows of that length, so further levels find no further words.
+At the last level every window left learns whether it also starts in a document with a
+smaller key, and all words it covers go.
 
 Windows are compared by 64-bit hashes through :mod:`exchange`.
 
 Cases: a missing or wordless text has no words; a text shorter than a window loses
 nothing; windows are judged on the input, so a removed copy still removes others;
 repeated rows have equal keys and do not remove each other; rows with a missing key
-come after all others and do not remove anything.
+come after all others and do not remove anything; keys that are not whole numbers are
+refused before any job starts.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from basketlens.llm import exchange
 from basketlens.llm.exchange import Chunk, planes, unplanes
@@ -32,6 +36,9 @@ from basketlens.session import durable
 
 _LAST = np.iinfo(np.int64).max
 
+# words of the first level's windows, at most
+FIRST_LENGTH = 7
+
 
 def _order_keys(chunk: Chunk) -> np.ndarray:
     return chunk.keys.fill_null(_LAST).to_numpy().astype(np.int64)
@@ -48,34 +55,52 @@ def _smallest(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, low, high, place
 
 
-class Levels:
-    """The windows of one chunk, level by level."""
+def level_lengths(length: int) -> list[int]:
+    """Lengths of the levels, each at most twice the one before; the first is short."""
+    lengths = [-(-length // 2), length]
+    while lengths[0] > FIRST_LENGTH:
+        lengths.insert(0, -(-lengths[0] // 2))
+    return lengths
 
-    def __init__(self, chunk: Chunk, length: int):
-        self.length, self.half = length, -(-length // 2)
-        words = chunk.words
-        self.hashes = words.hashes()
-        self.full = words.fits(length)
-        self.text_of = words.text_of
-        self.keys = _order_keys(chunk)[self.text_of]
-        self.halves = window_hashes(self.hashes, self.half)
-        self.anchors = lowest_of(self.halves, length - self.half + 1, self.full)
-
-    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return _smallest(self.halves[self.anchors], self.keys[self.anchors])
-
-    def second(self, elsewhere: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Starts of full windows around a candidate, and their distinct hashes."""
-        _, low, high, place = self.first()
-        candidate = (elsewhere | (low < high))[place]
-        reach = self.length - self.half
-        marks = np.zeros(len(self.full) + 1, np.int64)
-        at = self.anchors[candidate]
-        np.add.at(marks, np.maximum(at - reach, 0), 1)
+
+class Levels:
+    """The windows of one chunk, level by level: what a level asks, and what its reply
+    leaves of the next level."""
+
+    def __init__(self, chunk: Chunk, lengths: list[int]):
+        self.lengths = lengths
+        self.words = chunk.words
+        self.hashes = self.words.hashes()
+        self.keys = _order_keys(chunk)[self.words.text_of]
+        # starts of windows of the next length that can still repeat
+        self.alive = self.words.fits(lengths[1])
+
+    def ask(self, level: int) -> None:
+        """Distinct sorted ``hashes`` of the level's windows, and their smallest keys."""
+        length = self.lengths[level]
+        windows = window_hashes(self.hashes, length)
+        if level + 1 < len(self.lengths):
+            self.at = lowest_of(windows, self.lengths[level + 1] - length + 1, self.alive)
+        else:
+            self.at = np.flatnonzero(self.alive)
+        self.asked, self.low, self.high, self.place = _smallest(windows[self.at], self.keys[self.at])
+
+    def answer(self, level: int, elsewhere: np.ndarray) -> None:
+        """Keep what can repeat at the next length, given which windows do elsewhere."""
+        candidate = (elsewhere | (self.low < self.high))[self.place]
+        at = self.at[candidate]
+        marks = np.zeros(len(self.alive) + 1, np.int64)
+        np.add.at(marks, np.maximum(at - (self.lengths[level + 1] - self.lengths[level]), 0), 1)
         np.add.at(marks, at + 1, -1)
-        starts = np.flatnonzero((np.cumsum(marks[:-1]) > 0) & self.full)
-        full = window_hashes(self.hashes, self.length)
-        return starts, _smallest(full[starts], self.keys[starts])
+        self.alive &= np.cumsum(marks[:-1]) > 0
+        if level + 2 < len(self.lengths):
+            # the next windows' own windows must all be left
+            width = self.lengths[level + 2] - self.lengths[level + 1] + 1
+            before = np.concatenate([[0], np.cumsum(self.alive)])
+            whole = self.words.fits(self.lengths[level + 2])
+            starts = np.flatnonzero(whole)
+            whole[starts] = before[starts + width] - before[starts] == width
+            self.alive = whole
 
 
 def _bits(replies: list[bytes], counts: list[int]) -> np.ndarray:
@@ -123,36 +148,45 @@ def remove_repeats(
 ) -> DataFrame:
     """``key`` (a whole number), n_words, n_removed and the ``kept`` words of every
     document, joined by single blanks."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"the key {key} must be a whole number")
+    lengths = level_lengths(length)
+    last = len(lengths) - 1
     packed = exchange.chunks(docs, key, text, chunk_bytes)
     buckets = exchange.ranges(packed, range_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
-    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 chunk = Chunk(batch, row)
-                yield exchange.requests(chunk.number, Levels(chunk, length).first()[0], None, buckets)
-
-    first = exchange.answers(packed.mapInArrow(ask_first, exchange.REQUEST), _found_elsewhere)
-    first = durable(first.withColumn("level", F.lit(1)))
-
-    def ask_second(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = Chunk(left)
-        levels = Levels(chunk, length)
-        elsewhere = _reply(right, 1, levels.first()[0], buckets)
-        _, (hashes, low, _, _) = levels.second(elsewhere)
-        return pa.Table.from_batches([exchange.requests(chunk.number, hashes, low, buckets)])
-
-    asked = packed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_second, exchange.REQUEST)
-    second = exchange.answers(asked, _smaller_elsewhere).withColumn("level", F.lit(2))
+                levels = Levels(chunk, lengths)
+                levels.ask(0)
+                yield exchange.requests(chunk.number, levels.asked, None, buckets)
+
+    def reached(chunk: Chunk, replies: pa.Table, to: int) -> Levels:
+        """The chunk's windows at level ``to``, after the replies to all before."""
+        levels = Levels(chunk, lengths)
+        for level in range(to):
+            levels.ask(level)
+            levels.answer(level, _reply(replies, level, levels.asked, buckets))
+        levels.ask(to)
+        return levels
+
+    def later_level(to: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            chunk = Chunk(left)
+            levels = reached(chunk, right, to)
+            smallest = levels.low if to == last else None
+            return pa.Table.from_batches([exchange.requests(chunk.number, levels.asked, smallest, buckets)])
+
+        return run
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left)
-        levels = Levels(chunk, length)
-        starts, (hashes, low, _, place) = levels.second(_reply(right, 1, levels.first()[0], buckets))
-        smaller = _reply(right, 2, hashes, buckets)
-        own = levels.keys[starts]
-        gone = starts[smaller[place] | (own > low[place])]
+        levels = reached(chunk, right, last)
+        smaller = _reply(right, last, levels.asked, buckets)
+        gone = levels.at[smaller[levels.place] | (levels.keys[levels.at] > levels.low[levels.place])]
         words = chunk.words
         marks = np.zeros(len(words) + 1, np.int64)
         marks[gone] += 1
@@ -168,7 +202,21 @@ def remove_repeats(
             ["key", "n_words", "n_removed", "kept"],
         )
 
-    replies = first.unionByName(second)
+    replies = None
+    for level in range(last + 1):
+        if level == 0:
+            asked = packed.mapInArrow(first_level, exchange.REQUEST)
+        else:
+            together = packed.groupBy("chunk").cogroup(replies.groupBy("chunk"))
+            asked = together.applyInArrow(later_level(level), exchange.REQUEST)
+        found = exchange.answers(asked, _smaller_elsewhere if level == last else _found_elsewhere)
+        found = found.withColumn("level", F.lit(level))
+        if level < last:
+            found = durable(found)
+        replies = found if replies is None else replies.unionByName(found)
+        if 0 < level < last and found.isEmpty():
+            # no chunk has a candidate left
+            break
     done = packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
         cut, f"key {kind}, n_words long, n_removed long, kept string"
     )

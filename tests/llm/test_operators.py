@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -365,6 +366,56 @@ def test_repeats(docs, rows, length, chunk, per_range):
     assert any(e[2] for e in expected)
 
 
+@pytest.fixture(scope="module")
+def long_repeats():
+    """Documents that share passages of 12 to 700 words, and one repeat of their own."""
+    rng = np.random.default_rng(17)
+
+    def words(n):
+        return [f"w{i}" for i in rng.integers(0, 4000, n)]
+
+    passages = [words(n) for n in (12, 13, 26, 49, 50, 51, 120, 199, 200, 201, 700)]
+    rows = []
+    for i in range(24):
+        parts = [words(int(rng.integers(3, 60)))]
+        for p in rng.choice(len(passages), 3):
+            parts += [passages[p], words(int(rng.integers(1, 30)))]
+        rows.append((i, " ".join(w for part in parts for w in part)))
+    own = words(230)
+    return [*rows, (24, " ".join(own + words(5) + own)), (25, None), (26, rows[3][1]), (27, "")]
+
+
+@pytest.mark.parametrize("length", [13, 50, 200])
+@pytest.mark.parametrize("chunk,per_range", [(4 << 20, 8 << 20), (3000, 2000)])
+def test_repeats_at_longer_lengths(spark, long_repeats, length, chunk, per_range):
+    df = spark.createDataFrame(long_repeats, "doc_id long, text string").repartition(3)
+    found = substrings.remove_repeats(df, length=length, chunk_bytes=chunk, range_bytes=per_range).collect()
+    expected = [(k, *e) for (k, _), e in zip(long_repeats, brute.repeats(long_repeats, length))]
+    assert _sorted(tuple(r) for r in found) == _sorted(expected)
+    assert any(e[2] for e in expected) and any(not e[2] for e in expected)
+
+
+def test_levels_end_when_no_candidate_survives(spark, monkeypatch):
+    assert [substrings.level_lengths(n) for n in (1, 6, 13, 50, 200)] == [
+        [1, 1], [3, 6], [7, 13], [7, 13, 25, 50], [7, 13, 25, 50, 100, 200]
+    ]
+    asked = []
+    answers = substrings.exchange.answers
+    monkeypatch.setattr(substrings.exchange, "answers", lambda *a: asked.append(1) or answers(*a))
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(250)) + " " + shared) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in substrings.remove_repeats(df, length=200).collect()} == {0}
+    # thirty shared words, then the text's end: no window of 50 has all of its windows of
+    # 25 left, so the third level asks nothing and ends the loop
+    assert len(asked) == 3
+
+
+def test_repeats_refuse_text_keys(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        substrings.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_repeats_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
