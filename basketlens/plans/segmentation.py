@@ -13,6 +13,7 @@ from basketlens.operators import validity
 from basketlens.operators.autoencoder import autoencode
 from basketlens.operators.features import standardize
 from basketlens.operators.fuzzy import MAX_ITERATIONS, fuzzy_cmeans
+from basketlens.operators.layout import neighbour_layout
 from basketlens.operators.lloyd import kmeans, minibatch_kmeans
 from basketlens.operators.mixture import gaussian_mixtures, with_labels
 from basketlens.operators.neighbours import neighbour_embedding
@@ -39,12 +40,13 @@ class Representation:
 
 
 def representation(scaled: DataFrame, name: str, key: str = "user_id") -> Representation:
-    """``scaled`` under one of the names raw, Autoencoder, PCA, Neighbours."""
+    """``scaled`` under one of the names raw, Autoencoder, PCA, Neighbours, Layout."""
     builders = {
         "raw": lambda: scaled.select(key, *FEATURES),
         "Autoencoder": lambda: autoencode(scaled, FEATURES, key),
         "PCA": lambda: pca(scaled, FEATURES, 3, key),
         "Neighbours": lambda: neighbour_embedding(scaled, FEATURES, key=key),
+        "Layout": lambda: neighbour_layout(scaled, FEATURES, key=key),
     }
     rows = builders[name]()
     return Representation(name, rows, tuple(c for c in rows.columns if c != key))

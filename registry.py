@@ -709,18 +709,27 @@ def neighbour_embedding(t):
     return neighbours.neighbour_embedding(durable(scaled_users(t)), FEATURES)
 
 
+_layouts: dict[tuple[str, str], segmentation.Representation] = {}
+
+
+def _layout(t: RetailTables) -> segmentation.Representation:
+    """The point layout; the queries on it read the same one within an application."""
+    place = (t.spark.sparkContext.applicationId, t.directory)
+    if place not in _layouts:
+        _layouts[place] = segmentation.representations(scaled_users(t), ["Layout"])["Layout"]
+    return _layouts[place]
+
+
 @query
 def neighbour_layout(t):
-    return layout.neighbour_layout(durable(scaled_users(t)), FEATURES)
+    return _layout(t).rows
 
 
 @query
 def layout_placed(t):
     """Users by all of their lines, placed in the layout of their last orders."""
-    known = durable(scaled_users(t))
-    found = durable(layout.neighbour_layout(known, FEATURES))
     new = durable(features.standardize(durable(features.user_features(t.orders, t.lines))))
-    return layout.place(new, known, found, FEATURES)
+    return layout.place(new, durable(scaled_users(t)), _layout(t).rows, FEATURES)
 
 
 def _given_centres(k: int) -> np.ndarray:
@@ -783,6 +792,8 @@ def _raw(t: RetailTables) -> segmentation.Representation:
 
 
 def _reduced(t: RetailTables, name: str) -> dict[str, segmentation.Representation]:
+    if name == "Layout":
+        return {name: _layout(t)}
     return segmentation.representations(scaled_users(t), [name])
 
 
@@ -825,8 +836,8 @@ def _per_representation(name, sweep):
         run.__name__ = f"{name}{suffix}"
         query(run)
 
-    for suffix, reduced in (("", "PCA"), ("_autoencoder", "Autoencoder"), ("_neighbours", "Neighbours")):
-        register(suffix, reduced)
+    for reduced in ("PCA", "Autoencoder", "Neighbours", "Layout"):
+        register("" if reduced == "PCA" else f"_{reduced.lower()}", reduced)
 
 
 _per_representation("kmeans_reps", segmentation.kmeans_reps)
