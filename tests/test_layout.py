@@ -40,9 +40,13 @@ def spots(df, prefix):
 
 
 def test_layout_keeps_neighbours_better_than_the_spectrum(spark, curved):
-    df = durable(frame(spark, curved))
-    plain = spots(neighbours.neighbour_embedding(df, NAMES), "nb")
-    found = spots(layout.neighbour_layout(df, NAMES), "ly")
+    near = neighbours.nearest_neighbours(frame(spark, curved), NAMES)
+    edges = near.select(F.col("user_id").alias("i"), F.col("neighbour").alias("j"), "weight")
+    graph = durable(neighbours.fuzzy_union(edges))
+    start = durable(neighbours.scaled_spectral(graph, 3, residual=1e-2))
+    plain, found = (
+        np.array([r.spots for r in df.orderBy("i").collect()]) for df in (start, layout.laid_out(graph, start, 3, epochs=20))
+    )
     assert found.shape == (360, 3) and np.isfinite(found).all()
     assert trustworthiness(curved, found) > max(0.9, trustworthiness(curved, plain))
 
