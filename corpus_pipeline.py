@@ -8,6 +8,12 @@ same columns; the last one writes the token files and returns what they hold.
 * decontamination: documents with ten words of a benchmark item in a row go;
 * mixing: documents are repeated or left out to meet the sources' weights;
 * token files: ids in document order, read back from the files.
+
+Cases, as the stages' operators define them: a missing text has no words, so quality
+rules reject it, as they do an empty one (under ten words); rows with a missing key are
+rows like others; of equal texts, however many rows repeat them, one row stays; ties are
+broken by key; very long texts are read whole; further columns stay with their rows until
+the token files; an empty table gives an empty result.
 """
 
 from __future__ import annotations
