@@ -193,6 +193,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
             yield np.frombuffer(bins.as_py(), np.int16).reshape(len(y), -1), y, w, margin
 
 
+def unit_of(total: float) -> float:
+    """A unit in which no sum over rows of this total weight overflows."""
+    return max(total / 2.0**61, 2.0**-50)
+
+
 def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and Hessian of the weighted log loss, in whole units."""
     p = 1.0 / (1.0 + np.exp(-margin))
@@ -372,7 +377,7 @@ def fit(
     model = BoostedTrees(tuple(columns), cuts, [], base)
     if not total:
         return model
-    unit = max(total / 2.0**61, 2.0**-50)
+    unit = unit_of(total)
     blocks = packed(binned(known, columns, cuts).withColumn("margin", F.lit(base)))
     new: list[Tree] = []
     for _ in range(trees):

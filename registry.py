@@ -882,10 +882,12 @@ def boost_level(t):
         F.array(*width).alias("bins"), F.col("churn").alias("y"),
         (1.0 + F.col("user_id") % 3).alias("w"), F.sin(F.col("user_id").cast("double")).alias("margin"),
     )
+    rows = durable(rows)
+    unit = boosting.unit_of(rows.agg(F.sum("w")).first()[0] or 0.0)
     tree = boosting.Tree({1: (3, 8, True), 2: (4, 7, True), 3: (0, 8, False)})
-    sums = boosting.histogram(boosting.packed(rows), tree, [4, 5, 6, 7], 2.0**-50)
+    sums = boosting.histogram(boosting.packed(rows), tree, [4, 5, 6, 7], unit)
     splits = t.spark.createDataFrame(
-        [astuple(s) for s in boosting.best_splits(sums.toArrow(), 2.0**-50)],
+        [astuple(s) for s in boosting.best_splits(sums.toArrow(), unit)],
         "node long, feature int, bin int, missing_left boolean, gain double, "
         "g_left double, h_left double, g_right double, h_right double",
     )
