@@ -1,9 +1,10 @@
 """Figures that must not grow with the tables beyond what a task or a number holds."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import boosting
+from basketlens.operators import boosting, neighbours
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
 from tests.conftest import SMALL
@@ -29,3 +30,30 @@ def test_lines_are_numbered_in_small_parts(spark, monkeypatch):
 def test_last_lines_take_no_sorted_struct(spark, retail):
     plan = retail.order_products_train._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_spectral_over_several_blocks(spark, monkeypatch):
+    """A chain cut into many blocks: the products' exchange joins all of them, and a
+    round of the space starts few jobs."""
+    monkeypatch.setattr(neighbours, "GRAPH_ROWS", 8)
+    n = 40
+    ends = [(i, i + 1) for i in range(n - 1)] + [(0, 5), (17, 30)]
+    graph = spark.createDataFrame([(a, b, 1.0 + a % 3) for a, b in ends] + [(b, a, 1.0 + a % 3) for a, b in ends], "i long, j long, weight double")
+    found = neighbours.spectral(graph, 3, residual=1e-6).orderBy("i").collect()
+    dense = np.zeros((n, n))
+    for a, b in ends:
+        dense[a, b] = dense[b, a] = 1.0 + a % 3
+    root = np.sqrt(dense.sum(axis=1))
+    vectors = np.linalg.eigh(dense / root[:, None] / root[None, :])[1][:, ::-1][:, 1:4]
+    spots = np.array([r.spots for r in found])
+    assert np.abs(np.abs(spots.T @ vectors) - np.eye(3)).max() < 1e-4
+
+
+def test_answers_stop_at_the_bound(spark):
+    """Blocks do not answer with rows beyond what the asking row's own block has."""
+    import pandas as pd
+
+    asking = pd.DataFrame({"user_id": [1, 2], "x": [0.0, 5.0], "bound": [1.0, 2.0]})
+    known = pd.DataFrame({"user_id": [1, 3, 4, 5, 6], "x": [0.0, 1.0, -1.0, 6.0, 9.0]})
+    near = neighbours._nearest_of(asking, known, ["x"], "user_id", 2, True)
+    assert near.values.tolist() == [[1, 3, 1.0], [1, 4, 1.0], [2, 5, 1.0]]
