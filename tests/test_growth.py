@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import boosting, neighbours
+from basketlens.operators import boosting, neighbours, validity
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
 from tests.conftest import SMALL
@@ -57,3 +57,19 @@ def test_answers_stop_at_the_bound(spark):
     known = pd.DataFrame({"user_id": [1, 3, 4, 5, 6], "x": [0.0, 1.0, -1.0, 6.0, 9.0]})
     near = neighbours._nearest_of(asking, known, ["x"], "user_id", 2, True)
     assert near.values.tolist() == [[1, 3, 1.0], [1, 4, 1.0], [2, 5, 1.0]]
+
+
+def test_silhouette_over_blocks(spark):
+    """Small distances beside far rows keep their digits; equal rows are at distance 0."""
+    rng = np.random.default_rng(5)
+    spots = np.vstack([rng.normal(0, 1e-3, (30, 2)), rng.normal(4, 1, (30, 2)), [[900.0, -700.0]] * 3])
+    labels = np.arange(63) % 2
+    rows = [(i, int(labels[i]), *map(float, spots[i])) for i in range(63)]
+    df = spark.createDataFrame(rows, "user_id long, cluster int, x double, y double")
+    found = {r.user_id: r.silhouette for r in validity.silhouette_values(df, ["x", "y"], key="user_id").toDF("user_id", *["labeling", "silhouette"]).collect()}
+    apart = np.sqrt(((spots[:, None] - spots[None]) ** 2).sum(axis=2))
+    assert np.abs(validity._totals(spots, spots, np.eye(63)) - apart).max() < 1e-9
+    for i in range(63):
+        a = apart[i, labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1)
+        b = apart[i, labels != labels[i]].mean()
+        assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
