@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import boosting, neighbours, validity
+from basketlens.operators import boosting, fuzzy, neighbours, validity
+from basketlens.operators.blocks import packed_blocks
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
 from tests.conftest import SMALL
@@ -73,3 +74,27 @@ def test_silhouette_over_blocks(spark):
         a = apart[i, labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1)
         b = apart[i, labels != labels[i]].mean()
         assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
+def test_fuzzy_sums_do_not_depend_on_partitions(blobs):
+    """Sums of packed blocks are whole numbers: fits agree bit by bit."""
+    fits = [fuzzy.fuzzy_cmeans(df, ["x", "y"], [2, 3]) for df in (blobs, blobs.repartition(5))]
+    for c in (2, 3):
+        assert fits[0][c].centres.tolist() == fits[1][c].centres.tolist()
+        assert fits[0][c].objectives == fits[1][c].objectives
+
+
+def test_fuzzy_passes_settle_as_the_whole_change_does(spark):
+    """A task may stop adding up a change once it is too large; one below the limit is
+    exact, and small distances keep their digits."""
+    x = np.random.default_rng(2).normal(size=(500, 3)) + 50.0
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    blocks = packed_blocks(spark.createDataFrame(rows, "user_id long, a double, b double, c double"), ["a", "b", "c"], "user_id", 64)
+    centres, before = {2: x[:2] + 1e-7}, {2: x[:2] + 2e-7}
+    whole = fuzzy._sums(x, centres, before, 2.0)[2]
+    rows, found = fuzzy._block_pass(blocks, 3, centres, before, 2.0, 1.0)
+    assert rows == 500 and found[2] == pytest.approx(whole, rel=1e-9)
+    _, cut = fuzzy._block_pass(blocks, 3, centres, {2: x[:2] + 1.0}, 2.0, 1e-3)
+    assert 1e-6 < cut[2][:, 3].sum() <= fuzzy._sums(x, centres, {2: x[:2] + 1.0}, 2.0)[2][:, 3].sum() * (1 + 1e-9)
+    direct = ((x[:, None] - centres[2][None]) ** 2).sum(axis=2).T
+    assert fuzzy._distances(x, centres[2]) == pytest.approx(direct, rel=1e-9)
