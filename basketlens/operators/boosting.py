@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketlens.session import durable
+from basketlens.session import discard, durable
 
 # points of a quantile summary; the ranks of its values are off by 3 / POINTS at most
 POINTS = 2048
@@ -38,7 +38,7 @@ BINS = 256
 LEAST_GAIN = 1e-6
 # rows of a packed block; trees between two writings of the margins
 BLOCK_ROWS = 8192
-WRITE_EVERY = 10
+WRITE_EVERY = 3
 
 
 # -- bins --------------------------------------------------------------------------
@@ -397,5 +397,6 @@ def fit(
         model.trees.append(tree)
         new.append(tree)
         if len(new) == WRITE_EVERY:
-            blocks, new = moved(blocks, new), []
+            before, blocks, new = blocks, moved(blocks, new), []
+            discard(before)
     return model

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import boosting, fuzzy, neighbours, validity
+from basketlens import session
+from basketlens.operators import boosting, fuzzy, layout, neighbours, validity
 from basketlens.operators.blocks import packed_blocks
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
@@ -98,3 +99,31 @@ def test_fuzzy_passes_settle_as_the_whole_change_does(spark):
     assert 1e-6 < cut[2][:, 3].sum() <= fuzzy._sums(x, centres, {2: x[:2] + 1.0}, 2.0)[2][:, 3].sum() * (1 + 1e-9)
     direct = ((x[:, None] - centres[2][None]) ** 2).sum(axis=2).T
     assert fuzzy._distances(x, centres[2]) == pytest.approx(direct, rel=1e-9)
+
+
+def test_pulls_are_summed_without_decimals(spark):
+    """Rounding a double half up builds a decimal per edge and axis; rint does not."""
+    state = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.5])], "i long, spots array<double>")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "i long, j long, weight double")
+    pulls = layout._pulls(state, edges, 0, 2, 42)
+    plan = pulls._jdf.queryExecution().optimizedPlan().toString()
+    assert "rint(" in plan.lower() and "round(" not in plan.lower()
+    rows = {r.i: r for r in pulls.collect()}
+    assert rows[0].pulled == [-v for v in rows[1].pulled] and rows[0].pulled[0] > 0
+    x = np.array([[0.0, 0.0], [1.0, 0.5], [-2.0, 1.0]])
+    gaps = x[:, None] - x[None]
+    far = (gaps**2).sum(axis=2)
+    size = 2 * layout.CURVE_B / ((0.001 + far) * (1 + layout.CURVE_A * far**layout.CURVE_B))
+    direct = np.clip(size[:, :, None] * gaps, -layout.LARGEST_PUSH, layout.LARGEST_PUSH).sum(axis=1) / 2
+    assert layout._crowd_push(x) == pytest.approx(direct, rel=1e-12)
+
+
+def test_boosting_keeps_few_trees_out_of_the_margins(spark, monkeypatch):
+    """A level's pass walks few unwritten trees, and margins written over are deleted."""
+    seen, whole = [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda *a: seen.append((len(a[4]), len(session._written))) or whole(*a))
+    rows = spark.range(400).select((F.col("id") % 37).alias("x"), F.sin("id").alias("z"), (F.sin(F.col("id") * 3) > 0).cast("int").alias("y"), F.lit(1.0).alias("w"))
+    model = boosting.fit(rows, ["x", "z"], "y", "w", trees=8, depth=2)
+    assert len(model.trees) == 8
+    assert max(new for new, _ in seen) <= 2
+    assert len({written for _, written in seen}) == 1
