@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens import session
-from basketlens.operators import boosting, fuzzy, layout, neighbours, validity
+from basketlens.operators import boosting, fuzzy, layout, neighbours, validity, ward
 from basketlens.operators.blocks import packed_blocks
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
@@ -127,3 +127,20 @@ def test_boosting_keeps_few_trees_out_of_the_margins(spark, monkeypatch):
     assert len(model.trees) == 8
     assert max(new for new, _ in seen) <= 2
     assert len({written for _, written in seen}) == 1
+
+
+def test_ward_partners_are_sought_in_many_tasks(spark, monkeypatch):
+    """Blocks are little data but much work: their parts are not put together by size."""
+    tables, whole = [], ward.durable
+    monkeypatch.setattr(ward, "durable", lambda df: tables.append(whole(df)) or tables[-1])
+    monkeypatch.setattr(ward, "discard", lambda *found: None)
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(size=(700, 3)) + 30.0, np.exp2(rng.integers(0, 9, 700)).astype(float)
+    rows = [(i, float(n[i]), *map(float, x[i])) for i in range(700)]
+    points = spark.createDataFrame(rows, "id long, n double, x0 double, x1 double, x2 double")
+    found = ward.nearest_partners(points, 3, block_rows=16).orderBy("id").collect()
+    cost = ((x[:, None] - x[None]) ** 2).sum(axis=2) * (n[:, None] * n / (n[:, None] + n))
+    np.fill_diagonal(cost, np.inf)
+    assert [r.near for r in found] == cost.argmin(axis=1).tolist()
+    assert [r.cost for r in found] == pytest.approx(cost.min(axis=1).tolist(), rel=1e-12)
+    assert tables[0].selectExpr("block >> 32").distinct().count() == 8
