@@ -95,23 +95,43 @@ def _nearest_of(
     asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int, others: bool
 ) -> pd.DataFrame:
     """Of each asking row the k nearest known ones, if ``others`` without the row of its
-    own key, as far as its bound allows; ties by key."""
+    own key, as far as its bound allows; ties by key.
+
+    A matrix product tells which pairs may be near enough, up to its rounding; only their
+    distances are taken axis by axis."""
+    if asking.empty or known.empty:
+        return pd.DataFrame({key: np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "distance": np.empty(0)})
     known = known.sort_values(key)
     names, spots = known[key].to_numpy(), known[columns].to_numpy(dtype=float)
+    middle = spots.mean(axis=0)
+    centred = spots - middle
+    sizes = (centred * centred).sum(axis=1)
+    right = np.column_stack([-2.0 * centred, np.ones(len(spots)), sizes]).T
+    reach, far = sizes.max(), np.abs(spots).max()
+    least = k if others else k - 1
     parts = []
     for at in range(0, len(asking), _CHUNK_ROWS):
         part = asking.iloc[at : at + _CHUNK_ROWS]
         mine = part[key].to_numpy()
-        apart = squared_distances(part[columns].to_numpy(dtype=float), spots)
-        if others:
-            apart[mine[:, None] == names[None, :]] = np.inf
+        x = part[columns].to_numpy(dtype=float)
+        left = x - middle
+        size = (left * left).sum(axis=1)
+        slack = 1e-13 * (np.sqrt(size + reach) + np.maximum(np.abs(x).max(axis=1), far)) ** 2
+        apart = np.column_stack([left, size, np.ones(len(x))]) @ right
         # no row beyond the bound is among the nearest of all; a little more, for rounding
         limit = (part["bound"].to_numpy() * (1 + 1e-9) + 1e-9) ** 2
-        near = apart <= limit[:, None]
-        if near.sum() > 4 * k * len(part) and k < len(known):
-            near &= apart <= np.partition(apart, k - 1, axis=1)[:, k - 1 : k]
+        near = apart <= (limit + slack)[:, None]
+        if near.sum() > 4 * k * len(part) and least < len(known):
+            near &= apart <= np.partition(apart, least, axis=1)[:, least : least + 1] + 2.0 * slack[:, None]
         row, other = np.nonzero(near)
-        found = apart[row, other]
+        if others:
+            kept = mine[row] != names[other]
+            row, other = row[kept], other[kept]
+        found = np.zeros(len(row))
+        for axis in range(x.shape[1]):
+            found += (x[row, axis] - spots[other, axis]) ** 2
+        kept = found <= limit[row]
+        row, other, found = row[kept], other[kept], found[kept]
         order = np.lexsort([other, found, row])
         row, other, found = row[order], other[order], found[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -335,19 +355,25 @@ def _stated(states: list[list]) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], [c.split()[0] for c in _STATE.split(", ")])
 
 
-def _turned(basis: np.ndarray, image: np.ndarray, turn: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    return image @ turn - basis @ shift
+Turns = list[tuple[np.ndarray, np.ndarray]]
+
 
+def _turned(basis: np.ndarray, image: np.ndarray, turns: Turns) -> np.ndarray:
+    for turn, shift in turns:
+        image = image @ turn - basis @ shift
+    return image
 
-def _multiplied(state: DataFrame, edges: DataFrame, turn: np.ndarray, shift: np.ndarray) -> DataFrame:
-    """The block (the image under ``turn`` and ``shift``) joins the basis; its product
-    with the graph is the new image."""
+
+def _multiplied(state: DataFrame, edges: DataFrame, turns: Turns) -> DataFrame:
+    """The block (the image under ``turns``) joins the basis; its product with the graph is
+    the new image."""
+    width = turns[-1][0].shape[1]
     names = ["to", "source", "rows", "spots", "data"]
 
     def send(here: pa.Table, out: pa.Table) -> pa.Table:
         block, rows, basis, image = (here.column(c)[0].as_py() for c in ("block", "rows", "basis", "image"))
         basis = _vectors(rows, basis)
-        x = _turned(basis, _vectors(rows, image), turn, shift)
+        x = _turned(basis, _vectors(rows, image), turns)
         # the block's own vectors stay with it
         sent = [[block, -1, rows, b"", np.hstack([basis, x]).tobytes()]]
         if len(out):
@@ -366,7 +392,7 @@ def _multiplied(state: DataFrame, edges: DataFrame, turn: np.ndarray, shift: np.
         table = table.sort_by("source")
         to, _, rows, spots, data = (table.column(c).to_pylist() for c in names)
         basis = _vectors(rows[0], data[0])
-        image = np.zeros((rows[0], turn.shape[1]))
+        image = np.zeros((rows[0], width))
         for n, at, values in zip(rows[1:], spots[1:], data[1:]):
             image[np.frombuffer(at, np.int32)] += _vectors(n, values)
         return _stated([_state(to[0], basis, image)])
@@ -396,25 +422,36 @@ def _inner(state: DataFrame, width: int) -> np.ndarray:
     return sum(np.frombuffer(x, np.float64).reshape(-1, width) for x in found)
 
 
-def _orthonormal(state: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The image made orthonormal, also to the basis: the state, the turn and shift
-    still to be applied to its image, what the image had in the basis, and its triangle
-    R.  Done twice for accuracy."""
+def _products(state: DataFrame, turns: Turns) -> DataFrame:
+    """The blocks' products (see :func:`_state`) with the image under ``turns``."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for n, x, y in zip(*(batch.column(c).to_pylist() for c in ("rows", "basis", "image"))):
+                basis = _vectors(n, x)
+                out.append(_state(0, basis, _turned(basis, _vectors(n, y), turns))[-1])
+            yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], ["block", "products"])
+
+    return state.select("block", "rows", "basis", "image").mapInArrow(run, "block int, products binary")
+
+
+def _orthonormal(state: DataFrame, width: int) -> tuple[Turns, np.ndarray, np.ndarray]:
+    """The image made orthonormal, also to the basis: the turns and shifts still to be
+    applied to the state's image, what the image had in the basis, and its triangle R.
+    Done twice for accuracy; the vectors are not written in between."""
+    turns: Turns = []
     inner_all = whole = None
     for first in (True, False):
-        products = _inner(state, width)
+        products = _inner(state if first else _products(state, turns), width)
         inner, gram = products[:-width], products[-width:]
         rest = gram - inner.T @ inner
         upper = np.linalg.cholesky(rest + np.eye(width) * 1e-14 * max(np.trace(gram), 1e-300)).T
         turn = np.linalg.inv(upper)
-        shift = inner @ turn
         inner_all = inner if first else inner_all
         whole = upper if first else upper @ whole
-        if first:
-            before = state
-            state = _restated(before, lambda basis, image: (basis, _turned(basis, image, turn, shift)))
-            discard(before)
-    return state, turn, shift, inner_all, whole
+        turns = [*turns, (turn, inner @ turn)]
+    return turns, inner_all, whole
 
 
 def spectral(graph: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, residual: float = RESIDUAL) -> DataFrame:
@@ -454,14 +491,14 @@ def spectral(graph: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, r
     edges = packed.repartition(parts, "source").persist(StorageLevel.DISK_ONLY)
     try:
         state = durable(rows.withColumn("drawn", draws).groupBy("block").applyInArrow(begin, _STATE))
-        state, turn, shift, _, _ = _orthonormal(state, width)
+        turns, _, _ = _orthonormal(state, width)
         for _ in range(MAX_ROUNDS // KRYLOV_BLOCKS):
             small = np.zeros((0, 0))
             for _ in range(KRYLOV_BLOCKS):
                 before = state
-                state = _multiplied(before, edges, turn, shift)
+                state = _multiplied(before, edges, turns)
                 discard(before)
-                state, turn, shift, inner, rest = _orthonormal(state, width)
+                turns, inner, rest = _orthonormal(state, width)
                 inner = inner[1:]
                 size = len(inner)
                 grown = np.zeros((size, size))
@@ -481,7 +518,7 @@ def spectral(graph: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, r
             discard(before)
             if missing.max() < residual:
                 return _spots(nodes, state, dimensions)
-            state, turn, shift, _, _ = _orthonormal(state, width)
+            turns, _, _ = _orthonormal(state, width)
     finally:
         edges.unpersist()
     raise RuntimeError(f"the spectrum is too tight: residual {missing.max():.1e} after {MAX_ROUNDS} rounds")

@@ -51,6 +51,31 @@ def test_spectral_over_several_blocks(spark, monkeypatch):
     assert np.abs(np.abs(spots.T @ vectors) - np.eye(3)).max() < 1e-4
 
 
+def test_spectral_writes_the_space_once_a_product(spark, monkeypatch):
+    """Making a product orthonormal does not write basis and image again."""
+    written, products, whole, multiplied = [], [], neighbours.durable, neighbours._multiplied
+    monkeypatch.setattr(neighbours, "durable", lambda df: written.append("basis" in df.columns) or whole(df))
+    monkeypatch.setattr(neighbours, "_multiplied", lambda *a: products.append(1) or multiplied(*a))
+    ends = [(i, i + 1) for i in range(11)] + [(0, 5), (3, 9)]
+    graph = spark.createDataFrame([(a, b, 1.0 + a % 3) for a, b in ends] + [(b, a, 1.0 + a % 3) for a, b in ends], "i long, j long, weight double")
+    neighbours.spectral(graph, 2)
+    # the first state and the last one are written too
+    assert sum(written) == len(products) + 2
+
+
+def test_answers_keep_small_distances(spark):
+    """Rows far from the origin and close to each other: distances keep their digits."""
+    import pandas as pd
+
+    x = np.random.default_rng(6).normal(size=(300, 2)) * 1e-6 + [1e3, -2e3]
+    rows = pd.DataFrame({"user_id": np.arange(300), "x": x[:, 0], "y": x[:, 1], "bound": np.inf})
+    near = neighbours._nearest_of(rows, rows, ["x", "y"], "user_id", 3, True)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    assert near["neighbour"].to_numpy().reshape(-1, 3).tolist() == np.argsort(apart, axis=1, kind="stable")[:, :3].tolist()
+    assert near["distance"].to_numpy().reshape(-1, 3).tolist() == np.sort(apart, axis=1)[:, :3].tolist()
+
+
 def test_answers_stop_at_the_bound(spark):
     """Blocks do not answer with rows beyond what the asking row's own block has."""
     import pandas as pd
