@@ -7,14 +7,12 @@ is a table with one row per cluster.  Coordinates are plain numeric columns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketlens.operators.blocks import block_of, blocks_for, every_block, meet, squared_distances
-from basketlens.operators.partition import fit_together
 from basketlens.operators.sampling import SEED, sample_n
 from basketlens.session import durable
 
@@ -250,15 +248,19 @@ def silhouette(
 
 
 def silhouette_sq(
-    df: DataFrame, columns: Sequence[str], label: str = "cluster", sums: DataFrame | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    label: str = "cluster",
+    sums: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Squared-distance silhouette over every row, in one pass after the sums.
 
     The mean squared distance from a row to a cluster follows from the cluster's
     size, centroid and squared norms, so the cost is rows x clusters.
     """
-    sums = cluster_sums(df, columns, label) if sums is None else sums
-    packed = sums.agg(
+    sums = cluster_sums(df, columns, label, by) if sums is None else sums
+    packed = sums.groupBy(*by).agg(
         F.collect_list(
             F.struct(
                 F.col(label).alias("id"),
@@ -266,8 +268,8 @@ def silhouette_sq(
                 F.array(*[F.col(f"sum_{c}") for c in columns]).alias("sums"),
                 "sum_squares",
             )
-        ).alias("all")
-    ).scalar()
+        ).alias("_all")
+    )
     norm = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
     own_norm, own_point = F.col("_norm"), F.col("_point")
 
@@ -282,17 +284,17 @@ def silhouette_sq(
         F.transform(own, lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1))), 1
     )
     nearest = F.array_min(F.transform(other, lambda c: total(c) / c["n"]))
+    beside = df.join(packed, list(by)) if by else df.withColumn("_all", packed.scalar())
     scored = (
-        df.withColumn("_all", packed)
-        .withColumn("_norm", norm)
+        beside.withColumn("_norm", norm)
         .withColumn("_point", F.array(*columns))
-        .select(inside.alias("a"), nearest.alias("b"))
+        .select(*by, inside.alias("a"), nearest.alias("b"))
     )
     scale = F.greatest("a", "b")
     value = F.when(F.col("a").isNull() | (scale == 0.0), F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / scale
     )
-    return scored.agg(F.avg(value).alias("silhouette_sq"))
+    return scored.groupBy(*by).agg(F.avg(value).alias("silhouette_sq"))
 
 
 def partition_coefficient(df: DataFrame, memberships: str = "memberships") -> DataFrame:
@@ -313,29 +315,33 @@ def metric_table(
 
     ``labels`` maps k to the label column of that clustering.  With a ``sample_size``
     the silhouette is the Euclidean one of a seeded sample of that size; without, the
-    squared-distance one of all rows.  Every k costs one pass of sums and one of
-    spreads over the rows as they are.
+    squared-distance one of all rows.  All k share one pass of sums and one of
+    distances over the rows as they are.
     """
-
-    def score_one(k: int, name: str) -> DataFrame:
-        rows = df.select(key, *columns, F.col(name).cast("int").alias("cluster"))
-        sums = durable(cluster_sums(rows, columns))
-        score = (
-            silhouette_sq(rows, columns, sums=sums).withColumnRenamed("silhouette_sq", "silhouette")
-            if sample_size is None
-            else silhouette(rows, columns, sample_size=sample_size, key=key)
-        )
-        # three tables of one row
-        return durable(
-            score.select(F.lit(k).alias("k"), "silhouette")
-            .join(calinski_harabasz(rows, columns, sums=sums).select(F.lit(k).alias("k"), "*"), "k")
-            .join(davies_bouldin(rows, columns, sums=sums).select(F.lit(k).alias("k"), "*"), "k")
+    by = ["_k"]
+    clusters = {k: F.col(name).cast("int") for k, name in labels.items()}
+    # a row per row and k, which the partial sums of a pass take in at once
+    rows = df.select(
+        *columns,
+        F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), c.alias("cluster")) for k, c in clusters.items()])),
+    )
+    sums = durable(cluster_sums(rows, columns, by=by))
+    if sums.where("cluster IS NOT NULL").select(*by).distinct().count() < len(clusters):
+        raise ValueError("indices need a labelled row in every clustering")
+    if sample_size is None:
+        score = silhouette_sq(rows, columns, sums=sums, by=by).withColumnRenamed("silhouette_sq", "silhouette")
+    else:
+        sample = sample_n(df.select(key, *columns, *[c.alias(f"_{k}") for k, c in clusters.items()]), sample_size, key=key)
+        values = silhouette_values(sample, columns, [f"_{k}" for k in clusters], key)
+        score = values.groupBy(F.substring("labeling", 2, 10).cast("int").alias("_k")).agg(F.avg("silhouette").alias("silhouette"))
+    # a row per k
+    scores = durable(
+        score.join(calinski_harabasz(rows, columns, sums=sums, by=by), by).join(
+            davies_bouldin(rows, columns, sums=sums, by=by), by
         )
-
-    # the small jobs of one k fill the cores that another leaves idle
-    tables = fit_together(df.sparkSession, [partial(score_one, k, name) for k, name in labels.items()])
-    return reduce(DataFrame.unionByName, tables).select(
-        F.lit(method).alias("method"), "k", "silhouette", "calinski_harabasz", "davies_bouldin"
+    )
+    return scores.select(
+        F.lit(method).alias("method"), F.col("_k").alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin"
     )
 
 

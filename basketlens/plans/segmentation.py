@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,7 +17,7 @@ from basketlens.operators.layout import neighbour_layout
 from basketlens.operators.lloyd import kmeans, minibatch_kmeans
 from basketlens.operators.mixture import gaussian_mixtures, with_labels
 from basketlens.operators.neighbours import neighbour_embedding
-from basketlens.operators.partition import KS, RESTARTS
+from basketlens.operators.partition import KS, RESTARTS, fit_together
 from basketlens.operators.quality import drop_null_rows
 from basketlens.operators.reduce import pca
 from basketlens.operators.sampling import SEED
@@ -157,15 +157,19 @@ def gmm_reps(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> Data
 
 def rank_models(reps: Mapping[str, Representation], ks: Sequence[int] = KS) -> DataFrame:
     """Every method fitted on every representation, ranked by the mean of its ranks per
-    index; ``method`` names both."""
-    sweeps = {"kmeans": kmeans_sweep, "fuzzy_cmeans": fuzzy_sweep, "ward": ward_sweep, "gmm": gmm_sweep}
-    metrics = [
-        round_results(sweep(rep, ks)).select(
-            F.lit(f"{name} {rep.name}").alias("method"), "k", "silhouette", "calinski_harabasz", "davies_bouldin"
+    index; ``method`` names both.  Sweeps depend on nothing but their representation, and
+    run side by side: a pass is a small job that leaves most cores idle."""
+    sweeps = {"fuzzy_cmeans": fuzzy_sweep, "ward": ward_sweep, "gmm": gmm_sweep, "kmeans": kmeans_sweep}  # the longest first
+
+    def scored(name: str, sweep, rep: Representation) -> DataFrame:
+        return durable(
+            round_results(sweep(rep, ks)).select(
+                F.lit(f"{name} {rep.name}").alias("method"), "k", "silhouette", "calinski_harabasz", "davies_bouldin"
+            )
         )
-        for rep in reps.values()
-        for name, sweep in sweeps.items()
-    ]
+
+    fits = [partial(scored, name, sweep, rep) for name, sweep in sweeps.items() for rep in reps.values()]
+    metrics = fit_together(next(iter(reps.values())).rows.sparkSession, fits)
     return validity.best_model(durable(reduce(DataFrame.unionByName, metrics)))
 
 

@@ -558,8 +558,9 @@ def best_model(t):
 @query
 def best_fitted_model(t):
     """The fitted models of all methods on raw and reduced users, best first."""
-    reps = {"raw": _raw(t), **_reduced(t, "PCA")}
-    return segmentation.rank_models(reps)
+    scaled = durable(scaled_users(t))
+    raw = segmentation.representation(scaled, "raw")
+    return segmentation.rank_models({"raw": raw, **segmentation.representations(scaled, ["PCA"])})
 
 
 # -- scores on given predictions ---------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Figures that must not grow with the tables beyond what a task or a number holds."""
 
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from basketlens import session
 from basketlens.operators import boosting, fuzzy, layout, neighbours, validity, ward
 from basketlens.operators.blocks import packed_blocks
+from basketlens.plans import segmentation
 from basketlens.sources import retail as retail_source
 from basketlens.sources.retail import RetailTables
 from tests.conftest import SMALL
@@ -169,3 +172,55 @@ def test_ward_partners_are_sought_in_many_tasks(spark, monkeypatch):
     assert [r.near for r in found] == cost.argmin(axis=1).tolist()
     assert [r.cost for r in found] == pytest.approx(cost.min(axis=1).tolist(), rel=1e-12)
     assert tables[0].selectExpr("block >> 32").distinct().count() == 8
+
+
+@pytest.mark.parametrize("sample_size", [None, 60])
+def test_all_counts_are_scored_in_shared_passes(spark, monkeypatch, sample_size):
+    """The tables written do not follow the number of clusterings; the indices are those
+    of each clustering alone."""
+    written, whole = [], validity.durable
+    monkeypatch.setattr(validity, "durable", lambda df: written.append(1) or whole(df))
+    rng = np.random.default_rng(8)
+    spots, labels = rng.normal(size=(90, 2)), rng.integers(0, 5, (90, 4))
+    labels[:, 1] = labels[:, 0] % 2
+    rows = [(i, *map(float, spots[i]), *map(int, labels[i])) for i in range(90)]
+    df = whole(spark.createDataFrame(rows, "user_id long, x double, y double, " + ", ".join(f"c{k} int" for k in range(4))))
+    counts = []
+    for ks in (range(2), range(4)):
+        written.clear()
+        found = {r.k: r for r in validity.metric_table(df, ["x", "y"], "m", {k: f"c{k}" for k in ks}, sample_size).collect()}
+        counts.append(len(written))
+    assert counts[0] == counts[1] and sorted(found) == [0, 1, 2, 3]
+    for k in range(4):
+        alone = df.withColumn("cluster", F.col(f"c{k}"))
+        silhouette = (
+            validity.silhouette_sq(alone, ["x", "y"]) if sample_size is None else validity.silhouette(alone, ["x", "y"], sample_size=sample_size)
+        )
+        expected = [silhouette, validity.calinski_harabasz(alone, ["x", "y"]), validity.davies_bouldin(alone, ["x", "y"])]
+        assert list(found[k])[2:] == pytest.approx([e.first()[0] for e in expected], rel=1e-9)
+
+
+def test_clusterings_without_rows_are_no_score(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0, None), (2, 1.5, 1, None)], "user_id long, x double, c2 int, c3 int")
+    for df, labels in ((rows, {2: "c2", 3: "c3"}), (rows.limit(0), {2: "c2"})):
+        with pytest.raises(ValueError, match="labelled row"):
+            validity.metric_table(df, ["x"], "m", labels)
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    """A sweep that waits for another one to be under way gets there."""
+    together = Barrier(2, timeout=60)
+    rows = spark.range(4).withColumnRenamed("id", "user_id")
+
+    def sweep(rep, ks):
+        together.wait()
+        return spark.createDataFrame(
+            [(k, k / 10, k / 1.0, 1.0 / k) for k in ks], "k int, silhouette double, calinski_harabasz double, davies_bouldin double"
+        )
+
+    for name in ("kmeans", "fuzzy", "ward", "gmm"):
+        monkeypatch.setattr(segmentation, f"{name}_sweep", sweep)
+    reps = {name: segmentation.Representation(name, rows, ()) for name in ("raw", "PCA")}
+    found = segmentation.rank_models(reps, ks=(2, 3)).collect()
+    methods = [f"{m} {rep}" for m in ("fuzzy_cmeans", "gmm", "kmeans", "ward") for rep in ("PCA", "raw")]
+    assert [(r.method, r.k) for r in found] == [(m, k) for k in (3, 2) for m in methods]
