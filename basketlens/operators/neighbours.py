@@ -1,10 +1,10 @@
 """Exact nearest neighbours, and a non-linear embedding from their fuzzy graph.
 
-Rows are dealt into k-means cells and blocks of bounded size.  A row's neighbours in
-its own block bound how far the others can be; by the triangle inequality only cells
-whose centre is at most that bound plus the cell's radius away can hold one.  The row
-asks the blocks of those cells and keeps the nearest of all answers.  Only the cells'
-centres and radii, at most ``MAX_CELLS`` of them, visit the driver.
+Space is cut into cells along a sample, and cells side by side make up blocks of bounded
+size.  A row's neighbours in its own block bound how far the others can be; only cells
+whose box is at most that bound away can hold one.  The row asks the blocks of those
+cells and keeps the nearest of all answers.  Only the sample and the cells' boxes, some
+``MAX_CELLS`` of them, visit the driver.
 
 The embedding's coordinates are the leading eigenvectors of the normalised graph,
 found in a block Krylov space whose vectors are a table of packed blocks: multiplying by
@@ -15,16 +15,16 @@ dozen numbers squared per block) visit the driver.  It ends when the residual is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, Window, functions as F
 
-from basketlens.operators.blocks import BLOCK_ROWS, block_of, blocks_for, every_block, meet, squared_distances
-from basketlens.operators.partition import VECTOR, assemble
+from basketlens.operators.blocks import block_of, blocks_for, every_block
 from basketlens.operators.sampling import SEED
 from basketlens.session import discard, durable
 
@@ -32,11 +32,16 @@ from basketlens.session import discard, durable
 NEIGHBOURS = 15
 DIMENSIONS = 3
 
-# Cells grow with the square root of the rows up to this many; beyond, they hold more.
+# Cells grow with the rows up to about this many; beyond, they hold more.
 MAX_CELLS = 4096
-_ROWS_OF_ONE_CELL = 1000
-# asking rows whose distances are held at a time
-_CHUNK_ROWS = 256
+_ROWS_OF_ONE_CELL = 1024
+# rows per cell of the sample that says where to cut
+_CELL_SAMPLE = 64
+# rows of a block, and rows that ask it in one task
+_LEAST_BLOCK, _LARGEST_BLOCK = 2048, 32768
+_ASKING_ROWS = 16384
+# rows of a leaf, and asking rows whose distances are held at a time
+_LEAF_ROWS = 128
 
 _NEAR = "`{key}` long, neighbour long, distance double, weight double"
 
@@ -68,62 +73,224 @@ def _edge_weights(distances, k):
     return np.exp(-beyond / np.maximum(sigma, floor)[:, None])
 
 
-def _cells(df: DataFrame, columns: Sequence[str], key: str, cells: int, block_rows: int, seed: int):
-    """A written table (key, columns, cell, block, blocks), and centres and radii."""
-    data = df.select(key, *columns)
-    vectors = assemble(data, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=cells, seed=seed, maxIter=5, featuresCol=VECTOR, predictionCol="cell").fit(vectors)
-    finally:
-        vectors.unpersist()
-    centres = np.array(model.clusterCenters())
-    placed = durable(model.transform(assemble(data, columns)).drop(VECTOR))
-    spots = F.array(*[F.array(*[F.lit(float(v)) for v in axis]) for axis in centres.T])
-    offset = sum(
-        ((F.col(c) - F.get(F.get(spots, F.lit(i)), F.col("cell"))) ** 2 for i, c in enumerate(columns)), F.lit(0.0)
-    )
-    known = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max(F.sqrt(offset)).alias("radius"))
+def _cut(x: np.ndarray) -> tuple[int, float] | None:
+    """An axis and a value near its middle that part the rows, none if all are equal;
+    equal rows stay together."""
+    for axis in np.argsort(-x.std(axis=0), kind="stable"):
+        values = np.sort(x[:, axis])
+        if values[0] < values[-1]:
+            middle = values[len(values) // 2]
+            return int(axis), float(values[np.searchsorted(values, middle, "right")] if middle == values[0] else middle)
+    return None
+
+
+def _cut_up(x: np.ndarray, size: float) -> tuple[list[tuple[int, float]], list[list[int]], list[np.ndarray]]:
+    """Rows cut in two again and again until at most ``size`` are left or all are equal:
+    the cuts, where both sides of each lead to (a cut, or -1 - leaf), and the leaves' rows,
+    neighbours side by side."""
+    cuts, branches, leaves = [], [], []
+    waiting = [(np.arange(len(x)), None, 0)]
+    while waiting:
+        rows, above, side = waiting.pop()
+        cut = _cut(x[rows]) if len(rows) > size else None
+        if above is not None:
+            branches[above][side] = -1 - len(leaves) if cut is None else len(cuts)
+        if cut is None:
+            leaves.append(rows)
+            continue
+        beyond = x[rows, cut[0]] >= cut[1]
+        waiting += [(rows[beyond], len(cuts), 1), (rows[~beyond], len(cuts), 0)]
+        cuts.append(cut)
+        branches.append([0, 0])
+    return cuts, branches, leaves
+
+
+def _chunks(x: np.ndarray) -> list[np.ndarray]:
+    """The rows in small parts that lie close together."""
+    leaves = _cut_up(x, _LEAF_ROWS)[2]
+    return [leaf[at : at + _LEAF_ROWS] for leaf in leaves for at in range(0, len(leaf), _LEAF_ROWS)]
+
+
+def _gaps(low, high, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squared distances between boxes; a row is a box of its own."""
+    total = 0.0
+    for axis in range(other_low.shape[1]):
+        a, b = low[..., axis, None], high[..., axis, None]
+        gap = np.maximum(other_low[:, axis] - b, a - other_high[:, axis])
+        total = total + np.maximum(gap, 0.0) ** 2
+    return total
+
+
+def _reach(bound: np.ndarray) -> np.ndarray:
+    """The squared bounds, a little more for rounding."""
+    return (bound * (1 + 1e-9) + 1e-9) ** 2
+
+
+@dataclass(frozen=True)
+class _Ground:
+    """The parted space: cuts that lead to cells, the boxes of the cells' rows, regions of
+    cells side by side, and the blocks of each region (all numbered from its first)."""
+
+    axis: np.ndarray
+    value: np.ndarray
+    branches: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    region: np.ndarray
+    first: np.ndarray
+    blocks: np.ndarray
+
+    def asked(self, x: np.ndarray, bound: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the blocks, without their ``own`` one, that may hold a row within their bound."""
+        found, reach = [np.empty(0, np.int64)], _reach(bound)
+        for part in _chunks(x):
+            y = x[part]
+            close = np.flatnonzero(_gaps(y.min(axis=0), y.max(axis=0), self.low, self.high) <= reach[part].max())
+            row, cell = np.nonzero(_gaps(y, y, self.low[close], self.high[close]) <= reach[part][:, None])
+            found.append(np.unique(part[row] * len(self.first) + self.region[close[cell]]))
+        row, region = np.divmod(np.sort(np.concatenate(found)), len(self.first))
+        many = self.blocks[region]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, block = np.repeat(row, many), np.repeat(self.first[region], many) + place
+        return row[block != own], block[block != own]
+
+
+def _cells_of(x: np.ndarray, axis: np.ndarray, value: np.ndarray, branches: np.ndarray) -> np.ndarray:
+    if np.isnan(x).any():
+        raise ValueError("rows without a number in every column have no neighbours")
+    if not len(axis):
+        return np.zeros(len(x), int)
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    while len(rows):
+        node = at[rows]
+        at[rows] = branches[node, (x[rows, axis[node]] >= value[node]).astype(int)]
+        rows = rows[at[rows] >= 0]
+    return -1 - at
+
+
+def _matrix_of(table: pa.Table | pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    return np.column_stack([np.asarray(table.column(c)) for c in columns])
+
+
+def _numbers(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns])
+
+
+def _part_space(data: DataFrame, rows: int, columns: list[str], key: str, cells: int | None, block_rows: int | None, seed: int) -> _Ground:
+    """The space cut along a sample, so that cells and regions hold about as many rows each.
+
+    The sample only says where to cut; boxes are those of all rows."""
+    cells = cells or max(1, min(MAX_CELLS, rows // _ROWS_OF_ONE_CELL))
+    block_rows = block_rows or min(max(rows // 32, _LEAST_BLOCK), _LARGEST_BLOCK)
+    share = min(1.0, cells * _CELL_SAMPLE / rows)
+    drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = _matrix_of(data.where(drawn).select(*columns).toArrow(), columns)
+    cuts, branches, leaves = _cut_up(sample[~np.isnan(sample).any(axis=1)], max(1.0, share * rows / cells))
+    axis, value = np.array([a for a, _ in cuts], int), np.array([v for _, v in cuts])
+    branches = np.array(branches, int).reshape(-1, 2)
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix_of(batch, columns)
+            found, place, held = np.unique(_cells_of(x, axis, value, branches), return_inverse=True, return_counts=True)
+            order = np.argsort(place, kind="stable")
+            starts = np.cumsum(held) - held
+            ends = [f.reduceat(x[order], starts, axis=0) if len(x) else x for f in (np.minimum, np.maximum)]
+            yield pa.record_batch([pa.array(v) for v in (found, held, *ends[0].T, *ends[1].T)], names)
+
+    low, high = [f"low{i}" for i in range(len(columns))], [f"high{i}" for i in range(len(columns))]
+    names = ["cell", "held", *low, *high]
+    shape = "cell long, held long, " + ", ".join(f"{c} double" for c in [*low, *high])
     # a row per cell
-    known = known.withColumn("blocks", F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")).toPandas()
-    radii, blocks = np.full(len(centres), -np.inf), np.zeros(len(centres), int)
-    radii[known["cell"]], blocks[known["cell"]] = known["radius"], known["blocks"]
-    count = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
-    return placed.withColumn("block", block_of(F.col(key), count)), centres, radii, blocks
+    known = (
+        data.select(*columns).mapInArrow(run, shape).groupBy("cell")
+        .agg(F.sum("held").alias("held"), *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high])
+        .toPandas()
+    )
+    held = np.zeros(len(leaves), np.int64)
+    lows, highs = np.full((len(leaves), len(columns)), np.inf), np.full((len(leaves), len(columns)), -np.inf)
+    held[known["cell"]], lows[known["cell"]], highs[known["cell"]] = known["held"], known[low], known[high]
+    region, filled = np.zeros(len(leaves), int), 0
+    for cell, n in enumerate(held):
+        fresh = cell > 0 and filled + n > block_rows
+        region[cell] = region[cell - 1] + fresh if cell else 0
+        filled = n if fresh else filled + n
+    blocks = np.maximum(1, -(-np.bincount(region, held).astype(np.int64) // (2 * block_rows)))
+    return _Ground(axis, value, branches, lows, highs, region, np.cumsum(blocks) - blocks, blocks)
+
+
+def _housed(df: DataFrame, ground: _Ground, columns: list[str], key: str) -> DataFrame:
+    """The rows with the block of their part of the space."""
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix_of(batch, columns)
+            region = ground.region[_cells_of(x, ground.axis, ground.value, ground.branches)]
+            places = [pa.array(v[region].astype(np.int32)) for v in (ground.first, ground.blocks)]
+            yield pa.record_batch([*batch.columns, *places], [key, *columns, "first", "blocks"])
+
+    numbers = ", ".join(f"`{c}` double" for c in columns)
+    placed = df.mapInArrow(run, f"`{key}` long, {numbers}, first int, blocks int")
+    return placed.select(key, *columns, (F.col("first") + block_of(F.col(key), F.col("blocks"))).alias("block"))
 
 
 def _nearest_of(
     asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int, others: bool
 ) -> pd.DataFrame:
     """Of each asking row the k nearest known ones, if ``others`` without the row of its
-    own key, as far as its bound allows; ties by key.
+    own key, as far as its bound allows; ties by key.  The index is the asking row's place.
 
-    A matrix product tells which pairs may be near enough, up to its rounding; only their
-    distances are taken axis by axis."""
+    Known rows lie in leaves, and only leaves near enough are compared.  A matrix product
+    tells which pairs may be near enough, up to its rounding; only their distances are
+    taken axis by axis."""
+    none = pd.DataFrame({key: np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "distance": np.empty(0)}, index=np.empty(0, np.int64))
     if asking.empty or known.empty:
-        return pd.DataFrame({key: np.empty(0, np.int64), "neighbour": np.empty(0, np.int64), "distance": np.empty(0)})
-    known = known.sort_values(key)
+        return none
     names, spots = known[key].to_numpy(), known[columns].to_numpy(dtype=float)
+    # of equal rows the first k by key are enough, and one more where the asking row is among them
+    order = np.lexsort([names, *spots.T])
+    names, spots = names[order], spots[order]
+    fresh = np.append(True, (spots[1:] != spots[:-1]).any(axis=1))
+    kept = np.arange(len(spots)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] <= k
+    names, spots = names[kept], spots[kept]
+    leaves = _cut_up(spots, _LEAF_ROWS)[2]
+    sizes = np.array([len(leaf) for leaf in leaves])
+    order, starts = np.concatenate(leaves), np.cumsum(sizes) - sizes
+    names, spots = names[order], spots[order]
+    low, high = np.minimum.reduceat(spots, starts, axis=0), np.maximum.reduceat(spots, starts, axis=0)
     middle = spots.mean(axis=0)
     centred = spots - middle
-    sizes = (centred * centred).sum(axis=1)
-    right = np.column_stack([-2.0 * centred, np.ones(len(spots)), sizes]).T
-    reach, far = sizes.max(), np.abs(spots).max()
+    norms = (centred * centred).sum(axis=1)
+    right = np.column_stack([-2.0 * centred, np.ones(len(spots)), norms])
+    reach, far = norms.max(), np.abs(spots).max()
     least = k if others else k - 1
-    parts = []
-    for at in range(0, len(asking), _CHUNK_ROWS):
-        part = asking.iloc[at : at + _CHUNK_ROWS]
-        mine = part[key].to_numpy()
-        x = part[columns].to_numpy(dtype=float)
+    every, all_mine, bounds = asking[columns].to_numpy(dtype=float), asking[key].to_numpy(), asking["bound"].to_numpy()
+    parts = [none]
+    for chunk in _chunks(every):
+        x, mine = every[chunk], all_mine[chunk]
         left = x - middle
         size = (left * left).sum(axis=1)
         slack = 1e-13 * (np.sqrt(size + reach) + np.maximum(np.abs(x).max(axis=1), far)) ** 2
-        apart = np.column_stack([left, size, np.ones(len(x))]) @ right
-        # no row beyond the bound is among the nearest of all; a little more, for rounding
-        limit = (part["bound"].to_numpy() * (1 + 1e-9) + 1e-9) ** 2
-        near = apart <= (limit + slack)[:, None]
-        if near.sum() > 4 * k * len(part) and least < len(known):
+        left = np.column_stack([left, size, np.ones(len(x))])
+        # no row beyond the bound is among the nearest of all
+        limit = _reach(bounds[chunk])
+        most = limit + slack
+        gaps = _gaps(x.min(axis=0), x.max(axis=0), low, high)
+        if not np.isfinite(most).all():
+            # the nearest leaves tell how far the nearest rows are at most
+            order = np.argsort(gaps, kind="stable")
+            few = np.zeros(len(gaps), bool)
+            few[order[: np.searchsorted(np.cumsum(sizes[order]), 4 * (least + 1)) + 1]] = True
+            apart = left @ right[np.repeat(few, sizes)].T
+            if least < apart.shape[1]:
+                most = np.minimum(most, np.partition(apart, least, axis=1)[:, least] + 2.0 * slack)
+        close = np.flatnonzero(np.repeat(gaps <= most.max(), sizes))
+        apart = left @ right[close].T
+        near = apart <= most[:, None]
+        if np.count_nonzero(near) > 4 * k * len(x) and least < len(close):
             near &= apart <= np.partition(apart, least, axis=1)[:, least : least + 1] + 2.0 * slack[:, None]
         row, other = np.nonzero(near)
+        other = close[other]
         if others:
             kept = mine[row] != names[other]
             row, other = row[kept], other[kept]
@@ -132,49 +299,88 @@ def _nearest_of(
             found += (x[row, axis] - spots[other, axis]) ** 2
         kept = found <= limit[row]
         row, other, found = row[kept], other[kept], found[kept]
-        order = np.lexsort([other, found, row])
+        order = np.lexsort([names[other], found, row])
         row, other, found = row[order], other[order], found[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         kept = (place < k) & np.isfinite(found)
-        parts.append(
-            pd.DataFrame({key: mine[row[kept]], "neighbour": names[other[kept]], "distance": np.sqrt(found[kept])})
-        )
-    return pd.concat(parts)
+        row, other, found = row[kept], other[kept], found[kept]
+        parts.append(pd.DataFrame({key: mine[row], "neighbour": names[other], "distance": np.sqrt(found)}, index=chunk[row]))
+    return pd.concat(parts[1:]).sort_index(kind="stable")
 
 
-def _answered(asked: DataFrame, points: DataFrame, columns: list[str], key: str, k: int, block_rows: int, others: bool) -> DataFrame:
-    """The k nearest ``points`` of every row, each asked in the blocks that may hold one."""
-    # a block that many rows ask is met by one part of them at a time
-    parts = asked.groupBy("cell", "block").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts")
+def _together(asked: DataFrame, points: DataFrame, key: str):
+    """Asking rows and the points of the blocks they ask; a block that many rows ask is met
+    by one part of them at a time."""
+    # a row per block, of thousands of rows each
+    parts = F.broadcast(
+        asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(_ASKING_ROWS)).cast("int").alias("parts"))
     )
-    queries = asked.join(parts, ["cell", "block"]).withColumn("part", block_of(F.col(key), F.col("parts")))
-    spread = points.join(parts, ["cell", "block"]).select("*", every_block(F.col("parts")).alias("part"))
-    found = meet(
-        queries.select(key, *columns, "bound", "cell", "block", "part"),
-        spread.select(key, *columns, "cell", "block", "part"),
-        ["cell", "block", "part"],
-        lambda asking, known: _nearest_of(asking, known, columns, key, k, others),
-        f"`{key}` long, neighbour long, distance double",
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.col("parts")).cast("int").alias("part")
+    queries = asked.join(parts, "block").select(*asked.columns, part)
+    # named anew, since the points may ask themselves
+    named = [F.col(c).alias(c) for c in points.columns]
+    spread = points.join(parts, "block").select(*named, every_block(F.col("parts")).alias("part"))
+    return queries.groupBy("block", "part").cogroup(spread.groupBy("block", "part"))
+
+
+def _listed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values))
+
+
+def _nearest(queries: DataFrame, points: DataFrame, ground: _Ground, columns: list[str], key: str, k: int, others: bool) -> DataFrame:
+    """The k nearest ``points`` of every query: found in its own block, and in the blocks
+    that may hold nearer ones than those."""
+    numbers = ", ".join(f"`{c}` double" for c in columns)
+
+    def at_home(asking: pa.Table, known: pa.Table) -> pa.Table:
+        own = asking.to_pandas().assign(bound=np.inf)
+        near = _nearest_of(own, known.to_pandas(), columns, key, k, others)
+        counts = np.bincount(near.index, minlength=len(own))
+        distances, last = near["distance"].to_numpy(), np.cumsum(counts) - 1
+        bound = np.full(len(own), np.inf)
+        bound[counts == k] = distances[last[counts == k]]
+        row, block = ground.asked(_matrix_of(asking, columns), bound, own["block"].iloc[0] if len(own) else -1)
+        lists = [(near["neighbour"].to_numpy(), counts), (distances, counts), (block.astype(np.int32), np.bincount(row, minlength=len(own)))]
+        return pa.table(
+            [*[asking.column(c) for c in (key, *columns)], pa.array(bound), *[_listed(*v) for v in lists]],
+            [key, *columns, "bound", "neighbours", "distances", "asked"],
+        )
+
+    def answer(asking: pa.Table, known: pa.Table) -> pa.Table:
+        near = _nearest_of(asking.to_pandas(), known.to_pandas(), columns, key, k, others)
+        row, counts = np.unique(near.index, return_counts=True)
+        lists = [_listed(near[c].to_numpy(), counts) for c in ("neighbour", "distance")]
+        keys = asking.column(key).to_numpy()[row]
+        return pa.table([pa.array(keys, pa.int64()), *lists], [key, "neighbours", "distances"])
+
+    answered = f"`{key}` long, neighbours array<long>, distances array<double>"
+    own = durable(
+        _together(queries, points, key).applyInArrow(at_home, f"`{key}` long, {numbers}, bound double, neighbours array<long>, distances array<double>, asked array<int>")
     )
+    asked = own.select(key, *columns, "bound", F.explode("asked").alias("block"))
+    far = _together(asked, points, key).applyInArrow(answer, answered)
     # at most k rows of each asked block meet here
-    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
-    best = found.withColumn("place", place).where(F.col("place") <= k)
-    listed = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    met = own.select(key, "neighbours", "distances").unionByName(far).groupBy(key).agg(
+        F.collect_list(F.struct("neighbours", "distances")).alias("near")
+    )
 
     def weigh(batches):
         for batch in batches:
-            apart = np.array([[n["distance"] for n in near] for near in batch["near"]])
-            yield pd.DataFrame(
-                {
-                    key: np.repeat(batch[key].to_numpy(), k),
-                    "neighbour": [n["neighbour"] for near in batch["near"] for n in near],
-                    "distance": apart.ravel(),
-                    "weight": _edge_weights(apart, k).ravel() if len(apart) else [],
-                }
+            near = batch.column("near")
+            neighbours, distances = near.flatten().flatten()
+            row = pc.list_parent_indices(near).to_numpy()[pc.list_parent_indices(neighbours).to_numpy()]
+            neighbours, distances = neighbours.flatten().to_numpy(), distances.flatten().to_numpy()
+            order = np.lexsort([neighbours, distances, row])
+            row, neighbours, distances = row[order], neighbours[order], distances[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            apart = distances[best].reshape(-1, k)
+            weights = _edge_weights(apart, k).ravel() if len(apart) else np.empty(0)
+            keys = np.repeat(batch.column(key).to_numpy(), k)
+            yield pa.record_batch(
+                [pa.array(v) for v in (keys, neighbours[best], apart.ravel(), weights)], [key, "neighbour", "distance", "weight"]
             )
 
-    return listed.mapInPandas(weigh, _NEAR.format(key=key))
+    return met.mapInArrow(weigh, _NEAR.format(key=key))
 
 
 def nearest_neighbours(
@@ -184,7 +390,7 @@ def nearest_neighbours(
     seed: int = SEED,
     key: str = "user_id",
     cells: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest other rows of every row, or all others if they are fewer: (key,
     neighbour, distance, weight).
@@ -192,38 +398,16 @@ def nearest_neighbours(
     ``key`` is a unique whole number; rows at the same distance are taken by key.
     """
     columns = list(columns)
-    rows = df.count()
+    data = durable(_numbers(df, columns, key))
+    rows = data.count()
     # a small table has fewer others than ``k``: then all of them are neighbours
     k = min(k, rows - 1)
     if k < 1:
         return df.sparkSession.createDataFrame([], _NEAR.format(key=key))
-    cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
-    placed, centres, radii, blocks = _cells(df, columns, key, cells, block_rows, seed)
-
-    def ask(own: pd.DataFrame) -> pd.DataFrame:
-        """Every row of a block with the cells it has to ask."""
-        spots = own[columns].to_numpy(dtype=float)
-        apart = np.sqrt(squared_distances(spots, spots))
-        np.fill_diagonal(apart, np.inf)
-        bound = np.full(len(own), np.inf)
-        if len(own) > k:
-            bound = np.partition(apart, k - 1, axis=1)[:, k - 1]
-        to_centres = np.sqrt(squared_distances(spots, centres))
-        # a little more, for rounding
-        possible = to_centres - radii[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-        possible &= blocks[None, :] > 0
-        row, cell = np.nonzero(possible)
-        asked = own[[key, *columns]].iloc[row].copy()
-        asked["bound"], asked["cell"], asked["blocks"] = bound[row], cell.astype("int32"), blocks[cell].astype("int32")
-        return asked
-
-    numbers = ", ".join(f"`{c}` double" for c in columns)
-    as_numbers = placed.select(key, *[F.col(c).cast("double").alias(c) for c in columns], "cell", "block")
-    asked = durable(
-        as_numbers.groupBy("cell", "block").applyInPandas(ask, f"`{key}` long, {numbers}, bound double, cell int, blocks int")
-        .select(key, *columns, "bound", "cell", every_block(F.col("blocks")).alias("block"))
-    )
-    return _answered(asked, as_numbers, columns, key, k, block_rows, others=True)
+    ground = _part_space(data, rows, columns, key, cells, block_rows, seed)
+    points = durable(_housed(data, ground, columns, key))
+    discard(data)
+    return _nearest(points, points, ground, columns, key, k, others=True)
 
 
 def nearest_known(
@@ -234,45 +418,23 @@ def nearest_known(
     seed: int = SEED,
     key: str = "user_id",
     cells: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest rows of ``known`` of every row of ``new``, or all of them if they are
     fewer: (key, neighbour, distance, weight).  Keys are unique in either table; a key in
     both is two rows.
     """
     columns = list(columns)
-    rows = known.count()
+    data = durable(_numbers(known, columns, key))
+    rows = data.count()
     k = min(k, rows)
     if k < 1:
         return new.sparkSession.createDataFrame([], _NEAR.format(key=key))
-    cells = cells or max(2, min(MAX_CELLS, round((rows / _ROWS_OF_ONE_CELL) ** 0.5)))
-    placed, centres, radii, blocks = _cells(known, columns, key, cells, block_rows, seed)
-    held = dict(placed.groupBy("cell").count().collect())
-    sizes = np.array([held.get(c, 0) for c in range(len(centres))])
-
-    def ask(batches):
-        for batch in batches:
-            to_centres = np.sqrt(squared_distances(batch[columns].to_numpy(dtype=float), centres))
-            # the nearest k rows are no further than the far ends of cells that hold k
-            ends = to_centres + radii[None, :]
-            order = np.argsort(ends, axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) >= k).argmax(axis=1)
-            bound = np.take_along_axis(ends, np.take_along_axis(order, enough[:, None], 1), 1)
-            possible = to_centres - radii[None, :] <= bound * (1 + 1e-9) + 1e-9
-            row, cell = np.nonzero(possible & (blocks[None, :] > 0))
-            asked = batch[[key, *columns]].iloc[row].copy()
-            asked["bound"] = bound[row, 0]
-            asked["cell"], asked["blocks"] = cell.astype("int32"), blocks[cell].astype("int32")
-            yield asked
-
-    spots = [F.col(c).cast("double").alias(c) for c in columns]
-    numbers = ", ".join(f"`{c}` double" for c in columns)
-    asked = durable(
-        new.select(key, *spots).mapInPandas(ask, f"`{key}` long, {numbers}, bound double, cell int, blocks int")
-        .select(key, *columns, "bound", "cell", every_block(F.col("blocks")).alias("block"))
-    )
-    points = placed.select(key, *spots, "cell", "block")
-    return _answered(asked, points, columns, key, k, block_rows, others=False)
+    ground = _part_space(data, rows, columns, key, cells, block_rows, seed)
+    points = durable(_housed(data, ground, columns, key))
+    queries = durable(_housed(_numbers(new, columns, key), ground, columns, key))
+    discard(data)
+    return _nearest(queries, points, ground, columns, key, k, others=False)
 
 
 def fuzzy_union(edges: DataFrame) -> DataFrame:

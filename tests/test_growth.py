@@ -89,6 +89,28 @@ def test_answers_stop_at_the_bound(spark):
     assert near.values.tolist() == [[1, 3, 1.0], [1, 4, 1.0], [2, 5, 1.0]]
 
 
+def test_rows_ask_few_blocks(spark, monkeypatch):
+    """Blocks are parts of the space: a row asks the few whose boxes come near it, and many
+    equal rows find those of the lowest keys without asking any other block."""
+    asked, whole = [], neighbours.durable
+
+    def counted(df):
+        table = whole(df)
+        if "asked" in table.columns:
+            asked.append(table.selectExpr("avg(size(asked))").first()[0])
+        return table
+
+    monkeypatch.setattr(neighbours, "durable", counted)
+    x = np.vstack([np.random.default_rng(9).random((1500, 2)), np.full((500, 2), 3.0)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "user_id long, x double, y double")
+    near = neighbours.nearest_neighbours(df, ["x", "y"], 3, cells=64, block_rows=64).toPandas()
+    assert len(asked) == 1 and asked[0] < 4
+    found = near.sort_values(["user_id", "distance", "neighbour"])["neighbour"].to_numpy().reshape(-1, 3)
+    apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(apart, np.inf)
+    assert found.tolist() == np.argsort(apart, axis=1, kind="stable")[:, :3].tolist()
+
+
 def test_silhouette_over_blocks(spark):
     """Small distances beside far rows keep their digits; equal rows are at distance 0."""
     rng = np.random.default_rng(5)
