@@ -127,6 +127,25 @@ def test_silhouette_over_blocks(spark):
         assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
 
 
+def test_blocks_of_a_silhouette_meet_once(spark, monkeypatch):
+    """A pair of blocks is compared once for both its sides, packed in a row each; rows
+    without a label get no silhouette and are in no other's."""
+    rng, pairs, whole = np.random.default_rng(8), [], validity.durable
+    x, labels = rng.normal(size=(60, 2)), [None if i % 9 == 4 else i % 3 for i in range(60)]
+    monkeypatch.setattr(validity, "durable", lambda df: [t := whole(df), pairs.append(t.count())][0])
+    df = spark.createDataFrame([(i, labels[i], *map(float, r)) for i, r in enumerate(x)], "user_id long, cluster int, x double, y double")
+    found = {r.user_id: r.silhouette for r in validity.silhouette_values(df, ["x", "y"], block_rows=12).collect()}
+    assert pairs == [5 * 5]
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(60):
+        inside = {c: [apart[i, j] for j in range(60) if labels[j] == c and j != i] for c in range(3)}
+        if labels[i] is None:
+            assert found[i] is None
+            continue
+        a, b = np.mean(inside.pop(labels[i])), min(map(np.mean, inside.values()))
+        assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
 def test_fuzzy_sums_do_not_depend_on_partitions(blobs):
     """Sums of packed blocks are whole numbers: fits agree bit by bit."""
     fits = [fuzzy.fuzzy_cmeans(df, ["x", "y"], [2, 3]) for df in (blobs, blobs.repartition(5))]
