@@ -82,6 +82,29 @@ def matrix(raw: bytes, columns: int) -> np.ndarray:
     return np.frombuffer(raw, np.float64).reshape(-1, columns)
 
 
+def hash_of(values: np.ndarray, start: np.ndarray | int = 42) -> np.ndarray:
+    """What ``xxhash64`` gives for a column of long or int values, as unsigned numbers;
+    ``start`` is the hash of the columns before it."""
+    p1, p2, p3, p4, p5 = (
+        np.uint64(p)
+        for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    )
+
+    def turned(x, bits):
+        return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+    values, start = np.atleast_1d(values), np.asarray(start).astype(np.uint64)
+    if values.dtype == np.int32:
+        h = start + p5 + np.uint64(4) ^ values.astype(np.uint32).astype(np.uint64) * p1
+        h = turned(h, 23) * p2 + p3
+    else:
+        h = start + p5 + np.uint64(8) ^ turned(values.astype(np.uint64) * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 # Sums are taken in units of 1e-18, as whole numbers: their order changes nothing.
 _PLACES = 18
 SUMS = f"sums array<decimal(38,{_PLACES})>"

@@ -234,6 +234,13 @@ def _housed(df: DataFrame, ground: _Ground, columns: list[str], key: str) -> Dat
     return placed.select(key, *columns, (F.col("first") + block_of(F.col(key), F.col("blocks"))).alias("block"))
 
 
+def parted(data: DataFrame, columns: list[str], key: str, block_rows: int, seed: int) -> DataFrame:
+    """The rows (key, columns, block) in blocks of about ``block_rows`` that lie close together."""
+    rows = data.count()
+    cells = max(1, min(MAX_CELLS, 4 * rows // block_rows))
+    return _housed(_numbers(data, columns, key), _part_space(data, rows, columns, key, cells, block_rows, seed), columns, key)
+
+
 def _nearest_of(
     asking: pd.DataFrame, known: pd.DataFrame, columns: list[str], key: str, k: int, others: bool
 ) -> pd.DataFrame:

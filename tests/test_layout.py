@@ -148,3 +148,31 @@ def test_bootstrap_of_equal_and_of_no_values(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (2, 3.0)], "g int, v double")
     assert sorted(map(tuple, explore.bootstrap_means(df, "g", "v").collect())) == [(1, 1, 1.0, 1.0, 1.0), (2, 2, 3.0, 3.0, 3.0)]
     assert explore.bootstrap_means(df.where(F.col("g") > 5), "g", "v").count() == 0
+
+
+def test_packed_hash_is_the_table_hash(spark):
+    """Draws over packed edges are those of the columns' own hash."""
+    from basketlens.operators.blocks import hash_of
+
+    rng = np.random.default_rng(3)
+    i, j = rng.integers(-(1 << 62), 1 << 62, (2, 50))
+    rows = spark.createDataFrame([(n, int(a), int(b)) for n, (a, b) in enumerate(zip(i, j))], "n long, i long, j long")
+    found = rows.select(F.xxhash64("i", "j", F.lit(-7))).orderBy("n").collect()
+    assert hash_of(np.int32(-7), hash_of(j, hash_of(i))).astype(np.int64).tolist() == [r[0] for r in found]
+
+
+def test_packed_epochs_are_the_joined_ones(spark, curved, monkeypatch):
+    """Blocks that exchange spots and pushes move points as joins of all edges do."""
+    near = neighbours.nearest_neighbours(frame(spark, curved), NAMES)
+    edges = near.select(F.col("user_id").alias("i"), F.col("neighbour").alias("j"), F.round("weight", 9).alias("weight"))
+    graph = durable(neighbours.fuzzy_union(edges).where("i <> 17 AND j <> 17"))
+    start = durable(frame(spark, curved).select(F.col("user_id").alias("i"), F.array("x0", "x1", "x2").alias("spots")))
+    joined, again = [layout.laid_out(graph, start, 3, epochs=4, crowd_rows=50).orderBy("i").collect() for _ in range(2)]
+    assert joined == again
+    joins, pulls = [], layout._pulls
+    monkeypatch.setattr(layout, "PACKED_POINTS", 1)
+    monkeypatch.setattr(layout, "BLOCK_POINTS", 40)
+    monkeypatch.setattr(layout, "_pulls", lambda *a: joins.append(1) or pulls(*a))
+    packed = layout.laid_out(graph, start, 3, epochs=4, crowd_rows=50).orderBy("i").collect()
+    assert not joins and [r.i for r in packed] == [r.i for r in joined]
+    assert np.abs(np.array([r.spots for r in packed]) - np.array([r.spots for r in joined])).max() < 1e-7
