@@ -69,7 +69,7 @@ def _sums(
         old = dict(zip(before, squared[len(centres) :]))
         for (c, total), apart in zip(totals.items(), squared):
             u = _memberships(apart, m)
-            powered = u**m
+            powered = u * u if m == 2.0 else u**m
             total[:, 0] += powered.sum(axis=1)
             total[:, 1] += np.einsum("cn,cn->c", powered, apart)
             total[:, 2] += np.einsum("cn,cn->c", u, u)
@@ -247,9 +247,21 @@ def fuzzy_cmeans(
         blocks = packed_blocks(data, columns, key, BLOCK_ROWS)
     finally:
         data.unpersist()
-    current = {c: drawn[:c] for c in cs}
+    # hundreds of passes read them; a pass is mostly the work of a small job
+    kept = blocks.select("x").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fitted(kept, columns, {c: drawn[:c] for c in cs}, m, error, maxiter)
+    finally:
+        kept.unpersist()
+        discard(blocks)
+
+
+def _fitted(
+    blocks: DataFrame, columns: list[str], current: dict[int, np.ndarray], m: float, error: float, maxiter: int
+) -> dict[int, FuzzyModel]:
+    """The models that the passes over packed blocks lead to from first centres."""
     previous: dict[int, np.ndarray] = {}
-    history: dict[int, list[float]] = {c: [] for c in cs}
+    history: dict[int, list[float]] = {c: [] for c in current}
     models: dict[int, FuzzyModel] = {}
     for iteration in range(maxiter):
         rows, found = _block_pass(blocks, len(columns), current, previous, m, error)
@@ -267,5 +279,4 @@ def fuzzy_cmeans(
             current[c] = sums[:, 4:] / sums[:, :1]
         if not current:
             break
-    discard(blocks)
     return models
