@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -13,9 +13,15 @@ def round_half_even(value: Column, places: int) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` worked out once however often the body reads it, also
+    inside functions of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax_label(memberships: Column) -> Column:
     """Zero-based index of the largest membership; the first one wins ties."""
-    return (F.array_position(memberships, F.array_max(memberships)) - 1).cast("int")
+    return (named(memberships, lambda m: F.array_position(m, F.array_max(m))) - 1).cast("int")
 
 
 def within_pct(values: Sequence[Column], means: Sequence[Column], pct: float) -> Column:

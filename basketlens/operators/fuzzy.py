@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketlens.functions.scalars import argmax_label
+from basketlens.functions.scalars import argmax_label, named
 from basketlens.operators.blocks import SUMS, matrix, packed_blocks, sums_of, total_of
 from basketlens.operators.sampling import SEED
 from basketlens.session import discard
@@ -182,17 +182,23 @@ class FuzzyModel:
             )
             for centre in self.centres
         ]
-        squared = F.array(*gaps)
-        nearest = F.array_min(squared)
         power = 1.0 / (self.m - 1.0)
-        closeness = F.transform(
-            squared,
-            lambda d: F.when(d == nearest, F.lit(1.0))
-            .when(nearest == 0.0, F.lit(0.0))
-            .otherwise(F.pow(nearest / d, F.lit(power))),
-        )
-        total = F.aggregate(closeness, F.lit(0.0), lambda acc, v: acc + v)
-        return F.transform(closeness, lambda v: v / total)
+
+        def closeness(squared: Column, nearest: Column) -> Column:
+            return F.transform(
+                squared,
+                lambda d: F.when(d == nearest, F.lit(1.0))
+                .when(nearest == 0.0, F.lit(0.0))
+                .otherwise(F.pow(nearest / d, F.lit(power))),
+            )
+
+        def shares(close: Column) -> Column:
+            total = F.aggregate(close, F.lit(0.0), lambda acc, v: acc + v)
+            return named(total, lambda t: F.transform(close, lambda v: v / t))
+
+        # what an element of an array needs is named, or it is worked out anew for each
+        squared = F.array(*gaps)
+        return named(squared, lambda s: named(F.array_min(s), lambda n: named(closeness(s, n), shares)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the membership array and the hard label of the largest one."""

@@ -170,6 +170,25 @@ def test_fuzzy_passes_settle_as_the_whole_change_does(spark):
     assert fuzzy._distances(x, centres[2]) == pytest.approx(direct, rel=1e-9)
 
 
+def test_memberships_are_worked_out_once(spark):
+    """Elements of an array share what they need: distances, the least of them and the sum
+    appear once in the plan, not once more for every element that reads them."""
+    from basketlens.functions.scalars import argmax_label
+
+    centres = np.array([[0.0, 0.0], [3.0, 1.0], [1.0, 4.0]])
+    model = fuzzy.FuzzyModel(("x", "y"), centres, 2.0, (), 0.5, True)
+    x = np.vstack([np.random.default_rng(5).normal(1.0, 2.0, (40, 2)), centres[1:2], [[1.5, 0.5]]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x double, y double")
+    label = df.select("*", argmax_label(model.memberships()).alias("label"))
+    plan = label._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_min(") == 1 and plan.count("aggregate(") == 1
+    apart = ((x[:, None] - centres) ** 2).sum(axis=2)
+    assert [r.label for r in label.collect()] == apart.argmin(axis=1).tolist()
+    close = np.where(apart == 0.0, 1e30, 1.0 / np.maximum(apart, 1e-30))
+    found = np.array([r[0] for r in df.select(model.memberships()).collect()])
+    assert found == pytest.approx(close / close.sum(axis=1, keepdims=True), abs=1e-12)
+
+
 def test_pulls_are_summed_without_decimals(spark):
     """Rounding a double half up builds a decimal per edge and axis; rint does not."""
     state = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.5])], "i long, spots array<double>")
